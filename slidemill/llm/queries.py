@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidemill.llm import tokens, urls
+from slidemill.llm import neardup, tokens, urls
 from slidemill.llm.common import table
 
 
@@ -27,8 +27,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(), budget=512)
 
 
+def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_token_counts": op3_token_counts,
+    "op7_simhash_neardup": op7_simhash_neardup,
 }
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": urls.SQL}
