@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidemill.llm import neardup, tokens, urls
+from slidemill.llm import fingerprints, neardup, tokens, urls
 from slidemill.llm.common import table
 
 
@@ -31,9 +31,14 @@ def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_token_counts": op3_token_counts,
     "op7_simhash_neardup": op7_simhash_neardup,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {"op2_url_filter": urls.SQL}
