@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidemill.llm import fingerprints, neardup, tokens, urls
+from slidemill.llm import decontaminate, fingerprints, neardup, tokens, urls
 from slidemill.llm.common import table
 
 
@@ -17,6 +17,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page; the list is the URLs of the pages whose id is divisible by 100."""
     pages = table(spark, sf_dir, "pages")
@@ -36,9 +40,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_url_filter": op2_url_filter,
     "op3_token_counts": op3_token_counts,
     "op7_simhash_neardup": op7_simhash_neardup,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": urls.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.SQL, "op2_url_filter": urls.SQL}
