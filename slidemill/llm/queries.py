@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidemill.llm import decontaminate, fingerprints, language, neardup, tokens, urls
+from slidemill.llm import decontaminate, fingerprints, language, neardup, tokens, toxicity, urls
 from slidemill.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(), budget=512)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_filter": op2_url_filter,
     "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op7_simhash_neardup": op7_simhash_neardup,
     "op8_language": op8_language,
     "op10_fingerprints": op10_fingerprints,
