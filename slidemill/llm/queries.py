@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidemill.llm import decontaminate, fingerprints, language, neardup, tokens, toxicity, urls
+from slidemill.llm import decontaminate, fingerprints, language, licenses, mixing, neardup, tokens, toxicity, urls
 from slidemill.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights half-way between proportional and even in entropy, no source drawn over four times; as many words as there are."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_documents(table(spark, sf_dir, "documents"))
 
@@ -52,8 +61,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
+    "op6_license_scan": op6_license_scan,
     "op7_simhash_neardup": op7_simhash_neardup,
     "op8_language": op8_language,
+    "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.SQL, "op2_url_filter": urls.SQL}
