@@ -23,22 +23,13 @@ GAP = r"[^\p{L}\p{N}]+"
 
 
 def words(text: Column) -> Column:
-    """Runs of letters and digits of the lower-cased text."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), GAP), lambda w: w != "")
+    """Runs of letters and digits of the lower-cased text; the first or last is empty where the text begins or ends otherwise."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), GAP)
 
 
-def _moved(a: Column, b: Column, by: int) -> Column:
-    """The hash of each element of a with the one of b that stands `by` places on."""
-    n = F.greatest(F.size(b) - by, F.lit(0))
-    return F.zip_with(F.slice(a, 1, n), F.slice(b, by + 1, n), lambda x, y: F.xxhash64(x, y))
-
-
-def with_shingle_hashes(df: DataFrame) -> DataFrame:
-    """df(w: array of words) with h: hashes of the five-word shingles in order. Each step is its own projection."""
-    df = df.withColumn("h1", F.transform("w", lambda x: F.xxhash64(x)))
-    df = df.withColumn("h2", _moved(F.col("h1"), F.col("h1"), 1))
-    df = df.withColumn("h4", _moved(F.col("h2"), F.col("h2"), 2))
-    return df.withColumn("h", _moved(F.col("h4"), F.col("h1"), 4)).drop("h1", "h2", "h4")
+def _shingle_hash(h: str, x: str = "x", i: str = "i") -> str:
+    """SQL of the hash of the five words from place i on; at the last four places, of those left, which equals that of no five."""
+    return f"xxhash64({x}, " + ", ".join(f"get({h}, {i} + {k})" for k in range(1, SHINGLE)) + ")"
 
 
 def shingles(w: Column) -> Column:
@@ -50,8 +41,9 @@ def shingles(w: Column) -> Column:
 def signatures(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """item, item_id, n, parts, of each item with five words or more; sig: its smallest min-hash values, as many as its size partition needs."""
     rows = pick(items, item_id="long", text="string").distinct().withColumn("item", F.xxhash64("item_id", "text"))
-    rows = with_shingle_hashes(rows.withColumn("w", words(F.col("text"))))
-    rows = rows.select("item", "item_id", shingles(F.col("w")).alias("parts"), F.array_distinct("h").alias("h")).withColumn("n", F.size("parts")).filter("n > 0")
+    rows = rows.withColumn("w", F.filter(words(F.col("text")), lambda x: x != "")).withColumn("h1", F.transform("w", lambda x: F.xxhash64(x)))
+    rows = rows.withColumn("h", F.array_distinct(F.expr(f"slice(transform(h1, (x, i) -> {_shingle_hash('h1')}), 1, greatest(size(w) - {SHINGLE - 1}, 0))")))
+    rows = rows.select("item", "item_id", shingles(F.col("w")).alias("parts"), "h").withColumn("n", F.size("parts")).filter("n > 0")
     bound = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n"))))
     keep = (bound - F.ceil(bound * threshold - 1e-9) + 1).cast("int")
     ranked = F.slice(F.array_sort(F.transform("h", lambda x: F.struct(F.xxhash64(x, F.lit(7)).alias("min"), x.alias("h")))), 1, keep)
@@ -80,9 +72,11 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, carry:
 
 def _one_pass(docs: DataFrame, items: DataFrame, values: list[int], threshold: float, carry: tuple[str, ...]) -> DataFrame:
     listed = ", ".join(f"{v}L" if v > -(1 << 63) else "(-9223372036854775807L - 1L)" for v in values) or "NULL"
-    rows = with_shingle_hashes(docs.select(*carry, words(F.col("text")).alias("w")))
-    rows = rows.withColumn("shared", F.expr(f"filter(h, x -> x IN ({listed}))")).filter("size(shared) > 0").withColumn("shared", F.array_distinct("shared"))
-    rows = rows.select(*carry, "w", "shared", F.explode("shared").alias("value"))
+    rows = docs.select(*carry, words(F.col("text")).alias("w")).withColumn("h1", F.transform("w", lambda x: F.xxhash64(x)))
+    rows = rows.withColumn("at", F.expr(f"filter(transform(h1, (x, i) -> {_shingle_hash('h1')}), x -> x IN ({listed}))"))
+    # explode_outer and a filter above it: a filter on the array itself would be pushed below the projections and work them out again for each place
+    rows = rows.withColumn("shared", F.array_distinct("at"))
+    rows = rows.select(*carry, "w", "shared", F.explode_outer("shared").alias("value")).filter("value IS NOT NULL")
     by_value = items.select("item", "sig", F.explode("sig").alias("value"))
     found = rows.join(F.broadcast(by_value), "value").filter(F.array_min(F.array_intersect("shared", "sig")) == F.col("value"))  # each item once
     found = found.join(F.broadcast(items.select("item", "item_id", "n", "parts")), "item")
