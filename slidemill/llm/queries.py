@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidemill.llm import decontaminate, fingerprints, language, licenses, mixing, neardup, tokens, toxicity, urls
+from slidemill.llm import decontaminate, fingerprints, language, licenses, lm, mixing, neardup, tokens, toxicity, urls
 from slidemill.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
+    "op5_lm_scores": op5_lm_scores,
     "op6_license_scan": op6_license_scan,
     "op7_simhash_neardup": op7_simhash_neardup,
     "op8_language": op8_language,
