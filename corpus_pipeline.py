@@ -1,11 +1,56 @@
-"""The corpus pipeline: stages over documents, each the input of the next."""
+"""The corpus pipeline: stages over documents, each applied to all that the one before it kept.
 
-STAGES: list = []
+Language identification drops what is in no language, the toxicity network what it scores 0.5 or more,
+near-duplicate detection all but one document of each group, decontamination what contains a benchmark item;
+mixing says how often each remaining document is drawn. Functions take (spark, docs, sf_dir); all but the last
+return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from slidemill.llm import decontaminate, language, mixing, neardup, toxicity
+from slidemill.llm.common import settle, table
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.keep_identified(docs)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("toxicity", toxicity_stage),
+    ("simhash_neardup", neardup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+]
+
+#: SQL can't express the trained stages; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; each stage's rows are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = settle(docs, name)
     return docs
