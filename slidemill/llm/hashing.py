@@ -4,27 +4,33 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_sample(rows: DataFrame, most: int, label: str, max_bytes: int = 60_000_000) -> pd.DataFrame:
-    """At most `most` labelled rows (doc_id, text and the label), as evenly over the labels as their counts allow.
+def quota(sizes: DataFrame, most: int, label: str, max_bytes: int = 60_000_000) -> Column:
+    """A condition on doc_id and the label that about `most` rows of sizes(doc_id, label, bytes) pass, as evenly over the labels as their counts allow.
 
-    Which rows is settled by a hash of id and text, so it is the same however the rows are partitioned.
-    Each label takes what a threshold on that hash passes; texts are whole, and fewer rows are taken when
-    the mean text is so long that they would exceed max_bytes.
+    Which rows is settled by a hash of the id, so it is the same however the rows are partitioned. Fewer
+    pass when the mean text is so long that they would exceed max_bytes.
     """
-    stats = rows.groupBy(label).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()
-    if not stats:
-        return pd.DataFrame({"doc_id": [], "text": [], label: []})
-    mean = max(1.0, sum(r["b"] or 0 for r in stats) / sum(r["n"] for r in stats))
-    each = max(1, min(most, int(max_bytes / mean)) // len(stats))
-    rank = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30))
+    stats = sizes.groupBy(label).agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).collect()
+    mean = max(1.0, sum(r["b"] or 0 for r in stats) / max(1, sum(r["n"] for r in stats)))
+    each = max(1, min(most, int(max_bytes / mean)) // max(1, len(stats)))
     take = F.lit(False)
     for r in stats:
-        take = take | ((F.col(label) == r[label]) & (rank < int((1 << 30) * min(1.0, each / r["n"]))))
-    return rows.filter(take).orderBy(rank, "doc_id").limit(2 * most).toPandas()
+        take = take | ((F.col(label) == r[label]) & (rank() < int((1 << 30) * min(1.0, each / r["n"]))))
+    return take
+
+
+def rank() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
+
+
+def bounded_sample(rows: DataFrame, most: int, label: str) -> pd.DataFrame:
+    """About `most` of rows(doc_id, text, label), whole texts; never over twice as many."""
+    take = quota(rows.select("doc_id", label, F.octet_length("text").alias("bytes")), most, label)
+    return rows.filter(take).orderBy(rank(), "doc_id").limit(2 * most).toPandas()
 
 
 def grams(data: np.ndarray, sizes: tuple[int, ...], buckets: int) -> list[np.ndarray]:

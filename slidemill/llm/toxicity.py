@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slidemill.llm.common import crc_mod, pick
-from slidemill.llm.hashing import bounded_sample, grams
+from slidemill.llm.hashing import grams, quota, rank
 
 WINDOW, STRIDE = 64, 48
 H, WORD_DIM, CHAR_DIM = 8, 8, 12
@@ -264,8 +264,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, batch: int =
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network:
     """Fit on at most `most` of docs(doc_id, text) that labels(doc_id, toxic) cover; of ids labelled twice the larger label holds."""
     marks = pick(labels, doc_id="long", toxic="int").filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = pick(docs, doc_id="long", text="string").join(marks, "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
-    sample = bounded_sample(rows, most, "toxic")
+    rows = pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    sizes = rows.select("doc_id", F.octet_length("text").alias("bytes")).join(marks, "doc_id")
+    chosen = sizes.filter(quota(sizes, most, "toxic")).select("doc_id", "toxic").distinct().limit(2 * most)  # texts are read for these ids alone
+    sample = rows.join(F.broadcast(chosen), "doc_id").orderBy(rank(), "doc_id", "text").limit(2 * most).toPandas()
     return fit([str(t) for t in sample["text"]], [int(v) for v in sample["toxic"]])
 
 
