@@ -46,22 +46,17 @@ def _cuts(tagged: DataFrame, ranges: int) -> list:
 def write_tars(rows: DataFrame, outdir: str) -> DataFrame:
     """Write rows(shard_id, key, encoded, meta) as shard-000000.tar and so on under outdir, a task for each shard; gives shard_id, n.
 
-    A shard is written under a temporary name and renamed, so a task that runs again leaves whole files.
+    outdir is a path or URI that all executors share. A shard is written under a name of its own and moved,
+    so a task that runs again leaves whole files; a failed write fails the job.
     """
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        from slidemill.sources.files import written
         from slidemill.sources.shards import tar_bytes
 
-        import os
-
         shard = int(pdf["shard_id"].iloc[0])
-        pdf = pdf.sort_values("idx")
-        data = tar_bytes((r.key, {"png": bytes(r.encoded), "json": r.meta.encode()}) for r in pdf.itertuples())
-        os.makedirs(outdir, exist_ok=True)
-        at = f"{outdir}/shard-{shard:06d}.tar"
-        with open(f"{at}.{os.getpid()}.part", "wb") as f:
-            f.write(data)
-        os.replace(f.name, at)
+        rows = pdf.sort_values("idx").itertuples()
+        written(f"{outdir}/shard-{shard:06d}.tar", tar_bytes((r.key, {"png": bytes(r.encoded), "json": r.meta.encode()}) for r in rows))
         return pd.DataFrame({"shard_id": [shard], "n": [len(pdf)]})
 
     return rows.select("shard_id", "idx", "key", "encoded", "meta").groupBy("shard_id").applyInPandas(write, "shard_id long, n long")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slidemill.functions import pen
-from slidemill.operators import annotate, audit, levels, metrics, profile, rois, shards, tiles
+from slidemill.operators import annotate, audit, extract, levels, metrics, profile, rois, shards, tiles
 from slidemill.operators.metrics import LUMA
 from slidemill.plans import virtual
 from slidemill.plans.virtual import with_views
@@ -301,3 +301,22 @@ def keyed(s, d):
 KEYED = GRID + ", kk AS (SELECT 'slide_' || slide_ord || '_' || x || '_' || y AS key FROM g)"
 query("shard_assignment", KEYED + " SELECT key, row_number() OVER (ORDER BY key) - 1 AS idx, (row_number() OVER (ORDER BY key) - 1) // 200 AS shard_id FROM kk")(lambda s, d: shards.assign_shards(keyed(s, d), 200, [F.col("key")]))
 query("loader_prefix_filter", KEYED + " SELECT key FROM kk WHERE starts_with(key, 'slide_1_') OR starts_with(key, 'slide_42') OR starts_with(key, 'slide_199')")(lambda s, d: shards.keep_prefixes(keyed(s, d), ["slide_1_", "slide_42", "slide_199"]))
+
+# ---- pixel work in Arrow batches
+
+ARROW = OTSU.replace("SELECT patch_id, thr, count(*)", "SELECT patch_id, thr, min(gray) AS glo, max(gray) AS ghi, count(*)")
+query("patch_metrics_arrow", ARROW + f", pp AS (SELECT patch_id, count(*) FILTER ({_pen_sql()}) AS pen_pixel_count, count(*) AS np FROM vpx GROUP BY patch_id) SELECT patch_id, round(ghi - glo, 6) AS gray_range, round(thr, 6) AS otsu_threshold, round(dark / n, 6) AS tissue_fraction, dark AS tissue_pixel_count, round(pen_pixel_count / np, 6) AS pen_fraction FROM o JOIN pp USING (patch_id)")(
+    lambda s, d: r6(extract.measure(virtual.patches(s, d), NB, precision="float64"), "gray_range", "otsu_threshold", "tissue_fraction", "pen_fraction").select("patch_id", "gray_range", "otsu_threshold", "tissue_fraction", "tissue_pixel_count", "pen_fraction")
+)
+
+
+def batched(s, d):
+    """Virtual patches in the columns that cut patches have."""
+    return virtual.patches(s, d).select(F.col("slide_ord").cast("int").alias("slide_ord"), F.concat(F.lit("slide_"), "slide_ord").alias("wsi_id"), F.lit(0).cast("long").alias("roi_index"), "x", "y", F.col("patch_id").alias("tile_ord"), F.floor(F.col("y") / 16).alias("batch_ord"), "pixels", "ph", "pw", "pc")
+
+
+checksum = lambda df, c="pixels": df.select("slide_ord", "x", "y", F.crc32(c).alias("crc"))
+query("reinhard_apply")(lambda s, d: checksum(extract.reinhard(batched(s, d), [65.0, 5.0, -5.0], [10.0, 8.0, 6.0])))
+query("reinhard_modified_apply")(lambda s, d: checksum(extract.reinhard(batched(s, d), [65.0, 5.0, -5.0], [10.0, 8.0, 6.0], modified=True)))
+query("macenko_apply")(lambda s, d: checksum(extract.macenko(batched(s, d))))
+query("png_encode")(lambda s, d: checksum(extract.encode_png(batched(s, d)), "encoded"))
