@@ -13,21 +13,21 @@ def sample_key(wsi_id: Column, x: Column, y: Column) -> Column:
     return F.concat_ws("_", wsi_id, x.cast("string"), y.cast("string"))
 
 
-def assign_shards(rows: DataFrame, shard_size: int, order: list, ranges: int = 64, tie: str = "key") -> DataFrame:
+#: Rows that a range has about, and ranges at most: what one task puts in order.
+RANGE, RANGES = 200_000, 4096
+
+
+def assign_shards(rows: DataFrame, shard_size: int, order: list, ranges: int | None = None, tie: str = "key") -> DataFrame:
     """rows with idx, the place in the given order, and shard_id = idx div shard_size.
 
-    Rows are cut into ranges of the first order column; only the ranges' counts are summed along, then each
-    range numbers its own rows, so no task sees them all.
+    Rows are cut into ranges of the first order column, as many as their number asks for; only the ranges'
+    counts are summed along, then each range numbers its own rows, so no task sees them all.
     """
     if shard_size <= 0:
         raise ValueError("shard_size must be positive")
-    first = order[0]
-    bucket = F.lit(0)
-    tagged = rows.withColumn("_first", first)
+    tagged = rows.withColumn("_first", order[0])
     cuts = _cuts(tagged, ranges)
-    for c in cuts:
-        bucket = bucket + (F.col("_first") >= c).cast("int")
-    tagged = tagged.withColumn("_bucket", bucket)
+    tagged = tagged.withColumn("_bucket", _place(cuts, 0, len(cuts)))
     sums = tagged.groupBy("_bucket").agg(F.count("*").alias("n"))
     sums = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = Window.partitionBy("_bucket").orderBy("_first", *order[1:], tie)
@@ -35,11 +35,22 @@ def assign_shards(rows: DataFrame, shard_size: int, order: list, ranges: int = 6
     return out.withColumn("shard_id", F.floor(F.col("idx") / shard_size)).drop("_first", "_bucket", "before")
 
 
-def _cuts(tagged: DataFrame, ranges: int) -> list:
-    """At most ranges - 1 values of the first order column that part the rows about evenly, from a sorted sample of bounded size."""
+def _place(cuts: list, lo: int, hi: int) -> Column:
+    """Number of cuts at or below the row's first order column, by halving."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(F.col("_first") >= cuts[mid], _place(cuts, mid + 1, hi)).otherwise(_place(cuts, lo, mid))
+
+
+def _cuts(tagged: DataFrame, ranges: int | None) -> list:
+    """Values of the first order column that part the rows about evenly, from a sample of bounded size."""
     n = tagged.count()
-    sample = tagged.select("_first").sample(min(1.0, 50 * ranges / max(n, 1)), seed=1).orderBy("_first").limit(200 * ranges).collect()
-    values = [r[0] for r in sample if r[0] is not None]
+    ranges = max(1, min(RANGES, -(-n // RANGE))) if ranges is None else ranges
+    if ranges == 1:
+        return []
+    sample = tagged.select("_first").sample(min(1.0, 50 * ranges / max(n, 1)), seed=1).limit(200 * ranges).collect()
+    values = sorted(r[0] for r in sample if r[0] is not None)
     return sorted({values[len(values) * i // ranges] for i in range(1, ranges)}) if values else []
 
 

@@ -299,7 +299,7 @@ def keyed(s, d):
 
 
 KEYED = GRID + ", kk AS (SELECT 'slide_' || slide_ord || '_' || x || '_' || y AS key FROM g)"
-query("shard_assignment", KEYED + " SELECT key, row_number() OVER (ORDER BY key) - 1 AS idx, (row_number() OVER (ORDER BY key) - 1) // 200 AS shard_id FROM kk")(lambda s, d: shards.assign_shards(keyed(s, d), 200, [F.col("key")]))
+query("shard_assignment", KEYED + " SELECT key, row_number() OVER (ORDER BY key) - 1 AS idx, (row_number() OVER (ORDER BY key) - 1) // 200 AS shard_id FROM kk")(lambda s, d: shards.assign_shards(keyed(s, d), 200, [F.col("key")], ranges=8))
 query("loader_prefix_filter", KEYED + " SELECT key FROM kk WHERE starts_with(key, 'slide_1_') OR starts_with(key, 'slide_42') OR starts_with(key, 'slide_199')")(lambda s, d: shards.keep_prefixes(keyed(s, d), ["slide_1_", "slide_42", "slide_199"]))
 
 # ---- pixel work in Arrow batches
