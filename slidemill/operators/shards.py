@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,15 +79,3 @@ def keep_prefixes(rows: DataFrame, prefixes: list[str], column: str = "key") ->
     for p in prefixes:
         test = test | F.col(column).startswith(p)
     return rows.filter(test)
-
-
-def batches_to_driver(rows: DataFrame, batch_size: int) -> Iterator[list]:
-    """Rows in lists of batch_size, one partition ahead of the reader."""
-    out: list = []
-    for r in rows.toLocalIterator(prefetchPartitions=True):
-        out.append(r)
-        if len(out) == batch_size:
-            yield out
-            out = []
-    if out:
-        yield out

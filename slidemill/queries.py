@@ -158,6 +158,18 @@ query("edge_distance", GRID + " SELECT slide_ord, x, y, edge_distance FROM g")(l
 query("remove_edge_tiles", GRID + " SELECT slide_ord, x, y, edge_distance FROM g WHERE edge_distance >= 1")(
     lambda s, d: tiles.remove_edge_tiles(tiles.plan_tiles(rois.whole_slides(virtual.slides(s, d)).withColumn("roi_index", F.lit(0)), 224, 224), 224, 1).select("slide_ord", "x", "y", "edge_distance")
 )
+def cornered(s, d, test):
+    """Tiles of whole-slide grids by the four-corner tests that regions of any shape go by."""
+    r = virtual.rois(s, d).select("slide_ord", "roi_index", *[F.col(c).alias(f"r{c}") for c in "xywh"])
+    t = tiles.plan_tiles(rois.whole_slides(virtual.slides(s, d)).withColumn("roi_index", F.lit(0)), 224, 224).select("slide_ord", "x", "y")
+    return t.join(r, "slide_ord").filter(test(F.col("x"), F.col("y"), 224)).select("slide_ord", "roi_index", "x", "y")
+
+
+IN_BOX = "({0} >= rx AND {0} < rx + rw AND {1} >= ry AND {1} < ry + rh)"
+CORNERS = [IN_BOX.format(a, b) for a in ("x", "x + 223") for b in ("y", "y + 223")]
+CORNERED = GRID.replace(", r AS", ", " + virtual.SQL["vroi"] + ", r AS", 1) + ", cc AS (SELECT g.slide_ord, roi_index, g.x, g.y, v.x AS rx, v.y AS ry, v.w AS rw, v.h AS rh FROM g JOIN vroi v USING (slide_ord)) SELECT slide_ord, roi_index, x, y FROM cc WHERE "
+query("tiles_meeting_rois", CORNERED + " OR ".join(CORNERS))(lambda s, d: cornered(s, d, rois.intersects_patch))
+query("tiles_within_rois", CORNERED + " AND ".join(CORNERS))(lambda s, d: cornered(s, d, rois.contains_patch))
 KNOBS = [audit.Knob("otsu", "tissue_fraction", ">=", 0.35), audit.Knob("low_contrast", "gray_range", ">=", 0.2), audit.Knob("edge", "edge_distance", ">=", 1, integer=True)]
 TEST = {"otsu": "tissue_fraction < {}", "low_contrast": "coalesce(gray_range < {}, false)", "edge": "edge_distance < {}"}
 AT = {"otsu": 0.35, "low_contrast": 0.2, "edge": 1}
