@@ -29,16 +29,6 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return bare.select(*[(F.col(f"c{at[k]}") if k in at else F.lit(None)).cast(t).alias(k) for k, t in wanted.items()])
 
 
-def with_key(df: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
-    """df under positional column names, with column `name` copied to `key`; and the names to put back."""
-    bare = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return bare.withColumn("key", F.col(f"c{df.columns.index(name)}")), df.columns
-
-
-def put_back(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select(*[F.col(f"c{i}") for i in range(len(names))]).toDF(*names)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,10 +30,21 @@ def rank() -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
 
 
-def bounded_sample(rows: DataFrame, most: int, label: str) -> pd.DataFrame:
-    """About `most` of rows(doc_id, text, label), whole texts; never over twice as many."""
+def bounded_sample(rows: DataFrame, most: int, label: str) -> DataFrame:
+    """About `most` of rows(doc_id, text, label), whole texts; never over twice as many, in one partition."""
     take = quota(rows.select("doc_id", label, F.octet_length("text").alias("bytes")), most, label)
-    return rows.filter(take).orderBy(rank(), "doc_id").limit(2 * most).toPandas()
+    return rows.filter(take).orderBy(rank(), "doc_id", "text").limit(2 * most)
+
+
+def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
+    """fit(sample) worked out in one task; only the model comes to the driver. sample is bounded and in one partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if parts := list(batches):
+            yield pd.DataFrame({"model": [pickle.dumps(fit(pd.concat(parts, ignore_index=True)))]})
+
+    found = sample.mapInPandas(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit(pd.DataFrame({c: [] for c in sample.columns}))
 
 
 def grams(data: np.ndarray, sizes: tuple[int, ...], buckets: int) -> list[np.ndarray]:

@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slidemill.llm.common import crc_mod, pick
-from slidemill.llm.hashing import bounded_sample, grams
+from slidemill.llm.hashing import bounded_sample, fitted, grams
 
 SIZES = (1, 2, 3)
 #: Shares of n-grams are small; this brings a text's features to a length near one.
 SCALE = 20.0
 BUCKETS = 1 << 16
 #: Labelled rows that the machines are fitted on, at most (and 60 MB of text).
-SAMPLE = 4_000
+SAMPLE = 3_000
 #: Families of languages; a language in none is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nl", "no", "sv"),
@@ -39,9 +39,9 @@ def family_of(lang: str) -> str:
 def features(text: str) -> np.ndarray:
     """Buckets of all n-grams of the text, those of each size in a range of their own; none if it has no letter."""
     if not any(c.isalpha() for c in text):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     data = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)
-    return np.concatenate([g + i * BUCKETS for i, g in enumerate(grams(data, SIZES, BUCKETS))])
+    return np.concatenate([(g + i * BUCKETS).astype(np.int32) for i, g in enumerate(grams(data, SIZES, BUCKETS))])
 
 
 def fit_machine(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 5, seed: int = 0) -> np.ndarray:
@@ -97,13 +97,13 @@ class Model:
 
 def fit(sample: pd.DataFrame) -> Model:
     """Fit on rows of text and lang."""
-    rows = [(features(t), str(lang)) for t, lang in zip(sample["text"], sample["lang"], strict=True) if t]
-    rows = [(i, lang) for i, lang in rows if len(i)]
-    x = []
-    for idx, _ in rows:
-        own, n = np.unique(idx, return_counts=True)
-        x.append((own, SCALE * n / len(idx)))
-    y = np.array([lang for _, lang in rows], object)
+    x, y = [], []
+    for t, lang in zip(sample["text"], sample["lang"], strict=True):
+        if len(idx := features(t) if t else ()):
+            own, n = np.unique(idx, return_counts=True)
+            x.append((own.astype(np.int32), (SCALE * n / len(idx)).astype(np.float32)))
+            y.append(str(lang))
+    y = np.array(y, object)
     fam = np.array([family_of(lang) for lang in y], object)
     langs = {f: sorted({lang for lang in y if family_of(lang) == f}) for f in sorted(set(fam))}
     pairs, machines = [], []
@@ -119,7 +119,7 @@ def fit(sample: pd.DataFrame) -> Model:
 def train(docs: DataFrame, most: int = SAMPLE) -> Model:
     """Fit on a sample of at most `most` of docs(doc_id, text, lang) with a text and a lang."""
     known = pick(docs, doc_id="long", text="string", lang="string").filter("lang is not null and text is not null")
-    return fit(bounded_sample(known, most, "lang"))
+    return fitted(bounded_sample(known, most, "lang"), fit)
 
 
 def predictor(docs: DataFrame, model: Model):

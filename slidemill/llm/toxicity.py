@@ -18,42 +18,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slidemill.llm.common import crc_mod, pick
-from slidemill.llm.hashing import grams, quota, rank
+from slidemill.llm.hashing import fitted, grams, quota, rank
 
 WINDOW, STRIDE = 64, 48
 H, WORD_DIM, CHAR_DIM = 8, 8, 12
 WORD_BUCKETS, CHAR_BUCKETS, CHAR_SIZES = 1 << 15, 1 << 15, (3, 4, 5)
 #: Labelled rows that the network is trained on, at most (and 60 MB of text).
-SAMPLE = 3_000
+SAMPLE = 2_400
 EPOCHS = 7
 #: Words whose gate inputs a worker keeps; it starts afresh beyond that.
-KEPT = 150_000
+KEPT = 100_000
 #: Windows scored at once.
-CHUNK = 2048
+CHUNK = 1024
 
 words_of = re.compile(r"\w+").findall
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word the bucket of its whole; the buckets of all its character n-grams, and which word each is of."""
+    """Of each word the bucket of its whole; the buckets of all its character n-grams, and which word each is of, in order."""
+    parts = [_features(words[k : k + 10_000], k) for k in range(0, len(words), 10_000)] or [_features([], 0)]
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def _features(words: list[str], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = [b"\x01\x01" + w.encode("utf-8", "surrogatepass") + b"\x02\x02" for w in words]
+    if not raw:
+        return (np.zeros(0, np.int32),) * 3
     data = np.frombuffer(b"".join(raw), np.uint8)
     size = np.array([len(r) for r in raw])
-    of = np.repeat(np.arange(len(raw)), size)
+    ends = np.cumsum(size)
+    of = np.repeat(np.arange(len(raw), dtype=np.int32), size)
     buckets, owner = [], []
     for n, g in zip(CHAR_SIZES, grams(data, CHAR_SIZES, CHAR_BUCKETS), strict=True):
         whole = of[: len(g)] == of[n - 1 :]
-        buckets.append(g[whole])
+        buckets.append(g[whole].astype(np.int32))
         owner.append(of[: len(g)][whole])
     b, o = np.concatenate(buckets), np.concatenate(owner)
     order = np.argsort(o, kind="stable")
-    h = np.zeros(len(raw), np.uint64)
-    ends = np.cumsum(size)
-    acc = data.astype(np.uint64) * (np.arange(len(data), dtype=np.uint64) - np.repeat(ends - size, size).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    acc ^= acc >> np.uint64(31)
-    if len(raw):
-        h = np.add.reduceat(acc * np.uint64(0xBF58476D1CE4E5B9), ends - size)
-    return (h >> np.uint64(33)).astype(np.int64) % WORD_BUCKETS, b[order], o[order]
+    place = (np.arange(len(data)) - np.repeat(ends - size, size) + 1).astype(np.uint64)
+    mixed = data.astype(np.uint64) * place * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(31)
+    whole = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), ends - size)
+    return ((whole >> np.uint64(33)) % np.uint64(WORD_BUCKETS)).astype(np.int32), b[order], o[order] + np.int32(start)
 
 
 def windows(n: int) -> np.ndarray:
@@ -267,8 +273,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Network:
     rows = pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     sizes = rows.select("doc_id", F.octet_length("text").alias("bytes")).join(marks, "doc_id")
     chosen = sizes.filter(quota(sizes, most, "toxic")).select("doc_id", "toxic").distinct().limit(2 * most)  # texts are read for these ids alone
-    sample = rows.join(F.broadcast(chosen), "doc_id").orderBy(rank(), "doc_id", "text").limit(2 * most).toPandas()
-    return fit([str(t) for t in sample["text"]], [int(v) for v in sample["toxic"]])
+    sample = rows.join(F.broadcast(chosen), "doc_id").orderBy(rank(), "doc_id", "text").limit(2 * most)
+    return fitted(sample, lambda rows: fit([str(t) for t in rows["text"]], [int(v) for v in rows["toxic"]]))
 
 
 def scorer(docs: DataFrame, net: Network):
