@@ -11,6 +11,8 @@ from pyspark.sql.types import StructField, StructType
 
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Folders that settle() has written in this process.
+_settled: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
     at = f"{shared_dir(df.sparkSession)}/slidemill/{what}-{uuid.uuid4().hex}"
+    _settled.append(at)
     df.write.parquet(at)
     return df.sparkSession.read.schema(nullable(df.schema)).parquet(at)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what settle() has written; results that still stand on it must have been written or collected before."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _settled:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def nullable(schema: StructType) -> StructType:
     return StructType([StructField(f.name, f.dataType, True) for f in schema.fields])
 
