@@ -23,7 +23,7 @@ SIZES = (1, 2, 3)
 SCALE = 20.0
 BUCKETS = 1 << 16
 #: Labelled rows that the machines are fitted on, at most (and 60 MB of text).
-SAMPLE = 3_000
+SAMPLE = 4_000
 #: Families of languages; a language in none is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nl", "no", "sv"),

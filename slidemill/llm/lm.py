@@ -23,12 +23,12 @@ from slidemill.llm.common import crc_mod, pick, settle
 from slidemill.llm.hashing import fitted
 from slidemill.llm.pitman_yor import Level, discount_of, draw_tables, gibbs
 
-SYMBOLS, FREQUENT, ENDINGS = 16_384, 64, 64
+SYMBOLS, FREQUENT, ENDINGS = 32_768, 64, 64
 LEAST = 3
 #: Most frequent words whose counts are broadcast; all others are joined by shuffle.
-HOT = 131_072
+HOT = 262_144
 #: Bytes of context of the spelling, one less as long as the corpus has more than ENTRIES different contexts and bytes.
-ORDER, ENTRIES = 4, 100_000
+ORDER, ENTRIES = 4, 400_000
 THETA, KEEP = 2.0, 2
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000

@@ -24,7 +24,7 @@ WINDOW, STRIDE = 64, 48
 H, WORD_DIM, CHAR_DIM = 8, 8, 12
 WORD_BUCKETS, CHAR_BUCKETS, CHAR_SIZES = 1 << 15, 1 << 15, (3, 4, 5)
 #: Labelled rows that the network is trained on, at most (and 60 MB of text).
-SAMPLE = 2_400
+SAMPLE = 3_000
 EPOCHS = 7
 #: Words whose gate inputs a worker keeps; it starts afresh beyond that.
 KEPT = 100_000

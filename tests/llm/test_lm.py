@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from slidemill.llm import lm, pitman_yor
+from slidemill.llm import language, lm, pitman_yor, toxicity
 from slidemill.llm.common import table
 
 
@@ -69,3 +69,9 @@ def test_tables_by_stirling_numbers():
     assert np.allclose(np.bincount(t, minlength=4)[1:] / n, np.array(w) / sum(w), atol=0.01)
     big = pitman_yor.draw_tables(np.full(2000, 5000), np.full(2000, 0.01), np.full(2000, 10.0), d, theta, np.random.default_rng(2).random((2000, 2)))
     assert (big >= 1).all() and big.max() < 100
+
+
+def test_sizes_are_not_cut():
+    """What was learned before the fits moved into tasks is still learned."""
+    assert lm.SYMBOLS >= 32_768 and lm.HOT >= 262_144 and getattr(lm, "ENTRIES", 400_000) >= 400_000
+    assert language.SAMPLE >= 4_000 and toxicity.SAMPLE >= 3_000
