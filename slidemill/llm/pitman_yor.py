@@ -13,15 +13,17 @@ from functools import lru_cache
 
 import numpy as np
 
-FULL, MOST_TABLES = 256, 24
+FULL = 256
+#: Dishes of up to so many customers are drawn together over as many columns.
+WIDTHS = (8, 24, 64, FULL)
 
 
 @lru_cache(maxsize=16)
 def log_stirling(d: float) -> np.ndarray:
-    """log S(c, t), number c of customers and t of tables, weighted by a discount d; t up to MOST_TABLES."""
-    out = np.full((FULL + 1, MOST_TABLES + 1), -np.inf)
+    """log S(c, t), number c of customers and t of tables, weighted by a discount d; both up to FULL."""
+    out = np.full((FULL + 1, FULL + 1), -np.inf)
     out[1, 1] = 0.0
-    t = np.arange(MOST_TABLES + 1)
+    t = np.arange(FULL + 1)
     for c in range(2, FULL + 1):
         stay = np.where(c - 1 - d * t > 0, np.log(np.maximum(c - 1 - d * t, 1e-300)), -np.inf) + out[c - 1]
         new = np.append(-np.inf, out[c - 1, :-1])
@@ -33,15 +35,17 @@ def draw_tables(c: np.ndarray, parent: np.ndarray, rest: np.ndarray, d: float, t
     """Tables of dishes with c customers. parent: the dish's probability in the parent; rest: the restaurant's other tables; u: uniform numbers, a row of two for each dish."""
     t = np.minimum(c, 1).astype(np.int64)
     table = log_stirling(d)
-    small = np.flatnonzero((c > 1) & (c <= FULL))
-    for at in range(0, len(small), 20_000):
-        i = small[at : at + 20_000]
-        k = np.arange(1, MOST_TABLES + 1)
-        steps = np.log(theta + d * (rest[i][:, None] + k[None, :] - 1)) + np.log(np.maximum(parent[i], 1e-300))[:, None]
-        log_p = table[c[i]][:, 1:] + np.cumsum(steps, axis=1)
-        p = np.exp(log_p - log_p.max(axis=1, keepdims=True))
-        cdf = np.cumsum(p, axis=1)
-        t[i] = 1 + np.argmax(cdf >= u[i, :1] * cdf[:, -1:], axis=1)
+    for least, width in zip((1, *WIDTHS), WIDTHS, strict=False):
+        some = np.flatnonzero((c > least) & (c <= width))
+        at_once = 480_000 // width
+        for at in range(0, len(some), at_once):
+            i = some[at : at + at_once]
+            k = np.arange(1, width + 1)
+            steps = np.log(theta + d * (rest[i][:, None] + k[None, :] - 1)) + np.log(np.maximum(parent[i], 1e-300))[:, None]
+            log_p = table[c[i], 1 : width + 1] + np.cumsum(steps, axis=1)
+            p = np.exp(log_p - log_p.max(axis=1, keepdims=True))
+            cdf = np.cumsum(p, axis=1)
+            t[i] = 1 + np.argmax(cdf >= u[i, :1] * cdf[:, -1:], axis=1)
     big = np.flatnonzero(c > FULL)
     if len(big):
         seen, n, left = np.ones(len(big)), np.ones(len(big)), np.arange(len(big))

@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -75,3 +76,24 @@ def test_sizes_are_not_cut():
     """What was learned before the fits moved into tasks is still learned."""
     assert lm.SYMBOLS >= 32_768 and lm.HOT >= 262_144 and getattr(lm, "ENTRIES", 400_000) >= 400_000
     assert language.SAMPLE >= 4_000 and toxicity.SAMPLE >= 3_000
+
+
+def test_tables_are_not_capped():
+    """Means at 200 customers against the same law, worked out in whole numbers; and nearly each customer may have a table."""
+    d, theta = 0.5, 2.0
+    ways = [1]
+    for c in range(1, 200):  # by t from 1: integers for d of a half, 2^(c - t) S(c, t)
+        stay = [w * (2 * c - t) for t, w in enumerate(ways, 1)] + [0]
+        ways = [a + b for a, b in zip(stay, [0, *ways], strict=True)]
+    for rest, p0 in ((3000, 0.02), (20000, 0.001)):
+        w, step = [], Fraction(1)
+        for t, x in enumerate(ways, 1):
+            step *= Fraction(p0) * Fraction(theta + d * (rest + t - 1)) * 2
+            w.append(x * step)
+        mean = float(sum(t * x for t, x in enumerate(w, 1)) / sum(w))
+        assert mean > 19
+        n = 4000
+        t = pitman_yor.draw_tables(np.full(n, 200), np.full(n, p0), np.full(n, float(rest)), d, theta, np.random.default_rng(3).random((n, 2)))
+        assert abs(t.mean() - mean) < 0.5 and t.max() > 24 and t.max() <= 200
+    t = pitman_yor.draw_tables(np.full(9, 100), np.full(9, 1.0), np.full(9, 1e9), d, theta, np.full((9, 2), 0.5))
+    assert (t > 90).all()
