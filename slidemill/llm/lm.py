@@ -5,31 +5,32 @@ is the word before it if that is one of the FREQUENT most frequent ones (or the
 ending; contexts of frequent words share their ending's restaurant as parent, and endings share the root. A word
 that is no symbol is drawn from a restaurant of rare words. Its base is half even over the known words and one unknown
 and half a spelling of the word: restaurants of up to ORDER preceding bytes, each sharing that of one byte less. What the corpus counts is gathered by shuffles over
-all texts; what is sampled at one place is bounded by SYMBOLS, FREQUENT, HOT and ENTRIES, whatever the corpus.
+all texts; the symbols are sampled at one place, bounded by SYMBOLS and FREQUENT; the spelling is a table that grows with the corpus.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from math import log10
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidemill.llm.common import crc_mod, pick, settle
+from slidemill.llm.common import crc_mod, pick, settle, small_enough
 from slidemill.llm.hashing import fitted
-from slidemill.llm.pitman_yor import Level, discount_of, draw_tables, gibbs
+from slidemill.llm.pitman_yor import Level, discount_of, draw_tables, gibbs, redraw
 
 SYMBOLS, FREQUENT, ENDINGS = 32_768, 64, 64
 LEAST = 3
 #: Most frequent words whose counts are broadcast; all others are joined by shuffle.
 HOT = 262_144
-#: Bytes of context of the spelling, one less as long as the corpus has more than ENTRIES different contexts and bytes.
-ORDER, ENTRIES = 4, 400_000
-THETA, KEEP = 2.0, 2
+#: Bytes of context of the spelling.
+ORDER = 4
+THETA, SWEEPS, KEEP = 2.0, 5, 2
+#: Contexts and bytes of the spelling that one group samples, about; and those that are broadcast, at most.
+SHARD, BROADCAST = 10_000, 500_000
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
 
@@ -141,43 +142,6 @@ def symbol_model(counts: pd.DataFrame, symbols: Symbols, theta: float = THETA) -
     return np.log10(total / np.float32(len(samples)))
 
 
-class Spelling:
-    """The base of rare words: a word's bytes and a closing space, each given up to ORDER bytes before, the opening space among them."""
-
-    def __init__(self, grams: list[bytes], samples: list[tuple[list[float], dict[bytes, float]]], even: float):
-        self.even = even
-        self.samples = [(dict(zip(grams, prob, strict=True)), back) for prob, back in samples]
-        self.mean = {g: sum(p) / len(p) for g, *p in zip(grams, *[prob for prob, _ in samples], strict=True)}
-        self.order = max([len(g) for g in grams], default=1) - 1
-        self.kept: dict[bytes, float] = {}
-
-    def _backed(self, s: bytes, i: int) -> float:
-        """The averaged probability of byte i where its longest context does not have it."""
-        p = 0.0
-        for prob, back in self.samples:
-            left = 1.0
-            for k in range(min(i, self.order), -1, -1):
-                if (own := prob.get(s[i - k : i + 1])) is not None:
-                    p += left * own
-                    break
-                left *= back.get(s[i - k : i], 1.0)
-            else:
-                p += left / 256
-        return p / len(self.samples) if self.samples else 1 / 256
-
-    def log10(self, word: bytes) -> float:
-        """Of the mean of the even share and the spelling, whose bytes' predictive probabilities are averaged."""
-        if (known := self.kept.get(word)) is None:
-            s, total, order, mean = b" " + word + b" ", 0.0, self.order, self.mean
-            for i in range(1, len(s)):
-                p = mean.get(s[i - order if i > order else 0 : i + 1])
-                total += log10(self._backed(s, i) if p is None else p)
-            if len(self.kept) > COUNTED:
-                self.kept.clear()
-            known = self.kept[word] = log10((10.0**total + self.even) / 2)
-        return known
-
-
 def gram_counts(words: DataFrame, order: int) -> DataFrame:
     """gram (a context of up to `order` bytes and the byte after it), n over words(word), each once."""
 
@@ -195,33 +159,128 @@ def gram_counts(words: DataFrame, order: int) -> DataFrame:
     return words.select("word").mapInPandas(count, "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+class Spelling:
+    """The base of rare words: a word's bytes and a closing space, each given up to ORDER bytes before, the opening space among them.
+
+    grams has gram, ps: probability of the last byte after the others, in each sample. contexts has ctx, bs: share left to the context of one byte less.
+    """
+
+    def __init__(self, grams: DataFrame, contexts: DataFrame, even: float):
+        self._hint = F.broadcast if small_enough(grams, BROADCAST) else lambda df: df
+        self._grams, self._contexts, self.even = grams, contexts, even
+
+    def _ends(self, words: DataFrame) -> DataFrame:
+        space = F.lit(bytearray(b" "))
+        return words.withColumn("s", F.concat(space, "word", space)).withColumn("i", F.explode(F.sequence(F.lit(2), F.length("s"))))
+
+    def _base(self, total: str) -> Column:
+        return F.log10((F.pow(F.lit(10.0), F.col(total)) + self.even) / 2)
+
+    def met(self, words: DataFrame) -> DataFrame:
+        """word, c, base (log10 of the mean of the even share and the spelling) of words(word, c), those that the spelling was fitted on."""
+        mean = self._hint(self._grams.select("gram", F.log10(F.aggregate("ps", F.lit(0.0), lambda a, p: a + p) / F.size("ps")).alias("p")))
+        ends = self._ends(words).select("word", "c", F.expr(f"substring(s, greatest(i - {ORDER}, 1), least(i, {ORDER + 1}))").alias("gram"))
+        return ends.join(mean, "gram").groupBy("word", "c").agg(F.sum("p").alias("total")).select("word", "c", self._base("total").alias("base"))
+
+    def unmet(self, words: DataFrame) -> DataFrame:
+        """word, base of any words(word), each once: a byte that its context does not have is left to the contexts of less bytes, then to an even share."""
+        ends = self._ends(words).withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.col("i") - 1, F.lit(ORDER)))))
+        asked = ends.select("word", "i", "k", F.expr("substring(s, i - k, k + 1)").alias("gram"), F.expr("substring(s, i - k, k)").alias("ctx"))
+        found = asked.join(self._hint(self._grams), "gram", "left").join(self._hint(self._contexts), "ctx", "left")
+        steps = found.groupBy("word", "i").agg(F.sort_array(F.collect_list(F.struct("k", "ps", "bs")), asc=False).alias("steps"))
+        one = lambda j: (
+            "aggregate(steps, named_struct('left', 1D, 'p', CAST(NULL AS DOUBLE)), (a, x) -> named_struct("
+            f"'left', a.left * IF(a.p IS NULL AND x.ps IS NULL, coalesce(x.bs[{j}], 1D), 1D), 'p', coalesce(a.p, a.left * x.ps[{j}])), a -> coalesce(a.p, a.left / 256))"
+        )
+        p = sum((F.expr(one(j)) for j in range(1, KEEP)), F.expr(one(0))) / KEEP
+        return steps.select("word", F.log10(p).alias("p")).groupBy("word").agg(F.sum("p").alias("total")).select("word", self._base("total").alias("base"))
+
+
 def spelling(words: DataFrame, even: float) -> Spelling:
-    """Fit the spelling on words(word). The bytes' contexts are shortened until their number is within ENTRIES; those of one byte always are."""
-    for order in range(ORDER, 0, -1):
-        counted = settle(gram_counts(words, order), "grams")
-        if order == 1 or counted.count() <= ENTRIES:
-            break
-    return fitted(counted.repartition(1), lambda rows: _spelled(rows, order, even))
-
-
-def _spelled(rows: pd.DataFrame, order: int, even: float) -> Spelling:
-    own = [dict() for _ in range(order + 1)]
-    for g, n in zip(map(bytes, rows["gram"]), rows["n"].tolist(), strict=True):
-        own[len(g) - 1][g] = n
-    for k in range(order, 0, -1):
-        for g in own[k]:
-            own[k - 1].setdefault(g[1:], 0)
-    names = [sorted(o) for o in own]
-    at = [{g: i for i, g in enumerate(n)} for n in names]
-    contexts = [sorted({g[:-1] for g in n}) for n in names]
-    place = [{g: i for i, g in enumerate(n)} for n in contexts]
-    levels = [Level(np.array([place[k][g[:-1]] for g in names[k]], np.int64), np.array([own[k][g] for g in names[k]], np.int64), np.array([at[k - 1][g[1:]] for g in names[k]] if k else [], np.int64), len(contexts[k])) for k in range(order + 1)]
-    if not names[0]:
-        return Spelling([], [], even)
-    out = []
-    for s in gibbs(levels, 1 / 256, keep=KEEP):
-        out.append(([p for level in s.prob for p in level.tolist()], {c: b for k in range(order + 1) for c, b in zip(contexts[k], s.back[k].tolist(), strict=True)}))
-    return Spelling([g for n in names for g in n], out, even)
+    """Fit the spelling on words(word).
+
+    Restaurants of one byte of context and of none (65,792 entries at most) are sampled here; all deeper ones stay a
+    table, dealt by the last two bytes of the context, below which restaurants do not touch.
+    """
+    spark = words.sparkSession
+    suffixes = gram_counts(words, ORDER).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("gram"))))
+    whole = suffixes.select(F.expr("substring(gram, i)").alias("gram"), F.when(F.col("i") == 1, F.col("n")).otherwise(0).alias("own"))
+    counted = settle(whole.groupBy("gram").agg(F.sum("own").alias("own")), "grams")
+    sizes = {r[0]: r[1:] for r in counted.groupBy(F.length("gram")).agg(F.count_if(F.col("own") == 1), F.count_if(F.col("own") == 2), F.count("*")).collect()}
+    d = [discount_of(*sizes.get(k + 1, (0, 0, 0))[:2]) for k in range(ORDER + 1)]
+    shards = 1 + sum(n for *_, n in sizes.values()) // SHARD
+    low = sorted((bytes(g), n) for g, n in counted.filter(F.length("gram") <= 2).collect())
+    names = [[g for g, _ in low if len(g) == k + 1] for k in range(2)]
+    own = [np.array([n for g, n in low if len(g) == k + 1], np.int64) for k in range(2)]
+    code = np.array([g[0] * 256 + g[1] for g in names[1]], np.int64)
+    dish = np.array([g[0] for g in names[0]], np.int64)
+    context, up = code // 256, np.searchsorted(dish, code % 256)
+    tables = [np.ones(len(o), np.int64) for o in own]
+
+    shard = F.pmod(F.xxhash64(F.expr("substring(gram, -3, 2)")), F.lit(shards)).cast("int")
+    none = F.array().cast("array<double>")
+    state = counted.filter(F.length("gram") > 2).select(shard.alias("shard"), "gram", "own", F.lit(1).cast("long").alias("t"), none.alias("ps"), none.alias("bs"))
+    kept: list[tuple[list[np.ndarray], list[np.ndarray]]] = []
+    for sweep in range(SWEEPS):
+        sent = {bytes(g): n for g, n in state.filter(F.length("gram") == 3).groupBy(F.expr("substring(gram, 2)").alias("up")).agg(F.sum("t")).collect()}
+        c1 = own[1] + np.array([sent.get(g, 0) for g in names[1]], np.int64)
+        tables[1] = np.minimum(tables[1], c1)
+        c0 = own[0] + np.bincount(up, tables[1], minlength=len(dish)).astype(np.int64)
+        tables[0] = np.minimum(tables[0], c0)
+        r = np.random.default_rng(sweep)
+        tables[0], back0, prob0 = redraw(np.zeros(len(dish), np.int64), 1, c0, tables[0], np.full(len(dish), 1 / 256), d[0], THETA, r.random((len(dish), 2)))
+        tables[1], back1, prob1 = redraw(context, 256, c1, tables[1], prob0[up], d[1], THETA, r.random((len(code), 2)))
+        if keep := sweep >= SWEEPS - KEEP:
+            kept.append(([prob0, prob1], [back0, back1]))
+        parent = np.zeros(65_536)
+        parent[code] = prob1
+        state = settle(_deep_sweep(state, parent, d, sweep, keep), "spelling")
+
+    n = [[float(x) for x in row] for row in zip(*[np.concatenate(p) for p, _ in kept], strict=True)]
+    rows = [(bytearray(g), p) for g, p in zip(names[0] + names[1], n, strict=True)]
+    shares = [(bytearray(), [float(b[0][0]) for _, b in kept])] + [(bytearray([x]), [float(b[1][x]) for _, b in kept]) for x in np.unique(context).tolist()]
+    grams = state.select("gram", "ps").unionByName(spark.createDataFrame(rows, "gram binary, ps array<double>"))
+    contexts = state.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("ctx")).agg(F.first("bs").alias("bs"))
+    contexts = contexts.unionByName(spark.createDataFrame(shares, "ctx binary, bs array<double>"))
+    return Spelling(settle(grams, "spelled"), settle(contexts, "contexts"), even)
+
+
+def _deep_sweep(state: DataFrame, parent: np.ndarray, d: list[float], sweep: int, keep: bool) -> DataFrame:
+    """state after new tables of all restaurants of two bytes of context or more. parent: probabilities of a byte after one byte."""
+    held = state.sparkSession.sparkContext.broadcast(parent)
+
+    def swept(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(gram=rows["gram"].map(bytes)).sort_values("gram", ignore_index=True)
+        grams, own, old = rows["gram"].tolist(), rows["own"].to_numpy(np.int64), rows["t"].to_numpy(np.int64)
+        size = np.array([len(g) for g in grams])
+        places = [np.flatnonzero(size == k + 1) for k in range(ORDER + 1)]
+        at = {g: i for i, g in enumerate(grams)}
+        up = np.array([at.get(g[1:], -1) for g in grams], np.int64)
+        r = np.random.default_rng([sweep, int(rows["shard"].iloc[0])])
+
+        def customers(t: np.ndarray) -> np.ndarray:
+            c = own.copy()
+            for k in range(ORDER, 1, -1):
+                i = places[k]
+                t[i] = np.minimum(t[i], c[i])
+                if k > 2:
+                    np.add.at(c, up[i], t[i])
+            return c
+
+        t, prob, share = old.copy(), np.zeros(len(grams)), np.zeros(len(grams))
+        c = customers(t)
+        for k in range(2, ORDER + 1):
+            i = places[k]
+            above = prob[up[i]] if k > 2 else held.value[[grams[j][1] * 256 + grams[j][2] for j in i.tolist()]]
+            contexts, of = np.unique(np.array([grams[j][:-1] for j in i.tolist()], object), return_inverse=True)
+            t[i], back, prob[i] = redraw(of.astype(np.int64), len(contexts), c[i], t[i], above, d[k], THETA, r.random((len(i), 2)))
+            share[i] = back[of]
+        customers(t)
+        if keep:
+            rows = rows.assign(ps=[[*p, x] for p, x in zip(rows["ps"], prob.tolist(), strict=True)], bs=[[*b, x] for b, x in zip(rows["bs"], share.tolist(), strict=True)])
+        return rows.assign(t=t)
+
+    return state.groupBy("shard").applyInPandas(swept, state.schema)
 
 
 class Rare:
@@ -246,13 +305,7 @@ class Rare:
 
 def rare_words(vocabulary: DataFrame, spelled: Spelling) -> tuple[DataFrame, Rare]:
     """word, c, score of the rare words of the training texts, and their restaurant after some sweeps over all of them."""
-    held = vocabulary.sparkSession.sparkContext.broadcast(spelled)
-
-    def bases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(base=[held.value.log10(bytes(w)) for w in batch["word"]])
-
-    rows = settle(vocabulary.mapInPandas(bases, "word binary, c long, base double"), "rare")
+    rows = settle(spelled.met(vocabulary), "rare")
     total, one, two, n = rows.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count("*")).first()
     rare = Rare(discount_of(one, two), total, float(n))
     more, alone = rows.filter("c > 1"), one  # a word met once has one table
@@ -334,22 +387,14 @@ def score(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, key long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<binary>, tf array<long>"
     parts = settle(rows.withColumn("key", F.xxhash64("text")).select("doc_id", "key", "held_out", "text").mapInPandas(scored, schema), "scored")
 
-    # words that are not hot: of known ones all is in the table, unknown ones are spelled
-    asked = parts.select("doc_id", "key", F.explode(F.arrays_zip("words", "tf")).alias("a")).select("doc_id", "key", F.col("a.words").alias("word"), F.col("a.tf").alias("tf"))
-    met = asked.join(rare_rows.withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left")
-    base = lambda c: F.col("tf") * F.log10((c + 1) / F.lit(float(tokens + types + 1)))
-    spelled_held = spark.sparkContext.broadcast((spelled, rare))
-
-    def spell(words: pd.Series) -> pd.Series:
-        spelled, rare = spelled_held.value
-        own = words[words.notna()]
-        asked = [bytes(w) for w in own]
-        found = rare.log10(asked, np.zeros(len(asked), np.int64), np.array([spelled.log10(w) for w in asked], np.float64))
-        return pd.Series(found, index=own.index, dtype="float64").reindex(words.index, fill_value=0.0)
-
-    unknown = F.col("w").isNull()
-    model = F.col("tf") * F.coalesce("score", F.pandas_udf(spell, "double")(F.when(unknown, F.col("word"))))
-    met = met.select("doc_id", "key", F.when(unknown, 0).otherwise(F.col("tf")).alias("known"), base(F.coalesce("c", F.lit(0))).alias("base"), model.alias("model"))
+    # words that are not hot: of known ones all is in the table, unknown ones (of held-out texts alone) are spelled
+    asked = parts.select("doc_id", "key", "held_out", F.explode(F.arrays_zip("words", "tf")).alias("a")).select("doc_id", "key", "held_out", F.col("a.words").alias("word"), F.col("a.tf").alias("tf"))
+    new = settle(asked.filter("held_out").select("word").distinct().join(rare_rows, "word", "left_anti"), "unknown")
+    left = (rare.theta + rare.d * rare.tables) / (rare.theta + rare.customers)
+    new_scores = spelled.unmet(new).select("word", F.lit(0).cast("long").alias("c"), F.log10(F.greatest(F.pow(F.lit(10.0), F.col("base")) * left, F.lit(1e-300))).alias("score"))
+    met = asked.join(rare_rows.unionByName(new_scores), "word")
+    base = F.col("tf") * F.log10((F.col("c") + 1) / F.lit(float(tokens + types + 1)))
+    met = met.select("doc_id", "key", F.when(F.col("c") == 0, 0).otherwise(F.col("tf")).alias("known"), base.alias("base"), (F.col("tf") * F.col("score")).alias("model"))
     sums = met.groupBy("doc_id", "key").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("model").alias("model"))
 
     main = parts.groupBy("doc_id", "key", "held_out", "n_tokens", "n_known", "base_score", "score").agg(F.count("*").alias("copies")).alias("m")

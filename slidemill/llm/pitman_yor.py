@@ -89,6 +89,16 @@ class Sample:
     prob: list[np.ndarray]
 
 
+def redraw(context: np.ndarray, contexts: int, c: np.ndarray, tables: np.ndarray, parent: np.ndarray, d: float, theta: float, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """New tables of a depth's entries, each context's share left to its parent, and entries' probabilities."""
+    total = np.bincount(context, c, minlength=contexts)
+    seated = np.bincount(context, tables, minlength=contexts)
+    tables = draw_tables(c, parent, seated[context] - tables, d, theta, u)
+    seated = np.bincount(context, tables, minlength=contexts)
+    back = (theta + d * seated) / (theta + total)
+    return tables, back, (c - d * tables) / (theta + total[context]) + back[context] * parent
+
+
 def gibbs(levels: list[Level], base: float, sweeps: int = 5, keep: int = 3, theta: float = 2.0, seed: int = 0) -> list[Sample]:
     """Samples of the hierarchy levels[0] (the root) to the deepest, over a uniform base; the first sweeps - keep are burnt in."""
     r = np.random.default_rng(seed)

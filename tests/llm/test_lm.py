@@ -97,3 +97,36 @@ def test_tables_are_not_capped():
         assert abs(t.mean() - mean) < 0.5 and t.max() > 24 and t.max() <= 200
     t = pitman_yor.draw_tables(np.full(9, 100), np.full(9, 1.0), np.full(9, 1e9), d, theta, np.full((9, 2), 0.5))
     assert (t > 90).all()
+
+
+def test_spelling_keeps_its_order(spark, monkeypatch):
+    """Contexts of four bytes however many n-grams there are, dealt over several groups; met and unmet words against a plain walk."""
+    monkeypatch.setattr(lm, "ENTRIES", 10, raising=False)
+    monkeypatch.setattr(lm, "SHARD", 50)
+    words = sorted({bytes(w) for w in np.random.default_rng(5).choice(list(b"abcd"), (300, 6))})
+    df = spark.createDataFrame([(bytearray(w), 1) for w in words], "word binary, c long")
+    even = 1e-9
+    spelled = lm.spelling(df.select("word"), even)
+    ps = {bytes(g): p for g, p in spelled._grams.select("gram", "ps").collect()}
+    bs = {bytes(g): b for g, b in spelled._contexts.select("ctx", "bs").collect()}
+    assert max(map(len, ps)) == 5 and max(map(len, bs)) == 4
+
+    def prob(ctx, x, j):
+        if (p := ps.get(ctx + x)) is not None:
+            return p[j]
+        back = bs[ctx][j] if ctx in bs else 1.0
+        return back * (prob(ctx[1:], x, j) if ctx else 1 / 256)
+
+    for ctx in list(bs)[::17]:
+        assert abs(sum(prob(ctx, bytes([x]), 0) for x in range(256)) - 1) < 1e-9
+
+    def plain(w):
+        s = b" " + w + b" "
+        total = sum(math.log10(sum(prob(s[max(0, i - 4) : i], s[i : i + 1], j) for j in range(lm.KEEP)) / lm.KEEP) for i in range(1, len(s)))
+        return math.log10((10.0**total + even) / 2)
+
+    met = {bytes(w): b for w, _, b in spelled.met(df).collect()}
+    new = [*words[:20], b"aaaaaaaaa", b"zzz", b"abzab", "é".encode(), b"d"]
+    unmet = {bytes(w): b for w, b in spelled.unmet(spark.createDataFrame([(bytearray(w),) for w in new], "word binary")).collect()}
+    assert len(met) == len(words) and len(unmet) == len(new)
+    assert all(abs(b - plain(w)) < 1e-9 for w, b in [*met.items(), *unmet.items()])
