@@ -80,12 +80,14 @@ RULES = [
     ("MPL-2.0", ["mpl 2.0"]),
     ("public-domain", ["public-domain"]),
 ]
-#: Lines that one sentence may run over.
-LINES = 12
-
 _gaps = re.compile(r"[^a-z0-9]+")
 _edge = re.compile(r"[.!?;:]+(?=\s|$)|\n", re.MULTILINE)
 _patterns = [(re.compile(p), name) for p, name in PATTERNS]
+#: All that normalise() can make a word of, the signs whose lower case begins with i and k included.
+_first = re.compile("[A-Za-z0-9\u0130\u212a]+")
+#: What can still grow into a match of PATTERNS: the longest has 21 words after "under".
+_verb = r"(?:licensed|released|distributed|available)(?: under(?: \w+){0,21})?"
+_open = re.compile(rf"copyright(?: c)?|this(?: \w+(?: is(?: {_verb})?)?)?|{_verb}")
 
 
 def normalise(sentence: str) -> str:
@@ -94,10 +96,10 @@ def normalise(sentence: str) -> str:
 
 
 KNOWN = {normalise(s): name for name, all_ in SENTENCES.items() for s in all_}
+#: Known sentences and what they begin with, by whole words.
+BEGUN = {" ".join(words[:n]) for words in (k.split(" ") for k in KNOWN) for n in range(1, len(words) + 1)}
 #: First words of what can be known: a sentence or line that begins otherwise is passed over without a lookup.
 STARTS = {k.split(" ", 1)[0] for k in KNOWN} | {"copyright", "this", "licensed", "released", "distributed", "available"}
-_starts = tuple(STARTS)
-MARKS = " \t/*#-;\"'%<>!"
 
 
 def identify(sentence: str) -> str | None:
@@ -111,25 +113,28 @@ def identify(sentence: str) -> str | None:
 
 
 def sentences(text: str) -> Iterator[tuple[str, int, int]]:
-    """Identifier, start and end of each known sentence: a fragment, or some in a row that only line ends part."""
-    at, parts = 0, []  # start, end, if a line end alone closes it
-    for m in _edge.finditer(text):
-        parts.append((at, m.start(), m[0] == "\n"))
-        at = m.end()
-    parts.append((at, len(text), False))
+    """Identifier, start and end of each known sentence: a fragment, or some in a row that only line ends and blank lines part."""
+    at, parts = 0, []  # start, end, if line ends alone close it, first word; none without a word
+    for m in [*_edge.finditer(text), None]:
+        stop, soft = (m.start(), m[0] == "\n") if m else (len(text), False)
+        if word := _first.search(text, at, stop):
+            parts.append([at, stop, soft, normalise(word[0]).split(" ", 1)[0]])
+        elif parts and not soft:
+            parts[-1][2] = False
+        at = m.end() if m else stop
     i = 0
     while i < len(parts):
         acc, used = "", 0
-        for j in range(i, min(len(parts), i + LINES)):
-            a, b, soft = parts[j]
-            if j == i and not text[a : a + 40].lstrip(MARKS)[:16].lower().startswith(_starts):
+        for j in range(i, len(parts)):
+            a, b, soft, word = parts[j]
+            if j == i and word not in STARTS:
                 break
             acc = f"{acc} {normalise(text[a:b])}".strip()
             if (name := identify(acc)) is not None:
                 yield name, parts[i][0] + (len(text[parts[i][0] : b]) - len(text[parts[i][0] : b].lstrip())), b
                 used = j - i + 1
                 break
-            if not soft:
+            if not soft or not (acc in BEGUN or _open.fullmatch(acc)):
                 break
         i += max(1, used)
 
@@ -165,7 +170,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have none. Repeated rows and null ids are kept; an empty table gives an empty
     result; other columns are ignored whatever their names. A sentence stands between line ends or marks
-    `.!?;:` before white space, and may run over LINES lines. No shuffle.
+    `.!?;:` before white space, and may run over any number of lines, blank ones among them. No shuffle.
     """
 
     @F.pandas_udf(f"sentence_ids array<string>, found {FOUND}")

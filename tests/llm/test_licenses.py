@@ -40,3 +40,16 @@ def test_edges(spark):
     out = licenses.digest(licenses.scan(df)).collect()
     assert len(out) == 6 and sorted(r.licenses for r in out) == ["", "", "", "", "", "MIT"]
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_indents_marks_and_many_lines():
+    names = lambda text: [n for n, _, _ in licenses.scan_text(text)[1]]
+    for before in (" " * 50, "\t" * 60, "(", "[", "| ", "= ", "“", "﻿", "*" * 70 + " "):
+        assert names(f"Words.\n{before}Licensed under the MIT License)\nwords") == ["MIT"], before
+    for width, gap in ((30, "\n"), (60, "\n\n"), (10, "\n" * 40), (1, "\n // ")):
+        wrapped = re.sub(rf"([^\n]{{{width}}}\S*) ", lambda m, gap=gap: m[1] + gap, MIT)
+        assert wrapped.count("\n") > 12 and names(wrapped) == ["MIT"]
+        assert licenses.scan_text(wrapped)[0] == ["mit-title", "mit-grant", "mit-notice", "asis-software", "no-liability"]
+    gnu = "This work is distributed under the terms of the GNU Lesser General Public License as published by the Free Software Foundation version 3.0 or later"
+    assert names(gnu.replace(" ", "\n\n")) == ["LGPL-3.0"] and names("Licenſed") == []
+    assert names("This is\n" * 20_000 + "MIT.\nReleased under the MIT\n.\nLicense") == []
