@@ -1,328 +1,392 @@
-"""Language-model scores by a hierarchical Pitman-Yor model over words, with byte restaurants below for rare ones.
-
-Symbols are the SYMBOLS most frequent words (of LEAST occurrences at least), the end of a text, and one for any other word. A symbol's context
-is the word before it if that is one of the FREQUENT most frequent ones (or the text's start), else that word's
-ending; contexts of frequent words share their ending's restaurant as parent, and endings share the root. A word
-that is no symbol is drawn from a restaurant of rare words. Its base is half even over the known words and one unknown
-and half a spelling of the word: restaurants of up to ORDER preceding bytes, each sharing that of one byte less. What the corpus counts is gathered by shuffles over
-all texts; the symbols are sampled at one place, bounded by SYMBOLS and FREQUENT; the spelling is a table that grows with the corpus.
+"""Language-model scores by a hierarchical Pitman-Yor model: previous word, all words, spelling.
+
+Each word that a word follows, and a text's start, is a context with a restaurant of its own; all contexts
+share one parent, the restaurant of all words, whose base is the spelling of a word's bytes (llm/spelling.py). The
+end of a text is the empty word. Nothing is left out: every pair of words is counted, and every word is a
+context. Numbers of tables are drawn by Gibbs sweeps from their exact law (llm/pitman_yor.py), and predictive
+probabilities are averaged over the last KEEP sweeps. They sum to one over all words, known or not.
+
+The work is laid out so that no step meets a whole corpus or a hot key:
+- Texts are encoded in batches. Pairs of two of the HOT most frequent words are counted within their batch and
+  dealt as one packed row for each batch and part; a part adds up its pairs of all batches. However frequent a pair, a
+  part has it once a batch. The answer, the log10 of each pair's probability, goes back to the batch.
+- What touches any other word is a row of a Spark table; such rows join the words' state by hash joins.
+- A drawn number depends on the hash of its words and the sweep alone, so it is the same wherever it is drawn,
+  and HOT decides which way a pair takes, not what it scores.
+Words are told apart by 64-bit hashes (llm/words.py).
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidemill.llm.common import crc_mod, pick, settle, small_enough
-from slidemill.llm.hashing import fitted
-from slidemill.llm.pitman_yor import Level, discount_of, draw_tables, gibbs, redraw
+from slidemill.llm.common import crc_mod, pick, settle
+from slidemill.llm.pitman_yor import discount_of, draw_tables, gamma, mixed, uniform
+from slidemill.llm.spelling import spelling
+from slidemill.llm.words import Lookup, joined, pack, unpack, word_hashes
 
-SYMBOLS, FREQUENT, ENDINGS = 32_768, 64, 64
-LEAST = 3
-#: Most frequent words whose counts are broadcast; all others are joined by shuffle.
+#: Most frequent words, whose state is broadcast; all others are joined by shuffle.
 HOT = 262_144
-#: Bytes of context of the spelling.
-ORDER = 4
-THETA, SWEEPS, KEEP = 2.0, 5, 2
-#: Contexts and bytes of the spelling that one group samples, about; and those that are broadcast, at most.
-SHARD, BROADCAST = 10_000, 500_000
-#: Distinct words that a task counts before it hands them on.
-COUNTED = 400_000
+THETA_WORDS, THETA_PAIRS = 2.0, 1.0
+SWEEPS, KEEP = 4, 2
+#: Bytes of text and rows of a batch, and pairs that a part counts, about.
+BATCH_BYTES, BATCH_ROWS, PART = 8_000_000, 20_000, 1_500_000
+#: Stand-ins for hashes: the start of a text, and its end.
+START, END = 1, 2
+ID_BITS = 20
 
-CONTEXTS = FREQUENT + 1 + ENDINGS
 
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _signed(h: np.ndarray) -> np.ndarray:
+    return h.astype(np.uint64).view(np.int64)
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """word, c over all texts of train(text)."""
+    """word, h, c over all texts of train(text)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: Counter = Counter()
         for batch in batches:
-            for text in batch["text"]:
-                own.update(words_of(text))
-                if len(own) > COUNTED:
-                    yield pd.DataFrame({"word": list(own), "c": list(own.values())})
-                    own.clear()
-        yield pd.DataFrame({"word": list(own), "c": list(own.values())}).astype({"c": "int64"})
+            for part in _slices(batch):
+                data, _ = joined(part["text"].tolist())
+                h, a, b = word_hashes(data)
+                h, first, n = np.unique(h, return_index=True, return_counts=True)
+                yield pd.DataFrame({"word": [data[i:j] for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True)], "h": _signed(h), "c": n.astype(np.int64)})
+
+    return train.select("text").mapInPandas(count, "word binary, h long, c long").groupBy("word", "h").agg(F.sum("c").alias("c"))
+
+
+def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Runs of rows of about BATCH_BYTES of text; a longer text is a run of its own."""
+    size = batch["text"].map(lambda t: len(t) if t else 0).to_numpy(np.int64)
+    at = 0
+    while at < len(batch):
+        n = max(1, int(np.searchsorted(np.cumsum(size[at : at + BATCH_ROWS]), BATCH_BYTES, "right")))
+        yield batch.iloc[at : at + n]
+        at += n
+
+
+def least_hot(vocabulary: DataFrame, most: int) -> int:
+    """The least count c at which no more than `most` words of vocabulary(c) have that count; counts over 4,096 are told apart by 64 steps an octave."""
+    step = F.when(F.col("c") <= 4096, F.col("c")).otherwise(4096 + F.ceil(64 * F.log2(F.col("c") / 4096)).cast("long"))
+    least, total = None, 0
+    for _, n, c in sorted(map(tuple, vocabulary.groupBy(step.alias("step")).agg(F.count("*"), F.min("c")).collect()), reverse=True):
+        if (total := total + n) > most:
+            break
+        least = c
+    return least if least is not None else np.iinfo(np.int64).max
 
-    return train.select("text").mapInPandas(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+@dataclass
+class Hot:
+    """The hot words in order of hash, the start and the end among them: hashes, counts, spelling; and their customers and tables as words and tables as contexts after each sweep."""
 
-def most_frequent(vocabulary: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
-    """The words of vocabulary(word, c) of the largest counts, all of a count or none, `most` at most; and their counts. In order of count, then of word."""
-    least, total = 1, 0
-    for c, n in sorted(map(tuple, vocabulary.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True):
-        if (total := total + n) > most:
-            least = c + 1
-            break
-    rows = sorted((-c, bytes(w)) for w, c in vocabulary.filter(F.col("c") >= least).collect())
-    return [w for _, w in rows], np.array([-c for c, _ in rows], np.int64)
-
-
-class Symbols:
-    """Symbols and contexts of texts. words: the most frequent ones in order."""
-
-    def __init__(self, words: list[bytes]):
-        self.words = words
-        self.ids = {w: i for i, w in enumerate(words)}
-        self.end, self.rare, self.n = len(words), len(words) + 1, len(words) + 2
-        ending = np.array([w[-1] % ENDINGS for w in words] + [0, 0], np.int64)
-        self.after = FREQUENT + 1 + ending  # context after each symbol
-        top = min(FREQUENT, len(words))
-        self.after[:top] = np.arange(top)
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of the words and the end, the context of each, and the places of rare words."""
-        get, rare = self.ids.get, self.rare
-        s = np.array([get(w, rare) for w in words] + [self.end], np.int64)
-        ctx = np.empty(len(s), np.int64)
-        ctx[0] = FREQUENT
-        ctx[1:] = self.after[s[:-1]]
-        at = np.flatnonzero(s == rare)
-        ctx[at + 1] = [FREQUENT + 1 + words[i][-1] % ENDINGS for i in at]
-        return s, ctx, at
-
-
-def context_counts(train: DataFrame, symbols: Symbols) -> DataFrame:
-    """key (context times symbols plus symbol), n over all texts of train(text)."""
-    held = train.sparkSession.sparkContext.broadcast(symbols.words)
+    h: np.ndarray
+    c: np.ndarray
+    base: np.ndarray
+    customers: list[np.ndarray]
+    tables: list[np.ndarray]
+    seats: list[np.ndarray]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Symbols(held.value)
-        total = np.zeros(CONTEXTS * own.n, np.int64)
+
+@dataclass
+class Law:
+    """Discounts; and all words' customers and tables after each sweep."""
+
+    d_words: float
+    d_pairs: float
+    customers: list[int]
+    tables: list[int]
+
+    def word(self, c: np.ndarray, t: np.ndarray, base: np.ndarray, sweep: int) -> np.ndarray:
+        """Probability of words by themselves; base: that of their spelling."""
+        back = (THETA_WORDS + self.d_words * self.tables[sweep]) / (THETA_WORDS + self.customers[sweep])
+        return np.maximum(c - self.d_words * t, 0) / (THETA_WORDS + self.customers[sweep]) + back * base
+
+    def spread(self, seats: np.ndarray, h: np.ndarray, sweep: int) -> np.ndarray:
+        """The auxiliary number of contexts with so many tables, in the sweep after."""
+        return gamma(THETA_PAIRS / self.d_pairs + seats, h, 2 * sweep)
+
+    def draw(self, c: np.ndarray, spread: np.ndarray, p: np.ndarray, h: np.ndarray, sweep: int) -> np.ndarray:
+        return draw_tables(c, self.d_pairs * spread * p, self.d_pairs, uniform(h, 2 * sweep + 1))
+
+    def pair(self, c: np.ndarray, t: np.ndarray, context: np.ndarray, seats: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probability of a word after a context of so many customers and tables; p: that of the word by itself."""
+        return (np.maximum(c - self.d_pairs * t, 0) + (THETA_PAIRS + self.d_pairs * seats) * p) / (THETA_PAIRS + context)
+
+
+def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64), 7)
+
+
+def encode(rows: DataFrame, hot_h: np.ndarray, log_base: np.ndarray, known: np.ndarray, parts: int) -> DataFrame:
+    """batch, part, blobs of rows(doc_id, text, held_out).
+
+    Part -1: the batch itself; a run of each pair of hot words, the rows it occurs in, and the rows' ids, held_out, tokens,
+    known tokens and base. Part -2: all other tokens. Part -3: words of held-out texts that are not hot. From 0: the part's pairs in order, and how often
+    each occurs in training.
+    """
+    held = rows.sparkSession.sparkContext.broadcast((hot_h, log_base, known))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hot, base, known = held.value
+        find, number = Lookup(hot), 0
+        start_id, end_id = np.searchsorted(hot, np.array([START, END], np.uint64)).tolist()
+        for batch in batches:
+            for rows in _slices(batch):
+                n, name = len(rows), (TaskContext.get().partitionId() << 32) + number
+                number += 1
+                data, begin = joined(rows["text"].tolist())
+                h, a, b = word_hashes(data)
+                own = np.searchsorted(begin, a, "right") - 1
+                count = np.bincount(own, minlength=n)
+                ids = find(h)
+                stop = np.cumsum(count) + np.arange(n)
+                doc = np.repeat(np.arange(n), count + 1)
+                at = np.arange(len(h)) + own
+                w, wid = np.full(len(doc), END, np.uint64), np.full(len(doc), end_id)
+                w[at], wid[at] = h, ids
+                u, uid = np.full(len(doc), START, np.uint64), np.full(len(doc), start_id)
+                rest = np.delete(np.arange(len(doc)), stop - count)
+                u[rest], uid[rest] = w[rest - 1], wid[rest - 1]
+                out = rows["held_out"].to_numpy(bool)
+                met = wid >= 0
+                sums = np.bincount(doc[met], base[wid[met]], minlength=n)
+                n_known = np.bincount(doc[met], known[wid[met]], minlength=n).astype(np.int64)
+
+                both = np.flatnonzero(met & (uid >= 0))
+                key = (uid[both] << ID_BITS) + wid[both]
+                key += (mixed(key) % np.uint64(parts)).astype(np.int64) << 2 * ID_BITS
+                order = np.argsort(key)
+                key, docs = key[order], doc[both][order]
+                new = np.flatnonzero(np.diff(key, prepend=-1))
+                runs = np.diff(np.append(new, len(key)))
+                trained = np.add.reduceat((~out)[docs].astype(np.int64), new) if len(new) else new
+                key = key[new]
+                part = key >> 2 * ID_BITS
+                key &= (1 << 2 * ID_BITS) - 1
+                cut = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
+                found = [(name, int(part[i]), [pack(np.diff(key[i:j], prepend=0)), pack(trained[i:j])]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                doc_id = rows["doc_id"]
+                found.append((name, -1, [pack(runs), pack(docs), doc_id.fillna(0).to_numpy(np.int64).tobytes(), pack(doc_id.isna().to_numpy(np.int64)), pack(out.astype(np.int64)), pack(count + 1), pack(n_known), sums.tobytes()]))
+                other = np.flatnonzero(~met | (uid < 0))
+                found.append((name, -2, [u[other].tobytes(), w[other].tobytes(), pack(uid[other] + 1), pack(wid[other] + 1), pack(doc[other]), pack(out[doc[other]].astype(np.int64))]))
+                asked = np.flatnonzero((ids < 0) & out[own])
+                asked = asked[np.unique(h[asked], return_index=True)[1]]
+                found.append((name, -3, [h[asked].tobytes(), *[data[i:j] for i, j in zip(a[asked].tolist(), b[asked].tolist(), strict=True)]]))
+                yield pd.DataFrame(found, columns=["batch", "part", "blobs"])
+
+    return rows.select("doc_id", "text", "held_out").mapInPandas(run, "batch long, part int, blobs array<binary>")
+
+
+def _pairs_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(unpack(blobs[0])), unpack(blobs[1])
+
+
+def _added(requests: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """A part's distinct pairs, how often each occurs in training, the place of each asked pair, and how many each row asks."""
+    each = [_pairs_of(b) for b in requests["blobs"]]
+    keys, n = np.concatenate([k for k, _ in each]), np.concatenate([n for _, n in each])
+    keys, place = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(place, n, minlength=len(keys)).astype(np.int64), place, [len(k) for k, _ in each]
+
+
+def _tally(kind: int, ids: np.ndarray, n: np.ndarray | None = None) -> tuple[int, list[bytes]]:
+    total = np.bincount(ids, n)
+    some = np.flatnonzero(total)
+    return kind, [pack(some), pack(total[some].astype(np.int64))]
+
+
+def count_pairs(requests: DataFrame) -> DataFrame:
+    """kind, blobs for each part: 0, the pairs met twice or more in training and how often; 1 and 2, contexts and words and how many distinct pairs each has; 3, how many pairs are met once and twice."""
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, c, _, _ = _added(rows)
+        keys, c = keys[c > 0], c[c > 0]
+        more = c > 1
+        out = [(0, [pack(np.diff(keys[more], prepend=0)), pack(c[more])]), _tally(1, keys >> ID_BITS), _tally(2, keys & (1 << ID_BITS) - 1), (3, [pack(np.arange(2)), pack(np.array([(c == 1).sum(), (c == 2).sum()]))])]
+        return pd.DataFrame(out, columns=["kind", "blobs"])
+
+    return requests.groupBy("part").applyInPandas(count, "kind int, blobs array<binary>")
+
+
+def _summed(tallies: DataFrame, n: int, kinds: tuple[int, ...]) -> list[np.ndarray]:
+    """Of each kind of tallies(kind, blobs), an array of n sums."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                keys = [ctx * own.n + s for s, ctx, _ in (own.encode(words_of(t)) for t in batch["text"].iloc[at : at + 500])]
-                key, n = np.unique(np.concatenate(keys), return_counts=True)
-                total[key] += n
-        key = np.flatnonzero(total)
-        yield pd.DataFrame({"key": key, "n": total[key]})
-
-    return train.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def symbol_model(counts: pd.DataFrame, symbols: Symbols, theta: float = THETA) -> np.ndarray:
-    """log10 of each symbol's averaged predictive probability in each context."""
-    n = symbols.n
-    counts = counts.astype("int64")
-    ctx, dish, c = counts["key"].to_numpy() // n, counts["key"].to_numpy() % n, counts["n"].to_numpy()
-    deep = ctx <= FREQUENT
-    parent = np.append(np.array([w[-1] % ENDINGS for w in symbols.words[:FREQUENT]] + [0] * (FREQUENT - len(symbols.words[:FREQUENT])), np.int64), ENDINGS)  # the start's parent is an ending of its own
-    top_key = parent[ctx[deep]] * n + dish[deep]
-    mid_own = (ctx[~deep] - FREQUENT - 1) * n + dish[~deep]
-    mid_key = np.union1d(top_key, mid_own)
-    own = np.zeros(len(mid_key), np.int64)
-    own[np.searchsorted(mid_key, mid_own)] = c[~deep]
-    root_key = np.unique(mid_key % n)
-    levels = [
-        Level(np.zeros(len(root_key), np.int64), np.zeros(len(root_key), np.int64), np.zeros(0, np.int64), 1),
-        Level(mid_key // n, own, np.searchsorted(root_key, mid_key % n), ENDINGS + 1),
-        Level(ctx[deep], c[deep], np.searchsorted(mid_key, top_key), FREQUENT + 1),
-    ]
-    total = np.zeros((CONTEXTS, n), np.float32)
-    samples = gibbs(levels, 1.0 / n, keep=KEEP, theta=theta)
-    for s in samples:
-        root = np.full(n, s.back[0][0] / n)
-        root[root_key] += s.direct[0]
-        mid = s.back[1][:, None] * root[None, :]
-        mid[levels[1].context, mid_key % n] += s.direct[1]
-        low = s.back[2][:, None] * mid[parent]
-        low[ctx[deep], dish[deep]] += s.direct[2]
-        total[: FREQUENT + 1] += low
-        total[FREQUENT + 1 :] += mid[:ENDINGS]
-    return np.log10(total / np.float32(len(samples)))
-
-
-def gram_counts(words: DataFrame, order: int) -> DataFrame:
-    """gram (a context of up to `order` bytes and the byte after it), n over words(word), each once."""
+            for kind, blobs in zip(batch["kind"], batch["blobs"], strict=True):
+                yield pd.DataFrame({"kind": kind, "id": unpack(blobs[0]), "n": unpack(blobs[1])})
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: Counter = Counter()
+    found = tallies.mapInPandas(spread, "kind int, id long, n long").groupBy("kind", "id").agg(F.sum("n").alias("n")).toPandas()  # n ids at most of each kind
+    return [np.bincount(found["id"][found["kind"] == k], found["n"][found["kind"] == k], minlength=n).astype(np.int64) for k in kinds]
+
+
+def hot_sweep(pairs: DataFrame, hot: Hot, law: Law, sweep: int) -> list[np.ndarray]:
+    """Of each hot word, as context and as word, the tables beyond the first that its pairs have in this sweep."""
+    p = law.word(hot.customers[-1], hot.tables[-1], hot.base, sweep)
+    held = pairs.sparkSession.sparkContext.broadcast((hot.h, law.spread(hot.seats[-1], hot.h, sweep), p))
+
+    def swept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h, spread, p = held.value
         for batch in batches:
-            for w in batch["word"]:
-                s = b" " + w + b" "
-                own.update([s[max(0, i - order) : i + 1] for i in range(1, len(s))])
-            if len(own) > COUNTED:
-                yield pd.DataFrame({"gram": list(own), "n": list(own.values())})
-                own.clear()
-        yield pd.DataFrame({"gram": list(own), "n": list(own.values())}).astype({"n": "int64"})
+            for blobs in batch["blobs"]:
+                key, c = _pairs_of(blobs)
+                u, w = key >> ID_BITS, key & (1 << ID_BITS) - 1
+                more = law.draw(c, spread[u], p[w], pair_hash(h[u], h[w]), sweep) - 1
+                some = more > 0
+                yield pd.DataFrame([_tally(1, u[some], more[some]), _tally(2, w[some], more[some])], columns=["kind", "blobs"])
 
-    return words.select("word").mapInPandas(count, "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return _summed(pairs.mapInPandas(swept, "kind int, blobs array<binary>"), len(hot.h), (1, 2))
 
 
-class Spelling:
-    """The base of rare words: a word's bytes and a closing space, each given up to ORDER bytes before, the opening space among them.
+def _others(blocks: DataFrame) -> DataFrame:
+    """batch, doc, held, u, w, uid, wid: a row for each token that is not hot or follows one that is not. Ids are -1 for such."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, b in zip(batch["batch"], batch["blobs"], strict=True):
+                yield pd.DataFrame({"batch": name, "doc": unpack(b[4]), "held": unpack(b[5]) > 0, "u": np.frombuffer(b[0], np.int64), "w": np.frombuffer(b[1], np.int64), "uid": unpack(b[2]) - 1, "wid": unpack(b[3]) - 1})
+
+    return blocks.filter("part = -2").mapInPandas(spread, "batch long, doc int, held boolean, u long, w long, uid int, wid int")
+
+
+def _asked(blocks: DataFrame) -> DataFrame:
+    """h, word: the words of held-out texts that are not hot, each once."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b in batch["blobs"]:
+                yield pd.DataFrame({"h": np.frombuffer(b[0], np.int64), "word": list(b[1:])})
+
+    return blocks.filter("part = -3").mapInPandas(spread, "h long, word binary").groupBy("h").agg(F.min("word").alias("word"))
 
-    grams has gram, ps: probability of the last byte after the others, in each sample. contexts has ctx, bs: share left to the context of one byte less.
-    """
 
-    def __init__(self, grams: DataFrame, contexts: DataFrame, even: float):
-        self._hint = F.broadcast if small_enough(grams, BROADCAST) else lambda df: df
-        self._grams, self._contexts, self.even = grams, contexts, even
-
-    def _ends(self, words: DataFrame) -> DataFrame:
-        space = F.lit(bytearray(b" "))
-        return words.withColumn("s", F.concat(space, "word", space)).withColumn("i", F.explode(F.sequence(F.lit(2), F.length("s"))))
-
-    def _base(self, total: str) -> Column:
-        return F.log10((F.pow(F.lit(10.0), F.col(total)) + self.even) / 2)
-
-    def met(self, words: DataFrame) -> DataFrame:
-        """word, c, base (log10 of the mean of the even share and the spelling) of words(word, c), those that the spelling was fitted on."""
-        mean = self._hint(self._grams.select("gram", F.log10(F.aggregate("ps", F.lit(0.0), lambda a, p: a + p) / F.size("ps")).alias("p")))
-        ends = self._ends(words).select("word", "c", F.expr(f"substring(s, greatest(i - {ORDER}, 1), least(i, {ORDER + 1}))").alias("gram"))
-        return ends.join(mean, "gram").groupBy("word", "c").agg(F.sum("p").alias("total")).select("word", "c", self._base("total").alias("base"))
-
-    def unmet(self, words: DataFrame) -> DataFrame:
-        """word, base of any words(word), each once: a byte that its context does not have is left to the contexts of less bytes, then to an even share."""
-        ends = self._ends(words).withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.col("i") - 1, F.lit(ORDER)))))
-        asked = ends.select("word", "i", "k", F.expr("substring(s, i - k, k + 1)").alias("gram"), F.expr("substring(s, i - k, k)").alias("ctx"))
-        found = asked.join(self._hint(self._grams), "gram", "left").join(self._hint(self._contexts), "ctx", "left")
-        steps = found.groupBy("word", "i").agg(F.sort_array(F.collect_list(F.struct("k", "ps", "bs")), asc=False).alias("steps"))
-        one = lambda j: (
-            "aggregate(steps, named_struct('left', 1D, 'p', CAST(NULL AS DOUBLE)), (a, x) -> named_struct("
-            f"'left', a.left * IF(a.p IS NULL AND x.ps IS NULL, coalesce(x.bs[{j}], 1D), 1D), 'p', coalesce(a.p, a.left * x.ps[{j}])), a -> coalesce(a.p, a.left / 256))"
-        )
-        p = sum((F.expr(one(j)) for j in range(1, KEEP)), F.expr(one(0))) / KEEP
-        return steps.select("word", F.log10(p).alias("p")).groupBy("word").agg(F.sum("p").alias("total")).select("word", self._base("total").alias("base"))
-
-
-def spelling(words: DataFrame, even: float) -> Spelling:
-    """Fit the spelling on words(word).
-
-    Restaurants of one byte of context and of none (65,792 entries at most) are sampled here; all deeper ones stay a
-    table, dealt by the last two bytes of the context, below which restaurants do not touch.
+def sampled(hot: Hot, law: Law, pairs: DataFrame, rare_pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """Run the sweeps: hot and law take their states; words(h, c, base, customers, tables, seats), those that are not hot, comes back with arrays of the last three after each sweep.
+
+    pairs: packed, of two hot words; rare_pairs(u, w, uid, wid, c): all others met twice or more.
     """
-    spark = words.sparkSession
-    suffixes = gram_counts(words, ORDER).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("gram"))))
-    whole = suffixes.select(F.expr("substring(gram, i)").alias("gram"), F.when(F.col("i") == 1, F.col("n")).otherwise(0).alias("own"))
-    counted = settle(whole.groupBy("gram").agg(F.sum("own").alias("own")), "grams")
-    sizes = {r[0]: r[1:] for r in counted.groupBy(F.length("gram")).agg(F.count_if(F.col("own") == 1), F.count_if(F.col("own") == 2), F.count("*")).collect()}
-    d = [discount_of(*sizes.get(k + 1, (0, 0, 0))[:2]) for k in range(ORDER + 1)]
-    shards = 1 + sum(n for *_, n in sizes.values()) // SHARD
-    low = sorted((bytes(g), n) for g, n in counted.filter(F.length("gram") <= 2).collect())
-    names = [[g for g, _ in low if len(g) == k + 1] for k in range(2)]
-    own = [np.array([n for g, n in low if len(g) == k + 1], np.int64) for k in range(2)]
-    code = np.array([g[0] * 256 + g[1] for g in names[1]], np.int64)
-    dish = np.array([g[0] for g in names[0]], np.int64)
-    context, up = code // 256, np.searchsorted(dish, code % 256)
-    tables = [np.ones(len(o), np.int64) for o in own]
-
-    shard = F.pmod(F.xxhash64(F.expr("substring(gram, -3, 2)")), F.lit(shards)).cast("int")
-    none = F.array().cast("array<double>")
-    state = counted.filter(F.length("gram") > 2).select(shard.alias("shard"), "gram", "own", F.lit(1).cast("long").alias("t"), none.alias("ps"), none.alias("bs"))
-    kept: list[tuple[list[np.ndarray], list[np.ndarray]]] = []
     for sweep in range(SWEEPS):
-        sent = {bytes(g): n for g, n in state.filter(F.length("gram") == 3).groupBy(F.expr("substring(gram, 2)").alias("up")).agg(F.sum("t")).collect()}
-        c1 = own[1] + np.array([sent.get(g, 0) for g in names[1]], np.int64)
-        tables[1] = np.minimum(tables[1], c1)
-        c0 = own[0] + np.bincount(up, tables[1], minlength=len(dish)).astype(np.int64)
-        tables[0] = np.minimum(tables[0], c0)
-        r = np.random.default_rng(sweep)
-        tables[0], back0, prob0 = redraw(np.zeros(len(dish), np.int64), 1, c0, tables[0], np.full(len(dish), 1 / 256), d[0], THETA, r.random((len(dish), 2)))
-        tables[1], back1, prob1 = redraw(context, 256, c1, tables[1], prob0[up], d[1], THETA, r.random((len(code), 2)))
-        if keep := sweep >= SWEEPS - KEEP:
-            kept.append(([prob0, prob1], [back0, back1]))
-        parent = np.zeros(65_536)
-        parent[code] = prob1
-        state = settle(_deep_sweep(state, parent, d, sweep, keep), "spelling")
-
-    n = [[float(x) for x in row] for row in zip(*[np.concatenate(p) for p, _ in kept], strict=True)]
-    rows = [(bytearray(g), p) for g, p in zip(names[0] + names[1], n, strict=True)]
-    shares = [(bytearray(), [float(b[0][0]) for _, b in kept])] + [(bytearray([x]), [float(b[1][x]) for _, b in kept]) for x in np.unique(context).tolist()]
-    grams = state.select("gram", "ps").unionByName(spark.createDataFrame(rows, "gram binary, ps array<double>"))
-    contexts = state.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("ctx")).agg(F.first("bs").alias("bs"))
-    contexts = contexts.unionByName(spark.createDataFrame(shares, "ctx binary, bs array<double>"))
-    return Spelling(settle(grams, "spelled"), settle(contexts, "contexts"), even)
-
-
-def _deep_sweep(state: DataFrame, parent: np.ndarray, d: list[float], sweep: int, keep: bool) -> DataFrame:
-    """state after new tables of all restaurants of two bytes of context or more. parent: probabilities of a byte after one byte."""
-    held = state.sparkSession.sparkContext.broadcast(parent)
-
-    def swept(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(gram=rows["gram"].map(bytes)).sort_values("gram", ignore_index=True)
-        grams, own, old = rows["gram"].tolist(), rows["own"].to_numpy(np.int64), rows["t"].to_numpy(np.int64)
-        size = np.array([len(g) for g in grams])
-        places = [np.flatnonzero(size == k + 1) for k in range(ORDER + 1)]
-        at = {g: i for i, g in enumerate(grams)}
-        up = np.array([at.get(g[1:], -1) for g in grams], np.int64)
-        r = np.random.default_rng([sweep, int(rows["shard"].iloc[0])])
-
-        def customers(t: np.ndarray) -> np.ndarray:
-            c = own.copy()
-            for k in range(ORDER, 1, -1):
-                i = places[k]
-                t[i] = np.minimum(t[i], c[i])
-                if k > 2:
-                    np.add.at(c, up[i], t[i])
-            return c
-
-        t, prob, share = old.copy(), np.zeros(len(grams)), np.zeros(len(grams))
-        c = customers(t)
-        for k in range(2, ORDER + 1):
-            i = places[k]
-            above = prob[up[i]] if k > 2 else held.value[[grams[j][1] * 256 + grams[j][2] for j in i.tolist()]]
-            contexts, of = np.unique(np.array([grams[j][:-1] for j in i.tolist()], object), return_inverse=True)
-            t[i], back, prob[i] = redraw(of.astype(np.int64), len(contexts), c[i], t[i], above, d[k], THETA, r.random((len(i), 2)))
-            share[i] = back[of]
-        customers(t)
-        if keep:
-            rows = rows.assign(ps=[[*p, x] for p, x in zip(rows["ps"], prob.tolist(), strict=True)], bs=[[*b, x] for b, x in zip(rows["bs"], share.tolist(), strict=True)])
-        return rows.assign(t=t)
-
-    return state.groupBy("shard").applyInPandas(swept, state.schema)
-
-
-class Rare:
-    """The restaurant of rare words: customers and tables in all, discount; each word's tables are drawn by its hash."""
-
-    def __init__(self, d: float, customers: int, tables: float, theta: float = THETA):
-        self.d, self.customers, self.tables, self.theta = d, customers, tables, theta
-
-    def seats(self, words: list[bytes], c: np.ndarray, base: np.ndarray, sweep: int) -> np.ndarray:
-        from xxhash import xxh64_intdigest
-
-        u = np.array([[xxh64_intdigest(w, 2 * sweep + k) / 2**64 for k in (0, 1)] if n > 1 else (0.5, 0.5) for w, n in zip(words, c.tolist(), strict=True)]).reshape(-1, 2)
-        return draw_tables(c, 10.0**base, np.full(len(c), max(0.0, self.tables - 1)), self.d, self.theta, u)
-
-    def log10(self, words: list[bytes], c: np.ndarray, base: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(c))
-        for k in range(KEEP):
-            t = self.seats(words, c, base, 10 + k)
-            total += (c - self.d * t + (self.theta + self.d * self.tables) * 10.0**base) / (self.theta + self.customers)
-        return np.log10(np.maximum(total / KEEP, 1e-300))
-
-
-def rare_words(vocabulary: DataFrame, spelled: Spelling) -> tuple[DataFrame, Rare]:
-    """word, c, score of the rare words of the training texts, and their restaurant after some sweeps over all of them."""
-    rows = settle(spelled.met(vocabulary), "rare")
-    total, one, two, n = rows.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.count("*")).first()
-    rare = Rare(discount_of(one, two), total, float(n))
-    more, alone = rows.filter("c > 1"), one  # a word met once has one table
-    for sweep in range(2):
-        now = rare
-
-        def seated(batches: Iterator[pd.DataFrame], now=now, sweep=sweep) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield pd.DataFrame({"t": [int(now.seats([bytes(w) for w in batch["word"]], batch["c"].to_numpy(), batch["base"].to_numpy(), sweep).sum())]})
-
-        rare = Rare(rare.d, total, float(alone + more.mapInPandas(seated, "t long").agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]))
+        one, two = hot_sweep(pairs, hot, law, sweep)
+        now = words.select("h", F.element_at("customers", -1).alias("customers"), F.element_at("tables", -1).alias("tables"), F.element_at("seats", -1).alias("seats"), "base")
+        asked = rare_pairs.join(now.select(F.col("h").alias("u"), "seats"), "u", "left").join(now.select(F.col("h").alias("w"), "customers", "tables", "base"), "w", "left")
+        held = words.sparkSession.sparkContext.broadcast((hot.seats[-1], law.word(hot.customers[-1], hot.tables[-1], hot.base, sweep)))
+
+        def swept(batches: Iterator[pd.DataFrame], held=held, sweep=sweep) -> Iterator[pd.DataFrame]:
+            seats, p = held.value
+            for b in batches:
+                u, w, uid, wid = (b[k].to_numpy(np.int64) for k in ("u", "w", "uid", "wid"))
+                own = law.word(b["customers"].to_numpy(float), b["tables"].to_numpy(float), b["base"].to_numpy(float), sweep)
+                spread = law.spread(np.where(uid >= 0, seats[uid], b["seats"].to_numpy(float)), u.view(np.uint64), sweep)
+                more = law.draw(b["c"].to_numpy(np.int64), spread, np.where(wid >= 0, p[wid], own), pair_hash(u.view(np.uint64), w.view(np.uint64)), sweep) - 1
+                some = more > 0
+                yield pd.DataFrame({"h": np.concatenate([u[some], w[some]]), "kind": np.repeat([1, 2], some.sum()), "n": np.tile(more[some], 2)})
+
+        more = settle(asked.mapInPandas(swept, "h long, kind int, n long").groupBy("h", "kind").agg(F.sum("n").alias("n")), "more")
+        found = more.join(F.broadcast(words.sparkSession.createDataFrame(pd.DataFrame({"h": _signed(hot.h)}), "h long")), "h").toPandas()  # hot words alone
+        at = np.searchsorted(hot.h, found["h"].to_numpy(np.int64).view(np.uint64))
+        for kind, total in ((1, one), (2, two)):
+            np.add.at(total, at[found["kind"] == kind], found["n"][found["kind"] == kind].to_numpy(np.int64))
+        hot.seats.append(hot.seats[0] + one)
+        customers = hot.customers[0] + two
+
+        x = law.d_words * np.random.default_rng(sweep).gamma(THETA_WORDS / law.d_words + law.tables[-1])
+        hot.customers.append(customers)
+        hot.tables.append(draw_tables(customers, x * hot.base, law.d_words, uniform(hot.h, -2 - sweep)))
+        mine = more.groupBy("h").agg(F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("one"), F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("two"))
+        grown = words.join(mine, "h", "left").withColumns({"c1": F.col("customers")[0] + F.coalesce("two", F.lit(0)), "s1": F.col("seats")[0] + F.coalesce("one", F.lit(0))}).drop("one", "two")
+
+        def seated(batches: Iterator[pd.DataFrame], x=x, sweep=sweep) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                h = b["h"].to_numpy(np.int64).view(np.uint64)
+                yield b.assign(t1=draw_tables(b["c1"].to_numpy(np.int64), x * b["base"].to_numpy(), law.d_words, uniform(h, -2 - sweep)))
+
+        after = grown.mapInPandas(seated, ", ".join(f"{k} {t}" for k, t in [*grown.dtypes, ("t1", "long")]))
+        grow = lambda k, new: F.concat(k, F.array(new)).alias(k)
+        words = settle(after.select("h", "c", "base", grow("customers", "c1"), grow("tables", "t1"), grow("seats", "s1")), "words")
+        total = words.agg(F.sum(F.element_at("customers", -1)), F.sum(F.element_at("tables", -1))).first()
+        law.customers.append(int(customers.sum() + (total[0] or 0)))
+        law.tables.append(int(hot.tables[-1].sum() + (total[1] or 0)))
+    return words
+
+
+def _mean(law: Law, c: np.ndarray, context: np.ndarray, h: np.ndarray, states: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """log10 of the mean probability of pairs. states, for each kept sweep: the context's tables before and after it, the word's probability before and after it."""
+    total = np.zeros(len(c))
+    for k, (seats_before, seats, p_before, p) in enumerate(states):
+        sweep = SWEEPS - KEEP + k
+        t = np.minimum(c, 1)
+        more = np.flatnonzero(c > 1)
+        if len(more):
+            t[more] = law.draw(c[more], seats_before[more], p_before[more], h[more], sweep)
+        total += law.pair(c, t, context, seats, p)
+    return np.log10(np.maximum(total / KEEP, 1e-300))
+
+
+def _states(hot: Hot, law: Law) -> list[tuple[np.ndarray, ...]]:
+    """Of hot words, for each kept sweep: the auxiliary number as context, tables as context, probability before and after it."""
+    p = [law.word(c, t, hot.base, k) for k, (c, t) in enumerate(zip(hot.customers, hot.tables, strict=True))]
+    return [(law.spread(hot.seats[k], hot.h, k), hot.seats[k + 1].astype(float), p[k], p[k + 1]) for k in range(SWEEPS - KEEP, SWEEPS)]
+
+
+def answer_pairs(requests: DataFrame, hot: Hot, law: Law) -> DataFrame:
+    """batch, part, blobs: log10 of the probability of each asked pair of hot words, in the order asked."""
+    held = requests.sparkSession.sparkContext.broadcast((hot.h, hot.c, _states(hot, law)))
+
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        h, context, states = held.value
+        keys, c, place, sizes = _added(rows)
+        u, w = keys >> ID_BITS, keys & (1 << ID_BITS) - 1
+        score = _mean(law, c, context[u], pair_hash(h[u], h[w]), [(a[u], b[u], p[w], q[w]) for a, b, p, q in states])[place].astype(np.float32)
+        return pd.DataFrame({"batch": rows["batch"], "part": rows["part"], "blobs": [[x.tobytes()] for x in np.split(score, np.cumsum(sizes)[:-1])]})
+
+    return requests.groupBy("part").applyInPandas(answer, "batch long, part int, blobs array<binary>")
+
+
+def answer_others(others: DataFrame, rare_counts: DataFrame, words: DataFrame, hot: Hot, law: Law, base: Column) -> DataFrame:
+    """batch, doc, model, base, known: sums over the tokens of others. base: log10 of a word's share from its count c."""
+    at = range(SWEEPS - KEEP, SWEEPS + 1)
+    p = [f"p{k}" for k in at]
+
+    def stated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            s = b["base"].to_numpy()
+            for k in at:
+                b[f"p{k}"] = law.word(b[f"c{k}"].to_numpy(), b[f"t{k}"].to_numpy(), s, k)
+            yield b[["h", "c", *p, *[f"s{k}" for k in at]]]
+
+    flat = words.select("h", "c", "base", *[F.col(name)[k].alias(f"{short}{k}") for k in at for name, short in (("customers", "c"), ("tables", "t"), ("seats", "s"))])
+    state = settle(flat.mapInPandas(stated, "h long, c long, " + ", ".join(f"{k} double" for k in p) + ", " + ", ".join(f"s{k} long" for k in at)), "word-states")
+    counted = others.join(rare_counts.select("u", "w", F.col("c").alias("n")), ["u", "w"], "left")
+    with_word = counted.filter("wid < 0").join(state.select(F.col("h").alias("w"), F.col("c").alias("wc"), *p), "w", "left")
+    without = counted.filter("wid >= 0").select("*", F.lit(None).cast("long").alias("wc"), *[F.lit(None).cast("double").alias(k) for k in p])
+    seats = [f"s{k}" for k in at]
+    context = state.select(F.col("h").alias("u"), F.col("c").alias("uc"), *seats)
+    rare = with_word.filter("uid < 0").unionByName(without).join(context, "u", "left")
+    known = with_word.filter("uid >= 0").select("*", F.lit(None).cast("long").alias("uc"), *[F.lit(None).cast("long").alias(k) for k in seats])
+    held = others.sparkSession.sparkContext.broadcast((hot.c, hot.seats[SWEEPS - KEEP :], [law.word(hot.customers[k], hot.tables[k], hot.base, k) for k in at]))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hot_c, hot_seats, hot_p = held.value
         for b in batches:
-            yield pd.DataFrame({"word": b["word"], "c": b["c"], "score": rare.log10([bytes(w) for w in b["word"]], b["c"].to_numpy(np.int64), b["base"].to_numpy())})
+            u, w, uid, wid = (b[k].to_numpy(np.int64) for k in ("u", "w", "uid", "wid"))
+            side = lambda ids, hot, own: np.where(ids >= 0, hot[ids], b[own].fillna(0).to_numpy(float))
+            seats_ = [side(uid, hot_seats[i], f"s{k}") for i, k in enumerate(at)]
+            p_ = [side(wid, hot_p[i], f"p{k}") for i, k in enumerate(at)]
+            spread = [law.spread(seats_[i], u.view(np.uint64), k) for i, k in enumerate(at[:-1])]
+            states = [(spread[i], seats_[i + 1], p_[i], p_[i + 1]) for i in range(KEEP)]
+            c = b["n"].fillna(0).to_numpy(np.int64)
+            score = _mean(law, c, side(uid, hot_c, "uc"), pair_hash(u.view(np.uint64), w.view(np.uint64)), states)
+            yield pd.DataFrame({"batch": b["batch"], "doc": b["doc"], "score": score, "c": b["wc"].where(wid < 0).astype("Int64")})
 
-    return settle(rows.mapInPandas(scored, "word binary, c long, score double"), "rare-scores"), rare
+    each = rare.unionByName(known).mapInPandas(scored, "batch long, doc int, score double, c long")
+    return each.groupBy("batch", "doc").agg(F.sum("score").alias("model"), F.sum(base).alias("base"), F.count_if(F.col("c") > 0).alias("known"))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -331,79 +395,84 @@ def score(docs: DataFrame) -> DataFrame:
     Texts are lower-cased in A to Z; tokens are runs of what is no ASCII white space, then one end. Null and
     empty texts are the end alone. base_score sums log10((c + 1) / (N + V + 1)) over tokens, score is the
     model's log10 probability of the tokens. Learning takes all texts that are not held out; with none, the
-    model is its bases. Repeated rows and null ids (not held out) are kept; an empty table gives an empty
+    model is the spelling's even share. Repeated rows and null ids (not held out) are kept; an empty table gives an empty
     result; other columns are ignored whatever their names.
     """
+    spark = docs.sparkSession
     rows = pick(docs, doc_id="long", text="string").withColumn("held_out", crc_mod(F.col("doc_id"), 7) == 2)
     train = rows.filter("not held_out")
-    vocabulary = settle(word_counts(train), "vocabulary")
-    spark = docs.sparkSession
     n_train = train.count()
+    vocabulary = settle(word_counts(train), "vocabulary")
     n_words, n_types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, types = n_words + n_train, n_types + (n_train > 0)
-
-    hot_words, hot_c = most_frequent(vocabulary, HOT)
-    n_symbols = min(SYMBOLS, int((hot_c >= LEAST).sum()))
-    symbols = Symbols(hot_words[:n_symbols])
-    table = fitted(context_counts(train, symbols).repartition(1), lambda counts: symbol_model(counts, symbols))
-
-    beyond = vocabulary
-    if n_symbols:
-        last_c, last_word = int(hot_c[n_symbols - 1]), hot_words[n_symbols - 1]
-        beyond = vocabulary.filter((F.col("c") < last_c) | ((F.col("c") == last_c) & (F.col("word") > F.lit(bytearray(last_word)))))
-    spelled = spelling(beyond, 1.0 / (types + 1))
-    rare_rows, rare = rare_words(beyond, spelled)
-    log_rare = np.zeros(len(hot_words))
-    place = {w: i for i, w in enumerate(hot_words)}
-    for w, p in rare_rows.filter(F.col("c") >= (int(hot_c[-1]) if len(hot_c) else 1)).select("word", "score").collect():  # HOT at most
-        log_rare[place[bytes(w)]] = p
-    del place
+    share = lambda c: F.log10((c + 1) / F.lit(float(tokens + types + 1)))
+
+    # every word once, the end as the empty one
+    ends = spark.createDataFrame([(bytearray(b""), END, n_train)] if n_train else [], "word binary, h long, c long")
+    named = vocabulary.unionByName(ends)
+    spelled = spelling(named.select("word"))
+    cut = least_hot(vocabulary, HOT)
+    is_hot = F.col("h").isin(START, END) | (F.col("c") >= cut)
+    hot_h = [r[0] for r in vocabulary.filter(F.col("c") >= cut).select("h").collect()]  # HOT at most
+    hot_h = np.sort(np.array([START, END, *hot_h], np.int64).view(np.uint64))
+    counts = {h: c for h, c in vocabulary.filter(F.col("c") >= cut).select("h", "c").collect()} | {START: n_train, END: n_train}
+    hot_c = np.array([counts[h] for h in _signed(hot_h).tolist()], np.int64)
     log_base = np.log10((hot_c + 1) / (tokens + types + 1))
-    end_base = float(np.log10((n_train + 1) / (tokens + types + 1)))
-    held = spark.sparkContext.broadcast((n_symbols, hot_words, table, log_rare, log_base, end_base, int(n_train > 0)))
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top, words, table, log_rare, log_base, end_base, end_known = held.value
-        own, get = Symbols(words[:top]), {w: i for i, w in enumerate(words)}.get
-        ending = np.array([w[-1] % ENDINGS for w in words] + [0], np.int64)
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                out = []
-                for doc_id, key, held_out, text in zip(part["doc_id"], part["key"], part["held_out"], part["text"], strict=True):
-                    doc = words_of(text)
-                    place = np.array([get(w, -1) for w in doc], np.int64)
-                    symbol = np.append(np.where((place < 0) | (place >= top), own.rare, place), own.end)
-                    unknown = np.flatnonzero(place < 0).tolist()
-                    last = ending[place]
-                    last[unknown] = [doc[i][-1] % ENDINGS for i in unknown]
-                    ctx = np.append(FREQUENT, np.where(symbol[:-1] == own.rare, FREQUENT + 1 + last, own.after[symbol[:-1]]))
-                    met = place[place >= 0]
-                    total = float(table[ctx, symbol].sum(dtype=np.float64) + log_rare[met[met >= top]].sum())
-                    rest = Counter([doc[i] for i in unknown])
-                    out.append((doc_id, key, held_out, len(doc) + 1, len(met) + end_known, end_base + float(log_base[met].sum()), total, list(rest), list(rest.values())))
-                yield pd.DataFrame(out, columns=["doc_id", "key", "held_out", "n_tokens", "n_known", "base_score", "score", "words", "tf"]).astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, key long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<binary>, tf array<long>"
-    parts = settle(rows.withColumn("key", F.xxhash64("text")).select("doc_id", "key", "held_out", "text").mapInPandas(scored, schema), "scored")
-
-    # words that are not hot: of known ones all is in the table, unknown ones (of held-out texts alone) are spelled
-    asked = parts.select("doc_id", "key", "held_out", F.explode(F.arrays_zip("words", "tf")).alias("a")).select("doc_id", "key", "held_out", F.col("a.words").alias("word"), F.col("a.tf").alias("tf"))
-    new = settle(asked.filter("held_out").select("word").distinct().join(rare_rows, "word", "left_anti"), "unknown")
-    left = (rare.theta + rare.d * rare.tables) / (rare.theta + rare.customers)
-    new_scores = spelled.unmet(new).select("word", F.lit(0).cast("long").alias("c"), F.log10(F.greatest(F.pow(F.lit(10.0), F.col("base")) * left, F.lit(1e-300))).alias("score"))
-    met = asked.join(rare_rows.unionByName(new_scores), "word")
-    base = F.col("tf") * F.log10((F.col("c") + 1) / F.lit(float(tokens + types + 1)))
-    met = met.select("doc_id", "key", F.when(F.col("c") == 0, 0).otherwise(F.col("tf")).alias("known"), base.alias("base"), (F.col("tf") * F.col("score")).alias("model"))
-    sums = met.groupBy("doc_id", "key").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("model").alias("model"))
-
-    main = parts.groupBy("doc_id", "key", "held_out", "n_tokens", "n_known", "base_score", "score").agg(F.count("*").alias("copies")).alias("m")
-    out = main.join(sums.alias("s"), F.col("m.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("m.key") == F.col("s.key")), "left")
-    # equal rows have added their rare words together, so each takes its share
-    add = lambda own, more: F.col(own) + F.coalesce(F.col(more) / F.col("copies"), F.lit(0.0))
-    return out.select(
-        F.col("m.doc_id").alias("doc_id"), "held_out", "n_tokens", add("n_known", "known").cast("long").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        add("base_score", "base").alias("base_score"), add("score", "model").alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
-
 
+    parts = 1 + int(tokens * 7 / 6) // PART
+    blocks = settle(encode(rows, hot_h, log_base, (hot_c > 0).astype(np.int64), parts), "blocks")
+    requests = blocks.filter("part >= 0")
+    counted = settle(count_pairs(requests), "pairs")
+    others = _others(blocks)
+    rare_counts = settle(others.filter("not held").groupBy("u", "w").agg(F.min("uid").alias("uid"), F.min("wid").alias("wid"), F.count("*").alias("c")), "rare-pairs")
+
+    # each word's distinct pairs, as word and as context: its first customers and tables
+    zero = F.lit(0).cast("long")
+    own = spelled.met(named).select("h", "c", F.pow(F.lit(10.0), "base").alias("base"), zero.alias("customers"), zero.alias("seats"))
+    one = lambda k, a, b: rare_counts.groupBy(F.col(k).alias("h")).agg(F.count("*").alias(a)).select("h", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("base"), F.col(a), zero.alias(b))
+    state = own.unionByName(one("w", "customers", "seats")).unionByName(one("u", "seats", "customers"))
+    state = settle(state.groupBy("h").agg(*[F.max(k).alias(k) for k in ("c", "base")], *[F.sum(k).alias(k) for k in ("customers", "seats")]), "word-counts")
+    hot_rows = state.filter(is_hot).select("h", "base", "customers", "seats").toPandas()  # HOT + 2 at most
+    at = np.searchsorted(hot_h, hot_rows["h"].to_numpy(np.int64).view(np.uint64))
+    seats, customers = _summed(counted.filter("kind in (1, 2)"), len(hot_h), (1, 2))
+    base = np.zeros(len(hot_h))
+    base[at] = hot_rows["base"].fillna(0).to_numpy(float)
+    if not n_train:
+        base[np.searchsorted(hot_h, np.uint64(END))] = 10.0 ** spelled.unmet(spark.createDataFrame([(bytearray(b""),)], "word binary")).first()["base"]
+    np.add.at(customers, at, hot_rows["customers"].to_numpy(np.int64))
+    np.add.at(seats, at, hot_rows["seats"].to_numpy(np.int64))
+    hot = Hot(hot_h, hot_c, base, [customers], [np.minimum(customers, 1)], [seats])
+
+    once, twice = _summed(counted.filter("kind = 3"), 2, (3,))[0].tolist()
+    few = rare_counts.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    rare = state.filter(~is_hot)
+    size = rare.agg(F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2), F.coalesce(F.sum("customers"), F.lit(0)), F.count("*")).first()
+    d_words = discount_of(size[0] + int((customers == 1).sum()), size[1] + int((customers == 2).sum()))
+    law = Law(d_words, discount_of(once + few[0], twice + few[1]), [int(size[2] + customers.sum())], [int(size[3] + hot.tables[0].sum())])
+    first = lambda k: F.array(k).alias(k)
+    rare = rare.select("h", "c", "base", first("customers"), F.array(F.lit(1).cast("long")).alias("tables"), first("seats"))
+    words = sampled(hot, law, counted.filter("kind = 0"), rare_counts.filter("c > 1"), rare)
+
+    # words of held-out texts alone are spelled; they have no customers
+    none = F.array(*[zero] * (SWEEPS + 1))
+    new = settle(_asked(blocks).join(words, "h", "left_anti"), "unknown")
+    unknown = new.join(spelled.unmet(new.select("word").distinct()), "word").select("h", zero.alias("c"), F.pow(F.lit(10.0), "base").alias("base"), none.alias("customers"), none.alias("tables"), none.alias("seats"))
+    extra = answer_others(others, rare_counts, words.unionByName(unknown), hot, law, F.when(F.col("c").isNotNull(), share(F.col("c"))))
+    replies = answer_pairs(requests, hot, law).unionByName(blocks.filter("part = -1"))
+
+    def gathered(own: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("part")
+        batch = next(b for p, b in zip(own["part"], own["blobs"], strict=True) if p == -1)
+        answers = [np.frombuffer(b[0], np.float32) for p, b in zip(own["part"], own["blobs"], strict=True) if p >= 0]
+        runs, at = unpack(batch[0]), unpack(batch[1])
+        ids, none, out, n, known = np.frombuffer(batch[2], np.int64), unpack(batch[3]), *(unpack(b) for b in batch[4:7])
+        model = np.bincount(at, np.repeat(np.concatenate(answers).astype(np.float64), runs), minlength=len(ids)) if answers else np.zeros(len(ids))
+        base, known = np.frombuffer(batch[7]).copy(), known.copy()
+        doc = more["doc"].to_numpy(np.int64)
+        np.add.at(model, doc, more["model"].to_numpy(float))
+        np.add.at(base, doc, more["base"].fillna(0).to_numpy(float))
+        np.add.at(known, doc, more["known"].to_numpy(np.int64))
+        return pd.DataFrame({"doc_id": pd.Series(ids).astype("Int64").mask(none > 0), "held_out": out > 0, "n_tokens": n, "n_known": known, "train_tokens": int(tokens), "base_score": base, "score": model})
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return replies.groupBy("batch").cogroup(extra.groupBy("batch")).applyInPandas(gathered, schema)

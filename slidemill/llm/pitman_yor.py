@@ -1,21 +1,53 @@
-"""Hierarchical Pitman-Yor restaurants over bounded tables: seating by Gibbs sampling, in numpy.
+"""Pitman-Yor restaurants: numbers of tables drawn from their exact law, and random numbers by hash.
 
 A context's restaurant has customers of dishes at tables; each table sends one customer to the parent context's
-restaurant. Only the number of tables of each dish matters for prediction, so a sweep draws that number from
-its conditional given everything else, by generalised Stirling numbers up to FULL customers, and beyond by
-seating the customers anew, from one new table to the next.
+restaurant. Only the number t of tables of each dish matters. With T tables in the restaurant its seating has
+weight d^T Gamma(theta/d + T); given x drawn from Gamma(theta/d + T), the dishes of a restaurant are independent,
+each with weight S(c, t) z^t for c customers, z = d x times the dish's probability in the parent, S the generalised
+Stirling numbers. So one Gibbs sweep is two exact conditional draws, of x and then of every t, and dishes can be
+dealt over any number of tasks.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 
+#: Customers up to which Stirling numbers are tabled; beyond, they are taken in saddle-point form. At 256 customers the two laws
+#: are apart by 0.002 in total variation at fifty tables, by 0.05 at two.
 FULL = 256
 #: Dishes of up to so many customers are drawn together over as many columns.
-WIDTHS = (8, 24, 64, FULL)
+WIDTHS = (2, 8, 24, 64, FULL)
+POINTS = 65
+
+
+def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Well mixed 64-bit values of h."""
+    h = h.astype(np.uint64) + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def uniform(h: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A number between 0 and 1 for each h: the same wherever and whenever it is drawn."""
+    return ((mixed(h, salt) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+
+
+def gamma(shape: np.ndarray, h: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Gamma variates of shapes of 1 or more, one for each h, by rejection from a cubed normal."""
+    d = np.maximum(np.asarray(shape, np.float64), 1.0) - 1 / 3
+    out, left, k = np.zeros(len(d)), np.arange(len(d)), 0
+    while len(left):
+        a, b, e = (uniform(h[left], 1000 * (salt + 1) + 3 * k + j) for j in range(3))
+        x = np.sqrt(-2 * np.log(a)) * np.cos(2 * np.pi * b)
+        v = (1 + x / np.sqrt(9 * d[left])) ** 3
+        with np.errstate(invalid="ignore", divide="ignore"):
+            ok = (v > 0) & (np.log(e) < x * x / 2 + d[left] * (1 - v + np.log(v)))
+        out[left[ok]] = (d[left] * v)[ok]
+        left, k = left[~ok], k + 1
+    return out
 
 
 @lru_cache(maxsize=16)
@@ -31,96 +63,84 @@ def log_stirling(d: float) -> np.ndarray:
     return out
 
 
-def draw_tables(c: np.ndarray, parent: np.ndarray, rest: np.ndarray, d: float, theta: float, u: np.ndarray) -> np.ndarray:
-    """Tables of dishes with c customers. parent: the dish's probability in the parent; rest: the restaurant's other tables; u: uniform numbers, a row of two for each dish."""
-    t = np.minimum(c, 1).astype(np.int64)
+def draw_tables(c: np.ndarray, z: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """Tables t of dishes with c customers, with chances in proportion to S(c, t) z^t; u: a uniform number for each. No customers, no tables."""
+    c = np.asarray(c, np.int64)
+    t = np.minimum(c, 1)
+    log_z = np.log(np.maximum(z, 1e-300))
     table = log_stirling(d)
     for least, width in zip((1, *WIDTHS), WIDTHS, strict=False):
         some = np.flatnonzero((c > least) & (c <= width))
         at_once = 480_000 // width
         for at in range(0, len(some), at_once):
             i = some[at : at + at_once]
-            k = np.arange(1, width + 1)
-            steps = np.log(theta + d * (rest[i][:, None] + k[None, :] - 1)) + np.log(np.maximum(parent[i], 1e-300))[:, None]
-            log_p = table[c[i], 1 : width + 1] + np.cumsum(steps, axis=1)
-            p = np.exp(log_p - log_p.max(axis=1, keepdims=True))
-            cdf = np.cumsum(p, axis=1)
-            t[i] = 1 + np.argmax(cdf >= u[i, :1] * cdf[:, -1:], axis=1)
+            log_p = table[c[i], 1 : width + 1] + log_z[i, None] * np.arange(1, width + 1)
+            cdf = np.cumsum(np.exp(log_p - log_p.max(axis=1, keepdims=True)), axis=1)
+            t[i] = 1 + np.argmax(cdf >= u[i, None] * cdf[:, -1:], axis=1)
     big = np.flatnonzero(c > FULL)
-    if len(big):
-        seen, n, left = np.ones(len(big)), np.ones(len(big)), np.arange(len(big))
-        seeds = np.random.default_rng(np.frombuffer((u[big] * 2**52).astype(np.uint64).tobytes(), np.uint32)[: 2 * len(big)])
-        while len(left):
-            a = (theta + d * (rest[big[left]] + n[left])) * np.maximum(parent[big[left]], 1e-300)
-            wait = np.minimum(seeds.exponential(size=len(left)) / a, 600)
-            with np.errstate(over="ignore"):
-                seen[left] = np.maximum(seen[left] + 1, (a + seen[left] - d * n[left]) * np.exp(wait) - a + d * n[left])
-            left = left[seen[left] < c[big[left]]]
-            n[left] += 1
-        t[big] = n.astype(np.int64)
+    for at in range(0, len(big), 8192):
+        i = big[at : at + 8192]
+        t[i] = _draw_large(c[i].astype(np.float64), log_z[i], d, u[i])
     return t
 
 
+def _fall(value, want: np.ndarray) -> np.ndarray:
+    """log s in which the falling function value(log s) is `want`, by halving."""
+    low, high = np.full(want.shape, -700.0), np.full(want.shape, -1e-12)
+    for _ in range(48):
+        mid = (low + high) / 2
+        above = value(mid) > want
+        low, high = np.where(above, mid, low), np.where(above, high, mid)
+    return (low + high) / 2
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    y = x + 8
+    shift = sum(np.log(x + k) for k in range(8))
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - shift
+
+
+def _large_log_weight(c: np.ndarray, t: np.ndarray, log_z: np.ndarray, d: float) -> np.ndarray:
+    """log of S(c, t) z^t but for a term in c: S(c, t) is c!/t! times the coefficient of y^c in ((1 - (1 - y)^d) / d)^t, by its saddle point 1 - s."""
+    ls = _fall(lambda s: np.log(-np.expm1(s)) + (d - 1) * s + np.log(d) - np.log(-np.expm1(d * s)), np.log(c / t))
+    log_f, log_r = np.log(-np.expm1(d * ls) / d), np.log(-np.expm1(ls))
+    with np.errstate(over="ignore"):
+        wide = c + np.exp(np.log(t) + 2 * log_r + np.log(1 - d) + (d - 2) * ls - log_f) - c * c / t
+    return t * (log_z + log_f) - c * log_r - 0.5 * np.log(np.clip(wide, 1 / (2 * np.pi), 1e300)) - _log_gamma(t + 1)
+
+
+def _draw_large(c: np.ndarray, log_z: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    ls = _fall(lambda s: log_z + np.log(-np.expm1(s)) + (d - 1) * s, np.log(c))
+    mean = np.exp(log_z) * -np.expm1(d * ls) / d
+    with np.errstate(over="ignore"):
+        var = mean - c * c / (c + np.exp(np.minimum(log_z + 2 * np.log(-np.expm1(ls)) + np.log(1 - d) + (d - 2) * ls, 700)))
+    sd = np.sqrt(np.maximum(var, 1.0))
+    low = np.clip(np.floor(mean - 8 * sd - 2), 1, c)
+    high = np.minimum(c, np.ceil(mean + 8 * sd + 8))
+    stride = np.maximum(1.0, (high - low) / (POINTS - 1))
+    at = low[:, None] + stride[:, None] * np.arange(POINTS)
+    log_p = _large_log_weight(c[:, None], np.minimum(at, high[:, None]), log_z[:, None], d)
+    log_p = np.where(at <= high[:, None] + 1e-6, log_p, -np.inf)
+    p = np.exp(log_p - log_p.max(axis=1, keepdims=True))
+    cdf = np.cumsum(p, axis=1)
+    goal = u * cdf[:, -1]
+    k = np.argmax(cdf >= goal[:, None], axis=1)
+    row = np.arange(len(c))
+    part = 1 - (cdf[row, k] - goal) / np.maximum(p[row, k], 1e-300)
+    t = np.where(stride > 1, np.rint(at[row, k] + (part - 0.5) * stride), at[row, k])
+    return np.clip(t, 1, c).astype(np.int64)
+
+
 def discount_of(one: int, two: int) -> float:
     """From the numbers of counts one and two."""
     return float(np.clip(one / (one + 2 * two), 0.1, 0.95)) if one else 0.5
 
 
-def discount(c: np.ndarray) -> float:
-    return discount_of(int((c == 1).sum()), int((c == 2).sum()))
-
-
-@dataclass
-class Level:
-    """Restaurants of one depth. Entries are (context, dish) pairs met at this depth: context of each, own customers, entry of the parent depth."""
-
-    context: np.ndarray
-    own: np.ndarray
-    up: np.ndarray
-    contexts: int
-
-
-@dataclass
-class Sample:
-    """Of each depth: the share of each entry that its own tables give, each context's share left to its parent, and entries' probabilities."""
-
-    direct: list[np.ndarray]
-    back: list[np.ndarray]
-    prob: list[np.ndarray]
-
-
-def redraw(context: np.ndarray, contexts: int, c: np.ndarray, tables: np.ndarray, parent: np.ndarray, d: float, theta: float, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """New tables of a depth's entries, each context's share left to its parent, and entries' probabilities."""
+def redraw(context: np.ndarray, contexts: int, c: np.ndarray, tables: np.ndarray, parent: np.ndarray, d: float, theta: float, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A sweep over a depth's entries, whole restaurants: new tables, each context's share left to its parent, and entries' probabilities."""
     total = np.bincount(context, c, minlength=contexts)
-    seated = np.bincount(context, tables, minlength=contexts)
-    tables = draw_tables(c, parent, seated[context] - tables, d, theta, u)
+    x = r.gamma(theta / d + np.bincount(context, tables, minlength=contexts))
+    tables = draw_tables(c, d * x[context] * parent, d, r.random(len(c)))
     seated = np.bincount(context, tables, minlength=contexts)
     back = (theta + d * seated) / (theta + total)
     return tables, back, (c - d * tables) / (theta + total[context]) + back[context] * parent
-
-
-def gibbs(levels: list[Level], base: float, sweeps: int = 5, keep: int = 3, theta: float = 2.0, seed: int = 0) -> list[Sample]:
-    """Samples of the hierarchy levels[0] (the root) to the deepest, over a uniform base; the first sweeps - keep are burnt in."""
-    r = np.random.default_rng(seed)
-    d = [discount(level.own[level.own > 0]) for level in levels]
-    tables = [np.ones(len(level.own), np.int64) for level in levels]
-    out = []
-    for sweep in range(sweeps):
-        c = [level.own.astype(np.int64) for level in levels]
-        for k in range(len(levels) - 1, 0, -1):
-            tables[k] = np.minimum(tables[k], c[k])
-            c[k - 1] = c[k - 1] + np.bincount(levels[k].up, tables[k], minlength=len(c[k - 1])).astype(np.int64)
-        tables[0] = np.minimum(tables[0], c[0])
-        sample = Sample([], [], [])
-        for k, level in enumerate(levels):
-            parent = np.full(len(c[k]), base) if k == 0 else sample.prob[k - 1][level.up]
-            total = np.bincount(level.context, c[k], minlength=level.contexts)
-            seated = np.bincount(level.context, tables[k], minlength=level.contexts)
-            tables[k] = draw_tables(c[k], parent, seated[level.context] - tables[k], d[k], theta, r.random((len(c[k]), 2)))
-            seated = np.bincount(level.context, tables[k], minlength=level.contexts)
-            sample.direct.append((c[k] - d[k] * tables[k]) / (theta + total[level.context]))
-            sample.back.append((theta + d[k] * seated) / (theta + total))
-            sample.prob.append(sample.direct[k] + sample.back[k][level.context] * parent)
-        if sweep >= sweeps - keep:
-            out.append(sample)
-    return out
