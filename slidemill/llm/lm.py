@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidemill.llm.common import crc_mod, pick, settle
+from slidemill.llm.common import arrays, crc_mod, pick, settle
 from slidemill.llm.pitman_yor import discount_of, draw_tables, gamma, mixed, uniform
 from slidemill.llm.spelling import spelling
 from slidemill.llm.words import Lookup, joined, pack, unpack, word_hashes
@@ -223,7 +223,7 @@ def _summed(tallies: DataFrame, n: int, kinds: tuple[int, ...]) -> list[np.ndarr
             for kind, blobs in zip(batch["kind"], batch["blobs"], strict=True):
                 yield pd.DataFrame({"kind": kind, "id": unpack(blobs[0]), "n": unpack(blobs[1])})
 
-    found = tallies.mapInPandas(spread, "kind int, id long, n long").groupBy("kind", "id").agg(F.sum("n").alias("n")).toPandas()  # n ids at most of each kind
+    found = arrays(tallies.mapInPandas(spread, "kind int, id long, n long").groupBy("kind", "id").agg(F.sum("n").alias("n")))  # n ids at most of each kind
     return [np.bincount(found["id"][found["kind"] == k], found["n"][found["kind"] == k], minlength=n).astype(np.int64) for k in kinds]
 
 
@@ -286,20 +286,20 @@ def sampled(hot: Hot, law: Law, pairs: DataFrame, rare_pairs: DataFrame, words:
                 spread = law.spread(np.where(uid >= 0, seats[uid], b["seats"].to_numpy(float)), u.view(np.uint64), sweep)
                 more = law.draw(b["c"].to_numpy(np.int64), spread, np.where(wid >= 0, p[wid], own), pair_hash(u.view(np.uint64), w.view(np.uint64)), sweep) - 1
                 some = more > 0
-                yield pd.DataFrame({"h": np.concatenate([u[some], w[some]]), "kind": np.repeat([1, 2], some.sum()), "n": np.tile(more[some], 2)})
+                yield pd.DataFrame({"h": np.concatenate([u[some], w[some]]), "kind": np.repeat([1, 2], some.sum()), "n": np.tile(more[some], 2), "hot": np.concatenate([uid[some] >= 0, wid[some] >= 0])})
 
-        more = settle(asked.mapInPandas(swept, "h long, kind int, n long").groupBy("h", "kind").agg(F.sum("n").alias("n")), "more")
-        found = more.join(F.broadcast(words.sparkSession.createDataFrame(pd.DataFrame({"h": _signed(hot.h)}), "h long")), "h").toPandas()  # hot words alone
-        at = np.searchsorted(hot.h, found["h"].to_numpy(np.int64).view(np.uint64))
+        more = settle(asked.mapInPandas(swept, "h long, kind int, n long, hot boolean").groupBy("h", "kind", "hot").agg(F.sum("n").alias("n")), "more")
+        found = arrays(more.filter("hot").select("h", "kind", "n"))
+        at = np.searchsorted(hot.h, found["h"].view(np.uint64))
         for kind, total in ((1, one), (2, two)):
-            np.add.at(total, at[found["kind"] == kind], found["n"][found["kind"] == kind].to_numpy(np.int64))
+            np.add.at(total, at[found["kind"] == kind], found["n"][found["kind"] == kind])
         hot.seats.append(hot.seats[0] + one)
         customers = hot.customers[0] + two
 
         x = law.d_words * np.random.default_rng(sweep).gamma(THETA_WORDS / law.d_words + law.tables[-1])
         hot.customers.append(customers)
         hot.tables.append(draw_tables(customers, x * hot.base, law.d_words, uniform(hot.h, -2 - sweep)))
-        mine = more.groupBy("h").agg(F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("one"), F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("two"))
+        mine = more.filter("not hot").groupBy("h").agg(F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("one"), F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("two"))
         grown = words.join(mine, "h", "left").withColumns({"c1": F.col("customers")[0] + F.coalesce("two", F.lit(0)), "s1": F.col("seats")[0] + F.coalesce("one", F.lit(0))}).drop("one", "two")
 
         def seated(batches: Iterator[pd.DataFrame], x=x, sweep=sweep) -> Iterator[pd.DataFrame]:
@@ -413,10 +413,10 @@ def score(docs: DataFrame) -> DataFrame:
     spelled = spelling(named.select("word"))
     cut = least_hot(vocabulary, HOT)
     is_hot = F.col("h").isin(START, END) | (F.col("c") >= cut)
-    hot_h = [r[0] for r in vocabulary.filter(F.col("c") >= cut).select("h").collect()]  # HOT at most
-    hot_h = np.sort(np.array([START, END, *hot_h], np.int64).view(np.uint64))
-    counts = {h: c for h, c in vocabulary.filter(F.col("c") >= cut).select("h", "c").collect()} | {START: n_train, END: n_train}
-    hot_c = np.array([counts[h] for h in _signed(hot_h).tolist()], np.int64)
+    frequent = arrays(vocabulary.filter(F.col("c") >= cut).select("h", "c"))  # HOT at most
+    hot_h = np.append(np.array([START, END], np.uint64), frequent["h"].astype(np.int64).view(np.uint64))
+    order = np.argsort(hot_h)
+    hot_h, hot_c = hot_h[order], np.append([n_train, n_train], frequent["c"]).astype(np.int64)[order]
     log_base = np.log10((hot_c + 1) / (tokens + types + 1))
 
     parts = 1 + int(tokens * 7 / 6) // PART
@@ -432,15 +432,15 @@ def score(docs: DataFrame) -> DataFrame:
     one = lambda k, a, b: rare_counts.groupBy(F.col(k).alias("h")).agg(F.count("*").alias(a)).select("h", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("base"), F.col(a), zero.alias(b))
     state = own.unionByName(one("w", "customers", "seats")).unionByName(one("u", "seats", "customers"))
     state = settle(state.groupBy("h").agg(*[F.max(k).alias(k) for k in ("c", "base")], *[F.sum(k).alias(k) for k in ("customers", "seats")]), "word-counts")
-    hot_rows = state.filter(is_hot).select("h", "base", "customers", "seats").toPandas()  # HOT + 2 at most
-    at = np.searchsorted(hot_h, hot_rows["h"].to_numpy(np.int64).view(np.uint64))
+    hot_rows = arrays(state.filter(is_hot).select("h", F.coalesce("base", F.lit(0.0)).alias("base"), "customers", "seats"))  # HOT + 2 at most
+    at = np.searchsorted(hot_h, hot_rows["h"].astype(np.int64).view(np.uint64))
     seats, customers = _summed(counted.filter("kind in (1, 2)"), len(hot_h), (1, 2))
     base = np.zeros(len(hot_h))
-    base[at] = hot_rows["base"].fillna(0).to_numpy(float)
+    base[at] = hot_rows["base"]
     if not n_train:
         base[np.searchsorted(hot_h, np.uint64(END))] = 10.0 ** spelled.unmet(spark.createDataFrame([(bytearray(b""),)], "word binary")).first()["base"]
-    np.add.at(customers, at, hot_rows["customers"].to_numpy(np.int64))
-    np.add.at(seats, at, hot_rows["seats"].to_numpy(np.int64))
+    np.add.at(customers, at, hot_rows["customers"])
+    np.add.at(seats, at, hot_rows["seats"])
     hot = Hot(hot_h, hot_c, base, [customers], [np.minimum(customers, 1)], [seats])
 
     once, twice = _summed(counted.filter("kind = 3"), 2, (3,))[0].tolist()

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidemill.llm.common import settle, small_enough
+from slidemill.llm.common import arrays, settle, small_enough
 from slidemill.llm.pitman_yor import discount_of, redraw
 
 #: Bytes of context.
@@ -79,8 +79,10 @@ class Spelling:
             ends = words.withColumn("s", F.concat(space, "word", space)).withColumn("i", F.explode(F.sequence(F.lit(2), F.length("s"))))
             ends = ends.withColumn("gram", F.expr(f"substring(s, greatest(i - {ORDER}, 1), least(i, {ORDER + 1}))"))
             return ends.join(mean, "gram").groupBy(*words.columns).agg(F.sum("p").alias("base"))
-        found = sorted((_code(bytes(g)), p) for g, p in mean.collect())  # BROADCAST at most
-        held = words.sparkSession.sparkContext.broadcast((np.array([c for c, _ in found], np.int64), np.array([p for _, p in found])))
+        found = arrays(mean)  # BROADCAST at most
+        codes = np.array([_code(g) for g in found["gram"]], np.int64)
+        order = np.argsort(codes)
+        held = words.sparkSession.sparkContext.broadcast((codes[order], found["p"][order]))
 
         def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known, p = held.value
