@@ -37,7 +37,7 @@ HOT = 262_144
 THETA_WORDS, THETA_PAIRS = 2.0, 1.0
 SWEEPS, KEEP = 4, 2
 #: Bytes of text and rows of a batch, and pairs that a part counts, about.
-BATCH_BYTES, BATCH_ROWS, PART = 8_000_000, 20_000, 1_500_000
+BATCH_BYTES, BATCH_ROWS, PART = 4_000_000, 20_000, 1_500_000
 #: Stand-ins for hashes: the start of a text, and its end.
 START, END = 1, 2
 ID_BITS = 20
@@ -52,21 +52,24 @@ def word_counts(train: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in _slices(batch, 2 * BATCH_BYTES):
                 data, _ = joined(part["text"].tolist())
                 h, a, b = word_hashes(data)
-                h, first, n = np.unique(h, return_index=True, return_counts=True)
-                yield pd.DataFrame({"word": [data[i:j] for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True)], "h": _signed(h), "c": n.astype(np.int64)})
+                order = np.argsort(h)
+                h = h[order]
+                new = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+                first, n = order[new], np.diff(np.append(new, len(h)))
+                yield pd.DataFrame({"word": [data[i:j] for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True)], "h": _signed(h[new]), "c": n.astype(np.int64)})
 
     return train.select("text").mapInPandas(count, "word binary, h long, c long").groupBy("word", "h").agg(F.sum("c").alias("c"))
 
 
-def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Runs of rows of about BATCH_BYTES of text; a longer text is a run of its own."""
+def _slices(batch: pd.DataFrame, most: int = BATCH_BYTES) -> Iterator[pd.DataFrame]:
+    """Runs of rows of about so many bytes of text; a longer text is a run of its own."""
     size = batch["text"].map(lambda t: len(t) if t else 0).to_numpy(np.int64)
     at = 0
     while at < len(batch):
-        n = max(1, int(np.searchsorted(np.cumsum(size[at : at + BATCH_ROWS]), BATCH_BYTES, "right")))
+        n = max(1, int(np.searchsorted(np.cumsum(size[at : at + BATCH_ROWS]), most, "right")))
         yield batch.iloc[at : at + n]
         at += n
 
@@ -143,24 +146,25 @@ def encode(rows: DataFrame, hot_h: np.ndarray, log_base: np.ndarray, known: np.n
                 number += 1
                 data, begin = joined(rows["text"].tolist())
                 h, a, b = word_hashes(data)
-                own = np.searchsorted(begin, a, "right") - 1
+                own = (np.searchsorted(begin, a, "right") - 1).astype(np.int32)
                 count = np.bincount(own, minlength=n)
-                ids = find(h)
+                ids = find(h).astype(np.int32)
                 stop = np.cumsum(count) + np.arange(n)
-                doc = np.repeat(np.arange(n), count + 1)
+                doc = np.repeat(np.arange(n, dtype=np.int32), count + 1)
                 at = np.arange(len(h)) + own
-                w, wid = np.full(len(doc), END, np.uint64), np.full(len(doc), end_id)
+                w, wid = np.full(len(doc), END, np.uint64), np.full(len(doc), end_id, np.int32)
                 w[at], wid[at] = h, ids
-                u, uid = np.full(len(doc), START, np.uint64), np.full(len(doc), start_id)
+                u, uid = np.full(len(doc), START, np.uint64), np.full(len(doc), start_id, np.int32)
                 rest = np.delete(np.arange(len(doc)), stop - count)
                 u[rest], uid[rest] = w[rest - 1], wid[rest - 1]
+                del at, rest
                 out = rows["held_out"].to_numpy(bool)
                 met = wid >= 0
                 sums = np.bincount(doc[met], base[wid[met]], minlength=n)
                 n_known = np.bincount(doc[met], known[wid[met]], minlength=n).astype(np.int64)
 
                 both = np.flatnonzero(met & (uid >= 0))
-                key = (uid[both] << ID_BITS) + wid[both]
+                key = (uid[both].astype(np.int64) << ID_BITS) + wid[both]
                 key += (mixed(key) % np.uint64(parts)).astype(np.int64) << 2 * ID_BITS
                 order = np.argsort(key)
                 key, docs = key[order], doc[both][order]
@@ -223,7 +227,12 @@ def _summed(tallies: DataFrame, n: int, kinds: tuple[int, ...]) -> list[np.ndarr
             for kind, blobs in zip(batch["kind"], batch["blobs"], strict=True):
                 yield pd.DataFrame({"kind": kind, "id": unpack(blobs[0]), "n": unpack(blobs[1])})
 
-    found = arrays(tallies.mapInPandas(spread, "kind int, id long, n long").groupBy("kind", "id").agg(F.sum("n").alias("n")))  # n ids at most of each kind
+    return _sums(tallies.mapInPandas(spread, "kind int, id long, n long"), n, kinds)
+
+
+def _sums(rows: DataFrame, n: int, kinds: tuple[int, ...]) -> list[np.ndarray]:
+    """The same of rows(kind, id, n)."""
+    found = arrays(rows.groupBy("kind", "id").agg(F.sum("n").alias("n")))  # n ids at most of each kind
     return [np.bincount(found["id"][found["kind"] == k], found["n"][found["kind"] == k], minlength=n).astype(np.int64) for k in kinds]
 
 
@@ -234,15 +243,19 @@ def hot_sweep(pairs: DataFrame, hot: Hot, law: Law, sweep: int) -> list[np.ndarr
 
     def swept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h, spread, p = held.value
+        total = np.zeros((2, len(h)), np.int64)
         for batch in batches:
             for blobs in batch["blobs"]:
                 key, c = _pairs_of(blobs)
                 u, w = key >> ID_BITS, key & (1 << ID_BITS) - 1
                 more = law.draw(c, spread[u], p[w], pair_hash(h[u], h[w]), sweep) - 1
-                some = more > 0
-                yield pd.DataFrame([_tally(1, u[some], more[some]), _tally(2, w[some], more[some])], columns=["kind", "blobs"])
+                some = np.flatnonzero(more)
+                np.add.at(total[0], u[some], more[some])
+                np.add.at(total[1], w[some], more[some])
+        kind, at = np.nonzero(total)
+        yield pd.DataFrame({"kind": kind + 1, "id": at, "n": total[kind, at]})
 
-    return _summed(pairs.mapInPandas(swept, "kind int, blobs array<binary>"), len(hot.h), (1, 2))
+    return _sums(pairs.mapInPandas(swept, "kind int, id long, n long"), len(hot.h), (1, 2))
 
 
 def _others(blocks: DataFrame) -> DataFrame:
@@ -270,8 +283,12 @@ def _asked(blocks: DataFrame) -> DataFrame:
 def sampled(hot: Hot, law: Law, pairs: DataFrame, rare_pairs: DataFrame, words: DataFrame) -> DataFrame:
     """Run the sweeps: hot and law take their states; words(h, c, base, customers, tables, seats), those that are not hot, comes back with arrays of the last three after each sweep.
 
+    Words met once have one customer, table and seat after every sweep and are in no pair met twice, so they are left out of the sweeps' joins.
     pairs: packed, of two hot words; rare_pairs(u, w, uid, wid, c): all others met twice or more.
     """
+    still = words.filter("c = 1")
+    fixed = still.count()
+    words = words.filter("c > 1")
     for sweep in range(SWEEPS):
         one, two = hot_sweep(pairs, hot, law, sweep)
         now = words.select("h", F.element_at("customers", -1).alias("customers"), F.element_at("tables", -1).alias("tables"), F.element_at("seats", -1).alias("seats"), "base")
@@ -311,9 +328,10 @@ def sampled(hot: Hot, law: Law, pairs: DataFrame, rare_pairs: DataFrame, words:
         grow = lambda k, new: F.concat(k, F.array(new)).alias(k)
         words = settle(after.select("h", "c", "base", grow("customers", "c1"), grow("tables", "t1"), grow("seats", "s1")), "words")
         total = words.agg(F.sum(F.element_at("customers", -1)), F.sum(F.element_at("tables", -1))).first()
-        law.customers.append(int(customers.sum() + (total[0] or 0)))
-        law.tables.append(int(hot.tables[-1].sum() + (total[1] or 0)))
-    return words
+        law.customers.append(int(customers.sum() + (total[0] or 0)) + fixed)
+        law.tables.append(int(hot.tables[-1].sum() + (total[1] or 0)) + fixed)
+    ones = F.array_repeat(F.lit(1).cast("long"), SWEEPS + 1)
+    return words.unionByName(still.select("h", "c", "base", ones.alias("customers"), ones.alias("tables"), ones.alias("seats")))
 
 
 def _mean(law: Law, c: np.ndarray, context: np.ndarray, h: np.ndarray, states: list[tuple[np.ndarray, ...]]) -> np.ndarray:
@@ -456,7 +474,7 @@ def score(docs: DataFrame) -> DataFrame:
     # words of held-out texts alone are spelled; they have no customers
     none = F.array(*[zero] * (SWEEPS + 1))
     new = settle(_asked(blocks).join(words, "h", "left_anti"), "unknown")
-    unknown = new.join(spelled.unmet(new.select("word").distinct()), "word").select("h", zero.alias("c"), F.pow(F.lit(10.0), "base").alias("base"), none.alias("customers"), none.alias("tables"), none.alias("seats"))
+    unknown = spelled.unmet(new.select("h", "word")).select("h", zero.alias("c"), F.pow(F.lit(10.0), "base").alias("base"), none.alias("customers"), none.alias("tables"), none.alias("seats"))
     extra = answer_others(others, rare_counts, words.unionByName(unknown), hot, law, F.when(F.col("c").isNotNull(), share(F.col("c"))))
     replies = answer_pairs(requests, hot, law).unionByName(blocks.filter("part = -1"))
 

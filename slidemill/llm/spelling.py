@@ -7,6 +7,7 @@ chances of all words, the empty one (the end of a text) among them, sum to one.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ THETA, SWEEPS, KEEP = 2.0, 5, 2
 BYTES = 251
 #: Contexts and bytes of the spelling that one group samples, about; and those that are broadcast, at most.
 SHARD, BROADCAST = 10_000, 2_000_000
+#: Words whose n-grams a task counts at once.
+AT_ONCE = 100_000
 
 
 def _codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,9 +55,14 @@ def gram_counts(words: DataFrame) -> DataFrame:
     """gram (a context of up to ORDER bytes and the byte after it), n over words(word), each once."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            code, n = np.unique(_codes([bytes(w) for w in batch["word"]])[0], return_counts=True)
-            yield pd.DataFrame({"code": code, "n": n.astype(np.int64)})
+        held: list[bytes] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.extend(batch["word"])
+            if held and (batch is None or len(held) > AT_ONCE):
+                code, n = np.unique(_codes(held)[0], return_counts=True)
+                held = []
+                yield pd.DataFrame({"code": code, "n": n.astype(np.int64)})
 
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -69,45 +77,70 @@ class Spelling:
 
     def __init__(self, grams: DataFrame, contexts: DataFrame):
         self._small = small_enough(grams, BROADCAST)
-        self._grams, self._contexts = grams, contexts
+        self._grams, self._contexts, self._held = grams, contexts, None
 
     def met(self, words: DataFrame) -> DataFrame:
         """The columns of words and base, log10 of the spelling, of words(word, ...) whose bytes were all fitted."""
-        mean = self._grams.select("gram", F.log10(F.aggregate("ps", F.lit(0.0), lambda a, p: a + p) / F.size("ps")).alias("p"))
         if not self._small:
+            mean = self._grams.select("gram", F.log10(F.aggregate("ps", F.lit(0.0), lambda a, p: a + p) / F.size("ps")).alias("p"))
             space = F.lit(bytearray(b" "))
             ends = words.withColumn("s", F.concat(space, "word", space)).withColumn("i", F.explode(F.sequence(F.lit(2), F.length("s"))))
             ends = ends.withColumn("gram", F.expr(f"substring(s, greatest(i - {ORDER}, 1), least(i, {ORDER + 1}))"))
             return ends.join(mean, "gram").groupBy(*words.columns).agg(F.sum("p").alias("base"))
-        found = arrays(mean)  # BROADCAST at most
-        codes = np.array([_code(g) for g in found["gram"]], np.int64)
-        order = np.argsort(codes)
-        held = words.sparkSession.sparkContext.broadcast((codes[order], found["p"][order]))
+        return self._walked(words)
+
+    def _walked(self, words: DataFrame) -> DataFrame:
+        """The same of any words, by a broadcast table: a byte that its context does not have is left to the contexts of less bytes, then to an even share."""
+        if self._held is None:
+            sides = []
+            for table, key, of in ((self._grams, "gram", "ps"), (self._contexts, "ctx", "bs")):
+                found = arrays(table.select(key, *[F.col(of)[j].alias(f"v{j}") for j in range(KEEP)]))  # BROADCAST at most
+                codes = np.array([_code(g) for g in found[key]], np.int64)
+                order = np.argsort(codes)
+                sides += [codes[order], np.array([found[f"v{j}"][order] for j in range(KEEP)])]
+            self._held = words.sparkSession.sparkContext.broadcast(tuple(sides))
+        held = self._held
 
         def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known, p = held.value
+            grams, ps, contexts, bs = held.value
+            low = lambda code, k: (code & (1 << 8 * k) - 1) + (k << 8 * (ORDER + 1))
             for batch in batches:
-                if len(batch):
-                    codes, first = _codes([bytes(w) for w in batch["word"]])
-                    yield batch.assign(base=np.add.reduceat(p[np.searchsorted(known, codes)], first))
+                if not len(batch):
+                    continue
+                codes, first = _codes(list(batch["word"]))
+                p, left, size = np.zeros((KEEP, len(codes))), np.ones((KEEP, len(codes))), codes >> 8 * (ORDER + 1)
+                for k in range(ORDER, -1, -1):
+                    i = np.flatnonzero((size > k) & (p[0] == 0))
+                    gram = low(codes[i], k + 1)
+                    at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+                    met = grams[at] == gram if len(grams) else np.zeros(len(i), bool)
+                    p[:, i[met]] = left[:, i[met]] * ps[:, at[met]]
+                    i = i[~met]
+                    ctx = low(codes[i] >> 8, k)
+                    at = np.minimum(np.searchsorted(contexts, ctx), len(contexts) - 1)
+                    met = contexts[at] == ctx
+                    left[:, i[met]] *= bs[:, at[met]]
+                p = np.where(p == 0, left / BYTES, p)
+                yield batch.assign(base=np.add.reduceat(np.log10(p.mean(axis=0)), first))
 
         return words.mapInPandas(spelled, ", ".join(f"{k} {t}" for k, t in [*words.dtypes, ("base", "double")]))
 
     def unmet(self, words: DataFrame) -> DataFrame:
-        """word, base of any words(word), each once: a byte that its context does not have is left to the contexts of less bytes, then to an even share."""
-        hint = F.broadcast if self._small else lambda df: df
+        """The columns of words and base of any words(word, ...), each once: a byte that its context does not have is left to the contexts of less bytes, then to an even share."""
+        if self._small:
+            return self._walked(words)
         space = F.lit(bytearray(b" "))
         ends = words.withColumn("s", F.concat(space, "word", space)).withColumn("i", F.explode(F.sequence(F.lit(2), F.length("s"))))
         ends = ends.withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.col("i") - 1, F.lit(ORDER)))))
-        asked = ends.select("word", "i", "k", F.expr("substring(s, i - k, k + 1)").alias("gram"), F.expr("substring(s, i - k, k)").alias("ctx"))
-        found = asked.join(hint(self._grams), "gram", "left").join(hint(self._contexts), "ctx", "left")
-        steps = found.groupBy("word", "i").agg(F.sort_array(F.collect_list(F.struct("k", "ps", "bs")), asc=False).alias("steps"))
+        asked = ends.select(*words.columns, "i", "k", F.expr("substring(s, i - k, k + 1)").alias("gram"), F.expr("substring(s, i - k, k)").alias("ctx"))
+        found = asked.join(self._grams, "gram", "left").join(self._contexts, "ctx", "left")
+        steps = found.groupBy(*words.columns, "i").agg(F.sort_array(F.collect_list(F.struct("k", "ps", "bs")), asc=False).alias("steps"))
         one = lambda j: (
             "aggregate(steps, named_struct('left', 1D, 'p', CAST(NULL AS DOUBLE)), (a, x) -> named_struct("
             f"'left', a.left * IF(a.p IS NULL AND x.ps IS NULL, coalesce(x.bs[{j}], 1D), 1D), 'p', coalesce(a.p, a.left * x.ps[{j}])), a -> coalesce(a.p, a.left / {BYTES}))"
         )
         p = sum((F.expr(one(j)) for j in range(1, KEEP)), F.expr(one(0))) / KEEP
-        return steps.select("word", F.log10(p).alias("p")).groupBy("word").agg(F.sum("p").alias("base"))
+        return steps.select(*words.columns, F.log10(p).alias("p")).groupBy(*words.columns).agg(F.sum("p").alias("base"))
 
 
 def spelling(words: DataFrame) -> Spelling:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at once, about; a longer word is hashed whole.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 BASE = 0x2545F4914F6CDD1D
 _white = np.zeros(256, bool)
 _white[[9, 10, 11, 12, 13, 32]] = True
