@@ -32,10 +32,12 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. A temporary one only where that is unset and the master is local; else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="slidemill-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
@@ -57,6 +59,11 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of a whole row of df; maps, which have no hash, count by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema.fields])
+
+
 def arrays(df: DataFrame) -> dict:
     """The columns of df, bounded and without nulls, as numpy arrays on the driver; they come by Arrow, not row by row."""
     found = df.toArrow()

@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from slidemill.llm.common import settle
 
 
+#: Edges over those of one node beyond which its neighbours are joined by broadcast, at least.
+HOT = 100
+
+
+def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """edges(u, v) with m of least(u, m, n); n: neighbours of u. Nodes with over a 500th of all edges, 1,000 at most as the ns sum to twice the edges, are joined by broadcast, so that no task gets all their neighbours."""
+    limit = max(HOT, n_edges // 500)
+    hot = least.filter(F.col("n") > limit).select("u", F.col("m").alias("hot"))
+    met = edges.join(F.broadcast(hot), "u", "left")
+    rest = met.filter("hot is null").drop("hot").join(least.filter(F.col("n") <= limit).select("u", "m"), "u")
+    return met.filter("hot is not null").select("u", "v", F.col("hot").alias("m")).unionByName(rest)
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -17,16 +30,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs every node's larger neighbours under its smallest one, then the smaller ones; the
     diameter falls by a constant factor. Each round is written to the shared folder. Groups are only ever
-    reduced to their minimum, so a node with very many neighbours is no large group.
+    reduced to their minimum, by partial sums, and neighbours of a node with very many meet it where they are.
     """
     e = settle(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while (now := _state(e)) != before:
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.filter("v > u"), least, now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, now[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         e = settle(small.filter("u <> v").distinct(), "edges")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -1,7 +1,8 @@
 """Near-duplicate documents: SimHash of word shingles, BK-trees over shards of fingerprints, components.
 
-Two fingerprints within the radius agree on at least two of six blocks of bits, so each pair of blocks makes
-a shard of the fingerprints that share its bits. A shard's fingerprints form a BK-tree whose children are
+Of b blocks of bits, two fingerprints within radius r agree on at least b - r, so each choice of b - r blocks makes
+a shard of the fingerprints that share its bits. The more fingerprints, the more blocks: keys are 21 bits of two of six
+blocks, 27 of three of seven, or 32 of four of eight at radius 4, so shards stay small. A shard's fingerprints form a BK-tree whose children are
 keyed by their integer Hamming distance to the parent, and a search follows only edges within the radius.
 Shards are dealt by shuffle, not broadcast: together they hold every fingerprint of the corpus.
 """
@@ -16,14 +17,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidemill.llm.common import pick, settle
+from slidemill.llm.common import pick, row_hash, settle, small_enough
 from slidemill.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: First bit and width of the blocks; any radius up to their number less two is served by pairs of blocks.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Fingerprints up to which the radius and two, three or four blocks more are used, so that a shard has some at most if bits are even.
+SIZES = ((20_000_000, 2), (1_000_000_000, 3))
 #: Fingerprints of one shard's cell; larger shards are dealt into cells of two such parts, every pair of parts once.
 CELL = 1024
+#: Rows that go up to which they are broadcast (about 40 MB) and no text is shuffled.
+LOSERS = 1_000_000
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -103,16 +106,29 @@ def _stars(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
         label = new
 
 
-def link(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def shard_keys(fp: Column, radius: int, agree: int) -> Column:
+    """An array of keys, one for each choice of `agree` of radius + agree blocks."""
+    blocks = radius + agree
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    keys = []
+    for k, chosen in enumerate(combinations(range(blocks), agree)):
+        key = F.lit(k).cast("long")
+        for i in chosen:
+            width = ends[i + 1] - ends[i]
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(fp, ends[i]).bitwiseAND((1 << width) - 1))
+        keys.append(key)
+    return F.array(*keys)
+
+
+def link(fps: DataFrame, radius: int = RADIUS, sizes: tuple[tuple[int, int], ...] = SIZES) -> DataFrame:
     """u, v: links between distinct fingerprints fps(fp) that join just those that chains of at most `radius` differing bits join.
 
     Within a cell of a shard, links are given as stars, one for each fingerprint at most, in place of all pairs.
     """
-    if not 0 <= radius <= len(BLOCKS) - 2:
-        raise ValueError(f"radius must be from 0 to {len(BLOCKS) - 2}")
-    part = lambda i: F.shiftrightunsigned("fp", BLOCKS[i][0]).bitwiseAND(2 ** BLOCKS[i][1] - 1)
-    keys = [F.shiftleft(part(i), 18).bitwiseOR(F.shiftleft(part(j), 6)).bitwiseOR(F.lit(k)) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    if not 0 <= radius <= 8:
+        raise ValueError("radius must be from 0 to 8")
+    n = fps.count()
+    keyed = fps.select("fp", F.explode(shard_keys(F.col("fp"), radius, next((k for most, k in sizes if n <= most), 4))).alias("key"))
     shards = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     held = keyed.join(shards, "key").withColumn("parts", F.ceil(F.col("n") / CELL).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp", "key"), "parts").cast("int"))
     dealt = held.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
@@ -163,15 +179,19 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     """The rows of docs, all columns, less all but one of each component: that with the smallest doc_id, null last; ties by a hash of the row, equal rows leave one."""
     names = docs.columns
     bare = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    bare = bare.withColumns({"key": F.col(f"c{names.index('doc_id')}").cast("long"), "row": F.xxhash64(*bare.columns)})
+    cols = bare.columns
+    bare = bare.withColumns({"key": F.col(f"c{names.index('doc_id')}").cast("long"), "row": row_hash(bare)})
     hashed = settle(bare.select("key", "row", fingerprint(F.col(f"c{names.index('text')}"), shingle).alias("fp")), "fingerprints")
     first = F.struct(F.col("key").isNull().alias("none"), "key", "row")
-    fps = settle(hashed.groupBy("fp", "key", "row").agg(F.count("*").alias("n")).groupBy("fp").agg(F.min_by(F.struct(first.alias("first"), "n"), first).alias("best")), "distinct")
-    roots = fps.join(settle(classes(fps.select("fp"), radius), "classes"), "fp", "left")
-    best = roots.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min_by("best", F.col("best.first")).alias("best"))
-    chosen = best.select(F.col("best.first.key").alias("key"), F.col("best.first.row").alias("row"), F.col("best.n").alias("n"))
-    kept = bare.alias("a").join(chosen.alias("b"), F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.row") == F.col("b.row")))
-    kept = kept.select("a.*", "n")
-    once, more = kept.filter("n = 1"), kept.filter("n > 1")
-    cols = [f"c{i}" for i in range(len(names))]
-    return once.select(cols).unionByName(more.dropDuplicates(["key", "row"]).select(cols)).toDF(*names)
+    rows = hashed.groupBy("fp", "key", "row").agg(F.count("*").alias("n")).withColumn("first", first)
+    roots = settle(classes(settle(hashed.select("fp").distinct(), "distinct"), radius), "classes")
+    rows = settle(rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).drop("fp"), "rows")
+    best = rows.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("size")).filter("size > 1")
+    # rows that go: all of a group but its first, and of that all but one of its equals
+    grouped = rows.join(best, "root").withColumn("last", ~F.col("first").eqNullSafe(F.col("best"))).filter("last or n > 1").select("key", "row", "last")
+    gone = settle(grouped.select("row", F.coalesce("key", F.lit(0)).alias("key"), F.col("key").isNull().alias("none"), "last").distinct(), "gone")
+    bare = bare.withColumns({"none": F.col("key").isNull(), "key": F.coalesce("key", F.lit(0))})
+    small = F.broadcast if small_enough(gone, LOSERS) else lambda df: df
+    kept = bare.join(small(gone), ["key", "none", "row"], "left")
+    once = kept.filter("last is null").select(cols)
+    return once.unionByName(kept.filter("not last").dropDuplicates(["key", "none", "row"]).select(cols)).toDF(*names)

@@ -91,4 +91,44 @@ def test_empty(spark):
     assert neardup.near_duplicates(df).count() == 0
     assert neardup.keep_one(df).count() == 0
     with pytest.raises(ValueError):
-        neardup.link(df.select(F.col("doc_id").alias("fp")), 5)
+        neardup.link(df.select(F.col("doc_id").alias("fp")), 9)
+
+
+def test_blocks_by_size(spark):
+    """More blocks for more fingerprints find the same links."""
+    r = random.Random(4)
+    fps = {r.getrandbits(64) for _ in range(40)}
+    for f in list(fps):
+        for k in (1, 3, 4, 5):
+            x = f
+            for b in r.sample(range(64), k):
+                x ^= 1 << b
+            fps.add(x)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(s,) for s in signed], "fp long")
+    want = brute_components(fps, signed)
+    for sizes in (((10**9, 2),), ((1, 2), (10**9, 3)), ((1, 2), (2, 3))):
+        out = {a: b for a, b in neardup.components(neardup.link(df, sizes=sizes)).collect()}
+        assert [out.get(s, s) for s in signed] == want
+
+
+def test_hot_nodes(spark, monkeypatch):
+    """A node with very many neighbours, joined by broadcast and not."""
+    from slidemill.llm import components
+
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1000, 1040)] + [(299, 5000)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    want = {**dict.fromkeys([*range(300), 5000], 0), **dict.fromkeys(range(1000, 1041), 1000)}
+    for hot in (5, 10_000):
+        monkeypatch.setattr(components, "HOT", hot)
+        assert dict(map(tuple, components.components(df).collect())) == want
+
+
+def test_keep_one_with_maps_and_large(spark, monkeypatch):
+    """A map column; and rows that go joined by shuffle."""
+    rows = [(i, "a b c d e f" if i % 2 else f"text number {i} of its own {i * 7} words {i * 3}") for i in range(30)] + [(1, "a b c d e f")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    for most in (1_000_000, 1):
+        monkeypatch.setattr(neardup, "LOSERS", most)
+        assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == [0, 1, *range(2, 30, 2)]
