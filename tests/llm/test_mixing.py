@@ -74,3 +74,35 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", F.lit(1).alias("copies"), F.lit("q").alias("SOURCE"))
     assert check(spark, df, block=5).count() == len(rows)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_turns_are_permutations(spark):
+    """In every pass each block of a source has one turn, and a row has a turn for each copy."""
+    rows = [(i, "w " * (1 + i % 9), "big" if i % 4 else "small") for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=20).collect()
+    assert all(len(r.turns) == r.copies for r in got)
+    for source in ("big", "small"):
+        own = [r for r in got if r.source == source]
+        orders = []
+        for p in range(max(r.copies for r in own)):
+            turn = {r.block: r.turns[p] for r in own if r.copies > p}
+            assert all(r.turns[p] == turn[r.block] for r in own if r.copies > p) and len(set(turn.values())) == len(turn)
+            if all(r.copies > p for r in own):
+                assert sorted(turn.values()) == list(range(len(turn)))
+            orders.append(tuple(b for b, _ in sorted(turn.items(), key=lambda x: x[1])))
+        assert len(set(orders)) == len(orders)
+
+
+def test_many_sources_and_blocks(spark, monkeypatch):
+    """A source per row; weights solved by name and by numbers of tokens agree; fewer blocks at most leave the budget as it is."""
+    rows = [(i, "w " * (1 + i % 13), f"host{i % 500}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda r: (r.doc_id, r.source, r.n_tokens, round(r.weight, 12), round(r.alpha, 9), r.copies)
+    by_name = sorted(map(key, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    assert sorted(map(key, mixing.mix(df).collect())) == by_name
+    for most in (2, 65_536):
+        monkeypatch.setattr(mixing, "BLOCKS", most)
+        got = mixing.mix(spark.createDataFrame([(i, "a b", "one" if i % 3 else "two") for i in range(300)], "doc_id long, text string, source string"), block=10)
+        drawn = {r.source: (r.n, r.w) for r in got.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("n"), F.first("weight").alias("w")).collect()}
+        assert all(abs(n - w * 600) <= 3 for n, w in drawn.values())
