@@ -12,14 +12,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slidemill.llm.common import SPACE, pick, small_enough
+from slidemill.llm.common import SPACE, pick, settle, small_enough
 
 LANE = 21
 LANES = (1 << 0) | (1 << LANE) | (1 << 2 * LANE)
 #: Terms that a lane can count; beyond, the bits are counted one by one.
 MOST = (1 << LANE) - 1
-#: Ranges of ids that documents are dealt into, at most.
-RANGES = 10_000
+#: Ranges of ids between percentiles, at most; each is dealt on by even steps, so rows of a range stay few at any size.
+RANGES = 2_000
 EDGES = " \t\n\x0b\x0c\r"
 
 
@@ -92,42 +92,80 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / F.lit(64.0)
 
 
-def edited_documents(docs: DataFrame, per_range: int = 2000) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs(doc_id, text).
+def ranged(rows: DataFrame, per_range: int) -> DataFrame:
+    """rows(doc_id, text) with a range (cut, step): ascending in the order of doc_id (null first), hash of the text; about per_range rows each.
+
+    Percentiles of doc_id cut the rows RANGES times at most; between two cuts ids go by even steps. An id that
+    fills whole percentiles, or null, is dealt by the hash of its texts, which comes second in the order.
+    """
+    n, known = rows.agg(F.count("*"), F.count("doc_id")).first()
+    parts = max(1, min(RANGES, -(-known // per_range)))
+    steps = max(1, -(-known // (parts * per_range)))
+    cuts = rows.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [i / parts for i in range(parts)] + [1.0], 20 * parts)).first()[0] if known else [0, 0]
+    times = {x: cuts.count(x) for x in cuts}
+    heavy = {x: k * steps for x, k in times.items() if k > 1 and parts > 1}
+    edges = sorted(times)
+    cut = _range_of(F.col("doc_id"), edges) - 1
+    low, high = (F.element_at(F.array(*[F.lit(int(x)) for x in side]), F.greatest(cut, F.lit(0)) + 1) for side in (edges, [*edges[1:], edges[-1] + 1]))
+    even = F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1)) * steps)
+    by_hash = lambda k: F.floor((F.col("hash").cast("double") / float(1 << 64) + 0.5) * k)
+    many = F.lit(0)
+    for x, k in heavy.items():
+        many = F.when(F.col("doc_id") == x, F.lit(k)).otherwise(many)
+    spread = max([*heavy.values(), 1])
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("heavy", many)
+    step = F.when(F.col("doc_id").isNull(), by_hash(max(1, -(-(n - known) // per_range)))).when(F.col("heavy") > 0, by_hash(F.col("heavy"))).otherwise((even + 1) * spread)
+    return rows.withColumns({"cut": F.when(F.col("doc_id").isNull(), F.lit(-2)).otherwise(cut).cast("int"), "step": step.cast("long")}).drop("heavy")
+
+
+def edited_documents(docs: DataFrame, per_range: int = 2000, radius: int = 3) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within, least_within of every row of docs(doc_id, text).
 
     The edited text has the last floor(n_chars / 4) code points replaced by as many (or all) of the first
     of the next document in ascending doc_id, after the last the first. Null texts count as empty. Rows of
-    one doc_id follow each other by text; null ids come first. A table of one row is its own next; an empty
+    one doc_id follow each other by the hash of the text, then by the text; null ids come first. A table of one row is its own next; an empty
     table gives an empty result; other columns are ignored whatever their names.
 
-    Rows are dealt once, into ranges of doc_id of about per_range rows between percentiles; the next of a
+    Rows whose doc_id is divisible by 100 also ask which fingerprints of all rows are within the radius:
+    n_within is how many rows have one (the row itself included), least_within their smallest doc_id. For other rows both are null.
+
+    Rows are dealt once, into ranges of doc_id of about per_range rows; the next of a
     range's last row is the first row of the next range, found among the ranges' first rows alone.
     """
-    rows = pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    n, least = rows.agg(F.count("*"), F.min("doc_id")).first()
-    least = 0 if least is None else least
-    parts = max(1, min(RANGES, -(-n // per_range)))
-    cuts = rows.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] if n else None
-    cuts = sorted(set(cuts or []))
-    id_ = F.coalesce("doc_id", F.lit(least))
-    rows = rows.withColumn("range", _range_of(id_, cuts))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    own = Window.partitionBy("range").orderBy(*order)
+    rows = ranged(pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit(""))), per_range)
+    own = Window.partitionBy("cut", "step").orderBy(F.col("doc_id").asc_nulls_first(), "hash", "text")
     after = with_fingerprints(rows, fp="text").withColumns({"next_text": F.lead("text").over(own), "next_fp": F.lead("fp").over(own)})
 
-    ids = rows.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first")).select("range", F.col("first.doc_id").alias("doc_id"))
-    along = Window.orderBy("range")  # one row for each of at most RANGES ranges
-    ids = ids.select(F.col("range").alias("at"), F.col("doc_id").alias("first_id"), F.coalesce(F.lag("range").over(along), F.max("range").over(Window.partitionBy())).alias("for_range"))
-    found = rows.join(F.broadcast(ids), (F.col("range") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    heads = with_fingerprints(found.groupBy(F.col("for_range").alias("range")).agg(F.min("text").alias("head_text")), head_fp="head_text")
-    after = after.join(heads, "range", "left").withColumns({"next_text": F.when(F.col("next_fp").isNull(), F.col("head_text")).otherwise(F.col("next_text")), "next_fp": F.coalesce("next_fp", "head_fp")})
+    # the first row of each range is the next of the range before it: ranges of one cut, then cuts, in order
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "hash")
+    firsts = settle(rows.groupBy("cut", "step").agg(F.min(place).alias("first")), "range-firsts")
+    within = firsts.withColumn("next", F.lead("first").over(Window.partitionBy("cut").orderBy("step")))
+    heads = firsts.groupBy("cut").agg(F.min_by("first", "step").alias("head"))
+    heads = heads.select("cut", F.coalesce(F.lead("head").over(Window.orderBy("cut")), F.first("head").over(Window.orderBy("cut"))).alias("head"))  # RANGES + 2 rows at most
+    nexts = within.join(F.broadcast(heads), "cut").select("cut", "step", F.coalesce("next", "head").alias("first"))
+    asked = nexts.select(F.col("first.doc_id").alias("doc_id"), F.col("first.known").alias("known"), F.col("first.hash").alias("hash"), F.col("cut").alias("for_cut"), F.col("step").alias("for_step"))
+    found = rows.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNotNull().alias("known"), "hash", "text")
+    asked = asked.withColumn("id", F.coalesce("doc_id", F.lit(0))).drop("doc_id")
+    hint = F.broadcast if small_enough(asked, QUERIES) else lambda df: df
+    found = found.join(hint(asked), ["id", "known", "hash"])
+    first_texts = with_fingerprints(found.groupBy(F.col("for_cut").alias("cut"), F.col("for_step").alias("step")).agg(F.min("text").alias("head_text")), head_fp="head_text")
+    after = after.join(first_texts, ["cut", "step"], "left").withColumns({"next_text": F.when(F.col("next_fp").isNull(), F.col("head_text")).otherwise(F.col("next_text")), "next_fp": F.coalesce("next_fp", "head_fp")})
 
     q = F.floor(F.length("text") / 4).cast("int")
     edited = after.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - q), F.substring("next_text", F.lit(1), q)))
     edited = with_fingerprints(edited.select("doc_id", F.length("text").cast("long").alias("n_chars"), "fp", "next_fp", "edited"), efp="edited")
-    return edited.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), hexed(F.col("fp")).alias("fingerprint"), hexed(F.col("efp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    sha = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    edited = settle(edited.select("doc_id", "n_chars", sha, "fp", "efp", "next_fp"), "edited")
+
+    fps = edited.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    asks = F.col("doc_id") % 100 == 0
+    met = within_radius(edited.filter(asks).select("fp"), fps, radius, radius + 2).join(fps, "fp").groupBy("query_fp").agg(F.sum("n").alias("n_within"), F.min("least").alias("least_within"))
+    none = F.lit(None).cast("long")
+    out = edited.filter(asks).join(met, F.col("fp") == F.col("query_fp"), "left").drop("query_fp")
+    out = out.unionByName(edited.filter(~F.coalesce(asks, F.lit(False))).withColumns({"n_within": none, "least_within": none}))
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", hexed(F.col("fp")).alias("fingerprint"), hexed(F.col("efp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_within", "least_within",
     )
 
 

@@ -27,17 +27,39 @@ def test_edited_documents(spark, monkeypatch):
     rows = [(i * 3, " ".join(r.choice(words) for _ in range(r.randint(0, 60)))) for i in range(40)]
     rows += [(9, "same id, other text"), (12, None), (15, " \n"), (None, "no id"), (10_000, "long " * 3000), (21, rows[7][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("c").alias("TEXT"), F.lit(1).alias("fp"), F.lit(2).alias("range"))
-    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    # the same hash as Spark's, signed
+    key = lambda t: h(t.encode()) - (1 << 64) * (h(t.encode()) >> 63)
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, key(x[1])))
+    want = expected(order)
+    for per_range, ranges in ((7, 2000), (2000, 2000), (3, 4), (1, 3)):
+        monkeypatch.setattr(fpr, "RANGES", ranges)
+        got = fpr.edited_documents(df, per_range=per_range).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def expected(order):
     want = []
+    prints = [(i, int(brute(t), 16)) for i, t in order]
+    like = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 64
     for k, (i, t) in enumerate(order):
         nxt = order[(k + 1) % len(order)][1]
         q = len(t) // 4
         e = t[: len(t) - q] + nxt[:q]
-        like = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 64
-        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), brute(t), brute(e), like(brute(t), brute(e)), like(brute(t), brute(nxt))))
-    for per_range in (7, 2000):
-        got = fpr.edited_documents(df, per_range=per_range).collect()
-        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+        near = [j for j, f in prints if (f ^ prints[k][1]).bit_count() <= 3] if i is not None and i % 100 == 0 else None
+        within = (len(near), min(j for j in near if j is not None)) if near else (None, None)
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), brute(t), brute(e), like(brute(t), brute(e)), like(brute(t), brute(nxt)), *within))
+    return want
+
+
+def test_one_id_and_null_fill_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fpr, "RANGES", 5)
+    rows = [(100, f"row {i} of one id") for i in range(60)] + [(None, f"none {i}") for i in range(40)] + [(i * 50, f"w {i}") for i in range(20)] + [(10**12, "far")]
+    key = lambda t: h(t.encode()) - (1 << 64) * (h(t.encode()) >> 63)
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, key(x[1])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, fpr.edited_documents(df, per_range=4).collect()), key=str) == sorted(expected(order), key=str)
+    sizes = [r["count"] for r in fpr.ranged(df, 4).groupBy("cut", "step").count().collect()]
+    assert max(sizes) <= 20
 
 
 def test_very_many_terms(spark, monkeypatch):
