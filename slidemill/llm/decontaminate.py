@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidemill.llm.common import pick, settle
+from slidemill.llm.common import pick, row_hash, settle
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -89,7 +89,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     """The rows of docs, all columns, that contain no item to the threshold."""
     names = docs.columns
     bare = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    bare = bare.withColumns({"key": F.col(f"c{names.index('doc_id')}").cast("long"), "row": F.xxhash64(*bare.columns), "text": F.col(f"c{names.index('text')}").cast("string")})
+    bare = bare.withColumns({"key": F.col(f"c{names.index('doc_id')}").cast("long"), "row": row_hash(bare), "text": F.col(f"c{names.index('text')}").cast("string")})
     hits = settle(find(bare, items, threshold, carry=("key", "row")).select("key", "row").distinct(), "hits").alias("b")
     left = bare.alias("a").join(hits, F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.row") == F.col("b.row")), "left_anti")
     return left.select(*[f"c{i}" for i in range(len(names))]).toDF(*names)

@@ -58,3 +58,10 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert dc.decontaminate(docs, items.limit(0)).count() == 0
     assert dc.clean(docs, items).count() == 0 and dc.clean(docs, items.limit(0)).count() == 1
+
+
+def test_clean_with_a_map_column(spark):
+    words = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([(1, " ".join(words[:12]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "nothing of it here at all")], "doc_id long, text string").withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    assert [r.doc_id for r in dc.clean(docs, items).collect()] == [2]
