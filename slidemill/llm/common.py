@@ -11,6 +11,7 @@ from pyspark.sql.types import StructField, StructType
 
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders that settle() has written in this process.
 _settled: list[str] = []
 
@@ -44,10 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors. The write's own shuffles are deleted once it ends."""
     at = f"{shared_dir(df.sparkSession)}/slidemill/{what}-{uuid.uuid4().hex}"
     _settled.append(at)
-    df.write.parquet(at)
+    before = df.sparkSession.conf.get(CLEANUP)
+    df.sparkSession.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        df.sparkSession.conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(nullable(df.schema)).parquet(at)
 
 
