@@ -54,15 +54,28 @@ def settle(df: DataFrame, what: str) -> DataFrame:
         df.write.parquet(at)
     finally:
         df.sparkSession.conf.set(CLEANUP, before)
-    return df.sparkSession.read.schema(nullable(df.schema)).parquet(at)
+    out = df.sparkSession.read.schema(nullable(df.schema)).parquet(at)
+    out._settled_at = at
+    return out
+
+
+def forget(*settled: DataFrame) -> None:
+    """Delete tables that settle() returned; nothing that is still to be worked out may read them."""
+    for df in settled:
+        if (at := getattr(df, "_settled_at", None)) in _settled:
+            _settled.remove(at)
+            _delete(df.sparkSession, at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete what settle() has written; results that still stand on it must have been written or collected before."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _settled:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_settled.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _settled.pop())
 
 
 def row_hash(df: DataFrame) -> Column:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidemill.llm.common import arrays, crc_mod, pick, settle
+from slidemill.llm.common import arrays, crc_mod, forget, pick, settle
 from slidemill.llm.pitman_yor import discount_of, draw_tables, gamma, mixed, uniform
 from slidemill.llm.spelling import spelling
 from slidemill.llm.words import Lookup, joined, pack, unpack, word_hashes
@@ -280,8 +280,8 @@ def _asked(blocks: DataFrame) -> DataFrame:
     return blocks.filter("part = -3").mapInPandas(spread, "h long, word binary").groupBy("h").agg(F.min("word").alias("word"))
 
 
-def sampled(hot: Hot, law: Law, pairs: DataFrame, rare_pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Run the sweeps: hot and law take their states; words(h, c, base, customers, tables, seats), those that are not hot, comes back with arrays of the last three after each sweep.
+def sampled(hot: Hot, law: Law, pairs: DataFrame, rare_pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Run the sweeps: hot and law take their states; words(h, c, base, customers, tables, seats), those that are not hot, comes back with arrays of the last three after each sweep: what was settled of it, and all.
 
     Words met once have one customer, table and seat after every sweep and are in no pair met twice, so they are left out of the sweeps' joins.
     pairs: packed, of two hot words; rare_pairs(u, w, uid, wid, c): all others met twice or more.
@@ -326,12 +326,13 @@ def sampled(hot: Hot, law: Law, pairs: DataFrame, rare_pairs: DataFrame, words:
 
         after = grown.mapInPandas(seated, ", ".join(f"{k} {t}" for k, t in [*grown.dtypes, ("t1", "long")]))
         grow = lambda k, new: F.concat(k, F.array(new)).alias(k)
-        words = settle(after.select("h", "c", "base", grow("customers", "c1"), grow("tables", "t1"), grow("seats", "s1")), "words")
+        before, words = words, settle(after.select("h", "c", "base", grow("customers", "c1"), grow("tables", "t1"), grow("seats", "s1")), "words")
+        forget(before, more)
         total = words.agg(F.sum(F.element_at("customers", -1)), F.sum(F.element_at("tables", -1))).first()
         law.customers.append(int(customers.sum() + (total[0] or 0)) + fixed)
         law.tables.append(int(hot.tables[-1].sum() + (total[1] or 0)) + fixed)
     ones = F.array_repeat(F.lit(1).cast("long"), SWEEPS + 1)
-    return words.unionByName(still.select("h", "c", "base", ones.alias("customers"), ones.alias("tables"), ones.alias("seats")))
+    return words, words.unionByName(still.select("h", "c", "base", ones.alias("customers"), ones.alias("tables"), ones.alias("seats")))
 
 
 def _mean(law: Law, c: np.ndarray, context: np.ndarray, h: np.ndarray, states: list[tuple[np.ndarray, ...]]) -> np.ndarray:
@@ -380,12 +381,12 @@ def answer_others(others: DataFrame, rare_counts: DataFrame, words: DataFrame, h
             yield b[["h", "c", *p, *[f"s{k}" for k in at]]]
 
     flat = words.select("h", "c", "base", *[F.col(name)[k].alias(f"{short}{k}") for k in at for name, short in (("customers", "c"), ("tables", "t"), ("seats", "s"))])
-    state = settle(flat.mapInPandas(stated, "h long, c long, " + ", ".join(f"{k} double" for k in p) + ", " + ", ".join(f"s{k} long" for k in at)), "word-states")
+    states = settle(flat.mapInPandas(stated, "h long, c long, " + ", ".join(f"{k} double" for k in p) + ", " + ", ".join(f"s{k} long" for k in at)), "word-states")
     counted = others.join(rare_counts.select("u", "w", F.col("c").alias("n")), ["u", "w"], "left")
-    with_word = counted.filter("wid < 0").join(state.select(F.col("h").alias("w"), F.col("c").alias("wc"), *p), "w", "left")
+    with_word = counted.filter("wid < 0").join(states.select(F.col("h").alias("w"), F.col("c").alias("wc"), *p), "w", "left")
     without = counted.filter("wid >= 0").select("*", F.lit(None).cast("long").alias("wc"), *[F.lit(None).cast("double").alias(k) for k in p])
     seats = [f"s{k}" for k in at]
-    context = state.select(F.col("h").alias("u"), F.col("c").alias("uc"), *seats)
+    context = states.select(F.col("h").alias("u"), F.col("c").alias("uc"), *seats)
     rare = with_word.filter("uid < 0").unionByName(without).join(context, "u", "left")
     known = with_word.filter("uid >= 0").select("*", F.lit(None).cast("long").alias("uc"), *[F.lit(None).cast("long").alias(k) for k in seats])
     held = others.sparkSession.sparkContext.broadcast((hot.c, hot.seats[SWEEPS - KEEP :], [law.word(hot.customers[k], hot.tables[k], hot.base, k) for k in at]))
@@ -450,6 +451,7 @@ def score(docs: DataFrame) -> DataFrame:
     one = lambda k, a, b: rare_counts.groupBy(F.col(k).alias("h")).agg(F.count("*").alias(a)).select("h", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("base"), F.col(a), zero.alias(b))
     state = own.unionByName(one("w", "customers", "seats")).unionByName(one("u", "seats", "customers"))
     state = settle(state.groupBy("h").agg(*[F.max(k).alias(k) for k in ("c", "base")], *[F.sum(k).alias(k) for k in ("customers", "seats")]), "word-counts")
+    forget(vocabulary)
     hot_rows = arrays(state.filter(is_hot).select("h", F.coalesce("base", F.lit(0.0)).alias("base"), "customers", "seats"))  # HOT + 2 at most
     at = np.searchsorted(hot_h, hot_rows["h"].astype(np.int64).view(np.uint64))
     seats, customers = _summed(counted.filter("kind in (1, 2)"), len(hot_h), (1, 2))
@@ -469,13 +471,16 @@ def score(docs: DataFrame) -> DataFrame:
     law = Law(d_words, discount_of(once + few[0], twice + few[1]), [int(size[2] + customers.sum())], [int(size[3] + hot.tables[0].sum())])
     first = lambda k: F.array(k).alias(k)
     rare = rare.select("h", "c", "base", first("customers"), F.array(F.lit(1).cast("long")).alias("tables"), first("seats"))
-    words = sampled(hot, law, counted.filter("kind = 0"), rare_counts.filter("c > 1"), rare)
+    words_sampled, words = sampled(hot, law, counted.filter("kind = 0"), rare_counts.filter("c > 1"), rare)
+
+    forget(counted)
 
     # words of held-out texts alone are spelled; they have no customers
     none = F.array(*[zero] * (SWEEPS + 1))
     new = settle(_asked(blocks).join(words, "h", "left_anti"), "unknown")
     unknown = spelled.unmet(new.select("h", "word")).select("h", zero.alias("c"), F.pow(F.lit(10.0), "base").alias("base"), none.alias("customers"), none.alias("tables"), none.alias("seats"))
-    extra = answer_others(others, rare_counts, words.unionByName(unknown), hot, law, F.when(F.col("c").isNotNull(), share(F.col("c"))))
+    extra = settle(answer_others(others, rare_counts, words.unionByName(unknown), hot, law, F.when(F.col("c").isNotNull(), share(F.col("c")))), "others")
+    forget(words_sampled, state, rare_counts, new)
     replies = answer_pairs(requests, hot, law).unionByName(blocks.filter("part = -1"))
 
     def gathered(own: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
