@@ -85,29 +85,33 @@ def _kernel(name: str, x: np.ndarray) -> np.ndarray:
 INTERPOLATIONS = ("nearest", "linear", "cubic", "area", "lanczos")
 
 
-def _weights(n: int, m: int, how: str) -> np.ndarray:
-    """m x n matrix that resamples n values to m."""
+def _taps(n: int, m: int, how: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each of m values the few of n that it is made of, and their weights, (m, taps) both; taps beyond an end stand for the end."""
     scale = n / m
     if how == "nearest":
-        return np.eye(n)[np.minimum((np.arange(m) * scale).astype(int), n - 1)]
+        return np.minimum((np.arange(m) * scale).astype(int), n - 1)[:, None], np.ones((m, 1))
     if how == "area" and scale >= 1:
-        edge = np.arange(m + 1) * scale
-        lo, hi = np.arange(n)[None, :], np.arange(1, n + 1)[None, :]
-        w = np.clip(np.minimum(hi, edge[1:, None]) - np.maximum(lo, edge[:-1, None]), 0, None)
+        low, high = np.arange(m)[:, None] * scale, np.arange(1, m + 1)[:, None] * scale
+        at = np.floor(low).astype(int) + np.arange(int(np.ceil(scale)) + 1)[None, :]
+        w = np.clip(np.minimum(high, at + 1) - np.maximum(low, at), 0, None)
     else:
-        at = (np.arange(m) + 0.5) * scale - 0.5
+        center = (np.arange(m)[:, None] + 0.5) * scale - 0.5
         reach = {"linear": 1, "area": 1, "cubic": 2, "lanczos": 4}[how]
-        taps = np.floor(at)[:, None].astype(int) + np.arange(-reach + 1, reach + 1)[None, :]
-        k = _kernel("linear" if how == "area" else how, at[:, None] - taps)
-        w = np.zeros((m, n))
-        np.add.at(w, (np.repeat(np.arange(m), taps.shape[1]), np.clip(taps, 0, n - 1).ravel()), k.ravel())
-    return w / w.sum(axis=1, keepdims=True)
+        at = np.floor(center).astype(int) + np.arange(1 - reach, reach + 1)[None, :]
+        w = _kernel("linear" if how == "area" else how, center - at)
+    return np.clip(at, 0, n - 1), w / w.sum(axis=1, keepdims=True)
 
 
 def resize(image: np.ndarray, h: int, w: int, how: str = "lanczos") -> np.ndarray:
     """(h0, w0, c) uint8 to (h, w, c); separable filters, rounded half even."""
     if how not in INTERPOLATIONS:
         raise ValueError(f"unknown interpolation {how!r}; one of {INTERPOLATIONS}")
-    out = np.einsum("ab,bcd->acd", _weights(image.shape[0], h, how), image.astype(np.float64))
-    out = np.einsum("ab,cbd->cad", _weights(image.shape[1], w, how), out)
+    at, weight = _taps(image.shape[0], h, how)
+    out = np.zeros((h, *image.shape[1:]))
+    for k in range(at.shape[1]):
+        out += weight[:, k, None, None] * image[at[:, k]]
+    at, weight = _taps(image.shape[1], w, how)
+    rows, out = out, np.zeros((h, w, image.shape[2]))
+    for k in range(at.shape[1]):
+        out += weight[None, :, k, None] * rows[:, at[:, k]]
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)

@@ -6,6 +6,7 @@ or choice of stages is one pass over it, without running anything again.
 
 from __future__ import annotations
 
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -73,17 +74,18 @@ def reached(rows: DataFrame, knobs: Sequence[Knob]) -> DataFrame:
 
 
 def slider_range(rows: DataFrame, knob: Knob) -> tuple[float, float, float]:
-    """Low, high and step of a slider over the observed metric and the knob's value, widened to the step's grid."""
-    import math
-
-    lo, hi = rows.agg(F.min(knob.column), F.max(knob.column)).first()
-    lo, hi = (min(lo, knob.value), max(hi, knob.value)) if lo is not None else (min(knob.value, 0.0), max(knob.value, 1.0))
-    if knob.integer:
-        lo, hi = math.floor(lo), math.ceil(hi)
-        return float(lo), float(max(hi, lo + 1)), 1.0
-    hi = lo + 1.0 if hi <= lo else hi
-    step = 10.0 ** math.floor(math.log10((hi - lo) / 100))
-    return math.floor(lo / step) * step, math.ceil(hi / step) * step, step
+    """Low, high and step of a slider that reaches every observed value of the metric and the knob's own.
+
+    An integer knob steps by one; any other by the power of ten that gives 100 to 1,000 positions. Both ends are
+    multiples of the step. A slider has one step at least, and stands for the unit interval where nothing was observed.
+    """
+    seen = rows.agg(F.min(knob.column).alias("low"), F.max(knob.column).alias("high")).first()
+    values = [Decimal(repr(float(v))) for v in (knob.value, *(seen if seen["low"] is not None else (0, 1)))]
+    low, high = min(values), max(values)
+    step = Decimal(1) if knob.integer else Decimal(1).scaleb(((high - low) or Decimal(1)).adjusted() - 2)
+    low = (low / step).to_integral_value(ROUND_FLOOR) * step
+    high = (high / step).to_integral_value(ROUND_CEILING) * step
+    return float(low), float(max(high, low + step)), float(step)
 
 
 def text_table(funnel_rows: Sequence) -> str:

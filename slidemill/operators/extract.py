@@ -51,26 +51,40 @@ def cut_patches(planned: DataFrame, tile_size: int, policy: str = "drop", interp
     return planned.groupBy("slide_ord", "roi_index", "win_key").applyInPandas(cut, PATCH)
 
 
-def measure(patches: DataFrame, num_bins: int = 256, tissue_is_darker: bool = True, diff_thresh: float = 5.0, precision: str = "float32") -> DataFrame:
-    """All metrics in one pass over the pixels: gray_min, gray_max, gray_range, otsu_threshold, tissue_fraction, tissue_pixel_count, pen_fraction, pen_pixel_count."""
+#: Metrics by what they need of the pixels, with their types.
+METRICS = {
+    "contrast": "gray_min double, gray_max double, gray_range double",
+    "otsu": "otsu_threshold double, tissue_fraction double, tissue_pixel_count long",
+    "pen": "pen_fraction double, pen_pixel_count long",
+}
+
+
+def measure(patches: DataFrame, num_bins: int = 256, tissue_is_darker: bool = True, diff_thresh: float = 5.0, precision: str = "float32", only: tuple[str, ...] = tuple(METRICS)) -> DataFrame:
+    """Patches with the columns of METRICS, or of some of them only, in one pass over the pixels; such columns that are there already are replaced."""
     if precision not in ("float32", "float64"):
         raise ValueError("precision must be 'float32' or 'float64'")
     kind = np.dtype(precision).type
-    schema = "gray_min double, gray_max double, gray_range double, otsu_threshold double, tissue_fraction double, tissue_pixel_count long, pen_fraction double, pen_pixel_count long"
+    schema = ", ".join(METRICS[k] for k in only)
+    names = [c.split()[0] for c in schema.split(", ")]
 
     @F.pandas_udf(schema)
     def metrics(px: pd.Series, ph: pd.Series, pw: pd.Series, pc: pd.Series) -> pd.DataFrame:
         batch = pd.DataFrame({"pixels": px, "ph": ph, "pw": pw, "pc": pc})
         out = []
         for _, own in batch.groupby(["ph", "pw", "pc"], sort=False):
-            p = images(own)
-            lo, hi = pixels.gray_stats(p, kind)
-            thr = pixels.otsu(p, num_bins, kind)
-            frac, n = pixels.tissue(p, thr, tissue_is_darker, kind)
-            pf, pn = pixels.pen_fraction(p, diff_thresh)
-            out.append(pd.DataFrame({"gray_min": lo, "gray_max": hi, "gray_range": hi - lo, "otsu_threshold": thr, "tissue_fraction": frac, "tissue_pixel_count": n, "pen_fraction": pf, "pen_pixel_count": pn}, index=own.index))
-        return pd.concat(out).sort_index().astype({"tissue_pixel_count": "int64", "pen_pixel_count": "int64"}) if out else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-
+            p, found = images(own), {}
+            if "contrast" in only:
+                lo, hi = pixels.gray_stats(p, kind)
+                found |= {"gray_min": lo, "gray_max": hi, "gray_range": hi - lo}
+            if "otsu" in only:
+                found["otsu_threshold"] = pixels.otsu(p, num_bins, kind)
+                found["tissue_fraction"], found["tissue_pixel_count"] = pixels.tissue(p, found["otsu_threshold"], tissue_is_darker, kind)
+            if "pen" in only:
+                found["pen_fraction"], found["pen_pixel_count"] = pixels.pen_fraction(p, diff_thresh)
+            out.append(pd.DataFrame(found, index=own.index))
+        return pd.concat(out).sort_index()[names].astype({c: "int64" for c in names if c.endswith("count")}) if out else pd.DataFrame(columns=names)
+
+    patches = patches.drop(*names)
     return patches.withColumn("m", metrics("pixels", "ph", "pw", "pc")).select("*", "m.*").drop("m")
 
 

@@ -16,7 +16,7 @@ def select_level(levels: DataFrame, resolution: float, unit: str = "mpp", mode:
     level, checked against max_relative_deviation. floor: the smallest value of at least the request, else
     the last level. ceil and resample: the largest value of at most the request, else level 0; resample then
     changes the dims to round half even of dims / factor, and the downsample by the factor, which may be
-    below 1. error: the first level within 1e-6. A slide without a fitting level fails the query when read.
+    below 1. error: the first level within 1e-6. A slide without a fitting level, or without mpp where unit is mpp, fails the query when read.
     """
     if unit not in UNITS:
         raise ValueError(f"unknown unit {unit!r}; one of {UNITS}")
@@ -45,10 +45,10 @@ def select_level(levels: DataFrame, resolution: float, unit: str = "mpp", mode:
     else:
         at = F.when(F.col("value") <= want, F.struct("value", -F.col("level")))
         best = F.coalesce(F.max_by("this", at), F.min_by("this", "level"))
-    chosen = rows.groupBy("slide_ord").agg(best.alias("b"), F.max("mpp0").alias("mpp0"), F.min("ds").alias("ds0"))
+    chosen = rows.groupBy("slide_ord").agg(best.alias("b"), F.max("mpp0").alias("mpp0"), F.bool_or(F.col("value").isNull()).alias("unknown"))
     chosen = chosen.withColumn("value", {"level": F.col("b.level").cast("double"), "downsample": F.col("b.ds"), "mpp": F.col("mpp0") * F.col("b.ds")}[unit])
     none = F.concat(F.lit(f"no level for {unit} {resolution} by {mode} on slide "), F.col("slide_ord").cast("string"))
-    bad = F.col("b").isNull()
+    bad = F.col("b").isNull() | F.col("unknown")
     if mode == "nearest" and unit != "level" and max_relative_deviation is not None:
         bad = bad | (F.abs(F.col("value") - want) / want > max_relative_deviation)
     chosen = chosen.withColumn("b", F.when(bad, F.raise_error(none).cast(chosen.schema["b"].dataType)).otherwise(F.col("b")))

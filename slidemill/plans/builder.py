@@ -116,13 +116,22 @@ class Pipeline:
         return [s.knob for s in self.stages if s.knob is not None]
 
     def dry_run(self) -> Audit:
-        """Measure all patches with every filter open, without sink and encoders: any thresholds can then be tried on the result."""
-        open_ = []
-        for s in self.stages:
-            if s.encoder:
+        """Measure all patches with every filter open, without sink and encoders: any thresholds can then be tried on the result.
+
+        Each filter measures with its own settings and at its own place, as in an honest run. A metric that a later filter measures anew
+        is kept for the earlier one under a name of its own, metric@place.
+        """
+        open_, knobs = [], []
+        for i, s in enumerate(s for s in self.stages if not s.encoder):
+            if s.knob is None:
+                open_.append(s)
                 continue
-            open_.append(replace(s, run=lambda df, c, s=s: s.run.measure(df, c)) if s.knob is not None else s)
-        return Audit(self.frame(tuple(open_)).drop("pixels").persist(), self.knobs())
+            again = any(t.knob is not None and t.knob.column == s.knob.column for t in self.stages[self.stages.index(s) + 1 :])
+            name = f"{s.knob.column}@{i}" if again else s.knob.column
+            run = lambda df, c, s=s, name=name: (lambda d: d.withColumn(name, F.col(s.knob.column)) if name != s.knob.column else d)(s.run.measure(df, c))
+            open_.append(replace(s, run=run))
+            knobs.append(replace(s.knob, column=name))
+        return Audit(self.frame(tuple(open_)).drop("pixels").persist(), knobs)
 
 
 @dataclass
@@ -140,7 +149,7 @@ class Audit:
 
 
 class _Filter:
-    """A metric and its test; measure() leaves the test out."""
+    """A metric, measured with this filter's settings on the pixels as they are here, and its test; measure() leaves the test out."""
 
     def __init__(self, knob: Knob, metric: Callable[[DataFrame, Context], DataFrame]):
         self.knob, self.measure = knob, metric
@@ -149,11 +158,6 @@ class _Filter:
         return self.measure(df, c).filter(~self.knob.fails())
 
 
-def _once(df: DataFrame, column: str, measured: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Metrics are worked out in one pass for all filters: only where an earlier one has not."""
-    return df if column in df.columns else measured(df)
-
-
 def of_slides(spark: SparkSession, paths: list[str], resolution: float = 0.25, unit: str = "mpp", mode: str = "nearest", max_relative_deviation: float | None = 0.05) -> Pipeline:
     """A source with a row for each path: slide_ord, wsi_id, wsi_path, level, downsample, resample_factor, w, h, level_ds. A path that stands twice is two slides; no paths give no rows."""
 
@@ -200,17 +204,17 @@ def extract_patches(tile_size: int, stride: int | None = None, mode: str = "any_
 
 def low_contrast(range_threshold: float = 0.2, precision: str = "float32") -> Stage:
     knob = Knob("low_contrast", "gray_range", ">=", range_threshold)
-    return stage("low_contrast", _Filter(knob, lambda df, c: _once(df, "gray_range", lambda d: extract.measure(d, precision=precision))), "pixels", "gray_min gray_max gray_range", knob=knob)
+    return stage("low_contrast", _Filter(knob, lambda df, c: extract.measure(df, precision=precision, only=("contrast",))), "pixels", "gray_min gray_max gray_range", knob=knob)
 
 
 def otsu(min_tissue_fraction: float = 0.0, tissue_is_darker: bool = True, num_bins: int = 256, precision: str = "float32") -> Stage:
     knob = Knob("otsu", "tissue_fraction", ">=", min_tissue_fraction)
-    return stage("otsu", _Filter(knob, lambda df, c: _once(df, "tissue_fraction", lambda d: extract.measure(d, num_bins, tissue_is_darker, precision=precision))), "pixels", "otsu_threshold tissue_fraction tissue_pixel_count", knob=knob)
+    return stage("otsu", _Filter(knob, lambda df, c: extract.measure(df, num_bins, tissue_is_darker, precision=precision, only=("otsu",))), "pixels", "otsu_threshold tissue_fraction tissue_pixel_count", knob=knob)
 
 
 def pen(max_pen_fraction: float = 0.01, diff_thresh: float = 5.0) -> Stage:
     knob = Knob("pen", "pen_fraction", "<=", max_pen_fraction, permissive=1.0)
-    return stage("pen", _Filter(knob, lambda df, c: _once(df, "pen_fraction", lambda d: extract.measure(d, diff_thresh=diff_thresh))), "pixels", "pen_fraction pen_pixel_count", knob=knob)
+    return stage("pen", _Filter(knob, lambda df, c: extract.measure(df, diff_thresh=diff_thresh, only=("pen",))), "pixels", "pen_fraction pen_pixel_count", knob=knob)
 
 
 def edge(depth: int = 1) -> Stage:

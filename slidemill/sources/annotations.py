@@ -15,27 +15,34 @@ XML = "`_PartOfGroup` string, `_Type` string, Coordinates struct<Coordinate:arra
 def xml_rois(spark: SparkSession, files: dict[str, str], slides: DataFrame, group: str = "roi", annotation_downsample: float | None = None) -> DataFrame:
     """Boxes(wsi_id, ord, x, y, w, h) of the rectangles and axis-aligned four-point polygons of a group in each slide's XML file.
 
-    Corners are scaled from annotation_downsample (default: the slide's) to the slide's downsample and
-    truncated. Other polygons fail the query, other kinds of annotation are passed over.
+    Corners are scaled from annotation_downsample (default: that of the slide's level, before resampling) to the slide's
+    downsample, held against the slide's sides where slides has w and h, and
+    truncated. Other polygons, boxes beyond the slide and slides without a file fail the query; other kinds of annotation are passed over.
+    All files are one read.
     """
-    parts = []
-    for wsi_id, path in files.items():
-        rows = spark.read.format("xml").option("rowTag", "Annotation").schema(XML).load(path)
-        parts.append(rows.select(F.lit(wsi_id).alias("wsi_id"), F.monotonically_increasing_id().alias("ord"), "*"))
-    if not parts:
-        return spark.createDataFrame([], "wsi_id string, ord long, x long, y long, w long, h long")
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    names = slides.columns
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    held = [(wsi_id, path_of(path).getFileSystem(conf).makeQualified(path_of(path)).toUri().toString()) for wsi_id, path in files.items()]
+    mapped = spark.createDataFrame(held, "wsi_id string, path string")
+    own = F.col("downsample") / F.col("resample_factor") if "resample_factor" in names else F.col("downsample")
+    s = slides.select("wsi_id", (F.lit(annotation_downsample) if annotation_downsample else own).alias("from"), F.col("downsample").alias("to"), *[(F.col(k) if k in names else F.lit(None)).cast("double").alias(f"s{k}") for k in "wh"])
+    lacks = F.raise_error(F.concat(F.lit("no annotation file for slide "), "wsi_id")).cast("string")
+    s = s.join(mapped, "wsi_id", "left").withColumn("path", F.when(F.col("path").isNull(), lacks).otherwise(F.col("path")))
+    if held:
+        rows = spark.read.format("xml").option("rowTag", "Annotation").schema(XML).load(sorted(set(files.values()))).select("*", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("path"), F.monotonically_increasing_id().alias("ord"))
+    else:
+        rows = spark.createDataFrame([], XML + ", path string, ord long")
     rows = rows.filter((F.col("_PartOfGroup") == group) & F.col("_Type").isin("Rectangle", "Polygon") & F.col("Coordinates").isNotNull())
-    s = slides.select("wsi_id", (F.lit(annotation_downsample) if annotation_downsample else F.col("downsample")).alias("from"), F.col("downsample").alias("to"))
-    rows = rows.join(s, "wsi_id").withColumn("scale", F.col("from") / F.col("to"))
+    rows = s.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).join(rows, "path", "left").filter("ord is not null").withColumn("scale", F.col("from") / F.col("to"))
     c = F.col("Coordinates.Coordinate")
     xs, ys = F.transform(c, lambda p: p["_X"] * F.col("scale")), F.transform(c, lambda p: p["_Y"] * F.col("scale"))
     rows = rows.withColumns({"xs": xs, "ys": ys})
     bad = (F.col("_Type") == "Polygon") & ((F.size("xs") != 4) | (F.size(F.array_distinct("xs")) != 2) | (F.size(F.array_distinct("ys")) != 2))
     rows = rows.withColumn("xs", F.when(bad, F.raise_error(F.concat(F.lit("polygon of slide "), "wsi_id", F.lit(" is no axis-aligned box"))).cast("array<double>")).otherwise(F.col("xs")))
     low, high = lambda a: F.array_min(a), lambda a: F.array_max(a)
+    beyond = (low("xs") < 0) | (low("ys") < 0) | F.coalesce((high("xs") > F.col("sw")) | (high("ys") > F.col("sh")), F.lit(False))
+    rows = rows.withColumn("xs", F.when(beyond, F.raise_error(F.concat(F.lit("region beyond slide "), "wsi_id")).cast("array<double>")).otherwise(F.col("xs")))
     return rows.select("wsi_id", "ord", low("xs").cast("long").alias("x"), low("ys").cast("long").alias("y"), (high("xs") - low("xs")).cast("long").alias("w"), (high("ys") - low("ys")).cast("long").alias("h"))
 
 
