@@ -30,16 +30,17 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region for each line number that a part's line items have, over all of them."""
     s = slides(spark, sf_dir).withColumnsRenamed({"w": "sw", "h": "sh"})
     o = table(spark, sf_dir, "lineitem")
     j = o.join(s, o.l_partkey == s.slide_ord)
     half = lambda c: F.floor(F.col(c) / 2)
-    r = j.select(
-        "slide_ord", "wsi_id", "sw", "sh", ((F.col("l_orderkey") * 131) % half("sw")).alias("x"), ((F.col("l_orderkey") * 197 + F.col("l_linenumber") * 53) % half("sh")).alias("y"),
-        (100 + F.col("l_quantity") * 20).cast("long").alias("w"), (100 + (F.col("l_suppkey") * 173 + F.col("l_orderkey") * 7) % 900).cast("long").alias("h"),
-        (F.row_number().over(Window.partitionBy("slide_ord").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity")) - 1).cast("long").alias("roi_index"),
+    r = j.groupBy("slide_ord", "wsi_id", "sw", "sh", "l_linenumber").agg(
+        F.min((F.col("l_orderkey") * 131) % half("sw")).alias("x"), F.min((F.col("l_orderkey") * 197 + F.col("l_linenumber") * 53) % half("sh")).alias("y"),
+        (100 + (F.sum("l_quantity").cast("long") * 7) % 400).alias("w"), (100 + (F.sum("l_suppkey") * 173) % 400).alias("h"),
     )
-    return r.withColumns({"w": F.least("w", F.col("sw") - F.col("x")), "h": F.least("h", F.col("sh") - F.col("y"))})
+    index = (F.row_number().over(Window.partitionBy("slide_ord").orderBy("l_linenumber")) - 1).cast("long")
+    return r.select("slide_ord", "wsi_id", "sw", "sh", index.alias("roi_index"), "x", "y", F.least("w", F.col("sw") - F.col("x")).alias("w"), F.least("h", F.col("sh") - F.col("y")).alias("h"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +87,10 @@ SQL = {
   CASE p_partkey % 3 WHEN 0 THEN 0.25 WHEN 1 THEN 0.5 ELSE 0.2425 END::DOUBLE AS mpp0 FROM part)""",
     "vlevel": """vlevel AS (SELECT slide_ord, level, ds, CAST(floor(w / ds) AS BIGINT) AS lw, CAST(floor(h / ds) AS BIGINT) AS lh, mpp0
   FROM vslide JOIN (VALUES (0, 0, 1.0::DOUBLE), (0, 1, 2.0), (0, 2, 4.0), (0, 3, 8.0), (1, 0, 1.0), (1, 1, 4.0), (1, 2, 16.0)) AS l(par, level, ds) ON l.par = slide_ord % 2)""",
-    "vroi": """vroi AS (SELECT slide_ord, wsi_id, sw, sh, roi_index, x, y, least(w, sw - x) AS w, least(h, sh - y) AS h FROM (
-  SELECT s.slide_ord, s.wsi_id, s.w AS sw, s.h AS sh, (o.l_orderkey * 131) % (s.w // 2) AS x, (o.l_orderkey * 197 + o.l_linenumber * 53) % (s.h // 2) AS y,
-    CAST(100 + o.l_quantity * 20 AS BIGINT) AS w, 100 + (o.l_suppkey * 173 + o.l_orderkey * 7) % 900 AS h,
-    row_number() OVER (PARTITION BY s.slide_ord ORDER BY o.l_orderkey, o.l_linenumber, o.l_suppkey, o.l_extendedprice, o.l_quantity) - 1 AS roi_index
-  FROM lineitem o JOIN vslide s ON o.l_partkey = s.slide_ord))""",
+    "vroi": """vroi AS (SELECT slide_ord, wsi_id, sw, sh, row_number() OVER (PARTITION BY slide_ord ORDER BY l_linenumber) - 1 AS roi_index, x, y, least(w, sw - x) AS w, least(h, sh - y) AS h FROM (
+  SELECT s.slide_ord, s.wsi_id, s.w AS sw, s.h AS sh, o.l_linenumber, min((o.l_orderkey * 131) % (s.w // 2)) AS x, min((o.l_orderkey * 197 + o.l_linenumber * 53) % (s.h // 2)) AS y,
+    100 + (CAST(sum(o.l_quantity) AS BIGINT) * 7) % 400 AS w, 100 + CAST((sum(o.l_suppkey) * 173) % 400 AS BIGINT) AS h
+  FROM lineitem o JOIN vslide s ON o.l_partkey = s.slide_ord GROUP BY s.slide_ord, s.wsi_id, s.w, s.h, o.l_linenumber))""",
     "vpoint": """vpoint AS (SELECT s.slide_ord, (o.l_orderkey * 7919 + o.l_linenumber * 104729) % s.w AS px, (o.l_suppkey * 6151 + o.l_orderkey * 31) % s.h AS py, CAST(o.l_linenumber AS INT) AS label
   FROM lineitem o JOIN vslide s ON o.l_partkey = s.slide_ord)""",
     "vfeature": """vfeature AS (SELECT s.slide_ord, e.event_id AS fid, CAST((e.event_id * 613) % s.w AS DOUBLE) AS cx, CAST((e.event_id * 389 + e.user_id) % s.h AS DOUBLE) AS cy,
