@@ -369,7 +369,7 @@ def answer_pairs(requests: DataFrame, hot: Hot, law: Law) -> DataFrame:
 
 
 def answer_others(others: DataFrame, rare_counts: DataFrame, words: DataFrame, hot: Hot, law: Law, base: Column) -> DataFrame:
-    """batch, doc, model, base, known: sums over the tokens of others. base: log10 of a word's share from its count c."""
+    """batch, doc, model, base, known: sums over the tokens of others, up to three rows for a text. base: log10 of a word's share from its count c."""
     at = range(SWEEPS - KEEP, SWEEPS + 1)
     p = [f"p{k}" for k in at]
 
@@ -382,13 +382,17 @@ def answer_others(others: DataFrame, rare_counts: DataFrame, words: DataFrame, h
 
     flat = words.select("h", "c", "base", *[F.col(name)[k].alias(f"{short}{k}") for k in at for name, short in (("customers", "c"), ("tables", "t"), ("seats", "s"))])
     states = settle(flat.mapInPandas(stated, "h long, c long, " + ", ".join(f"{k} double" for k in p) + ", " + ", ".join(f"s{k} long" for k in at)), "word-states")
-    counted = others.join(rare_counts.select("u", "w", F.col("c").alias("n")), ["u", "w"], "left")
-    with_word = counted.filter("wid < 0").join(states.select(F.col("h").alias("w"), F.col("c").alias("wc"), *p), "w", "left")
-    without = counted.filter("wid >= 0").select("*", F.lit(None).cast("long").alias("wc"), *[F.lit(None).cast("double").alias(k) for k in p])
     seats = [f"s{k}" for k in at]
+    word = states.select(F.col("h").alias("w"), F.col("c").alias("wc"), *p)
     context = states.select(F.col("h").alias("u"), F.col("c").alias("uc"), *seats)
-    rare = with_word.filter("uid < 0").unionByName(without).join(context, "u", "left")
-    known = with_word.filter("uid >= 0").select("*", F.lit(None).cast("long").alias("uc"), *[F.lit(None).cast("long").alias(k) for k in seats])
+    null = lambda names, kind: [F.lit(None).cast(kind).alias(k) for k in names]
+
+    def joined_with(rare: Column, rare_word: bool, rare_context: bool) -> DataFrame:
+        """Tokens of one kind with their pair's count, and the state of what is not hot."""
+        rows = others.filter(rare).join(rare_counts.filter(rare).select("u", "w", F.col("c").alias("n")), ["u", "w"], "left")
+        rows = rows.join(word, "w", "left") if rare_word else rows.select("*", *null(["wc"], "long"), *null(p, "double"))
+        return rows.join(context, "u", "left") if rare_context else rows.select("*", *null(["uc", *seats], "long"))
+
     held = others.sparkSession.sparkContext.broadcast((hot.c, hot.seats[SWEEPS - KEEP :], [law.word(hot.customers[k], hot.tables[k], hot.base, k) for k in at]))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -404,8 +408,13 @@ def answer_others(others: DataFrame, rare_counts: DataFrame, words: DataFrame, h
             score = _mean(law, c, side(uid, hot_c, "uc"), pair_hash(u.view(np.uint64), w.view(np.uint64)), states)
             yield pd.DataFrame({"batch": b["batch"], "doc": b["doc"], "score": score, "c": b["wc"].where(wid < 0).astype("Int64")})
 
-    each = rare.unionByName(known).mapInPandas(scored, "batch long, doc int, score double, c long")
-    return each.groupBy("batch", "doc").agg(F.sum("score").alias("model"), F.sum(base).alias("base"), F.count_if(F.col("c") > 0).alias("known"))
+    out = None
+    for rare, *sides in (("wid < 0 and uid >= 0", True, False), ("wid >= 0 and uid < 0", False, True), ("wid < 0 and uid < 0", True, True)):
+        each = joined_with(F.expr(rare), *sides).mapInPandas(scored, "batch long, doc int, score double, c long")
+        each = settle(each.groupBy("batch", "doc").agg(F.sum("score").alias("model"), F.sum(base).alias("base"), F.count_if(F.col("c") > 0).alias("known")), "others")
+        out = each if out is None else out.unionByName(each)
+    forget(states)
+    return out
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -479,7 +488,7 @@ def score(docs: DataFrame) -> DataFrame:
     none = F.array(*[zero] * (SWEEPS + 1))
     new = settle(_asked(blocks).join(words, "h", "left_anti"), "unknown")
     unknown = spelled.unmet(new.select("h", "word")).select("h", zero.alias("c"), F.pow(F.lit(10.0), "base").alias("base"), none.alias("customers"), none.alias("tables"), none.alias("seats"))
-    extra = settle(answer_others(others, rare_counts, words.unionByName(unknown), hot, law, F.when(F.col("c").isNotNull(), share(F.col("c")))), "others")
+    extra = answer_others(others, rare_counts, words.unionByName(unknown), hot, law, F.when(F.col("c").isNotNull(), share(F.col("c"))))
     forget(words_sampled, state, rare_counts, new)
     replies = answer_pairs(requests, hot, law).unionByName(blocks.filter("part = -1"))
 
