@@ -79,8 +79,8 @@ ATTACHED = with_views("vroi") + """, u AS (SELECT slide_ord, 0 AS p, roi_index A
 a AS (SELECT * FROM u UNION ALL SELECT slide_ord, 2, 0, 0, 0, w, h FROM vslide WHERE slide_ord NOT IN (SELECT slide_ord FROM u))
 SELECT slide_ord, row_number() OVER (PARTITION BY slide_ord ORDER BY p, o) - 1 AS roi_index, x, y, w, h FROM a"""
 query("roi_union_providers", ATTACHED)(lambda s, d: attached(s, d).select("slide_ord", "roi_index", "x", "y", "w", "h"))
-query("roi_on_empty_whole_slide", with_views("vroi") + " SELECT slide_ord, CAST(0 AS BIGINT) AS roi_index, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, w, h FROM vslide WHERE slide_ord NOT IN (SELECT slide_ord FROM vroi WHERE roi_index >= 4)")(
-    lambda s, d: rois.attach_rois(virtual.slides(s, d), [virtual.rois(s, d).filter("roi_index >= 4").withColumn("ord", F.col("roi_index"))], "whole_slide").filter("x = 0 and y = 0 and w = sw and h = sh").select("slide_ord", "roi_index", "x", "y", "w", "h")
+query("roi_on_empty_whole_slide", with_views("vroi") + " SELECT slide_ord, CAST(0 AS BIGINT) AS roi_index, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, w, h FROM vslide WHERE slide_ord NOT IN (SELECT slide_ord FROM vroi WHERE roi_index >= 6)")(
+    lambda s, d: rois.attach_rois(virtual.slides(s, d), [virtual.rois(s, d).filter("roi_index >= 6").withColumn("ord", F.col("roi_index"))], "whole_slide").filter("x = 0 and y = 0 and w = sw and h = sh").select("slide_ord", "roi_index", "x", "y", "w", "h")
 )
 query("roi_subdivide", with_views("vroi") + """, a AS (SELECT *, unnest(range(0, h, 300)) AS oy FROM vroi), b AS (SELECT *, unnest(range(0, w, 300)) AS ox FROM a),
 c AS (SELECT slide_ord, roi_index, x + ox AS x, y + oy AS y, least(300, w - ox) // 48 * 48 AS w, least(300, h - oy) // 48 * 48 AS h FROM b) SELECT * FROM c WHERE w >= 64 AND h >= 64""")(
