@@ -72,10 +72,17 @@ def _delete(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what settle() has written; results that still stand on it must have been written or collected before."""
-    while _settled:
-        _delete(spark, _settled.pop())
+def settled_so_far() -> int:
+    return len(_settled)
+
+
+def release(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete what settle() has written, after its first `since` tables, but one; results that still stand on it must have been written or collected before."""
+    held = getattr(but, "_settled_at", None)
+    for at in _settled[since:]:
+        if at != held:
+            _settled.remove(at)
+            _delete(spark, at)
 
 
 def row_hash(df: DataFrame) -> Column:
