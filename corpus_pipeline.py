@@ -11,22 +11,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from slidemill.llm import decontaminate, language, mixing, neardup, toxicity
-from slidemill.llm.common import settle, table
+from slidemill.llm.common import release, settle, settled_so_far, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts that are null or have no letter, `und`; any other is kept. Repeated rows, null ids and extra columns stay as they are."""
     return language.keep_identified(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts scored 0.5 or more; null and empty texts are scored like any other."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of linked fingerprints the row of the smallest doc_id, null last; of equal rows one. Texts without words are one group."""
     return neardup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts that contain a benchmark item to the threshold; null and empty texts contain none."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -47,10 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each stage's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents; each stage's rows are written to the shared folder and read again, and what the stage had there goes. What the last stage stands on stays until release()."""
+    docs, since = table(spark, sf_dir, "documents"), settled_so_far()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = settle(docs, name)
+            release(spark, since, docs)
     return docs
