@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slidemill.llm import decontaminate, language, mixing, neardup, toxicity
+from slidemill.llm import decontaminate, language, mixing, nearcopies, toxicity
 from slidemill.llm.common import release, settle, settled_so_far, table
 
 
@@ -25,8 +25,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked fingerprints the row of the smallest doc_id, null last; of equal rows one. Texts without words are one group."""
-    return neardup.keep_one(docs)
+    """Keeps of each group of near copies (five-word shingles, similarity 0.8 or more by their fingerprints) the row of the smallest doc_id, null last; of equal rows one. Texts without words are one group."""
+    return nearcopies.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

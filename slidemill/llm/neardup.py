@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidemill.llm.common import pick, row_hash, settle, small_enough
+from slidemill.llm.common import pick, settle
 from slidemill.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -25,28 +25,31 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 SIZES = ((20_000_000, 2), (1_000_000_000, 3))
 #: Fingerprints of one shard's cell; larger shards are dealt into cells of two such parts, every pair of parts once.
 CELL = 1024
-#: Rows that go up to which they are broadcast (about 40 MB) and no text is shuffled.
-LOSERS = 1_000_000
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit fingerprint: a bit is set if it is set in over half of the XXH64 of the shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Unsigned XXH64 of every shingle, repeats included; of the whole sequence where words are fewer, none where there are none."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     whole = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - shingle + 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
-    hashes = np.fromiter((xxh64_intdigest(whole[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(whole[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit fingerprint: a bit is set if it is set in over half of the XXH64 of the shingles, repeats included."""
+    hashes = shingle_hashes(text, shingle)
     votes = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
+    for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
         votes += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
@@ -92,7 +95,7 @@ class BKTree:
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def _stars(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def stars(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each value and the least of those that the links (positions a, b) join it to, where it is another."""
     label = np.arange(len(values))
     while True:
@@ -145,7 +148,7 @@ def link(fps: DataFrame, radius: int = RADIUS, sizes: tuple[tuple[int, int], ...
                     tree, asked = np.sort(np.asarray(tree, np.int64)), np.sort(np.asarray(asked, np.int64))
                     values = np.union1d(tree, asked)
                     a, b = BKTree(tree).within(asked, radius)
-                    u, v = _stars(values, np.searchsorted(values, asked)[a], np.searchsorted(values, tree)[b])
+                    u, v = stars(values, np.searchsorted(values, asked)[a], np.searchsorted(values, tree)[b])
                     us.append(u)
                     vs.append(v)
             if us:
@@ -173,25 +176,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     named = roots.join(ids, "root").select("fp", "component_id")
     out = hashed.join(named, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs, all columns, less all but one of each component: that with the smallest doc_id, null last; ties by a hash of the row, equal rows leave one."""
-    names = docs.columns
-    bare = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    cols = bare.columns
-    bare = bare.withColumns({"key": F.col(f"c{names.index('doc_id')}").cast("long"), "row": row_hash(bare)})
-    hashed = settle(bare.select("key", "row", fingerprint(F.col(f"c{names.index('text')}"), shingle).alias("fp")), "fingerprints")
-    first = F.struct(F.col("key").isNull().alias("none"), "key", "row")
-    rows = hashed.groupBy("fp", "key", "row").agg(F.count("*").alias("n")).withColumn("first", first)
-    roots = settle(classes(settle(hashed.select("fp").distinct(), "distinct"), radius), "classes")
-    rows = settle(rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).drop("fp"), "rows")
-    best = rows.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("size")).filter("size > 1")
-    # rows that go: all of a group but its first, and of that all but one of its equals
-    grouped = rows.join(best, "root").withColumn("last", ~F.col("first").eqNullSafe(F.col("best"))).filter("last or n > 1").select("key", "row", "last")
-    gone = settle(grouped.select("row", F.coalesce("key", F.lit(0)).alias("key"), F.col("key").isNull().alias("none"), "last").distinct(), "gone")
-    bare = bare.withColumns({"none": F.col("key").isNull(), "key": F.coalesce("key", F.lit(0))})
-    small = F.broadcast if small_enough(gone, LOSERS) else lambda df: df
-    kept = bare.join(small(gone), ["key", "none", "row"], "left")
-    once = kept.filter("last is null").select(cols)
-    return once.unionByName(kept.filter("not last").dropDuplicates(["key", "none", "row"]).select(cols)).toDF(*names)

@@ -76,20 +76,9 @@ def test_large_shard_in_cells(spark, monkeypatch):
     assert [out.get(s, s) for s in signed] == comp
 
 
-def test_keep_one(spark):
-    r = random.Random(1)
-    a = " ".join(f"w{r.randrange(200)}" for _ in range(200))
-    rows = [(5, a, "x"), (2, a, "y"), (2, a, "y"), (9, "other words entirely in this one", "z"), (None, a, "n"), (None, "lonely text of no id", "q")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = sorted(map(tuple, neardup.keep_one(df).collect()), key=str)
-    assert got == sorted([rows[1], rows[3], rows[5]], key=str)
-    assert neardup.keep_one(df).columns == ["doc_id", "text", "source"]
-
-
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(df).count() == 0
-    assert neardup.keep_one(df).count() == 0
     with pytest.raises(ValueError):
         neardup.link(df.select(F.col("doc_id").alias("fp")), 9)
 
@@ -123,12 +112,3 @@ def test_hot_nodes(spark, monkeypatch):
     for hot in (5, 10_000):
         monkeypatch.setattr(components, "HOT", hot)
         assert dict(map(tuple, components.components(df).collect())) == want
-
-
-def test_keep_one_with_maps_and_large(spark, monkeypatch):
-    """A map column; and rows that go joined by shuffle."""
-    rows = [(i, "a b c d e f" if i % 2 else f"text number {i} of its own {i * 7} words {i * 3}") for i in range(30)] + [(1, "a b c d e f")] * 3
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
-    for most in (1_000_000, 1):
-        monkeypatch.setattr(neardup, "LOSERS", most)
-        assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == [0, 1, *range(2, 30, 2)]

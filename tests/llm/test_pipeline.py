@@ -1,12 +1,11 @@
 """run() against the same stages done by hand on the driver."""
 
-from collections import defaultdict
-
 import corpus_pipeline
-from slidemill.llm import language, mixing, neardup, toxicity
+from slidemill.llm import language, mixing, nearcopies, toxicity
 from slidemill.llm.common import table
 from tests.llm.test_decontaminate import contained
-from tests.llm.test_neardup import brute_components, brute_fp
+from tests.llm.test_nearcopies import brute_long
+from tests.llm.test_neardup import brute_components
 
 
 def test_against_brute_force(spark):
@@ -19,7 +18,7 @@ def test_against_brute_force(spark):
     net = toxicity.train(toxicity.training_rows(left), table(spark, sf, "labels"))
     rows = {i: r for i, r in rows.items() if net.score([r["text"]])[0] < 0.5}
     ids = sorted(rows)
-    comp = brute_components([brute_fp(rows[i]["text"]) for i in ids], ids)
+    comp = brute_components([brute_long(rows[i]["text"]) for i in ids], ids, nearcopies.radius())
     rows = {i: rows[i] for i, c in zip(ids, comp, strict=True) if i == c}
     items = [r.text for r in table(spark, sf, "benchmark").collect()]
     rows = {i: r for i, r in rows.items() if not any(contained(r["text"], t) for t in items)}
@@ -37,11 +36,3 @@ def test_stages_keep_columns_and_clean_documents(spark):
         assert out.columns == docs.columns
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
-
-
-def test_groups_keep_one(spark):
-    docs = table(spark, "/root/testdata/sf0.001", "documents")
-    groups = defaultdict(list)
-    for r in neardup.near_duplicates(docs).collect():
-        groups[r.component_id].append(r.doc_id)
-    assert {r.doc_id for r in neardup.keep_one(docs).collect()} == {min(g) for g in groups.values()}
