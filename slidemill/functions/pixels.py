@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 from slidemill.functions import pen
@@ -48,28 +46,18 @@ def tissue(patches: np.ndarray, threshold: np.ndarray, darker: bool = True, prec
     return mask.mean(axis=1), mask.sum(axis=1)
 
 
-@lru_cache(maxsize=1)
-def _pen_tables() -> dict[str, np.ndarray]:
-    """For each mode and channel value a bit for each triple that the value passes."""
-    v = np.arange(256)
-    out = {}
-    for mode, triples in pen.MODES.items():
-        out[mode] = np.zeros((3, 256), np.uint32)
-        for bit, triple in enumerate(triples):
-            for c in range(3):
-                ok = v > triple[c] if pen.ABOVE[mode][c] else v < triple[c]
-                out[mode][c] |= ok.astype(np.uint32) << np.uint32(bit)
-    return out
-
-
 def pen_fraction(patches: np.ndarray, diff_thresh: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
+    """Fraction and number of pen pixels: not nearly black, and a triple that no channel of the pixel gets past."""
     p = patches if patches.dtype == np.uint8 else np.clip(patches, 0, 255).astype(np.uint8)
-    all_pass = np.ones(p.shape[:3], bool)
-    for mode, table in _pen_tables().items():
-        all_pass &= (table[0][p[..., 0]] | table[1][p[..., 1]] | table[2][p[..., 2]]) == np.uint32((1 << len(pen.MODES[mode])) - 1)
-    mask = ~all_pass & ~(p[..., :3].sum(axis=-1, dtype=np.int64) < 3 * diff_thresh)
-    mask = mask.reshape(len(p), -1)
-    return mask.mean(axis=1), mask.sum(axis=1)
+    red, green, blue = (np.ascontiguousarray(p[..., c]) for c in range(3))
+    ink = np.zeros(red.shape, bool)
+    for mode, triples in pen.MODES.items():
+        past = [np.greater if above else np.less for above in pen.ABOVE[mode]]
+        for r, g, b in triples:
+            ink |= ~(past[0](red, r) | past[1](green, g) | past[2](blue, b))
+    ink &= p[..., :3].sum(axis=-1, dtype=np.int64) >= 3 * diff_thresh
+    ink = ink.reshape(len(p), -1)
+    return ink.mean(axis=1), ink.sum(axis=1)
 
 
 def _kernel(name: str, x: np.ndarray) -> np.ndarray:
