@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +46,31 @@ def centroids(vertices: DataFrame, scale: float = 1.0, offset_x: float = 0.0, of
 def shift_vertex(v, origin, scale: float = 1.0, offset: float = 0.0):
     """A vertex coordinate in a tile's pixels, rounded half even."""
     return F.bround(v * scale - (origin - offset * scale), 0).cast("long")
+
+
+def annotate_features(tiles: DataFrame, features: DataFrame, tile_size: int, property_keys: Sequence[str] | None = None, geometry: bool = False, geometry_key: str = "geometry", column: str = "annotations", filter_empty: bool = False, salts: int = 1) -> DataFrame:
+    """Tiles with an array of JSON objects, in order of fid, of the features whose centroid is in them; without any an empty one, or no row with filter_empty.
+
+    An object has the feature's properties, or those of property_keys (null where it lacks one), and with geometry its
+    shape under geometry_key, in the tile's pixels. features as geojson_cells gives them.
+    """
+    from slidemill.sources.annotations import shifted
+
+    @F.pandas_udf("string")
+    def cell(properties: pd.Series, shape: pd.Series, scale: pd.Series, dx: pd.Series, dy: pd.Series) -> pd.Series:
+        out = []
+        for p, g, k, a, b in zip(properties, shape, scale, dx, dy, strict=True):
+            own = json.loads(p) if p else {}
+            own = own if property_keys is None else {key: own.get(key) for key in property_keys}
+            if geometry:
+                g = json.loads(g) if g else {}
+                own[geometry_key] = {"type": g.get("type"), "coordinates": shifted(g.get("coordinates"), k, a, b)}
+            out.append(json.dumps(own, sort_keys=True))
+        return pd.Series(out, dtype=object)
+
+    key = ["slide_ord", "roi_index", "x", "y"]
+    met = points_in_tiles(tiles, features.filter("px is not null"), tile_size, salts)
+    met = met.withColumn("cell", cell("properties", "geometry", "scale", F.col("x") - F.col("ox") * F.col("scale"), F.col("y") - F.col("oy") * F.col("scale")))
+    found = met.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("fid", "cell"))), lambda c: c["cell"]).alias(column))
+    out = tiles.join(found, key, "inner" if filter_empty else "left")
+    return out.withColumn(column, F.coalesce(column, F.array().cast("array<string>")))

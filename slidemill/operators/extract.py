@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from slidemill.functions import colour, pixels, png
 from slidemill.sources.files import opened
-from slidemill.sources.tiff import levels_of, read_window
+from slidemill.sources.tiff import levels_at, read_window
 
 PATCH = "slide_ord int, wsi_id string, roi_index long, win_key long, tile_ord long, batch_ord long, x long, y long, sw long, sh long, pixels binary, ph int, pw int, pc int"
 
@@ -34,7 +34,7 @@ def cut_patches(planned: DataFrame, tile_size: int, policy: str = "drop", interp
         pdf = pdf.sort_values("tile_ord")
         r = pdf.iloc[0]
         with opened(r["wsi_path"]) as f:
-            level = levels_of(f)[int(r["level"])]
+            level = levels_at(r["wsi_path"], f)[int(r["level"])]
             image = read_window(f, level, int(round(r["x0"] / r["level_ds"])), int(round(r["y0"] / r["level_ds"])), int(r["read_w"]), int(r["read_h"]))
         if image.shape[:2] != (r["rh"], r["rw"]):
             image = pixels.resize(image, int(r["rh"]), int(r["rw"]), interpolation)

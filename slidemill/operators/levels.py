@@ -9,15 +9,17 @@ UNITS = ("level", "mpp", "downsample")
 MODES = ("nearest", "floor", "ceil", "error", "resample")
 
 
-def select_level(levels: DataFrame, resolution: float, unit: str = "mpp", mode: str = "nearest", max_relative_deviation: float | None = 0.05) -> DataFrame:
+def select_level(levels: DataFrame, resolution: float, unit: str = "mpp", mode: str = "nearest", max_relative_deviation: float | None = 0.05, on_error: str = "fail") -> DataFrame:
     """slide_ord, level, downsample, resample_factor, w, h of levels(slide_ord, level, ds, lw, lh, mpp0).
 
     A level's value is its downsample, or that times mpp0. nearest: the closest value, ties to the lowest
     level, checked against max_relative_deviation. floor: the smallest value of at least the request, else
     the last level. ceil and resample: the largest value of at most the request, else level 0; resample then
     changes the dims to round half even of dims / factor, and the downsample by the factor, which may be
-    below 1. error: the first level within 1e-6. A slide without a fitting level, or without mpp where unit is mpp, fails the query when read.
+    below 1. error: the first level within 1e-6. A slide without a fitting level, or without mpp where unit is mpp, fails the query when read; with on_error skip it has no row.
     """
+    if on_error not in ("fail", "skip"):
+        raise ValueError("on_error must be 'fail' or 'skip'")
     if unit not in UNITS:
         raise ValueError(f"unknown unit {unit!r}; one of {UNITS}")
     if mode not in MODES:
@@ -51,7 +53,10 @@ def select_level(levels: DataFrame, resolution: float, unit: str = "mpp", mode:
     bad = F.col("b").isNull() | F.col("unknown")
     if mode == "nearest" and unit != "level" and max_relative_deviation is not None:
         bad = bad | (F.abs(F.col("value") - want) / want > max_relative_deviation)
-    chosen = chosen.withColumn("b", F.when(bad, F.raise_error(none).cast(chosen.schema["b"].dataType)).otherwise(F.col("b")))
+    if on_error == "skip":
+        chosen = chosen.filter(~F.coalesce(bad, F.lit(True)))
+    else:
+        chosen = chosen.withColumn("b", F.when(bad, F.raise_error(none).cast(chosen.schema["b"].dataType)).otherwise(F.col("b")))
     factor = want / F.col("value") if mode == "resample" else F.lit(1.0)
     out = chosen.withColumn("resample_factor", factor)
     dims = lambda c: F.bround(F.col(c) / F.col("resample_factor"), 0).cast("long") if mode == "resample" else F.col(c).cast("long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,10 +21,11 @@ def axis(start: Column, end: Column, tile_size: int, stride: int) -> Column:
     return F.when(end - start <= tile_size, F.array(start)).otherwise(F.sequence(start, last, F.lit(stride).cast("long")))
 
 
-def plan_tiles(rois: DataFrame, tile_size: int, stride: int, mode: str = "any_overlap") -> DataFrame:
+def plan_tiles(rois: DataFrame, tile_size: int, stride: int, mode: str = "any_overlap", accept: Callable[[Column, Column], Column] | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """slide_ord, roi_index, tile_ord, x, y with the region bx, by, bw, bh, its clamped ends and the slide's sw, sh.
 
     Order is by rows of tiles. any_overlap keeps the whole grid, the others test against the unclamped box.
+    accept, for regions of other shapes, says of a tile's x and y if it stays; carry: columns of the regions that it needs.
     """
     if tile_size <= 0 or stride <= 0:
         raise ValueError("tile_size and stride must be positive")
@@ -31,7 +33,7 @@ def plan_tiles(rois: DataFrame, tile_size: int, stride: int, mode: str = "any_ov
         raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
     if stride > tile_size:
         log.warning("stride %s is larger than tile_size %s: pixels between tiles are skipped", stride, tile_size)
-    r = rois.select(*KEY, F.col("x").alias("bx"), F.col("y").alias("by"), F.col("w").alias("bw"), F.col("h").alias("bh"), "sw", "sh")
+    r = rois.select(*KEY, F.col("x").alias("bx"), F.col("y").alias("by"), F.col("w").alias("bw"), F.col("h").alias("bh"), "sw", "sh", *carry)
     r = r.withColumns({"x_end": F.least(F.col("bx") + F.col("bw"), "sw"), "y_end": F.least(F.col("by") + F.col("bh"), "sh")})
     g = r.select("*", F.posexplode(axis(F.col("by"), F.col("y_end"), tile_size, stride)).alias("iy", "y"))
     nx = F.size(axis(F.col("bx"), F.col("x_end"), tile_size, stride))
@@ -41,7 +43,7 @@ def plan_tiles(rois: DataFrame, tile_size: int, stride: int, mode: str = "any_ov
         g = g.filter((F.col("x") + tile_size <= F.col("bx") + F.col("bw")) & (F.col("y") + tile_size <= F.col("by") + F.col("bh")))
     elif mode == "center_in_roi":
         g = g.filter((F.col("x") + tile_size / 2 < F.col("bx") + F.col("bw")) & (F.col("y") + tile_size / 2 < F.col("by") + F.col("bh")))
-    return g
+    return g if accept is None else g.filter(accept(F.col("x"), F.col("y"))).drop(*carry)
 
 
 def window_size(stride: int, max_window_size: int | None = None) -> int:

@@ -6,11 +6,12 @@ before the pixel read, and Catalyst does the rest.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from slidemill.operators import annotate, audit, extract, levels, rois, shards, tiles
@@ -54,6 +55,7 @@ class Pipeline:
     context: Context = Context()
     stages: tuple[Stage, ...] = ()
     sink: object | None = None
+    failures: Callable[[], DataFrame] | None = None
 
     def then(self, added: Stage) -> Pipeline:
         if self.sink is not None:
@@ -106,11 +108,43 @@ class Pipeline:
         if held:
             yield emit(held)
 
-    def materialize(self) -> DataFrame:
-        """Run into the sink: what it wrote."""
+    def materialize(self, frame: DataFrame | None = None) -> DataFrame:
+        """Run into the sink: what it wrote. A sink is a function of a DataFrame; one with open() and close() is opened before, and closed after, also where the run fails."""
         if self.sink is None:
             raise RuntimeError("materialize needs a sink; use stream")
-        return self.sink(self.frame())
+        frame = self.frame() if frame is None else frame
+        getattr(self.sink, "open", lambda: None)()
+        try:
+            return self.sink(frame)
+        finally:
+            getattr(self.sink, "close", lambda: None)()
+
+    def failed_slides(self) -> DataFrame:
+        """slide_ord, wsi_path, error of the slides that on_error skip leaves out: files that cannot be opened, end too early or have no fitting level."""
+        if self.failures is None:
+            raise RuntimeError("the source reports no failures")
+        return self.failures()
+
+    def profile(self) -> DataFrame:
+        """One run of all stages and the sink, without keeping what it gives: ord, stage, n (rows that the stage handed on), wall_s.
+
+        Rows are counted where they pass, by observations, so nothing runs twice. Stages are fused by Spark and have no time
+        of their own: wall_s is the whole run's, in its row `run`, and null in the others.
+        """
+        seen, df = [], self.source()
+        self.check()
+        for i, s in enumerate(self.stages):
+            o = Observation(f"{i}-{s.name}")
+            df = s.run(df, self.context).observe(o, F.count(F.lit(1)).alias("n"))
+            seen.append((i, s.name, o))
+        start = time.monotonic()
+        if self.sink is None:
+            df.write.format("noop").mode("overwrite").save()
+        else:
+            self.materialize(df).write.format("noop").mode("overwrite").save()
+        took = time.monotonic() - start
+        rows = [(i, name, int(o.get["n"]), None) for i, name, o in seen]
+        return self.spark.createDataFrame([*rows, (len(rows), "run", rows[-1][2] if rows else 0, took)], "ord int, stage string, n long, wall_s double")
 
     def knobs(self) -> list[Knob]:
         return [s.knob for s in self.stages if s.knob is not None]
@@ -121,17 +155,19 @@ class Pipeline:
         Each filter measures with its own settings and at its own place, as in an honest run. A metric that a later filter measures anew
         is kept for the earlier one under a name of its own, metric@place.
         """
-        open_, knobs = [], []
+        open_, knobs, segments, segment = [], [], [], 0
         for i, s in enumerate(s for s in self.stages if not s.encoder):
             if s.knob is None:
                 open_.append(s)
+                segment += 1
                 continue
             again = any(t.knob is not None and t.knob.column == s.knob.column for t in self.stages[self.stages.index(s) + 1 :])
             name = f"{s.knob.column}@{i}" if again else s.knob.column
             run = lambda df, c, s=s, name=name: (lambda d: d.withColumn(name, F.col(s.knob.column)) if name != s.knob.column else d)(s.run.measure(df, c))
             open_.append(replace(s, run=run))
             knobs.append(replace(s.knob, column=name))
-        return Audit(self.frame(tuple(open_)).drop("pixels").persist(), knobs)
+            segments.append(segment)
+        return Audit(self.frame(tuple(open_)).drop("pixels").persist(), knobs, segments)
 
 
 @dataclass
@@ -140,6 +176,11 @@ class Audit:
 
     rows: DataFrame
     knobs: list[Knob]
+    segments: list[int] = field(default_factory=list)
+
+    def close(self) -> None:
+        """Give the held rows back."""
+        self.rows.unpersist()
 
     def resolved(self, values: dict[str, float] | None = None, order=None, off=()) -> DataFrame:
         return audit.resolve(self.rows, audit.tuned(self.knobs, values, order, off))
@@ -148,7 +189,7 @@ class Audit:
         return audit.funnel(self.rows, audit.tuned(self.knobs, values, order, off), by)
 
 
-class _Filter:
+class Filter:
     """A metric, measured with this filter's settings on the pixels as they are here, and its test; measure() leaves the test out."""
 
     def __init__(self, knob: Knob, metric: Callable[[DataFrame, Context], DataFrame]):
@@ -158,16 +199,28 @@ class _Filter:
         return self.measure(df, c).filter(~self.knob.fails())
 
 
-def of_slides(spark: SparkSession, paths: list[str], resolution: float = 0.25, unit: str = "mpp", mode: str = "nearest", max_relative_deviation: float | None = 0.05) -> Pipeline:
-    """A source with a row for each path: slide_ord, wsi_id, wsi_path, level, downsample, resample_factor, w, h, level_ds. A path that stands twice is two slides; no paths give no rows."""
+def of_slides(spark: SparkSession, paths: list[str], resolution: float = 0.25, unit: str = "mpp", mode: str = "nearest", max_relative_deviation: float | None = 0.05, on_error: str = "fail") -> Pipeline:
+    """A source with a row for each path: slide_ord, wsi_id, wsi_path, level, downsample, resample_factor, w, h, level_ds. A path that stands twice is two slides; no paths give no rows.
 
-    def source() -> DataFrame:
+    on_error skip: slides whose file cannot be opened, ends too early or has no fitting level are left out, and failed_slides() tells of them.
+    """
+
+    def headers(**options: str) -> DataFrame:
         spark.dataSource.register(Slides)
-        lv = spark.read.format("slides").option("paths", "\n".join(paths)).load()
-        chosen = levels.select_level(lv, resolution, unit, mode, max_relative_deviation)
+        return spark.read.format("slides").options(paths="\n".join(paths), on_error=on_error, **options).load()
+
+    def failures() -> DataFrame:
+        lv = headers()
+        fit = levels.select_level(lv, resolution, unit, mode, max_relative_deviation, "skip")
+        unfit = lv.select("slide_ord", "wsi_path").distinct().join(fit, "slide_ord", "left_anti").withColumn("error", F.lit(f"no level for {unit} {resolution} by {mode}"))
+        return headers(report="failures").unionByName(unfit)
+
+    def source() -> DataFrame:
+        lv = headers()
+        chosen = levels.select_level(lv, resolution, unit, mode, max_relative_deviation, on_error)
         return chosen.join(lv.select("slide_ord", "wsi_id", "wsi_path", "level", F.col("ds").alias("level_ds")), ["slide_ord", "level"])
 
-    return Pipeline(spark, source, frozenset("slide_ord wsi_id wsi_path level downsample resample_factor w h level_ds".split()), Context(resolution, unit))
+    return Pipeline(spark, source, frozenset("slide_ord wsi_id wsi_path level downsample resample_factor w h level_ds".split()), Context(resolution, unit), failures=failures)
 
 
 def attach(providers: list[Callable[[DataFrame], DataFrame]], on_empty: str = "error") -> Stage:
@@ -180,8 +233,8 @@ def attach(providers: list[Callable[[DataFrame], DataFrame]], on_empty: str = "e
     return stage("attach_rois", run, "slide_ord wsi_id w h", "roi_index x y sw sh")
 
 
-def extract_patches(tile_size: int, stride: int | None = None, mode: str = "any_overlap", max_window_size: int | None = None, batch_size: int = 200, wsi_edge_policy: str = "drop", roi_edge_policy: str = "clip", interpolation: str = "lanczos", min_edge_distance: int = 0) -> Stage:
-    """Plan tiles, group them by read window and cut patches. min_edge_distance drops tiles near the slide's edge before anything is read."""
+def extract_patches(tile_size: int, stride: int | None = None, mode: str = "any_overlap", max_window_size: int | None = None, batch_size: int = 200, wsi_edge_policy: str = "drop", roi_edge_policy: str = "clip", interpolation: str = "lanczos", min_edge_distance: int = 0, accept: Callable[[Column, Column], Column] | None = None, carry: Sequence[str] = ()) -> Stage:
+    """Plan tiles (accept and carry are plan_tiles'), group them by read window and cut patches. min_edge_distance drops tiles near the slide's edge before anything is read."""
     stride = tile_size if stride is None else stride
     if roi_edge_policy not in tiles.ROI_EDGES:
         raise ValueError(f"unknown region edge policy {roi_edge_policy!r}; one of {tiles.ROI_EDGES}")
@@ -189,7 +242,7 @@ def extract_patches(tile_size: int, stride: int | None = None, mode: str = "any_
     def run(df: DataFrame, c: Context) -> DataFrame:
         if "roi_index" not in df.columns:
             df = df.withColumns({"sw": F.col("w"), "sh": F.col("h"), "x": F.lit(0).cast("long"), "y": F.lit(0).cast("long"), "roi_index": F.lit(0).cast("long")})
-        t = tiles.plan_tiles(df, tile_size, stride, mode)
+        t = tiles.plan_tiles(df, tile_size, stride, mode, accept, carry)
         if min_edge_distance:
             t = tiles.remove_edge_tiles(t, tile_size, min_edge_distance).drop("edge_distance")
         t = tiles.with_windows(t, tile_size, stride, max_window_size)
@@ -202,26 +255,32 @@ def extract_patches(tile_size: int, stride: int | None = None, mode: str = "any_
     return stage("extract_patches", run, "slide_ord wsi_id wsi_path level downsample resample_factor level_ds", "pixels ph pw pc x y tile_ord batch_ord sw sh", context=lambda c: replace(c, tile_size=tile_size, stride=stride))
 
 
+def keep(name: str, column: str, op: str, value: float, measure: Callable[[DataFrame, Context], DataFrame] | None = None, requires: str = "", **settings) -> Stage:
+    """A filter of one's own: measure adds the column (default: it is there), the knob's test says which rows stay. Audits and reports treat it as any other; settings are Knob's."""
+    knob = Knob(name, column, op, value, **settings)
+    return stage(name, Filter(knob, measure or (lambda df, c: df)), requires if measure else f"{requires} {column}", column, knob=knob)
+
+
 def low_contrast(range_threshold: float = 0.2, precision: str = "float32") -> Stage:
     knob = Knob("low_contrast", "gray_range", ">=", range_threshold)
-    return stage("low_contrast", _Filter(knob, lambda df, c: extract.measure(df, precision=precision, only=("contrast",))), "pixels", "gray_min gray_max gray_range", knob=knob)
+    return stage("low_contrast", Filter(knob, lambda df, c: extract.measure(df, precision=precision, only=("contrast",))), "pixels", "gray_min gray_max gray_range", knob=knob)
 
 
 def otsu(min_tissue_fraction: float = 0.0, tissue_is_darker: bool = True, num_bins: int = 256, precision: str = "float32") -> Stage:
     knob = Knob("otsu", "tissue_fraction", ">=", min_tissue_fraction)
-    return stage("otsu", _Filter(knob, lambda df, c: extract.measure(df, num_bins, tissue_is_darker, precision=precision, only=("otsu",))), "pixels", "otsu_threshold tissue_fraction tissue_pixel_count", knob=knob)
+    return stage("otsu", Filter(knob, lambda df, c: extract.measure(df, num_bins, tissue_is_darker, precision=precision, only=("otsu",))), "pixels", "otsu_threshold tissue_fraction tissue_pixel_count", knob=knob)
 
 
 def pen(max_pen_fraction: float = 0.01, diff_thresh: float = 5.0) -> Stage:
     knob = Knob("pen", "pen_fraction", "<=", max_pen_fraction, permissive=1.0)
-    return stage("pen", _Filter(knob, lambda df, c: extract.measure(df, diff_thresh=diff_thresh, only=("pen",))), "pixels", "pen_fraction pen_pixel_count", knob=knob)
+    return stage("pen", Filter(knob, lambda df, c: extract.measure(df, diff_thresh=diff_thresh, only=("pen",))), "pixels", "pen_fraction pen_pixel_count", knob=knob)
 
 
 def edge(depth: int = 1) -> Stage:
     if depth < 0:
         raise ValueError("depth must not be negative")
     knob = Knob("edge", "edge_distance", ">=", depth, integer=True)
-    return stage("edge", _Filter(knob, lambda df, c: tiles.with_edge_distance(df, c.tile_size)), "x y sw sh", "edge_distance", knob=knob)
+    return stage("edge", Filter(knob, lambda df, c: tiles.with_edge_distance(df, c.tile_size)), "x y sw sh", "edge_distance", knob=knob)
 
 
 def reinhard(mean, std, modified: bool = False) -> Stage:
@@ -237,6 +296,11 @@ def cell_points(points: DataFrame, column: str = "annotations", filter_empty: bo
     return stage("cell_points", lambda df, c: annotate.annotate_points(df, points, c.tile_size, column, filter_empty), "slide_ord roi_index x y", column)
 
 
+def cell_features(features: DataFrame, property_keys: Sequence[str] | None = None, geometry: bool = False, geometry_key: str = "geometry", column: str = "annotations", filter_empty: bool = False) -> Stage:
+    """features as sources.annotations.geojson_cells gives them."""
+    return stage("cell_features", lambda df, c: annotate.annotate_features(df, features, c.tile_size, property_keys, geometry, geometry_key, column, filter_empty), "slide_ord roi_index x y", column)
+
+
 def png_encoder(compress_level: int = 1) -> Stage:
     return stage("png", lambda df, c: extract.encode_png(df, compress_level), "pixels", "encoded encoding", "pixels", encoder=True)
 
@@ -254,3 +318,15 @@ class TarShards:
         rows = df.select(shards.sample_key(F.col("wsi_id"), F.col("x"), F.col("y")).alias("key"), F.col("slide_ord").alias("ord"), F.col("roi_index").alias("roi"), "encoded", F.to_json(F.struct(*meta)).alias("meta"))
         order = [F.xxhash64("key", "ord", "roi", F.lit(self.seed)), F.col("ord"), F.col("roi")]
         return shards.write_tars(shards.assign_shards(rows, self.shard_size, order), self.outdir)
+
+
+@dataclass(frozen=True)
+class CsvTable:
+    """A sink of CSV files: all columns but pixels and encoded images; arrays, structs and maps as JSON."""
+
+    outdir: str
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f.name) for f in df.schema.fields if f.dataType.typeName() != "binary"]
+        df.select(*flat).write.csv(self.outdir, header=True)
+        return df.sparkSession.read.csv(self.outdir, header=True)

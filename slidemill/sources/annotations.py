@@ -6,12 +6,26 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 XML = "`_PartOfGroup` string, `_Type` string, Coordinates struct<Coordinate:array<struct<`_X`:double,`_Y`:double>>>"
 
 
+def _with_files(spark: SparkSession, files: dict[str, str], slides: DataFrame) -> DataFrame:
+    """Slides with path, the full name of each one's file as _metadata.file_path gives it; a slide without a file fails the query."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    held = [(wsi_id, path_of(path).getFileSystem(conf).makeQualified(path_of(path)).toUri().toString()) for wsi_id, path in files.items()]
+    lacks = F.raise_error(F.concat(F.lit("no annotation file for slide "), "wsi_id")).cast("string")
+    s = slides.join(spark.createDataFrame(held, "wsi_id string, path string"), "wsi_id", "left")
+    return s.withColumn("path", F.when(F.col("path").isNull(), lacks).otherwise(F.regexp_replace("path", "^file:/+", "file:/")))
+
+
+def _read_from() -> Column:
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("path")
+
+
 def xml_rois(spark: SparkSession, files: dict[str, str], slides: DataFrame, group: str = "roi", annotation_downsample: float | None = None) -> DataFrame:
     """Boxes(wsi_id, ord, x, y, w, h) of the rectangles and axis-aligned four-point polygons of a group in each slide's XML file.
 
@@ -21,20 +35,15 @@ def xml_rois(spark: SparkSession, files: dict[str, str], slides: DataFrame, grou
     All files are one read.
     """
     names = slides.columns
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    held = [(wsi_id, path_of(path).getFileSystem(conf).makeQualified(path_of(path)).toUri().toString()) for wsi_id, path in files.items()]
-    mapped = spark.createDataFrame(held, "wsi_id string, path string")
     own = F.col("downsample") / F.col("resample_factor") if "resample_factor" in names else F.col("downsample")
     s = slides.select("wsi_id", (F.lit(annotation_downsample) if annotation_downsample else own).alias("from"), F.col("downsample").alias("to"), *[(F.col(k) if k in names else F.lit(None)).cast("double").alias(f"s{k}") for k in "wh"])
-    lacks = F.raise_error(F.concat(F.lit("no annotation file for slide "), "wsi_id")).cast("string")
-    s = s.join(mapped, "wsi_id", "left").withColumn("path", F.when(F.col("path").isNull(), lacks).otherwise(F.col("path")))
-    if held:
-        rows = spark.read.format("xml").option("rowTag", "Annotation").schema(XML).load(sorted(set(files.values()))).select("*", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("path"), F.monotonically_increasing_id().alias("ord"))
+    s = _with_files(spark, files, s)
+    if files:
+        rows = spark.read.format("xml").option("rowTag", "Annotation").schema(XML).load(sorted(set(files.values()))).select("*", _read_from(), F.monotonically_increasing_id().alias("ord"))
     else:
         rows = spark.createDataFrame([], XML + ", path string, ord long")
     rows = rows.filter((F.col("_PartOfGroup") == group) & F.col("_Type").isin("Rectangle", "Polygon") & F.col("Coordinates").isNotNull())
-    rows = s.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).join(rows, "path", "left").filter("ord is not null").withColumn("scale", F.col("from") / F.col("to"))
+    rows = s.join(rows, "path", "left").filter("ord is not null").withColumn("scale", F.col("from") / F.col("to"))
     c = F.col("Coordinates.Coordinate")
     xs, ys = F.transform(c, lambda p: p["_X"] * F.col("scale")), F.transform(c, lambda p: p["_Y"] * F.col("scale"))
     rows = rows.withColumns({"xs": xs, "ys": ys})
@@ -54,6 +63,18 @@ def csv_points(spark: SparkSession, path: str, x_col: str = "x", y_col: str = "y
     return rows.select(F.col(x_col).cast("double").cast("long").alias("px"), F.col(y_col).cast("double").cast("long").alias("py"), F.col(label_col).cast("long").cast("int").alias("label"))
 
 
+def csv_points_of(spark: SparkSession, files: dict[str, str], slides: DataFrame, x_col: str = "x", y_col: str = "y", label_col: str = "label") -> DataFrame:
+    """slide_ord, px, py, label of every slide's CSV file; a file may serve several slides. A slide without a file fails the query, a file without a column too. All files are one read."""
+    s = _with_files(spark, files, slides.select("slide_ord", "wsi_id"))
+    if not files:
+        return s.select("slide_ord", *[F.lit(None).cast(t).alias(k) for k, t in (("px", "long"), ("py", "long"), ("label", "int"))])
+    for path in sorted(set(files.values())):
+        csv_points(spark, path, x_col, y_col, label_col)
+    rows = spark.read.csv(sorted(set(files.values())), header=True, enforceSchema=False)
+    rows = rows.select(_read_from(), F.col(x_col).cast("double").cast("long").alias("px"), F.col(y_col).cast("double").cast("long").alias("py"), F.col(label_col).cast("long").cast("int").alias("label"))
+    return s.join(rows, "path", "left").filter("px is not null and py is not null").select("slide_ord", "px", "py", "label")
+
+
 def vertices_of(coords) -> list[tuple[float, float]]:
     """All vertices of coordinates nested to any depth; a third number is ignored."""
     if not coords:
@@ -72,18 +93,40 @@ def shifted(coords, scale: float, dx: float, dy: float):
     return [shifted(c, scale, dx, dy) for c in coords]
 
 
-def geojson_features(spark: SparkSession, path: str) -> DataFrame:
-    """fid, properties (JSON), geometry (JSON), vertices of a FeatureCollection or bare list; features without geometry have no vertices. A file is one task's."""
+FEATURE = "fid long, properties string, geometry string, vertices array<struct<vx:double,vy:double>>"
+
+
+def _features(text: str) -> pd.DataFrame:
+    data, rows = json.loads(text), []
+    for i, f in enumerate(data["features"] if isinstance(data, dict) else data):
+        g = f.get("geometry") or None
+        v = vertices_of(g.get("coordinates")) if g else []
+        rows.append((i, json.dumps(f.get("properties") or {}, sort_keys=True), json.dumps(g) if g else None, [{"vx": x, "vy": y} for x, y in v]))
+    return pd.DataFrame(rows, columns=["fid", "properties", "geometry", "vertices"])
+
+
+def geojson_features(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, fid, properties (JSON), geometry (JSON), vertices of FeatureCollections or bare lists; features without geometry have no vertices. A file is one task's."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["value"]:
-                data = json.loads(text)
-                rows = []
-                for i, f in enumerate(data["features"] if isinstance(data, dict) else data):
-                    g = f.get("geometry") or None
-                    v = vertices_of(g.get("coordinates")) if g else []
-                    rows.append((i, json.dumps(f.get("properties") or {}, sort_keys=True), json.dumps(g) if g else None, [{"vx": x, "vy": y} for x, y in v]))
-                yield pd.DataFrame(rows, columns=["fid", "properties", "geometry", "vertices"])
-
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, "fid long, properties string, geometry string, vertices array<struct<vx:double,vy:double>>")
+            for at, text in zip(batch["path"], batch["value"], strict=True):
+                yield _features(text).assign(path=at)
+
+    return spark.read.text(path, wholetext=True).select("value", _read_from()).mapInPandas(parse, FEATURE + ", path string")
+
+
+def geojson_cells(spark: SparkSession, files: dict[str, str], slides: DataFrame, offsets: dict[str, tuple[float, float]] | None = None, scale: float | None = None) -> DataFrame:
+    """slide_ord, fid, properties, geometry, px, py, scale, ox, oy of every feature of each slide's GeoJSON file.
+
+    px, py: the mean of all vertices, moved by the slide's offset (level-0 pixels) and scaled to the pixels of patches,
+    by scale or else one over slides.downsample; null without vertices. A slide without a file fails the query.
+    """
+    names = slides.columns
+    s = _with_files(spark, files, slides.select("slide_ord", "wsi_id", (F.lit(scale) if scale is not None else 1 / F.col("downsample") if "downsample" in names else F.lit(1.0)).cast("double").alias("scale")))
+    moved = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in (offsets or {}).items()], "wsi_id string, ox double, oy double")
+    s = s.join(moved, "wsi_id", "left").fillna(0.0, ["ox", "oy"])
+    rows = geojson_features(spark, sorted(set(files.values()))) if files else spark.createDataFrame([], FEATURE + ", path string")
+    mean = lambda k: F.when(F.size("vertices") > 0, F.aggregate("vertices", F.lit(0.0), lambda a, v: a + v[k]) / F.size("vertices"))
+    rows = s.join(rows, "path", "left").filter("fid is not null")
+    return rows.select("slide_ord", "fid", "properties", "geometry", ((mean("vx") + F.col("ox")) * F.col("scale")).alias("px"), ((mean("vy") + F.col("oy")) * F.col("scale")).alias("py"), "scale", "ox", "oy")

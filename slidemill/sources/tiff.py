@@ -1,7 +1,8 @@
 """Tiled and stripped TIFF pyramids: headers as a Spark data source, read windows, and a small writer for tests.
 
-8-bit RGB or RGBA, uncompressed, Deflate or LZW, one IFD for each level. A header is a few kilobytes and a
-window touches only the tiles it overlaps, so slides are never read whole.
+8-bit RGB or RGBA, uncompressed, Deflate or LZW, one IFD for each level, classic or BigTIFF. Label, macro and thumbnail
+images among the levels are told apart and left out. A header is a few kilobytes and a window touches only the tiles it
+overlaps, so slides are never read whole.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,9 +20,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from slidemill.sources.files import opened
 
 #: Sizes and struct codes of field types, and the tags that are read.
-TYPES = {1: (1, "B"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 16: (8, "Q")}
-WIDTH, HEIGHT, COMPRESSION, SAMPLES, ROWS, STRIPS, STRIP_SIZES, XRES, UNIT, PREDICTOR, TILE_W, TILE_H, TILES, TILE_SIZES = 256, 257, 259, 277, 278, 273, 279, 282, 296, 317, 322, 323, 324, 325
+TYPES = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 16: (8, "Q")}
+WIDTH, HEIGHT, COMPRESSION, DESCRIPTION, SAMPLES, ROWS, STRIPS, STRIP_SIZES, XRES, UNIT, PREDICTOR, TILE_W, TILE_H, TILES, TILE_SIZES = 256, 257, 259, 270, 277, 278, 273, 279, 282, 296, 317, 322, 323, 324, 325
 SCHEMA = "slide_ord int, wsi_id string, wsi_path string, level int, lw long, lh long, ds double, mpp0 double"
+FAILURES = "slide_ord int, wsi_path string, error string"
+#: Pixel sizes in micrometres as scanners write them into descriptions.
+_mpp = re.compile(r"\b(?:mpp|physicalsizex)\s*=\s*\"?([0-9.]+(?:e-?\d+)?)", re.IGNORECASE)
 
 
 @dataclass
@@ -35,39 +40,78 @@ class Level:
     offsets: tuple
     sizes: tuple
     mpp: float | None
+    tiled: bool = True
 
 
-def levels_of(f) -> list[Level]:
-    """The levels of an open file, largest first."""
+def directories(f) -> Iterator[tuple[str, dict[int, tuple]]]:
+    """The tags of every IFD of an open classic or BigTIFF file, in order."""
     f.seek(0)
-    head = f.read(8)
+    head = f.read(16)
     end = {b"II": "<", b"MM": ">"}.get(head[:2])
-    if end is None or struct.unpack(end + "H", head[2:4])[0] != 42:
+    magic = struct.unpack(end + "H", head[2:4])[0] if end and len(head) >= 8 else 0
+    if magic not in (42, 43):
         raise ValueError("not a TIFF file")
-    at, out = struct.unpack(end + "I", head[4:])[0], []
-    while at:
+    word, count_code = ("I", "H") if magic == 42 else ("Q", "Q")
+    slot = struct.calcsize("<" + word)
+    at, seen = struct.unpack(end + word, head[4:8] if magic == 42 else head[8:16])[0], set()
+    while at and at not in seen:
+        seen.add(at)
         f.seek(at)
-        n = struct.unpack(end + "H", f.read(2))[0]
-        raw, tags = f.read(12 * n + 4), {}
+        n = struct.unpack(end + count_code, f.read(struct.calcsize("<" + count_code)))[0]
+        entry = 4 + 2 * slot
+        raw, tags = f.read(entry * n + slot), {}
         for i in range(n):
-            tag, kind, count = struct.unpack(end + "HHI", raw[12 * i : 12 * i + 8])
+            tag, kind, count = struct.unpack(end + "HH" + word, raw[entry * i : entry * i + 4 + slot])
             if kind not in TYPES:
                 continue
             size, code = TYPES[kind]
-            data = raw[12 * i + 8 : 12 * i + 12]
-            if size * count > 4:
-                f.seek(struct.unpack(end + "I", data)[0])
+            data = raw[entry * i + 4 + slot : entry * (i + 1)]
+            if size * count > slot:
+                f.seek(struct.unpack(end + word, data)[0])
                 data = f.read(size * count)
             tags[tag] = struct.unpack(end + code * count, data[: size * count])
-        at = struct.unpack(end + "I", raw[12 * n :])[0]
-        one = lambda t, d=None: tags[t][0] if t in tags else d  # noqa: E731, B023
-        w, h, tiled = one(WIDTH), one(HEIGHT), TILES in tags
-        mpp = None
-        if XRES in tags and one(UNIT, 2) in (2, 3) and tags[XRES][0]:
-            per = tags[XRES][0] / tags[XRES][1]
-            mpp = (25400 if one(UNIT, 2) == 2 else 10000) / per
-        out.append(Level(w, h, one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(TILE_W, w) if tiled else w, one(TILE_H) if tiled else min(one(ROWS, h), h), tags[TILES if tiled else STRIPS], tags[TILE_SIZES if tiled else STRIP_SIZES], mpp))
-    return sorted(out, key=lambda level: -level.w)
+        yield end, tags
+        at = struct.unpack(end + word, raw[entry * n :])[0]
+
+
+def _level(tags: dict[int, tuple]) -> Level:
+    one = lambda t, d=None: tags[t][0] if t in tags else d
+    w, h, tiled, mpp = one(WIDTH), one(HEIGHT), TILES in tags, None
+    if said := _mpp.search(b"".join(tags.get(DESCRIPTION, ())).decode("latin-1")):
+        mpp = float(said[1])
+    elif XRES in tags and one(UNIT, 2) in (2, 3) and tags[XRES][0]:
+        mpp = (25400 if one(UNIT, 2) == 2 else 10000) / (tags[XRES][0] / tags[XRES][1])
+    return Level(w, h, one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(TILE_W, w) if tiled else w, one(TILE_H) if tiled else min(one(ROWS, h), h), tags[TILES if tiled else STRIPS], tags[TILE_SIZES if tiled else STRIP_SIZES], mpp or None, tiled)
+
+
+def levels_of(f) -> list[Level]:
+    """The levels of an open file, largest first.
+
+    The largest image is level 0. Of the others those are levels that have its proportions, to two pixels or two per
+    cent, its channels and, where it is tiled, tiles: labels, macro pictures and thumbnails go. Of two of one size the
+    first stands.
+    """
+    all_ = [_level(tags) for _, tags in directories(f) if WIDTH in tags and (TILES in tags or STRIPS in tags)]
+    if not all_:
+        raise ValueError("no image in the TIFF file")
+    base = max(all_, key=lambda v: (v.w * v.h, v.tiled))
+    out: dict[int, Level] = {}
+    for v in all_:
+        alike = abs(base.h * v.w / base.w - v.h) <= max(2, 0.02 * v.h) and v.channels == base.channels and (v.tiled or not base.tiled)
+        if v is base or alike and v.w < base.w:
+            out.setdefault(v.w, v)
+    return sorted(out.values(), key=lambda level: -level.w)
+
+
+@lru_cache(maxsize=64)
+def _levels_at(uri: str, size: int) -> list[Level]:
+    with opened(uri) as f:
+        return levels_of(f)
+
+
+def levels_at(uri: str, f) -> list[Level]:
+    """levels_of(f), parsed once for each worker, file and size."""
+    return _levels_at(uri, f.size())
 
 
 def _lzw(data: bytes) -> bytes:
@@ -137,10 +181,10 @@ class Slides(DataSource):
         return "slides"
 
     def schema(self) -> str:
-        return SCHEMA
+        return FAILURES if self.options.get("report") == "failures" else SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return SlidesReader([p for p in self.options.get("paths", "").split("\n") if p])
+        return SlidesReader([p for p in self.options.get("paths", "").split("\n") if p], self.options.get("on_error", "fail"), self.options.get("report") == "failures")
 
 
 class OneSlide(InputPartition):
@@ -149,27 +193,48 @@ class OneSlide(InputPartition):
 
 
 class SlidesReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """on_error skip: files that cannot be read give no rows; with failures they give the only ones."""
+
+    def __init__(self, paths: list[str], on_error: str = "fail", failures: bool = False):
+        if on_error not in ("fail", "skip"):
+            raise ValueError("on_error must be 'fail' or 'skip'")
+        self.paths, self.skip, self.failures = paths, on_error == "skip", failures
 
     def partitions(self) -> list[OneSlide]:
         return [OneSlide(i, p) for i, p in enumerate(self.paths)] or [OneSlide(-1, "")]
 
     def read(self, partition: OneSlide) -> Iterator[tuple]:
-        if partition.ord >= 0:
-            yield from header_rows(partition.ord, partition.path)
-
-
-def header_rows(ord_: int, path: str) -> Iterator[tuple]:
+        if partition.ord < 0:
+            return
+        rows, error = [], None
+        try:
+            rows = list(header_rows(partition.ord, partition.path, probe=self.skip or self.failures))
+        except Exception as e:  # whatever a broken file leads to
+            if not (self.skip or self.failures):
+                raise
+            error = f"{type(e).__name__}: {e}"
+        if not self.failures:
+            yield from rows
+        elif error:
+            yield partition.ord, partition.path, error
+
+
+def header_rows(ord_: int, path: str, probe: bool = False) -> Iterator[tuple]:
+    """A row for each level. probe: also see that every block lies within the file and that each level's first one can be decoded."""
     with opened(path) as f:
         all_ = levels_of(f)
+        for level in all_ if probe else ():
+            if max(a + n for a, n in zip(level.offsets, level.sizes, strict=True)) > f.size():
+                raise ValueError("the file ends before its last block")
+            read_window(f, level, 0, 0, 1, 1)
     for i, level in enumerate(all_):
         yield ord_, stem(path), path, i, level.w, level.h, float(all_[0].w / level.w), all_[0].mpp
 
 
-def write_pyramid(path: str, images: list[np.ndarray], tile: int = 256, compression: int = 8, mpp: float | None = None) -> None:
-    """A tiled pyramid of (h, w, 3) uint8 images; compression 1 or 8."""
-    body, entries = bytearray(b"II*\0\0\0\0\0"), []
+def write_pyramid(path: str, images: list[np.ndarray], tile: int = 256, compression: int = 8, mpp: float | None = None, big: bool = False, description: str | None = None) -> None:
+    """A tiled pyramid of (h, w, 3) uint8 images; compression 1 or 8; big: as BigTIFF. The description stands with the first."""
+    word, slot, link = ("Q", 8, 8) if big else ("I", 4, 4)
+    body, entries = bytearray(b"II+\0\x08\0\0\0" + b"\0" * 8 if big else b"II*\0\0\0\0\0"), []
     for image in images:
         h, w, c = image.shape
         offsets, sizes = [], []
@@ -183,22 +248,26 @@ def write_pyramid(path: str, images: list[np.ndarray], tile: int = 256, compress
                 sizes.append(len(data))
                 body += data
         entries.append((h, w, c, offsets, sizes))
-    link = 4
-    for h, w, c, offsets, sizes in entries:
-        def out(code, values):
-            at = len(body)
-            body.extend(struct.pack("<" + code * len(values), *values))
-            return at
-
-        fields = [(WIDTH, 4, 1, w), (HEIGHT, 4, 1, h), (258, 3, c, out("H", [8] * c)), (COMPRESSION, 3, 1, compression), (262, 3, 1, 2), (SAMPLES, 3, 1, c)]
+    for k, (h, w, c, offsets, sizes) in enumerate(entries):
+        def field(tag, kind, code, values, count=None):
+            data = values if isinstance(values, bytes) else struct.pack("<" + code * len(values), *values)
+            at = data.ljust(slot, b"\0")
+            if len(data) > slot:
+                at = struct.pack("<" + word, len(body))
+                body.extend(data)
+            return struct.pack("<HH" + word, tag, kind, count or len(values)) + at
+
+        fields = [field(t, k_, c_, v) for t, k_, c_, v in ((WIDTH, 4, "I", [w]), (HEIGHT, 4, "I", [h]), (258, 3, "H", [8] * c), (COMPRESSION, 3, "H", [compression]), (262, 3, "H", [2]))]
+        if description and not k:
+            fields.append(field(DESCRIPTION, 2, "c", description.encode("latin-1") + b"\0"))
+        fields.append(field(SAMPLES, 3, "H", [c]))
         if mpp:
-            fields += [(XRES, 5, 1, out("I", [round(10000 / mpp * 1000), 1000])), (UNIT, 3, 1, 3)]
-        n = len(offsets)
-        fields += [(TILE_W, 3, 1, tile), (TILE_H, 3, 1, tile), (TILES, 4, n, offsets[0] if n == 1 else out("I", offsets)), (TILE_SIZES, 4, n, sizes[0] if n == 1 else out("I", sizes))]
+            fields += [field(XRES, 5, "I", [round(10000 / mpp * 1000), 1000], 1), field(UNIT, 3, "H", [3])]
+        fields += [field(TILE_W, 3, "H", [tile]), field(TILE_H, 3, "H", [tile]), field(TILES, 16 if big else 4, word, offsets), field(TILE_SIZES, 4, "I", sizes)]
         body += b"\0" * (len(body) % 2)
-        body[link : link + 4] = struct.pack("<I", len(body))
-        body += struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", *f) for f in sorted(fields))
+        body[link : link + slot] = struct.pack("<" + word, len(body))
+        body += struct.pack("<Q" if big else "<H", len(fields)) + b"".join(fields)
         link = len(body)
-        body += b"\0\0\0\0"
+        body += b"\0" * slot
     with open(path, "wb") as f:
         f.write(body)
