@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidemill.functions import pen
+from slidemill.functions import pen, png
 from slidemill.operators import annotate, audit, extract, levels, metrics, profile, rois, shards, tiles
 from slidemill.operators.metrics import LUMA
 from slidemill.plans import virtual
@@ -60,6 +61,10 @@ for unit, mode, r in [
 ]:
     query(f"level_{mode}_{unit}", level_sql(unit, mode.split("_")[0], r))(level_query(unit, mode.split("_")[0], r))
 query("level_index", level_sql("level", "nearest", 2))(level_query("level", "nearest", 2))
+query("level_error_mpp", level_sql("mpp", "error", 1.0))(lambda s, d: levels.select_level(virtual.levels(s, d), 1.0, "mpp", "error", on_error="skip"))
+query("resample_virtual_dims", "SELECT slide_ord, round(resample_factor, 9) AS rf, w AS vw, h AS vh FROM (" + level_sql("mpp", "resample", 0.7) + ")")(
+    lambda s, d: level_query("mpp", "resample", 0.7)(s, d).select("slide_ord", F.round("resample_factor", 9).alias("rf"), F.col("w").alias("vw"), F.col("h").alias("vh"))
+)
 
 # ---- regions of interest
 
@@ -104,6 +109,18 @@ for name, ts, stride, mode in [("any_overlap", 224, 224, "any_overlap"), ("full_
         lambda s, d, ts=ts, stride=stride, mode=mode: tiles.plan_tiles(virtual.rois(s, d), ts, stride, mode).select("slide_ord", "roi_index", "x", "y")
     )
 
+
+
+def in_disc(x, y):
+    """If a tile's centre is in the disc that fills the region's box, in half pixels."""
+    dx, dy, side = 2 * (x + 32) - (2 * F.col("bx") + F.col("bw")), 2 * (y + 32) - (2 * F.col("by") + F.col("bh")), F.least("bw", "bh")
+    return dx * dx + dy * dy <= side * side
+
+
+query("tiles_in_discs", tiles_sql(64, 64) + " SELECT slide_ord, roi_index, x, y, tile_ord FROM t WHERE (2 * (x + 32) - (2 * b_x + bw)) ** 2 + (2 * (y + 32) - (2 * b_y + bh)) ** 2 <= least(bw, bh) ** 2")(
+    lambda s, d: tiles.plan_tiles(virtual.rois(s, d), 64, 64, accept=in_disc).select("slide_ord", "roi_index", "x", "y", "tile_ord")
+)
+
 TS, STRIDE, MWS = 128, 96, 288
 
 
@@ -286,6 +303,17 @@ query("geo_centroid_join", FEATURES + " SELECT slide_ord, roi_index, x, y, fid,
 query("geo_property_subset", FEATURES + " SELECT slide_ord, roi_index, x, y, celltype, count(*) AS n, sum(k) AS k FROM fj GROUP BY slide_ord, roi_index, x, y, celltype")(
     lambda s, d: geo(s, d).groupBy("slide_ord", "roi_index", "x", "y", "celltype").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
 )
+
+
+def geo_cells(s, d):
+    """Features as a GeoJSON file gives them: properties as JSON, and a point for their shape, as centroids need no more."""
+    c = annotate.centroids(virtual.features(s, d), 0.5, 3.0, -2.0, carry=("celltype", "k"))
+    c = c.withColumns({"properties": F.to_json(F.struct("celltype", "k")), "geometry": F.lit(None).cast("string"), "scale": F.lit(0.5), "ox": F.lit(3.0), "oy": F.lit(-2.0)}).drop("celltype", "k")
+    met = annotate.annotate_features(point_tiles(s, d), c, 128, ("celltype", "colour"), filter_empty=True)
+    return met.select("slide_ord", "roi_index", "x", "y", F.array_join("annotations", " ").alias("cells"))
+
+
+query("geo_annotated_tiles", FEATURES + """ SELECT slide_ord, roi_index, x, y, string_agg('{"celltype": "' || celltype || '", "colour": null}', ' ' ORDER BY fid) AS cells FROM fj GROUP BY slide_ord, roi_index, x, y""")(geo_cells)
 query("geo_shifted_vertices", FEATURES + """, vv AS (SELECT roi_index, x, y, slide_ord, fid, half, unnest([-1, 1, 1, -1]) AS a, unnest([-1, -1, 1, 1]) AS b FROM fj), vx AS (SELECT vv.*, cx, cy FROM vv JOIN vfeature USING (slide_ord, fid))
 SELECT slide_ord, roi_index, x, y, fid, CAST(round_even((cx + a * vx.half) * 0.5 - (x - 3.0 * 0.5), 0) AS BIGINT) AS vx, CAST(round_even((cy + b * vx.half) * 0.5 - (y + 2.0 * 0.5), 0) AS BIGINT) AS vy FROM vx""")(
     lambda s, d: geo(s, d).select("slide_ord", "roi_index", "x", "y", "fid").join(virtual.features(s, d), ["slide_ord", "fid"])
@@ -336,3 +364,17 @@ query("reinhard_apply")(lambda s, d: checksum(extract.reinhard(batched(s, d), [6
 query("reinhard_modified_apply")(lambda s, d: checksum(extract.reinhard(batched(s, d), [65.0, 5.0, -5.0], [10.0, 8.0, 6.0], modified=True)))
 query("macenko_apply")(lambda s, d: checksum(extract.macenko(batched(s, d))))
 query("png_encode")(lambda s, d: checksum(extract.encode_png(batched(s, d)), "encoded"))
+
+
+def decoded(s, d):
+    """Sums of the pixels that come back from PNG files."""
+
+    @F.pandas_udf("long")
+    def total(files: pd.Series) -> pd.Series:
+        return pd.Series([int(png.decode(f).sum(dtype="int64")) for f in files], dtype="int64")
+
+    return extract.encode_png(batched(s, d)).select(F.col("tile_ord").alias("patch_id"), "x", "y", total("encoded").alias("total"))
+
+
+query("png_roundtrip", with_views("vpx") + """, n AS (SELECT patch_id, row_number() OVER (PARTITION BY slide_ord ORDER BY patch_id) - 1 AS n, total FROM (SELECT patch_id, slide_ord, CAST(sum(r + g + b) AS BIGINT) AS total FROM vpx GROUP BY patch_id, slide_ord))
+SELECT patch_id, 8 * (n % 16) AS x, 8 * (n // 16) AS y, total FROM n""")(decoded)
