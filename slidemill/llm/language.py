@@ -6,7 +6,7 @@ margins are means of weights over its n-grams, whole texts at any length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -24,6 +24,10 @@ SCALE = 20.0
 BUCKETS = 1 << 16
 #: Labelled rows that the machines are fitted on, at most (and 60 MB of text).
 SAMPLE = 4_000
+#: Score below which the machines can't tell the language. Of 17,188 held-out documents of check_s 2 are below (both mix languages;
+#: 5 are below 0.53). It is no test for noise: letters at random score 0.50 to 0.91 and mostly pass, as do scripts and program
+#: code that were not learned, by the sample that was: the machines tell languages apart, not language from noise.
+SURE = 0.52
 #: Families of languages; a language in none is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nl", "no", "sv"),
@@ -152,10 +156,17 @@ def identify(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """The rows of docs, all columns, whose text is in some language: what is `und` goes."""
+def keep_identified(docs: DataFrame, most: int = SAMPLE, least: float = SURE, wanted: Sequence[str] | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose text is in a language: `und` goes, and so does what the machines score below `least`; with `wanted` also what is in another language.
+
+    Null, empty and letterless texts go. Where no row is labelled nothing is learned, so all texts are `und` and go. Repeated rows are judged
+    alike, null ids and other columns, whatever their names and types, stay as they are; an empty table gives an empty result.
+    """
     names = docs.columns
     predict = predictor(docs, train(training_rows(pick(docs, doc_id="long", text="string", lang="string")), most))
     bare = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    kept = bare.withColumn("p", predict(F.col(f"c{names.index('text')}").cast("string"))).filter(F.col("p.lang") != "und")
+    judged = bare.withColumn("p", predict(F.col(f"c{names.index('text')}").cast("string")))
+    kept = judged.filter((F.col("p.lang") != "und") & (F.col("p.score") >= least))
+    if wanted is not None:
+        kept = kept.filter(F.col("p.lang").isin(*wanted))
     return kept.drop("p").toDF(*names)

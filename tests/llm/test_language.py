@@ -17,7 +17,8 @@ def test_edges(spark):
     out = language.identify(df).collect()
     assert len(out) == len(rows)
     assert {r.doc_id for r in out if r.lang_pred == "und"} == {2, 3, 4}
-    assert language.keep_identified(df).count() == 4
+    assert language.keep_identified(df, least=0.0).count() == 4
+    assert sorted(r.text for r in language.keep_identified(df).collect()) == ["le la les des", "the and of with", "the and of with"]  # a row of x is no language
     assert language.keep_identified(df).columns == df.columns
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language.identify(none).count() == 0
@@ -25,6 +26,21 @@ def test_edges(spark):
     assert {r.lang_pred for r in unlabelled} == {"und"}
 
 
+def test_unsure_and_unwanted_texts_go(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    model = language.train(language.training_rows(docs))
+    said = {r.doc_id: model.predict(r.text) for r in docs.collect()}
+    own = {i for i, (lang, _) in said.items() if lang != "und"}
+    for least in (language.SURE, 0.9):
+        kept = {r.doc_id for r in language.keep_identified(docs, least=least).collect()}
+        assert kept == {i for i in own if said[i][1] >= least}
+        assert least > 0.8 and 0 < len(own - kept) < 0.1 * len(own) or len(own - kept) <= len(own) // 1000
+    english = language.keep_identified(docs, wanted=("en",)).groupBy("lang").count().collect()
+    right = {r.lang: r["count"] for r in english}
+    assert right["en"] / sum(right.values()) > 0.98
+    assert language.keep_identified(docs, least=0.0).count() == len(own)
+
+
 def test_families():
     assert language.family_of("fr") == language.family_of("es") != language.family_of("de") == language.family_of("en")
     assert language.family_of("xx") == "xx"

@@ -13,7 +13,8 @@ def test_against_brute_force(spark):
     docs = table(spark, sf, "documents")
     rows = {r.doc_id: r.asDict() for r in docs.collect()}
     model = language.train(language.training_rows(docs))
-    rows = {i: r for i, r in rows.items() if model.predict(r["text"])[0] != "und"}
+    said = {i: model.predict(r["text"]) for i, r in rows.items()}
+    rows = {i: r for i, r in rows.items() if said[i][0] != "und" and said[i][1] >= language.SURE}
     left = docs.filter(docs.doc_id.isin(list(rows)))
     net = toxicity.train(toxicity.training_rows(left), table(spark, sf, "labels"))
     rows = {i: r for i, r in rows.items() if net.score([r["text"]])[0] < 0.5}
