@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over documents, each applied to all that the one before it kept.
 
-Language identification drops what is in no language, the toxicity network what it scores 0.5 or more,
+Language identification drops what is in no language that it is sure of, the toxicity network what it scores 0.5 or more,
 near-duplicate detection all but one document of each group, decontamination what contains a benchmark item;
 mixing says how often each remaining document is drawn. Functions take (spark, docs, sf_dir); all but the last
 return the columns of docs.
@@ -15,7 +15,7 @@ from slidemill.llm.common import release, settle, settled_so_far, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts that are null or have no letter, `und`; any other is kept. Repeated rows, null ids and extra columns stay as they are."""
+    """Drops texts that are null or have no letter, and those that the machines are not sure of (language.SURE). Repeated rows are judged alike; null ids and extra columns stay as they are."""
     return language.keep_identified(docs)
 
 
@@ -35,6 +35,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often each document is drawn, and its block; all rows stay, null sources are one source."""
     return mixing.mix(docs)
 
 
