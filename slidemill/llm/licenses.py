@@ -25,59 +25,96 @@ SENTENCES = {
     "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
     "asis-software": ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT'],
     "no-liability": ["IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"],
-    "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "gpl2-free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
-    "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
-    "gpl-see": ["See the GNU General Public License for more details"],
-    "gpl-copy": ["You should have received a copy of the GNU General Public License along with this program"],
+    "gnu-free": ["This program is free software", "This library is free software", "This file is free software", "This software is free software", "It is free software"],
+    "gnu-useful": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "gnu-implied": ["Without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
     "bsd-redistribute": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "bsd-names": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "public-domain": ["This is free and unencumbered software released into the public domain", "This work is in the public domain"],
+    "isc-short": ["Released under the ISC License", "Licensed under the ISC License", "This work is licensed under the ISC License"],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "mpl2-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v"],
+    "mpl2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"],
+    "unlicense-free": ["This is free and unencumbered software released into the public domain"],
+    "unlicense-anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
+    "public-domain": ["This work is in the public domain"],
     "all-rights": ["All rights reserved"],
 }
+#: The licences of GNU by name, and their versions as notices write them.
+GNU = {"general": ("GPL", "2", "3"), "lesser general": ("LGPL", "2.1", "3"), "library general": ("LGPL", "2"), "affero general": ("AGPL", "3")}
+for _name, (_, *_versions) in GNU.items():
+    _terms = f"You can redistribute it and/or modify it under the terms of the GNU {_name} Public License as published by the Free Software Foundation"
+    SENTENCES[f"gnu {_name} terms"] = [_terms]
+    SENTENCES[f"gnu {_name} see"] = [f"See the GNU {_name} Public License for more details"]
+    SENTENCES[f"gnu {_name} copy"] = [f"You should have received a copy of the GNU {_name} Public License along with this {w}" for w in ("program", "library")]
+    for _v in _versions:
+        SENTENCES[f"gnu {_name} terms {_v}"] = [f"{_terms}, either version {_v} of the License, or (at your option) any later version"]
+        SENTENCES[f"either {_v}"] = [f"Either version {_v} of the License, or (at your option) any later version"]
+#: Names of parts of Creative Commons licences, and their versions.
+PARTS = {"attribution": "by", "noncommercial": "nc", "sharealike": "sa", "noderivatives": "nd", "noderivs": "nd"}
+CC_KINDS, CC_VERSIONS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"), ("1.0", "2.0", "2.5", "3.0", "4.0")
+_under = r"(?:this \w+ is )?(?:licensed|released|distributed|available) under (?:the |a )?(?:terms of the )?"
+_gnu = _under + r"gnu (general|lesser general|library general|affero general) public license(?: as published by the free software foundation)? v(?:ersion )?(\d)(?: 0|( 1))?"
 #: Sentences with parts that vary, as patterns over normalised text and the identifier they give.
 PATTERNS = [
     (r"copyright (?:c )?\d{4}(?: \d{4})*(?: .*)?|copyright c .*", "copyright"),
-    (r"(?:this \w+ is )?(?:licensed|released|distributed|available) under (?:the |a )?(?:terms of the )?gnu (general|lesser general|affero general) public license(?: as published by the free software foundation)? v(?:ersion )?(\d)(?: 0)?(?: or later)?", "gnu {0} {1}"),
-    (r"(?:this \w+ is )?(?:licensed|released|distributed|available) under (?:the |a )?(?:creative commons|cc) ((?:by|zero|0)(?: nc)?(?: sa| nd)?) (\d) 0(?: international)?(?: license)?", "cc {0} {1}.0"),
-    (r"(?:this \w+ is )?(?:licensed|released|distributed|available) under (?:the |a )?bsd ([23]) clause license", "bsd {0} short"),
-    (r"(?:this \w+ is )?(?:licensed|released|distributed|available) under (?:the |a )?mozilla public license v(?:ersion )?(\d) 0", "mpl {0}.0"),
+    (_gnu + r"(?: or any later(?: version)?| or later(?: version)?| or newer)", "gnu {0} {1}{2} or later"),
+    (_gnu + r"(?: only)?", "gnu {0} {1}{2}"),
+    (_under + r"(?:creative commons|cc) ((?:by|attribution)(?: nc| noncommercial)?(?: sa| nd| sharealike| noderivatives| noderivs)?) (\d) (\d)(?: international| unported| generic)?(?: public)?(?: license)?", "cc {0} {1}.{2}"),
+    (_under + r"(?:creative commons 0|creative commons zero|cc0|cc 0|cc zero)(?: v(?:ersion )?)?(?: 1 0)?(?: universal)?(?: license)?", "cc0"),
+    (_under + r"(?:simplified |new |revised )?bsd ([23]) clause license", "bsd {0} short"),
+    (_under + r"mozilla public license v(?:ersion )?(\d) (\d)", "mpl {0}.{1}"),
+    (r"(?:this \w+ is |this program and the accompanying materials are )?(?:made )?(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?eclipse public license v(?:ersion )?(\d) 0(?: which accompanies this distribution)?", "epl {0}.0"),
 ]
+
+
+def _gnu_rules() -> Iterator[tuple[str, list[str]]]:
+    """Notices of the GNU licences, longest first; their version ends the sentence or stands in one of its own."""
+    for name, (short, *versions) in GNU.items():
+        for v in versions:
+            licence = f"{short}-{v if '.' in v else v + '.0'}-or-later"
+            for head in ([f"gnu {name} terms {v}"], [f"gnu {name} terms", f"either {v}"]):
+                after = ["gnu-useful", "gnu-implied", f"gnu {name} see", f"gnu {name} copy"]
+                for n in (4, 3, 2, 0):
+                    yield licence, ["gnu-free", *head, *after[:n]]
+                yield licence, head
+
+
+def _gnu_short() -> Iterator[tuple[str, list[str]]]:
+    for name, (short, *_) in GNU.items():
+        for v in ("1", "2", "2 1", "3"):
+            number = v.replace(" ", ".") if " " in v else v + ".0"
+            yield f"{short}-{number}-or-later", [f"gnu {name} {v} or later"]
+            yield f"{short}-{number}", [f"gnu {name} {v}"]
+
+
 #: Rules in order; each licence's sequence of sentence identifiers. Earlier rules claim sentences first.
 RULES = [
     ("Apache-2.0", ["apache2-notice", "apache2-comply", "apache2-copy", "apache2-asis", "apache2-see"]),
     ("Apache-2.0", ["apache2-notice", "apache2-copy", "apache2-asis", "apache2-see"]),
     ("MIT", ["mit-title", "mit-grant", "mit-notice", "asis-software", "no-liability"]),
     ("MIT", ["mit-grant", "mit-notice", "asis-software", "no-liability"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty", "gpl-see", "gpl-copy"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty", "gpl-see"]),
-    ("GPL-2.0-or-later", ["gpl2-free", "gpl-warranty", "gpl-see"]),
+    *_gnu_rules(),
     ("BSD-3-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary"]),
+    ("MPL-2.0", ["mpl2-notice", "mpl2-copy"]),
+    ("Unlicense", ["unlicense-free", "unlicense-anyone"]),
     ("Apache-2.0", ["apache2-short"]),
     ("Apache-2.0", ["apache2-notice"]),
     ("MIT", ["mit-short"]),
     ("MIT", ["mit-grant"]),
-    ("GPL-3.0-or-later", ["gpl-free"]),
-    ("GPL-2.0-or-later", ["gpl2-free"]),
-    ("GPL-2.0", ["gnu general 2"]),
-    ("GPL-3.0", ["gnu general 3"]),
-    ("LGPL-2.0", ["gnu lesser general 2"]),
-    ("LGPL-3.0", ["gnu lesser general 3"]),
-    ("AGPL-3.0", ["gnu affero general 3"]),
-    ("CC-BY-4.0", ["cc by 4.0"]),
-    ("CC-BY-3.0", ["cc by 3.0"]),
-    ("CC-BY-SA-4.0", ["cc by sa 4.0"]),
-    ("CC-BY-SA-3.0", ["cc by sa 3.0"]),
-    ("CC-BY-NC-4.0", ["cc by nc 4.0"]),
-    ("CC-BY-NC-SA-4.0", ["cc by nc sa 4.0"]),
-    ("CC-BY-NC-ND-4.0", ["cc by nc nd 4.0"]),
-    ("CC-BY-ND-4.0", ["cc by nd 4.0"]),
+    ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-short"]),
+    ("MPL-2.0", ["mpl2-notice"]),
+    ("Unlicense", ["unlicense-free"]),
+    *_gnu_short(),
+    *[(f"CC-{k.upper().replace(' ', '-')}-{v}", [f"cc {k} {v}"]) for k in CC_KINDS for v in CC_VERSIONS],
+    ("CC0-1.0", ["cc0"]),
     ("BSD-2-Clause", ["bsd 2 short"]),
     ("BSD-3-Clause", ["bsd 3 short"]),
-    ("MPL-2.0", ["mpl 2.0"]),
+    *[(f"MPL-{v}", [f"mpl {v}"]) for v in ("1.0", "1.1", "2.0")],
+    *[(f"EPL-{v}", [f"epl {v}"]) for v in ("1.0", "2.0")],
     ("public-domain", ["public-domain"]),
 ]
 _gaps = re.compile(r"[^a-z0-9]+")
@@ -85,9 +122,9 @@ _edge = re.compile(r"[.!?;:]+(?=\s|$)|\n", re.MULTILINE)
 _patterns = [(re.compile(p), name) for p, name in PATTERNS]
 #: All that normalise() can make a word of, the signs whose lower case begins with i and k included.
 _first = re.compile("[A-Za-z0-9\u0130\u212a]+")
-#: What can still grow into a match of PATTERNS: the longest has 21 words after "under".
-_verb = r"(?:licensed|released|distributed|available)(?: under(?: \w+){0,21})?"
-_open = re.compile(rf"copyright(?: c)?|this(?: \w+(?: is(?: {_verb})?)?)?|{_verb}")
+#: What can still grow into a match of PATTERNS: the longest has 24 words after "under".
+_verb = r"(?:made )?(?:licensed|released|distributed|available)(?: under(?: \w+){0,24})?"
+_open = re.compile(rf"copyright(?: c)?|this(?: \w+(?: is(?: {_verb})?)?)?|this program(?: and(?: the(?: accompanying(?: materials(?: are(?: (?:made|{_verb}))?)?)?)?)?)?|made|{_verb}")
 
 
 def normalise(sentence: str) -> str:
@@ -99,7 +136,7 @@ KNOWN = {normalise(s): name for name, all_ in SENTENCES.items() for s in all_}
 #: Known sentences and what they begin with, by whole words.
 BEGUN = {" ".join(words[:n]) for words in (k.split(" ") for k in KNOWN) for n in range(1, len(words) + 1)}
 #: First words of what can be known: a sentence or line that begins otherwise is passed over without a lookup.
-STARTS = {k.split(" ", 1)[0] for k in KNOWN} | {"copyright", "this", "licensed", "released", "distributed", "available"}
+STARTS = {k.split(" ", 1)[0] for k in KNOWN} | {"copyright", "this", "made", "licensed", "released", "distributed", "available"}
 
 
 def identify(sentence: str) -> str | None:
@@ -108,12 +145,12 @@ def identify(sentence: str) -> str | None:
         return name
     for pattern, name in _patterns:
         if m := pattern.fullmatch(sentence):
-            return name.format(*(g or "" for g in m.groups()))
+            return name.format(*(" ".join(PARTS.get(w, w) for w in (g or "").split(" ")) for g in m.groups()))
     return None
 
 
 def sentences(text: str) -> Iterator[tuple[str, int, int]]:
-    """Identifier, start and end of each known sentence: a fragment, or some in a row that only line ends and blank lines part."""
+    """Identifier, start and end of each known sentence: a fragment, or some in a row that only line ends and blank lines part; as many as make the longest known sentence."""
     at, parts = 0, []  # start, end, if line ends alone close it, first word; none without a word
     for m in [*_edge.finditer(text), None]:
         stop, soft = (m.start(), m[0] == "\n") if m else (len(text), False)
@@ -124,18 +161,18 @@ def sentences(text: str) -> Iterator[tuple[str, int, int]]:
         at = m.end() if m else stop
     i = 0
     while i < len(parts):
-        acc, used = "", 0
+        acc, used, best = "", 0, None
         for j in range(i, len(parts)):
             a, b, soft, word = parts[j]
             if j == i and word not in STARTS:
                 break
             acc = f"{acc} {normalise(text[a:b])}".strip()
             if (name := identify(acc)) is not None:
-                yield name, parts[i][0] + (len(text[parts[i][0] : b]) - len(text[parts[i][0] : b].lstrip())), b
-                used = j - i + 1
-                break
+                best, used = (name, b), j - i + 1
             if not soft or not (acc in BEGUN or _open.fullmatch(acc)):
                 break
+        if best:
+            yield best[0], parts[i][0] + (len(text[parts[i][0] : best[1]]) - len(text[parts[i][0] : best[1]].lstrip())), best[1]
         i += max(1, used)
 
 

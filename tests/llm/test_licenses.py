@@ -17,7 +17,7 @@ def test_rules():
     assert [n for n, _, _ in found] == ["Apache-2.0"] and "apache2-copy" in ids
     assert licenses.scan_text("Copyright (c) 2020 A. Body\nAll rights reserved.")[1] == []
     assert licenses.scan_text("Licensed under CC BY-NC 4.0.")[1] == [("CC-BY-NC-4.0", 0, 27)]
-    ids = ["mit-short", "gpl-free", "gpl-warranty", "copyright", "gpl-see", "mit-short"]
+    ids = ["mit-short", "gnu-free", "gnu general terms 3", "gnu-useful", "gnu-implied", "copyright", "gnu general see", "mit-short"]
     assert [m[0] for m in licenses.match(ids)] == ["MIT", "GPL-3.0-or-later", "MIT"]
 
 
@@ -51,5 +51,55 @@ def test_indents_marks_and_many_lines():
         assert wrapped.count("\n") > 12 and names(wrapped) == ["MIT"]
         assert licenses.scan_text(wrapped)[0] == ["mit-title", "mit-grant", "mit-notice", "asis-software", "no-liability"]
     gnu = "This work is distributed under the terms of the GNU Lesser General Public License as published by the Free Software Foundation version 3.0 or later"
-    assert names(gnu.replace(" ", "\n\n")) == ["LGPL-3.0"] and names("Licenſed") == []
+    assert names(gnu.replace(" ", "\n\n")) == ["LGPL-3.0-or-later"] and names("Licenſed") == []
     assert names("This is\n" * 20_000 + "MIT.\nReleased under the MIT\n.\nLicense") == []
+
+
+def test_notices_and_short_forms():
+    names = lambda text: [n for n, _, _ in licenses.scan_text(text)[1]]
+    gnu = """This {w} is free software{a} you can redistribute it and/or modify
+it under the terms of the GNU {n} Public License as published by
+the Free Software Foundation{b} either version {v} of the License, or
+(at your option) any later version.
+
+This {w} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {n} Public License for more details.
+
+You should have received a copy of the GNU {n} Public License
+along with this {w}."""
+    for w, n, v, want in (("program", "General", "3", "GPL-3.0"), ("program", "General", "2", "GPL-2.0"), ("library", "Lesser General", "2.1", "LGPL-2.1"), ("library", "Lesser General", "3", "LGPL-3.0"), ("program", "Affero General", "3", "AGPL-3.0"), ("library", "Library General", "2", "LGPL-2.0")):
+        for a, b in ((":", ","), (";", ";")):
+            text = gnu.format(w=w, n=n, v=v, a=a, b=b)
+            assert licenses.scan_text(text)[1] == [(want + "-or-later", 0, len(text) - 1)], (text, licenses.scan_text(text))
+            assert names("// " + text.replace("\n", "\n// ")) == [want + "-or-later"]
+    for text, want in {
+        "Licensed under the GNU GPL": None,
+        "Licensed under the GNU General Public License version 2 or later.": "GPL-2.0-or-later",
+        "Licensed under the GNU General Public License v2.0 only": "GPL-2.0",
+        "Distributed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+        "Released under the GNU Affero General Public License v3.0 or any later version": "AGPL-3.0-or-later",
+        "Licensed under CC0 1.0 Universal": "CC0-1.0",
+        "This work is licensed under CC BY-SA 2.0.": "CC-BY-SA-2.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 2.5 Generic License": "CC-BY-NC-ND-2.5",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "CC-BY-4.0",
+        "Licensed under the Mozilla Public License, version 1.1": "MPL-1.1",
+        "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0",
+        "This program and the accompanying materials\nare made available under the terms of the Eclipse Public License v1.0\nwhich accompanies this distribution": "EPL-1.0",
+        "Licensed under the ISC License": "ISC",
+        "Licensed under the BSD 3-Clause License": "BSD-3-Clause",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+    }.items():
+        assert names(text) == ([want] if want else []), (text, licenses.scan_text(text))
+        if "\n" not in text:
+            assert names(text.replace(" ", "\n# ")) == ([want] if want else []), text
+
+
+def test_every_rule_finds_its_own_sentences():
+    known = {**{k: v[0] for k, v in licenses.SENTENCES.items()}}
+    for licence, rule in licenses.RULES:
+        if all(k in known for k in rule):
+            text = ".\n".join(known[k] for k in rule) + "."
+            ids, found = licenses.scan_text(text)
+            assert ids == rule and [n for n, _, _ in found] == [licence], (licence, rule, ids, found)
