@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slidemill.llm import decontaminate, fingerprints, language, licenses, lm, mixing, neardup, tokens, toxicity, urls
+from slidemill.llm import collocations, decontaminate, fingerprints, language, licenses, lm, mixing, neardup, rules, tokens, toxicity, trie, urls
 from slidemill.llm.common import table
 
 
@@ -60,6 +60,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host of a document is its source."""
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_filter": op2_url_filter,
@@ -71,5 +84,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_collocations": op13_collocations,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.SQL,
+    "op2_url_filter": urls.SQL,
+    "op11_prefix_trie": trie.SQL,
+    "op12_quality_rules": rules.SQL,
+    "op13_collocations": collocations.SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.SQL, "op2_url_filter": urls.SQL}
