@@ -24,7 +24,7 @@ from slidemill.llm.naming import named
 
 MOST_WORDS, LEAST, SHARE, TOP = 5, 100, 100, 2000
 #: Bytes of text of one chunk, over which a single piece may go.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 #: Frequent words or pairs, and bytes of them, up to which they are joined by broadcast. Languages are bounded so too.
 BROADCAST, BROADCAST_BYTES = 200_000, 16_000_000
 #: Parts that a language's phrases are ranked in before its first ones are.
@@ -44,15 +44,15 @@ def _counted(seq: np.ndarray, n: int) -> list[int]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Texts to chunks of one language: distinct words, their counts, and positions in them in order, -1 where a piece ends."""
-    held: dict[str, list[bytes]] = {}
+    """Texts to chunks of one language: distinct words, their counts, and positions in them in order, -1 where a piece ends. Only one text's words are held as such."""
+    held: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
     size = 0
 
     def chunk(lang: str) -> pa.RecordBatch:
-        known: dict[bytes, int] = {}
-        tokens = b" . ".join(held.pop(lang)).replace(b".", b" . ").split()
-        seq = np.fromiter((-1 if t == b"." else known.setdefault(t, len(known)) for t in tokens), np.int64, len(tokens))
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(([lang], [[w.decode("utf-8", "surrogatepass") for w in known]], [_counted(seq, len(known))], [_numbers(seq)]), _PACKED.types, strict=True)], schema=_PACKED)
+        known, parts = held.pop(lang)
+        seq = np.concatenate(parts)
+        row = [lang], [[w.decode("utf-8", "surrogatepass") for w in known]], [_counted(seq, len(known))], [_numbers(seq)]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _PACKED.types, strict=True)], schema=_PACKED)
 
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
@@ -63,15 +63,15 @@ def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
                     at = raw.rfind(b".", 0, max(1, most - size))
                     at = raw.find(b".", most - size) if at < 0 else at
                     cut = at + 1 if at >= 0 else cut
-                held.setdefault(lang, []).append(raw[:cut])
+                known, parts = held.setdefault(lang, ({}, []))
+                tokens = (raw[:cut] + b".").replace(b".", b" . ").split()
+                parts.append(np.fromiter((-1 if t == b"." else known.setdefault(t, len(known)) for t in tokens), np.int32, len(tokens)))
                 size += cut
                 raw = raw[cut:]
                 if size >= most or raw:
-                    for x in list(held):
-                        yield chunk(x)
+                    yield from [chunk(x) for x in list(held)]
                     size = 0
-    for x in list(held):
-        yield chunk(x)
+    yield from [chunk(x) for x in list(held)]
 
 
 def _pairs(seq: np.ndarray, chunk: int) -> dict:
