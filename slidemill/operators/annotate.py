@@ -9,29 +9,57 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Salts that a bucket's points may be dealt over, so that one crowded tile is no single task's.
-SALTS = 8
+#: Points of a bucket beyond which it is crowded: its points are dealt in parts of about so many, and only its tiles copied to each part.
+CROWD = 20_000
+#: Crowded buckets up to which they are joined by broadcast.
+BROADCAST = 100_000
 
 
-def _bucketed(tiles: DataFrame, tile_size: int) -> DataFrame:
-    """A row for each bucket of tile_size that a tile covers: one to four."""
-    along = lambda c: F.explode(F.sequence(F.floor(F.col(c) / tile_size), F.floor((F.col(c) + tile_size - 1) / tile_size)))
-    return tiles.withColumn("gx", along("x")).withColumn("gy", along("y"))
+def _along(c: str, lo: int, hi: int, tile_size: int):
+    return F.explode(F.sequence(F.floor((F.col(c) + lo) / tile_size), F.floor((F.col(c) + hi) / tile_size)))
 
 
-def points_in_tiles(tiles: DataFrame, points: DataFrame, tile_size: int, salts: int = 1) -> DataFrame:
-    """Tiles(slide_ord, roi_index, x, y) and the points(slide_ord, px, py, ...) in them, half open, with local lx, ly. A point may fall in several tiles."""
-    p = points.withColumns({"gx": F.floor(F.col("px") / tile_size), "gy": F.floor(F.col("py") / tile_size), "salt": F.pmod(F.xxhash64("px", "py"), F.lit(salts)).cast("int")})
-    t = _bucketed(tiles.select("slide_ord", "roi_index", "x", "y"), tile_size).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    j = t.join(p, ["slide_ord", "gx", "gy", "salt"])
+def bucketed(tiles: DataFrame, points: DataFrame, tile_size: int, copy: str = "tiles", crowd: int = CROWD) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Tiles and points with the keys of the buckets of tile_size in which they can meet.
+
+    A tile covers one to four buckets, so one side is copied: the tiles, or with copy="points" the points. Points are
+    counted by bucket first; where none is crowded nothing else is copied.
+    """
+    if copy not in ("tiles", "points"):
+        raise ValueError("copy must be 'tiles' or 'points'")
+    whole = lambda df, x, y: df.withColumns({"gx": F.floor(F.col(x) / tile_size), "gy": F.floor(F.col(y) / tile_size)})
+    if copy == "tiles":
+        t = tiles.withColumn("gx", _along("x", 0, tile_size - 1, tile_size)).withColumn("gy", _along("y", 0, tile_size - 1, tile_size))
+        p = whole(points, "px", "py")
+    else:
+        t = whole(tiles, "x", "y")
+        p = points.withColumn("gx", _along("px", -tile_size, 0, tile_size)).withColumn("gy", _along("py", -tile_size, 0, tile_size))
+    key = ["slide_ord", "gx", "gy"]
+    crowded = p.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select(*key, F.ceil(F.col("n") / crowd).cast("int").alias("parts"))
+    if not (n := crowded.count()):
+        return t, p, key
+    crowded = F.broadcast(crowded) if n <= BROADCAST else crowded.hint("merge")
+    parts = F.coalesce("parts", F.lit(1))
+    p = p.withColumn("dealt_by", F.xxhash64(*points.columns)).join(crowded, key, "left").withColumn("part", F.pmod("dealt_by", parts).cast("int")).drop("parts", "dealt_by")
+    t = t.join(crowded, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return t, p, [*key, "part"]
+
+
+def points_in_tiles(tiles: DataFrame, points: DataFrame, tile_size: int, copy: str = "tiles", crowd: int = CROWD) -> DataFrame:
+    """Tiles(slide_ord, roi_index, x, y) and the points(slide_ord, px, py, ...) in them, half open, with local lx, ly. A point may fall in several tiles.
+
+    Both sides are shuffled by bucket: what is exploded is larger than the optimizer can know, so it never goes by broadcast. copy: the side to copy, the smaller one.
+    """
+    t, p, key = bucketed(tiles.select("slide_ord", "roi_index", "x", "y"), points, tile_size, copy, crowd)
+    j = t.hint("merge").join(p, key)
     j = j.filter((F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + tile_size) & (F.col("py") >= F.col("y")) & (F.col("py") < F.col("y") + tile_size))
-    return j.withColumns({"lx": (F.col("px") - F.col("x")).cast("int"), "ly": (F.col("py") - F.col("y")).cast("int")}).drop("gx", "gy", "salt")
+    return j.withColumns({"lx": (F.col("px") - F.col("x")).cast("int"), "ly": (F.col("py") - F.col("y")).cast("int")}).drop("gx", "gy", "part")
 
 
-def annotate_points(tiles: DataFrame, points: DataFrame, tile_size: int, column: str = "annotations", filter_empty: bool = False, salts: int = 1) -> DataFrame:
+def annotate_points(tiles: DataFrame, points: DataFrame, tile_size: int, column: str = "annotations", filter_empty: bool = False, copy: str = "tiles", crowd: int = CROWD) -> DataFrame:
     """Tiles with an array of (x, y, label) of their points, in local pixels; without any an empty one, or no row with filter_empty."""
     key = ["slide_ord", "roi_index", "x", "y"]
-    found = points_in_tiles(tiles, points, tile_size, salts).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("lx").alias("x"), F.col("ly").alias("y"), F.col("label").cast("int").alias("label")))).alias(column))
+    found = points_in_tiles(tiles, points, tile_size, copy, crowd).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("lx").alias("x"), F.col("ly").alias("y"), F.col("label").cast("int").alias("label")))).alias(column))
     out = tiles.join(found, key, "inner" if filter_empty else "left")
     return out.withColumn(column, F.coalesce(column, F.array().cast("array<struct<x:int,y:int,label:int>>")))
 
@@ -48,7 +76,7 @@ def shift_vertex(v, origin, scale: float = 1.0, offset: float = 0.0):
     return F.bround(v * scale - (origin - offset * scale), 0).cast("long")
 
 
-def annotate_features(tiles: DataFrame, features: DataFrame, tile_size: int, property_keys: Sequence[str] | None = None, geometry: bool = False, geometry_key: str = "geometry", column: str = "annotations", filter_empty: bool = False, salts: int = 1) -> DataFrame:
+def annotate_features(tiles: DataFrame, features: DataFrame, tile_size: int, property_keys: Sequence[str] | None = None, geometry: bool = False, geometry_key: str = "geometry", column: str = "annotations", filter_empty: bool = False, copy: str = "tiles", crowd: int = CROWD) -> DataFrame:
     """Tiles with an array of JSON objects, in order of fid, of the features whose centroid is in them; without any an empty one, or no row with filter_empty.
 
     An object has the feature's properties, or those of property_keys (null where it lacks one), and with geometry its
@@ -69,7 +97,7 @@ def annotate_features(tiles: DataFrame, features: DataFrame, tile_size: int, pro
         return pd.Series(out, dtype=object)
 
     key = ["slide_ord", "roi_index", "x", "y"]
-    met = points_in_tiles(tiles, features.filter("px is not null"), tile_size, salts)
+    met = points_in_tiles(tiles, features.filter("px is not null"), tile_size, copy, crowd)
     met = met.withColumn("cell", cell("properties", "geometry", "scale", F.col("x") - F.col("ox") * F.col("scale"), F.col("y") - F.col("oy") * F.col("scale")))
     found = met.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("fid", "cell"))), lambda c: c["cell"]).alias(column))
     out = tiles.join(found, key, "inner" if filter_empty else "left")

@@ -39,9 +39,19 @@ class Knob:
         return F.coalesce(~OPS[self.op](F.col(self.column), F.lit(self.value)), F.lit(self.missing == "unknown"))
 
 
+def labelled(knobs: Sequence[Knob]) -> list[Knob]:
+    """The knobs with stage names that are theirs alone: the second of a name is name#2, the third name#3."""
+    seen: dict[str, int] = {}
+    out = []
+    for k in knobs:
+        seen[k.stage] = n = seen.get(k.stage, 0) + 1
+        out.append(replace(k, stage=f"{k.stage}#{n}") if n > 1 else k)
+    return out
+
+
 def tuned(knobs: Sequence[Knob], values: dict[str, float] | None = None, order: Sequence[str] | None = None, off: Sequence[str] = ()) -> list[Knob]:
-    """The knobs with other values by stage, in another order, without those switched off."""
-    by = {k.stage: replace(k, value=(values or {}).get(k.stage, k.value)) for k in knobs}
+    """The knobs, as labelled() names them, with other values by stage, in another order, without those switched off. Each place of the run is a knob of its own, also where two stages have one name."""
+    by = {k.stage: replace(k, value=(values or {}).get(k.stage, k.value)) for k in labelled(knobs)}
     if unknown := [s for s in [*(values or {}), *(order or ()), *off] if s not in by]:
         raise KeyError(f"no such stages: {unknown}")
     return [by[s] for s in (order or by) if s not in off]

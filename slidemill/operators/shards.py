@@ -1,8 +1,7 @@
-"""Shards: seeded order, a global index without a single task, and shard numbers; tar files written where the rows are."""
+"""Shards: seeded order, a global index without a single task, and shard numbers; tar files written where the rows are, and put into place together."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,23 +51,16 @@ def _cuts(tagged: DataFrame, ranges: int | None) -> list:
     return sorted({values[len(values) * i // ranges] for i in range(1, ranges)}) if values else []
 
 
-def write_tars(rows: DataFrame, outdir: str) -> DataFrame:
-    """Write rows(shard_id, key, encoded, meta) as shard-000000.tar and so on under outdir, a task for each shard; gives shard_id, n.
+def write_tars(rows: DataFrame, outdir: str, overwrite: bool = False) -> DataFrame:
+    """Write rows(shard_id, idx, key, encoded, meta) as shard-000000.tar and so on under outdir; gives shard_id, n.
 
-    outdir is a path or URI that all executors share. A shard is written under a name of its own and moved,
-    so a task that runs again leaves whole files; a failed write fails the job.
+    outdir is a path or URI that the driver and all executors share. A shard is one task's, which streams it; shards are
+    moved into place when all are written, so a failed write leaves none and a task that runs again no second one.
     """
+    from slidemill.sources.sinks import TarSink, write_files
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        from slidemill.sources.files import written
-        from slidemill.sources.shards import tar_bytes
-
-        shard = int(pdf["shard_id"].iloc[0])
-        rows = pdf.sort_values("idx").itertuples()
-        written(f"{outdir}/shard-{shard:06d}.tar", tar_bytes((r.key, {"png": bytes(r.encoded), "json": r.meta.encode()}) for r in rows))
-        return pd.DataFrame({"shard_id": [shard], "n": [len(pdf)]})
-
-    return rows.select("shard_id", "idx", "key", "encoded", "meta").groupBy("shard_id").applyInPandas(write, "shard_id long, n long")
+    own = rows.select("shard_id", "idx", "key", "encoded", "meta").repartition("shard_id").sortWithinPartitions("shard_id", "idx")
+    return write_files(own, TarSink(), outdir, "shard_id long, n long", overwrite).select("shard_id", "n")
 
 
 def keep_prefixes(rows: DataFrame, prefixes: list[str], column: str = "key") -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from slidemill.operators import annotate, audit, extract, levels, rois, shards, tiles
 from slidemill.operators.audit import Knob
+from slidemill.sources.held import hold
+from slidemill.sources.sinks import FileSink, write_files
 from slidemill.sources.tiff import Slides
 
 
@@ -27,6 +29,11 @@ class Context:
     unit: str = "mpp"
     tile_size: int = 0
     stride: int = 0
+    on_error: str = "fail"
+    #: What reading told of slides that fail, run after run; shared by all pipelines that come of one source.
+    failed: list = field(default_factory=list, compare=False)
+    #: While a profile is taken: the clock of the stage that runs.
+    clock: extract.Clock | None = None
 
 
 @dataclass(frozen=True)
@@ -39,6 +46,8 @@ class Stage:
     knob: Knob | None = None
     context: Callable[[Context], Context] = field(default=lambda c: c)
     encoder: bool = False
+    #: If rows stay in their partitions, in order.
+    ordered: bool = True
 
 
 def stage(name: str, run, requires: str = "", provides: str = "", drops: str = "", **more) -> Stage:
@@ -86,13 +95,19 @@ class Pipeline:
         return df
 
     def stream(self, batch_size: int = 200, layout: str = "NCHW", dtype: str = "uint8") -> Iterator[tuple[str, np.ndarray, np.ndarray, list[dict]]]:
-        """wsi_id, images, coords and metadata rows in batches of one slide."""
+        """wsi_id, images, coords and metadata rows in batches of one slide, in order of slide, batch and tile.
+
+        Tiles are dealt out in this order before they are read and partitions are taken one after the other, so nothing is sorted and each
+        window is read once. Only after stages that shuffle, or where slides may be skipped, are the patches held and sorted.
+        """
         if self.sink is not None:
             raise RuntimeError("a pipeline with a materialising sink is not streamed")
         if layout not in ("NCHW", "NHWC"):
             raise ValueError("layout must be 'NCHW' or 'NHWC'")
         held: list = []
-        order = self.frame().orderBy("slide_ord", "batch_ord", "tile_ord")
+        order = self.frame()
+        if self.context.on_error == "skip" or not all(s.ordered for s in self.stages):
+            order = hold(order, "stream").orderBy("slide_ord", "batch_ord", "tile_ord")
 
         def emit(rows):
             px = np.stack([np.frombuffer(r["pixels"], np.uint8).reshape(r["ph"], r["pw"], r["pc"]) for r in rows])
@@ -120,31 +135,44 @@ class Pipeline:
             getattr(self.sink, "close", lambda: None)()
 
     def failed_slides(self) -> DataFrame:
-        """slide_ord, wsi_path, error of the slides that on_error skip leaves out: files that cannot be opened, end too early or have no fitting level."""
+        """slide_ord, wsi_path, error of the slides that on_error skip leaves out: files that cannot be opened, end too early, have no fitting level or, once a run has read them, a block that can't be decoded. Without a run, the slides are read now."""
         if self.failures is None:
             raise RuntimeError("the source reports no failures")
-        return self.failures()
+        if not self.context.failed and any("pixels" in s.provides for s in self.stages):
+            self.frame()
+        told = self.failures()
+        return told.unionByName(self.context.failed[-1]) if self.context.failed else told
 
     def profile(self) -> DataFrame:
         """One run of all stages and the sink, without keeping what it gives: ord, stage, n (rows that the stage handed on), wall_s.
 
-        Rows are counted where they pass, by observations, so nothing runs twice. Stages are fused by Spark and have no time
-        of their own: wall_s is the whole run's, in its row `run`, and null in the others.
+        Rows are counted where they pass, by observations, so nothing runs twice. wall_s of a stage is the time that Python workers
+        spent in it, summed over tasks; null for stages that Spark fuses into others. That of the row `run` is the whole run's.
         """
+        return self._profiled()[0]
+
+    def profile_messages(self) -> DataFrame:
+        """One run as profile() takes it, told by slide: slide_id, ord, stage, wall_s, n (rows that came to the stage), as profile.by_stage and profile.by_slide take them. Stages whose work is Python's have messages; one row for each slide and stage comes to the driver."""
+        return self._profiled()[1]
+
+    def _profiled(self) -> tuple[DataFrame, DataFrame]:
+        total = self.spark.sparkContext.accumulator({}, extract.Timings())
         seen, df = [], self.source()
         self.check()
+        start = time.monotonic()
         for i, s in enumerate(self.stages):
             o = Observation(f"{i}-{s.name}")
-            df = s.run(df, self.context).observe(o, F.count(F.lit(1)).alias("n"))
+            df = s.run(df, replace(self.context, clock=extract.Clock(total, i, s.name))).observe(o, F.count(F.lit(1)).alias("n"))
             seen.append((i, s.name, o))
-        start = time.monotonic()
         if self.sink is None:
             df.write.format("noop").mode("overwrite").save()
         else:
             self.materialize(df).write.format("noop").mode("overwrite").save()
-        took = time.monotonic() - start
-        rows = [(i, name, int(o.get["n"]), None) for i, name, o in seen]
-        return self.spark.createDataFrame([*rows, (len(rows), "run", rows[-1][2] if rows else 0, took)], "ord int, stage string, n long, wall_s double")
+        took, spent = time.monotonic() - start, total.value
+        of = lambda i: [s for (k, _, _), (s, _) in spent.items() if k == i]
+        rows = [(i, name, int(o.get["n"]), sum(of(i)) if of(i) else None) for i, name, o in seen]
+        stages = self.spark.createDataFrame([*rows, (len(rows), "run", rows[-1][2] if rows else 0, took)], "ord int, stage string, n long, wall_s double")
+        return stages, self.spark.createDataFrame([(slide, i, name, s, n) for (i, name, slide), (s, n) in sorted(spent.items())], "slide_id long, ord int, stage string, wall_s double, n long")
 
     def knobs(self) -> list[Knob]:
         return [s.knob for s in self.stages if s.knob is not None]
@@ -156,12 +184,13 @@ class Pipeline:
         is kept for the earlier one under a name of its own, metric@place.
         """
         open_, knobs, segments, segment = [], [], [], 0
-        for i, s in enumerate(s for s in self.stages if not s.encoder):
+        places = [s for s in self.stages if not s.encoder]
+        for i, s in enumerate(places):
             if s.knob is None:
                 open_.append(s)
                 segment += 1
                 continue
-            again = any(t.knob is not None and t.knob.column == s.knob.column for t in self.stages[self.stages.index(s) + 1 :])
+            again = any(t.knob is not None and t.knob.column == s.knob.column for t in places[i + 1 :])
             name = f"{s.knob.column}@{i}" if again else s.knob.column
             run = lambda df, c, s=s, name=name: (lambda d: d.withColumn(name, F.col(s.knob.column)) if name != s.knob.column else d)(s.run.measure(df, c))
             open_.append(replace(s, run=run))
@@ -205,6 +234,9 @@ def of_slides(spark: SparkSession, paths: list[str], resolution: float = 0.25, u
     on_error skip: slides whose file cannot be opened, ends too early or has no fitting level are left out, and failed_slides() tells of them.
     """
 
+    if on_error not in ("fail", "skip"):
+        raise ValueError("on_error must be 'fail' or 'skip'")
+
     def headers(**options: str) -> DataFrame:
         spark.dataSource.register(Slides)
         return spark.read.format("slides").options(paths="\n".join(paths), on_error=on_error, **options).load()
@@ -216,11 +248,11 @@ def of_slides(spark: SparkSession, paths: list[str], resolution: float = 0.25, u
         return headers(report="failures").unionByName(unfit)
 
     def source() -> DataFrame:
-        lv = headers()
+        lv = hold(headers(), "headers")  # each is opened once
         chosen = levels.select_level(lv, resolution, unit, mode, max_relative_deviation, on_error)
         return chosen.join(lv.select("slide_ord", "wsi_id", "wsi_path", "level", F.col("ds").alias("level_ds")), ["slide_ord", "level"])
 
-    return Pipeline(spark, source, frozenset("slide_ord wsi_id wsi_path level downsample resample_factor w h level_ds".split()), Context(resolution, unit), failures=failures)
+    return Pipeline(spark, source, frozenset("slide_ord wsi_id wsi_path level downsample resample_factor w h level_ds".split()), Context(resolution, unit, on_error=on_error), failures=failures)
 
 
 def attach(providers: list[Callable[[DataFrame], DataFrame]], on_empty: str = "error") -> Stage:
@@ -233,8 +265,11 @@ def attach(providers: list[Callable[[DataFrame], DataFrame]], on_empty: str = "e
     return stage("attach_rois", run, "slide_ord wsi_id w h", "roi_index x y sw sh")
 
 
-def extract_patches(tile_size: int, stride: int | None = None, mode: str = "any_overlap", max_window_size: int | None = None, batch_size: int = 200, wsi_edge_policy: str = "drop", roi_edge_policy: str = "clip", interpolation: str = "lanczos", min_edge_distance: int = 0, accept: Callable[[Column, Column], Column] | None = None, carry: Sequence[str] = ()) -> Stage:
-    """Plan tiles (accept and carry are plan_tiles'), group them by read window and cut patches. min_edge_distance drops tiles near the slide's edge before anything is read."""
+def extract_patches(tile_size: int, stride: int | None = None, mode: str = "any_overlap", max_window_size: int | None = None, batch_size: int = 200, wsi_edge_policy: str = "drop", roi_edge_policy: str = "clip", interpolation: str = "lanczos", min_edge_distance: int = 0, accept: Callable[[Column, Column], Column] | None = None, carry: Sequence[str] = (), partitions: int | None = None) -> Stage:
+    """Plan tiles (accept and carry are plan_tiles'), group them by read window and cut patches. min_edge_distance drops tiles near the slide's edge before anything is read. partitions: how many tasks read.
+
+    Where the source's on_error is skip, a slide with a window that can't be read gives no patches at all; failed_slides() tells of it.
+    """
     stride = tile_size if stride is None else stride
     if roi_edge_policy not in tiles.ROI_EDGES:
         raise ValueError(f"unknown region edge policy {roi_edge_policy!r}; one of {tiles.ROI_EDGES}")
@@ -250,7 +285,11 @@ def extract_patches(tile_size: int, stride: int | None = None, mode: str = "any_
             t = tiles.grown(t, tile_size)
         t = tiles.with_batches(tiles.with_padding(t, tile_size, wsi_edge_policy), batch_size)
         info = df.select("slide_ord", "wsi_id", "wsi_path", "level", "level_ds", "downsample", "resample_factor").distinct()
-        return extract.cut_patches(tiles.level0_origin(t.join(info, "slide_ord")), tile_size, wsi_edge_policy, interpolation)
+        cut = extract.cut_patches(tiles.level0_origin(t.join(info, "slide_ord")), tile_size, wsi_edge_policy, interpolation, c.on_error, partitions, c.clock)
+        if c.on_error == "skip":
+            cut, failed = extract.without_failed(cut)
+            c.failed.append(failed)
+        return cut
 
     return stage("extract_patches", run, "slide_ord wsi_id wsi_path level downsample resample_factor level_ds", "pixels ph pw pc x y tile_ord batch_ord sw sh", context=lambda c: replace(c, tile_size=tile_size, stride=stride))
 
@@ -263,17 +302,17 @@ def keep(name: str, column: str, op: str, value: float, measure: Callable[[DataF
 
 def low_contrast(range_threshold: float = 0.2, precision: str = "float32") -> Stage:
     knob = Knob("low_contrast", "gray_range", ">=", range_threshold)
-    return stage("low_contrast", Filter(knob, lambda df, c: extract.measure(df, precision=precision, only=("contrast",))), "pixels", "gray_min gray_max gray_range", knob=knob)
+    return stage("low_contrast", Filter(knob, lambda df, c: extract.measure(df, precision=precision, only=("contrast",), clock=c.clock)), "pixels", "gray_min gray_max gray_range", knob=knob)
 
 
 def otsu(min_tissue_fraction: float = 0.0, tissue_is_darker: bool = True, num_bins: int = 256, precision: str = "float32") -> Stage:
     knob = Knob("otsu", "tissue_fraction", ">=", min_tissue_fraction)
-    return stage("otsu", Filter(knob, lambda df, c: extract.measure(df, num_bins, tissue_is_darker, precision=precision, only=("otsu",))), "pixels", "otsu_threshold tissue_fraction tissue_pixel_count", knob=knob)
+    return stage("otsu", Filter(knob, lambda df, c: extract.measure(df, num_bins, tissue_is_darker, precision=precision, only=("otsu",), clock=c.clock)), "pixels", "otsu_threshold tissue_fraction tissue_pixel_count", knob=knob)
 
 
 def pen(max_pen_fraction: float = 0.01, diff_thresh: float = 5.0) -> Stage:
     knob = Knob("pen", "pen_fraction", "<=", max_pen_fraction, permissive=1.0)
-    return stage("pen", Filter(knob, lambda df, c: extract.measure(df, diff_thresh=diff_thresh, only=("pen",))), "pixels", "pen_fraction pen_pixel_count", knob=knob)
+    return stage("pen", Filter(knob, lambda df, c: extract.measure(df, diff_thresh=diff_thresh, only=("pen",), clock=c.clock)), "pixels", "pen_fraction pen_pixel_count", knob=knob)
 
 
 def edge(depth: int = 1) -> Stage:
@@ -284,25 +323,25 @@ def edge(depth: int = 1) -> Stage:
 
 
 def reinhard(mean, std, modified: bool = False) -> Stage:
-    return stage("reinhard", lambda df, c: extract.reinhard(df, mean, std, modified), "pixels")
+    return stage("reinhard", lambda df, c: extract.reinhard(df, mean, std, modified, c.clock), "pixels")
 
 
 def macenko(**settings) -> Stage:
-    return stage("macenko", lambda df, c: extract.macenko(df, **settings), "pixels batch_ord")
+    return stage("macenko", lambda df, c: extract.macenko(df, clock=c.clock, **settings), "pixels batch_ord", ordered=False)
 
 
 def cell_points(points: DataFrame, column: str = "annotations", filter_empty: bool = False) -> Stage:
     """points(slide_ord, px, py, label) in patch pixels."""
-    return stage("cell_points", lambda df, c: annotate.annotate_points(df, points, c.tile_size, column, filter_empty), "slide_ord roi_index x y", column)
+    return stage("cell_points", lambda df, c: annotate.annotate_points(df, points, c.tile_size, column, filter_empty), "slide_ord roi_index x y", column, ordered=False)
 
 
 def cell_features(features: DataFrame, property_keys: Sequence[str] | None = None, geometry: bool = False, geometry_key: str = "geometry", column: str = "annotations", filter_empty: bool = False) -> Stage:
     """features as sources.annotations.geojson_cells gives them."""
-    return stage("cell_features", lambda df, c: annotate.annotate_features(df, features, c.tile_size, property_keys, geometry, geometry_key, column, filter_empty), "slide_ord roi_index x y", column)
+    return stage("cell_features", lambda df, c: annotate.annotate_features(df, features, c.tile_size, property_keys, geometry, geometry_key, column, filter_empty), "slide_ord roi_index x y", column, ordered=False)
 
 
 def png_encoder(compress_level: int = 1) -> Stage:
-    return stage("png", lambda df, c: extract.encode_png(df, compress_level), "pixels", "encoded encoding", "pixels", encoder=True)
+    return stage("png", lambda df, c: extract.encode_png(df, compress_level, c.clock), "pixels", "encoded encoding", "pixels", encoder=True)
 
 
 @dataclass(frozen=True)
@@ -312,12 +351,30 @@ class TarShards:
     outdir: str
     shard_size: int = 200
     seed: int = 0
+    overwrite: bool = False
 
     def __call__(self, df: DataFrame) -> DataFrame:
         meta = [c for c in df.columns if c not in ("encoded", "encoding", "pixels")]
         rows = df.select(shards.sample_key(F.col("wsi_id"), F.col("x"), F.col("y")).alias("key"), F.col("slide_ord").alias("ord"), F.col("roi_index").alias("roi"), "encoded", F.to_json(F.struct(*meta)).alias("meta"))
+        rows = hold(rows, "samples")  # pixels are read and encoded once; counts and order take the keys only
         order = [F.xxhash64("key", "ord", "roi", F.lit(self.seed)), F.col("ord"), F.col("roi")]
-        return shards.write_tars(shards.assign_shards(rows, self.shard_size, order), self.outdir)
+        return shards.write_tars(shards.assign_shards(rows, self.shard_size, order), self.outdir, self.overwrite)
+
+
+@dataclass(frozen=True)
+class Files:
+    """A sink of one's own files: FileSink says what tasks write of the frame's rows, facts the schema of what it tells of each file. Staged, committed and taken back as tar shards are; by: columns whose rows of one value must be one task's, in order of `order`."""
+
+    sink: FileSink
+    outdir: str
+    facts: str
+    by: tuple[str, ...] = ()
+    order: tuple[str, ...] = ()
+    overwrite: bool = False
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        df = df.repartition(*self.by).sortWithinPartitions(*self.by, *self.order) if self.by else df
+        return write_files(df, self.sink, self.outdir, self.facts, self.overwrite)
 
 
 @dataclass(frozen=True)

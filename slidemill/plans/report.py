@@ -67,9 +67,10 @@ def visualize(found: Audit, wsi_id: str, tile_size: int) -> Report:
         raise KeyError(wsi_id)
     metrics = [k.column for k in found.knobs]
     rows = [r.asDict() for r in own.select("x", "y", *metrics).orderBy(F.xxhash64("x", "y")).limit(SHOWN).collect()]
-    counted = audit.text_table(audit.funnel(own, found.knobs).collect())
+    named = audit.labelled(found.knobs)
+    counted = audit.text_table(audit.funnel(own, named).collect())
     knobs = []
-    for place, k in enumerate(found.knobs):
+    for place, k in enumerate(named):
         low, high, step = audit.slider_range(own, k)
         knobs.append({"stage": k.stage, "column": k.column, "op": k.op, "value": k.value, "low": low, "high": high, "step": step, "segment": found.segments[place] if found.segments else 0})
     note = f"{n} patches" + (f"; {SHOWN} of them, evenly sampled, are drawn and counted below the sliders, the first table counts all" if n > SHOWN else "")

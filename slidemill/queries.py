@@ -183,7 +183,7 @@ def cornered(s, d, test):
     cells = lambda at, side: F.explode(F.sequence(F.floor(F.col(at) / 224), F.floor((F.col(at) + F.greatest(F.col(side), F.lit(1)) - 1) / 224)))
     r = r.withColumn("cx", cells("rx", "rw")).withColumn("cy", cells("ry", "rh"))
     t = t.withColumns({"cx": F.floor(F.col("x") / 224), "cy": F.floor(F.col("y") / 224)})
-    return t.join(r, ["slide_ord", "cx", "cy"]).filter(test(F.col("x"), F.col("y"), 224)).select("slide_ord", "roi_index", "x", "y")
+    return t.hint("merge").join(r, ["slide_ord", "cx", "cy"]).filter(test(F.col("x"), F.col("y"), 224)).select("slide_ord", "roi_index", "x", "y")
 
 
 IN_BOX = "({0} >= rx AND {0} < rx + rw AND {1} >= ry AND {1} < ry + rh)"
@@ -285,10 +285,10 @@ NOTE = ", string_agg(CAST(p.px - t.x AS INT) || ':' || CAST(p.py - t.y AS INT) |
 notes = lambda c: F.array_join(F.transform(c, lambda a: F.concat_ws(":", a["x"].cast("string"), a["y"].cast("string"), a["label"].cast("string"))), " ")
 POINTS = tiles_sql(128, 64).replace(", r AS", ", " + virtual.SQL["vpoint"] + ", r AS", 1) + f", u AS (SELECT t.slide_ord, t.roi_index, t.x, t.y, count(p.px) AS n, coalesce({NOTE[2:]}, '') AS labels FROM t LEFT JOIN vpoint p ON {IN} GROUP BY t.slide_ord, t.roi_index, t.x, t.y)"
 query("points_in_tiles", POINTS + " SELECT * FROM u")(
-    lambda s, d: annotate.annotate_points(point_tiles(s, d), virtual.points(s, d), 128, salts=annotate.SALTS).select("slide_ord", "roi_index", "x", "y", F.size("annotations").cast("long").alias("n"), notes("annotations").alias("labels"))
+    lambda s, d: annotate.annotate_points(point_tiles(s, d), virtual.points(s, d), 128, copy="points").select("slide_ord", "roi_index", "x", "y", F.size("annotations").cast("long").alias("n"), notes("annotations").alias("labels"))
 )
 query("points_filter_empty", POINTS + " SELECT * FROM u WHERE n > 0")(
-    lambda s, d: annotate.annotate_points(point_tiles(s, d), virtual.points(s, d), 128, filter_empty=True).select("slide_ord", "roi_index", "x", "y", F.size("annotations").cast("long").alias("n"), notes("annotations").alias("labels"))
+    lambda s, d: annotate.annotate_points(point_tiles(s, d), virtual.points(s, d), 128, filter_empty=True, copy="points").select("slide_ord", "roi_index", "x", "y", F.size("annotations").cast("long").alias("n"), notes("annotations").alias("labels"))
 )
 FEATURES = tiles_sql(128, 64).replace(", r AS", ", " + virtual.SQL["vfeature"] + ", r AS", 1) + """, ce AS (SELECT slide_ord, fid, celltype, k, (cx + 3.0) * 0.5 AS px, (cy - 2.0) * 0.5 AS py, half FROM vfeature),
 fj AS (SELECT t.roi_index, t.x, t.y, p.* FROM t JOIN ce p ON""" + IN + ")"
@@ -296,7 +296,7 @@ fj AS (SELECT t.roi_index, t.x, t.y, p.* FROM t JOIN ce p ON""" + IN + ")"
 
 def geo(s, d):
     c = annotate.centroids(virtual.features(s, d), 0.5, 3.0, -2.0, carry=("celltype", "k"))
-    return annotate.points_in_tiles(point_tiles(s, d), c, 128)
+    return annotate.points_in_tiles(point_tiles(s, d), c, 128, copy="points")
 
 
 query("geo_centroid_join", FEATURES + " SELECT slide_ord, roi_index, x, y, fid, px, py FROM fj")(lambda s, d: geo(s, d).select("slide_ord", "roi_index", "x", "y", "fid", "px", "py"))
@@ -309,7 +309,7 @@ def geo_cells(s, d):
     """Features as a GeoJSON file gives them: properties as JSON, and a point for their shape, as centroids need no more."""
     c = annotate.centroids(virtual.features(s, d), 0.5, 3.0, -2.0, carry=("celltype", "k"))
     c = c.withColumns({"properties": F.to_json(F.struct("celltype", "k")), "geometry": F.lit(None).cast("string"), "scale": F.lit(0.5), "ox": F.lit(3.0), "oy": F.lit(-2.0)}).drop("celltype", "k")
-    met = annotate.annotate_features(point_tiles(s, d), c, 128, ("celltype", "colour"), filter_empty=True)
+    met = annotate.annotate_features(point_tiles(s, d), c, 128, ("celltype", "colour"), filter_empty=True, copy="points")
     return met.select("slide_ord", "roi_index", "x", "y", F.array_join("annotations", " ").alias("cells"))
 
 

@@ -3,23 +3,14 @@
 from __future__ import annotations
 
 
-def opened(uri: str):
-    """A seekable file for reading: a URI of a store, or a path."""
+def store_of(uri: str) -> tuple:
+    """The store of a URI or path, and the path in it."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-    return store.open_input_file(path)
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def written(uri: str, data: bytes) -> None:
-    """Write the file whole: under a name of its own first, then moved into place, so that a task that runs again does no harm."""
-    import uuid
-
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as f:
-        f.write(data)
-    store.move(part, path)
+def opened(uri: str):
+    """A seekable file for reading: a URI of a store, or a path."""
+    store, path = store_of(uri)
+    return store.open_input_file(path)

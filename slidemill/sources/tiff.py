@@ -1,6 +1,6 @@
 """Tiled and stripped TIFF pyramids: headers as a Spark data source, read windows, and a small writer for tests.
 
-8-bit RGB or RGBA, uncompressed, Deflate or LZW, one IFD for each level, classic or BigTIFF. Label, macro and thumbnail
+8-bit RGB or RGBA, uncompressed, Deflate, LZW or baseline JPEG, one IFD for each level, classic or BigTIFF. Label, macro and thumbnail
 images among the levels are told apart and left out. A header is a few kilobytes and a window touches only the tiles it
 overlaps, so slides are never read whole.
 """
@@ -17,11 +17,12 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from slidemill.functions import jpeg
 from slidemill.sources.files import opened
 
 #: Sizes and struct codes of field types, and the tags that are read.
-TYPES = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 16: (8, "Q")}
-WIDTH, HEIGHT, COMPRESSION, DESCRIPTION, SAMPLES, ROWS, STRIPS, STRIP_SIZES, XRES, UNIT, PREDICTOR, TILE_W, TILE_H, TILES, TILE_SIZES = 256, 257, 259, 270, 277, 278, 273, 279, 282, 296, 317, 322, 323, 324, 325
+TYPES = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 7: (1, "c"), 16: (8, "Q")}
+WIDTH, HEIGHT, COMPRESSION, DESCRIPTION, SAMPLES, ROWS, STRIPS, STRIP_SIZES, XRES, UNIT, PREDICTOR, TILE_W, TILE_H, TILES, TILE_SIZES, PHOTOMETRIC, JPEG_TABLES = 256, 257, 259, 270, 277, 278, 273, 279, 282, 296, 317, 322, 323, 324, 325, 262, 347
 SCHEMA = "slide_ord int, wsi_id string, wsi_path string, level int, lw long, lh long, ds double, mpp0 double"
 FAILURES = "slide_ord int, wsi_path string, error string"
 #: Pixel sizes in micrometres as scanners write them into descriptions.
@@ -41,6 +42,9 @@ class Level:
     sizes: tuple
     mpp: float | None
     tiled: bool = True
+    #: Of JPEG blocks: the tables that they share, and if colours are luma and chroma.
+    tables: bytes = b""
+    ycc: bool = False
 
 
 def directories(f) -> Iterator[tuple[str, dict[int, tuple]]]:
@@ -81,7 +85,7 @@ def _level(tags: dict[int, tuple]) -> Level:
         mpp = float(said[1])
     elif XRES in tags and one(UNIT, 2) in (2, 3) and tags[XRES][0]:
         mpp = (25400 if one(UNIT, 2) == 2 else 10000) / (tags[XRES][0] / tags[XRES][1])
-    return Level(w, h, one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(TILE_W, w) if tiled else w, one(TILE_H) if tiled else min(one(ROWS, h), h), tags[TILES if tiled else STRIPS], tags[TILE_SIZES if tiled else STRIP_SIZES], mpp or None, tiled)
+    return Level(w, h, one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(TILE_W, w) if tiled else w, one(TILE_H) if tiled else min(one(ROWS, h), h), tags[TILES if tiled else STRIPS], tags[TILE_SIZES if tiled else STRIP_SIZES], mpp or None, tiled, b"".join(tags.get(JPEG_TABLES, ())), one(PHOTOMETRIC) == 6)
 
 
 def levels_of(f) -> list[Level]:
@@ -138,15 +142,24 @@ def _lzw(data: bytes) -> bytes:
 
 
 def _block(f, level: Level, i: int, h: int) -> np.ndarray:
+    """The block's pixels; a block that can't be decoded is a ValueError that names it."""
     f.seek(level.offsets[i])
     data = f.read(level.sizes[i])
-    if level.compression in (8, 32946):
-        data = zlib.decompress(data)
-    elif level.compression == 5:
-        data = _lzw(data)
-    elif level.compression != 1:
-        raise ValueError(f"compression {level.compression} is not read here")
-    out = np.frombuffer(data, np.uint8)[: h * level.bw * level.channels].reshape(h, level.bw, level.channels)
+    try:
+        if level.compression == 7:
+            px = jpeg.decode(data, level.tables, level.ycc)
+            if px.shape[0] < h or px.shape[1] < level.bw or px.shape[2] != level.channels:
+                raise ValueError(f"an image of {px.shape} stands for a block of {(h, level.bw, level.channels)}")
+            return px[:h, : level.bw]
+        if level.compression in (8, 32946):
+            data = zlib.decompress(data)
+        elif level.compression == 5:
+            data = _lzw(data)
+        elif level.compression != 1:
+            raise ValueError(f"compression {level.compression} is not read here")
+        out = np.frombuffer(data, np.uint8)[: h * level.bw * level.channels].reshape(h, level.bw, level.channels)
+    except Exception as e:  # whatever broken bytes lead to
+        raise ValueError(f"block {i} of the level {level.w} x {level.h}: {e}") from e
     return np.cumsum(out, axis=1, dtype=np.uint8) if level.predictor == 2 else out
 
 
@@ -231,8 +244,8 @@ def header_rows(ord_: int, path: str, probe: bool = False) -> Iterator[tuple]:
         yield ord_, stem(path), path, i, level.w, level.h, float(all_[0].w / level.w), all_[0].mpp
 
 
-def write_pyramid(path: str, images: list[np.ndarray], tile: int = 256, compression: int = 8, mpp: float | None = None, big: bool = False, description: str | None = None) -> None:
-    """A tiled pyramid of (h, w, 3) uint8 images; compression 1 or 8; big: as BigTIFF. The description stands with the first."""
+def write_pyramid(path: str, images: list[np.ndarray], tile: int = 256, compression: int = 8, mpp: float | None = None, big: bool = False, description: str | None = None, encode=None, tables: bytes = b"", photometric: int = 2) -> None:
+    """A tiled pyramid of (h, w, 3) uint8 images; compression 1 or 8, or another that encode, a function of a block, gives (with the tables that blocks share); big: as BigTIFF. The description stands with the first."""
     word, slot, link = ("Q", 8, 8) if big else ("I", 4, 4)
     body, entries = bytearray(b"II+\0\x08\0\0\0" + b"\0" * 8 if big else b"II*\0\0\0\0\0"), []
     for image in images:
@@ -243,7 +256,7 @@ def write_pyramid(path: str, images: list[np.ndarray], tile: int = 256, compress
                 block = np.zeros((tile, tile, c), np.uint8)
                 part = image[y : y + tile, x : x + tile]
                 block[: part.shape[0], : part.shape[1]] = part
-                data = zlib.compress(block.tobytes(), 1) if compression == 8 else block.tobytes()
+                data = encode(block) if encode else zlib.compress(block.tobytes(), 1) if compression == 8 else block.tobytes()
                 offsets.append(len(body))
                 sizes.append(len(data))
                 body += data
@@ -257,13 +270,14 @@ def write_pyramid(path: str, images: list[np.ndarray], tile: int = 256, compress
                 body.extend(data)
             return struct.pack("<HH" + word, tag, kind, count or len(values)) + at
 
-        fields = [field(t, k_, c_, v) for t, k_, c_, v in ((WIDTH, 4, "I", [w]), (HEIGHT, 4, "I", [h]), (258, 3, "H", [8] * c), (COMPRESSION, 3, "H", [compression]), (262, 3, "H", [2]))]
+        fields = [field(t, k_, c_, v) for t, k_, c_, v in ((WIDTH, 4, "I", [w]), (HEIGHT, 4, "I", [h]), (258, 3, "H", [8] * c), (COMPRESSION, 3, "H", [compression]), (PHOTOMETRIC, 3, "H", [photometric]))]
         if description and not k:
             fields.append(field(DESCRIPTION, 2, "c", description.encode("latin-1") + b"\0"))
         fields.append(field(SAMPLES, 3, "H", [c]))
         if mpp:
             fields += [field(XRES, 5, "I", [round(10000 / mpp * 1000), 1000], 1), field(UNIT, 3, "H", [3])]
         fields += [field(TILE_W, 3, "H", [tile]), field(TILE_H, 3, "H", [tile]), field(TILES, 16 if big else 4, word, offsets), field(TILE_SIZES, 4, "I", sizes)]
+        fields += [field(JPEG_TABLES, 7, "c", tables)] if tables else []
         body += b"\0" * (len(body) % 2)
         body[link : link + slot] = struct.pack("<" + word, len(body))
         body += struct.pack("<Q" if big else "<H", len(fields)) + b"".join(fields)

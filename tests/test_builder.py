@@ -97,3 +97,10 @@ def test_xml_regions(spark, tmp_path):
         annotations.xml_rois(spark, {"one": files["one"]}, slides).collect()
     with pytest.raises(Exception, match="region beyond slide two"):
         annotations.xml_rois(spark, files | {"two": str(tmp_path / "far.xml")}, slides).collect()
+
+
+def test_one_filter_before_and_after_a_transform(patches):
+    change = b.reinhard((60.0, 5.0, 5.0), (10.0, 4.0, 4.0))
+    p = pipeline(patches, b.otsu(0.45), change, b.otsu(0.5))
+    f = [(r.stage, r.n_out) for r in p.dry_run().funnel(by=("wsi_id",)).sort("stage_ord").collect()]
+    assert f == [("source", 60), ("otsu", pipeline(patches, b.otsu(0.45)).frame().count()), ("otsu#2", p.frame().count())]
