@@ -257,4 +257,4 @@ def classify(patches: DataFrame, scorer, classes: int = 4, keep: int = 0) -> Dat
     udf = predict_batch_udf(load, return_type=ArrayType(FloatType()), batch_size=64)
     out = patches.withColumn("probs", udf("pixels", "ph", "pw", "pc"))
     best = F.array_position("probs", F.array_max("probs")) - 1
-    return out.withColumn("best", best).filter(F.col("best") == keep).withColumn("probs", F.transform("probs", lambda p: F.round(p, 2))).drop("best")
+    return out.withColumn("best", best).filter(F.col("best") == keep).withColumn("probs", F.transform("probs", lambda p: F.bround(p, 2))).drop("best")

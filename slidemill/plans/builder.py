@@ -7,6 +7,7 @@ before the pixel read, and Catalyst does the rest.
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -14,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from slidemill.functions import mobilenet
 from slidemill.operators import annotate, audit, extract, levels, rois, shards, tiles
 from slidemill.operators.audit import Knob
 from slidemill.sources.held import hold
@@ -322,6 +324,17 @@ def edge(depth: int = 1) -> Stage:
     return stage("edge", Filter(knob, lambda df, c: tiles.with_edge_distance(df, c.tile_size)), "x y sw sh", "edge_distance", knob=knob)
 
 
+def tissue_classifier(weights: str, keep: int = 0, classes: int = 4) -> Stage:
+    """Keeps patches whose likeliest class is `keep` by the small mobile network with the weights of an .npz file, which each worker loads once; adds probs, rounded to two places. Patches under 32 pixels are let through to it, with a warning."""
+
+    def run(df: DataFrame, c: Context) -> DataFrame:
+        if 0 < c.tile_size < 32:
+            warnings.warn("the tissue network was not trained on patches under 32 pixels", stacklevel=2)
+        return extract.classify(df, lambda: mobilenet.load(weights), classes, keep)
+
+    return stage("tissue_classifier", run, "pixels", "probs")
+
+
 def reinhard(mean, std, modified: bool = False) -> Stage:
     return stage("reinhard", lambda df, c: extract.reinhard(df, mean, std, modified, c.clock), "pixels")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import re
 from collections.abc import Iterator
@@ -77,8 +78,20 @@ def csv_points_of(spark: SparkSession, files: dict[str, str], slides: DataFrame,
     s = _with_files(spark, files, slides.select("slide_ord", "wsi_id"))
     if not files:
         return s.select("slide_ord", *[F.lit(None).cast(t).alias(k) for k, t in (("px", "long"), ("py", "long"), ("label", "int"))])
-    for path in sorted(set(files.values())):
-        csv_points(spark, path, x_col, y_col, label_col)
+    paths = [_qualified(spark, p) for p in sorted(set(files.values()))]
+    wanted = sorted({x_col, y_col, label_col})
+
+    def lacking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["path"]:
+                with opened(p) as f:
+                    head = f.read(65536).split(b"\n")[0].decode("utf-8-sig").strip()
+                if missing := sorted(set(wanted) - set(next(csv.reader([head]), []))):
+                    yield pd.DataFrame([(p, ", ".join(missing))], columns=["path", "missing"])
+
+    heads = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 1000), "path")
+    if bad := heads.mapInPandas(lacking, "path string, missing string").limit(3).collect():  # all headers in one pass, by executors
+        raise ValueError("; ".join(f"columns {r['missing']} are missing in {r['path']}" for r in bad))
     rows = spark.read.csv(sorted(set(files.values())), header=True, enforceSchema=False)
     rows = rows.select(_read_from(), F.col(x_col).cast("double").cast("long").alias("px"), F.col(y_col).cast("double").cast("long").alias("py"), F.col(label_col).cast("long").cast("int").alias("label"))
     return s.join(rows, "path", "left").filter("px is not null and py is not null").select("slide_ord", "px", "py", "label")
@@ -104,7 +117,7 @@ def shifted(coords, scale: float, dx: float, dy: float):
 
 FEATURE = "fid long, properties string, geometry string, vertices array<struct<vx:double,vy:double>>"
 #: Bytes of a file that are one task's; a feature is read whole by the task in whose bytes it begins.
-PART = 32_000_000
+PART = 16_000_000
 _START = re.compile(rb'"features"\s*:\s*\[')
 
 

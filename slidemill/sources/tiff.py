@@ -163,9 +163,9 @@ def _block(f, level: Level, i: int, h: int) -> np.ndarray:
     return np.cumsum(out, axis=1, dtype=np.uint8) if level.predictor == 2 else out
 
 
-def read_window(f, level: Level, x: int, y: int, w: int, h: int) -> np.ndarray:
-    """(h, w, 3) uint8 at the level's own pixels; zeros outside the image."""
-    out = np.zeros((h, w, 3), np.uint8)
+def read_window(f, level: Level, x: int, y: int, w: int, h: int, channels: int = 3) -> np.ndarray:
+    """(h, w, 3) uint8 at the level's own pixels; zeros outside the image. channels 4: with alpha, if the level has it."""
+    out = np.zeros((h, w, channels), np.uint8)
     across = -(-level.w // level.bw)
     x0, y0, x1, y1 = max(x, 0), max(y, 0), min(x + w, level.w), min(y + h, level.h)
     for by in range(y0 // level.bh, -(-y1 // level.bh) if y1 > y0 else 0):
@@ -174,7 +174,7 @@ def read_window(f, level: Level, x: int, y: int, w: int, h: int) -> np.ndarray:
             block = _block(f, level, by * across + bx, rows)
             a, b = max(x0, bx * level.bw), min(x1, (bx + 1) * level.bw)
             c, d = max(y0, by * level.bh), min(y1, (by + 1) * level.bh)
-            out[c - y : d - y, a - x : b - x] = block[c - by * level.bh : d - by * level.bh, a - bx * level.bw : b - bx * level.bw, :3]
+            out[c - y : d - y, a - x : b - x] = block[c - by * level.bh : d - by * level.bh, a - bx * level.bw : b - bx * level.bw, :channels]
     return out
 
 
