@@ -17,7 +17,7 @@ from slidemill.llm.common import pick, row_hash, settle
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Signature values searched for in one pass over the documents (an item has five shingles for each at most, so what is broadcast is bounded too); larger benchmarks take more passes.
+#: Signature values searched for in one pass over the documents (an item has five shingles for each at most, and each value and shingle is broadcast once, so that is bounded too); larger benchmarks take more passes.
 PASS = 50_000
 GAP = r"[^\p{L}\p{N}]+"
 
@@ -77,9 +77,9 @@ def _one_pass(docs: DataFrame, items: DataFrame, values: list[int], threshold: f
     # explode_outer and a filter above it: a filter on the array itself would be pushed below the projections and work them out again for each place
     rows = rows.withColumn("shared", F.array_distinct("at"))
     rows = rows.select(*carry, "w", "shared", F.explode_outer("shared").alias("value")).filter("value IS NOT NULL")
-    by_value = items.select("item", "sig", F.explode("sig").alias("value"))
-    found = rows.join(F.broadcast(by_value), "value").filter(F.array_min(F.array_intersect("shared", "sig")) == F.col("value"))  # each item once
-    found = found.join(F.broadcast(items.select("item", "item_id", "n", "parts")), "item")
+    # two tables, both linear in the items: which item has a value, and one row of each item's signature and shingles
+    found = rows.join(F.broadcast(items.select("item", F.explode("sig").alias("value"))), "value")
+    found = found.join(F.broadcast(items.select("item", "item_id", "n", "parts", "sig")), "item").filter(F.array_min(F.array_intersect("shared", "sig")) == F.col("value"))  # each item once
     found = found.withColumn("n_shared", F.size(F.array_intersect(shingles(F.col("w")), "parts")))
     found = found.withColumn("containment", F.col("n_shared") / F.col("n")).filter(F.col("containment") >= threshold - 1e-9)
     return found.select(*carry, "item_id", F.col("n").cast("long").alias("n_shingles"), F.col("n_shared").cast("long").alias("n_shared"), "containment")

@@ -65,3 +65,15 @@ def test_clean_with_a_map_column(spark):
     items = spark.createDataFrame([(1, " ".join(words[:12]))], "item_id long, text string")
     docs = spark.createDataFrame([(1, " ".join(words)), (2, "nothing of it here at all")], "doc_id long, text string").withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
     assert [r.doc_id for r in dc.clean(docs, items).collect()] == [2]
+
+
+def test_long_items(spark):
+    """What is broadcast grows with the items, not with their squares: thirty of 5,000 words and one of 300,000."""
+    long = [" ".join(f"w{k}x{i}" for i in range(5_000)) for k in range(30)]
+    huge = " ".join(f"h{i}" for i in range(300_000))
+    items = spark.createDataFrame([*enumerate(long), (99, huge)], "item_id long, text string")
+    near = " ".join(f"w3x{i}" if i % 40 else "z" for i in range(5_000))
+    docs = spark.createDataFrame([(0, "before " + long[7] + " after"), (1, huge + " more"), (2, near), (3, long[5][: len(long[5]) // 2]), (4, "nothing here at all to find"), (5, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_shared) for r in dc.decontaminate(docs, items).collect()}
+    shared = sum(all(j % 40 for j in range(i, i + 5)) for i in range(4_996))
+    assert got == {(0, 7): (4_996, 4_996), (1, 99): (299_996, 299_996), (2, 3): (4_996, shared)}
