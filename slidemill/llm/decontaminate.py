@@ -13,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidemill.llm.common import pick, row_hash, settle
+from slidemill.llm.common import pick, row_hash, settle, small_enough
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Signature values searched for in one pass over the documents (an item has five shingles for each at most, and each value and shingle is broadcast once, so that is bounded too); larger benchmarks take more passes.
 PASS = 50_000
+#: Candidate pairs of a document and an item up to which they are broadcast (about 30 MB) and no text is shuffled.
+PAIRS = 1_000_000
 GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -32,18 +34,19 @@ def _shingle_hash(h: str, x: str = "x", i: str = "i") -> str:
     return f"xxhash64({x}, " + ", ".join(f"get({h}, {i} + {k})" for k in range(1, SHINGLE)) + ")"
 
 
-def shingles(w: Column) -> Column:
-    """The distinct five-word shingles as text; fewer words make none."""
-    n = F.size(w) - (SHINGLE - 1)
-    return F.array_distinct(F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))).otherwise(F.array().cast("array<string>")))
+def shingles(w: str = "w") -> Column:
+    """The distinct five-word shingles of a column of words as text; fewer words make none. Words are taken by place: a slice of the array would copy it whole for each shingle."""
+    five = f"concat_ws(' ', x, {', '.join(f'get({w}, i + {k})' for k in range(1, SHINGLE))})"
+    return F.array_distinct(F.expr(f"slice(transform({w}, (x, i) -> {five}), 1, greatest(size({w}) - {SHINGLE - 1}, 0))"))
 
 
 def signatures(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """item, item_id, n, parts, of each item with five words or more; sig: its smallest min-hash values, as many as its size partition needs."""
     rows = pick(items, item_id="long", text="string").distinct().withColumn("item", F.xxhash64("item_id", "text"))
-    rows = rows.withColumn("w", F.filter(words(F.col("text")), lambda x: x != "")).withColumn("h1", F.transform("w", lambda x: F.xxhash64(x)))
+    # the filter is on the words, not on what is made of them: it is pushed down and would work out all words again for each shingle
+    rows = rows.withColumn("w", F.filter(words(F.col("text")), lambda x: x != "")).filter(F.size("w") >= SHINGLE).withColumn("h1", F.transform("w", lambda x: F.xxhash64(x)))
     rows = rows.withColumn("h", F.array_distinct(F.expr(f"slice(transform(h1, (x, i) -> {_shingle_hash('h1')}), 1, greatest(size(w) - {SHINGLE - 1}, 0))")))
-    rows = rows.select("item", "item_id", shingles(F.col("w")).alias("parts"), "h").withColumn("n", F.size("parts")).filter("n > 0")
+    rows = rows.select("item", "item_id", shingles().alias("parts"), "h").withColumn("n", F.size("parts"))
     bound = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n"))))
     keep = (bound - F.ceil(bound * threshold - 1e-9) + 1).cast("int")
     ranked = F.slice(F.array_sort(F.transform("h", lambda x: F.struct(F.xxhash64(x, F.lit(7)).alias("min"), x.alias("h")))), 1, keep)
@@ -55,8 +58,9 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, carry:
 
     Distinct five-word shingles of lower-cased runs of letters and digits count. Items with fewer words,
     null or empty items and null, empty or shorter documents match nothing. Repeated documents are each
-    reported, equal items once. Empty tables give an empty result. Documents are read where they lie: no
-    shuffle; each pass searches for PASS signature values at most, whatever the size of the benchmark.
+    reported, equal items once. Empty tables give an empty result. Each pass searches for about PASS signature values,
+    whatever the size of the benchmark. What shares one is a candidate, a pair of two numbers; no text goes with them, and
+    documents are read where they lie again to verify them, or shuffled where over PAIRS have candidates.
     """
     known = settle(signatures(items, threshold), "signatures")
     total = known.agg(F.coalesce(F.sum(F.size("sig")), F.lit(0))).first()[0]
@@ -72,15 +76,16 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, carry:
 
 def _one_pass(docs: DataFrame, items: DataFrame, values: list[int], threshold: float, carry: tuple[str, ...]) -> DataFrame:
     listed = ", ".join(f"{v}L" if v > -(1 << 63) else "(-9223372036854775807L - 1L)" for v in values) or "NULL"
-    rows = docs.select(*carry, words(F.col("text")).alias("w")).withColumn("h1", F.transform("w", lambda x: F.xxhash64(x)))
+    held = docs.select(*carry, F.col("text").alias("words_of"), F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in carry], "text").alias("place"))
+    rows = held.select("place", words(F.col("words_of")).alias("w")).withColumn("h1", F.transform("w", lambda x: F.xxhash64(x)))
     rows = rows.withColumn("at", F.expr(f"filter(transform(h1, (x, i) -> {_shingle_hash('h1')}), x -> x IN ({listed}))"))
     # explode_outer and a filter above it: a filter on the array itself would be pushed below the projections and work them out again for each place
-    rows = rows.withColumn("shared", F.array_distinct("at"))
-    rows = rows.select(*carry, "w", "shared", F.explode_outer("shared").alias("value")).filter("value IS NOT NULL")
-    # two tables, both linear in the items: which item has a value, and one row of each item's signature and shingles
-    found = rows.join(F.broadcast(items.select("item", F.explode("sig").alias("value"))), "value")
-    found = found.join(F.broadcast(items.select("item", "item_id", "n", "parts", "sig")), "item").filter(F.array_min(F.array_intersect("shared", "sig")) == F.col("value"))  # each item once
-    found = found.withColumn("n_shared", F.size(F.array_intersect(shingles(F.col("w")), "parts")))
+    rows = rows.withColumn("shared", F.array_distinct("at")).select("place", F.explode_outer("shared").alias("value")).filter("value IS NOT NULL")
+    pairs = settle(rows.join(F.broadcast(items.select("item", F.explode("sig").alias("value"))), "value").select("place", "item").distinct(), "candidates")
+    small = F.broadcast if small_enough(pairs, PAIRS) else lambda df: df.hint("merge")
+    found = held.join(small(pairs), "place").withColumn("w", words(F.col("words_of")))
+    found = found.join(F.broadcast(items.select("item", "item_id", "n", "parts")), "item")
+    found = found.withColumn("n_shared", F.size(F.array_intersect(shingles(), "parts")))
     found = found.withColumn("containment", F.col("n_shared") / F.col("n")).filter(F.col("containment") >= threshold - 1e-9)
     return found.select(*carry, "item_id", F.col("n").cast("long").alias("n_shingles"), F.col("n_shared").cast("long").alias("n_shared"), "containment")
 
