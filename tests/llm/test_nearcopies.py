@@ -2,12 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from slidemill.llm import nearcopies
-from tests.llm.test_neardup import brute_components
 
 MASK = (1 << 64) - 1
 
@@ -61,16 +61,96 @@ def test_fingerprints():
         assert int.from_bytes(nearcopies.long_simhash(text), "little") == brute_long(text)
 
 
+def brute_keys(text):
+    """Bands by the definition: least products of each factor, mixed."""
+    hs = [xxhash.xxh64_intdigest(x, 42) for x in brute_shingles(text)]
+    out = []
+    for b in range(nearcopies.BANDS if hs else 0):
+        key = 0
+        for r in range(nearcopies.R):
+            z = [h * int(nearcopies._factors[b * nearcopies.R + r]) & MASK for h in hs]
+            key = ((key ^ min(x ^ x >> 32 for x in z)) * nearcopies.FIRST) & MASK
+            key ^= key >> 29
+        key = (key * nearcopies.SECOND + b) & MASK
+        out.append(key - (1 << 64) if key >> 63 else key)
+    return out
+
+
+def test_bands():
+    for text in [*corpus()[:4], "", None, "one", "a B c d e f g"]:
+        fp, keys = nearcopies.sketch(text)
+        assert int.from_bytes(fp, "little") == brute_long(text) and keys.tolist() == brute_keys(text)
+
+
+def test_spanning():
+    """Against the plain greedy forest: as many links, of as little distance together, without a circle."""
+    r = random.Random(2)
+    for n in (1, 2, 30, 200):
+        links = sorted({(i, j) for i, j in ((r.randrange(n), r.randrange(n)) for _ in range(3 * n)) if i != j})
+        a, b = (np.array([x[k] for x in links], np.int64) for k in (0, 1))
+        d = np.array([r.randrange(6) for _ in links], np.int64)
+        label, want = list(range(n)), []
+        for x, i, j in sorted(zip(d.tolist(), a.tolist(), b.tolist(), strict=True)):
+            if label[i] != label[j]:
+                want.append(x)
+                old, new = label[i], label[j]
+                label = [new if y == old else y for y in label]
+        got = nearcopies.spanning(n, a, b, d)
+        assert sorted(d[got].tolist()) == want
+
+
 @pytest.mark.parametrize("cell", [1024, 3])
-def test_links_against_all_pairs(spark, cell):
-    fps = sorted({brute_long(t) for t in corpus()}, key=lambda f: f.to_bytes(32, "little"))
-    df = spark.createDataFrame([(f.to_bytes(32, "little"),) for f in fps], "fp binary")
-    links = [(int.from_bytes(u, "little"), int.from_bytes(v, "little")) for u, v in nearcopies.link(df, cell=cell).collect()]
+def test_links_are_links(spark, cell):
+    """Every link is within the radius, and what shares a band and is within it is joined by links no longer."""
+    texts = corpus()
+    keyed = sorted({(nearcopies.sketch(t)[0], k) for t in texts for k in brute_keys(t)})
+    links = {tuple(r) for r in nearcopies.link(spark.createDataFrame(keyed, "fp binary, key long"), cell=cell).collect()}
+    number = lambda f: int.from_bytes(f, "little")
+    assert all((number(u) ^ number(v)).bit_count() == d <= nearcopies.radius() and u < v for u, v, d in links)
+    fps = sorted({f for f, _ in keyed})
     at = {f: i for i, f in enumerate(fps)}
-    want = brute_components(fps, list(range(len(fps))), nearcopies.radius())
-    assert all(want[at[u]] == want[at[v]] and at[v] < at[u] for u, v in links)
-    got = {int.from_bytes(n, "little"): at[int.from_bytes(r, "little")] for n, r in nearcopies.components(nearcopies.link(df, cell=cell)).collect()}
-    assert sum(got.get(f, i) == w for (f, i), w in zip(at.items(), want, strict=True)) >= 0.98 * len(fps)
+    shards = {}
+    for f, k in keyed:
+        shards.setdefault(k, []).append(f)
+
+    def joined(pairs):
+        root = list(range(len(fps)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for u, v in pairs:
+            root[find(at[u])] = find(at[v])
+        groups = {}
+        for i in range(len(fps)):
+            groups.setdefault(find(i), set()).add(i)
+        return sorted(map(sorted, groups.values()))
+
+    for most in (20, nearcopies.radius()):
+        want = {(u, v) for own in shards.values() for u in own for v in own if u < v and (number(u) ^ number(v)).bit_count() <= most}
+        assert joined((u, v) for u, v, d in links if d <= most) == joined(want)
+
+
+def test_nothing_goes_that_is_no_near_copy(spark):
+    """All pairs by exact similarity: what has no partner of 0.8 stays, of a group one stays, and next to all others go."""
+    r = random.Random(21)
+    rows = []
+    for i in range(60):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.choice((30, 120, 300)))]
+        rows.append((10 * i, " ".join(base)))
+        rows += [(10 * i + k, edited(base, max(1, round(len(base) * x)), r)) for k, x in enumerate((0.01, 0.02, 0.025, 0.03, 0.035, 0.05), 1)]
+    kept = {x.doc_id for x in nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = {(a, b) for i in range(60) for a, x in rows[7 * i : 7 * i + 7] for b, y in rows[7 * i : 7 * i + 7] if a != b and jaccard(x, y) >= 0.8}
+    alone = {d for d, _ in rows} - {a for a, _ in near}
+    root = {d: d for d, _ in rows}
+    for _ in range(8):
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {d for d, x in root.items() if d == x}
+    assert len(alone) > 40 and alone <= kept and want <= kept
+    assert len(kept - want) <= 0.05 * (len(rows) - len(want))
 
 
 def test_recall_of_near_copies(spark):
@@ -88,14 +168,6 @@ def test_recall_of_near_copies(spark):
     assert far <= kept and set(range(0, 300, 2)) <= kept
 
 
-def test_tables_by_size():
-    """More fingerprints, more bits and more tables; the chance to meet is the same."""
-    for n in (0, 1, 10**5, 10**7, 10**10):
-        number, bits = nearcopies.tables(n)
-        assert n / 2**bits <= nearcopies.FULL and bits + number.bit_length() < 63
-        assert 1 - (1 - (1 - nearcopies.radius() / nearcopies.BITS) ** bits) ** number >= nearcopies.MEET
-
-
 def test_empty(spark):
     assert nearcopies.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -1,11 +1,28 @@
 """run() against the same stages done by hand on the driver."""
 
 import corpus_pipeline
-from slidemill.llm import language, mixing, nearcopies, toxicity
+from slidemill.llm import language, mixing, toxicity
 from slidemill.llm.common import table
 from tests.llm.test_decontaminate import contained
-from tests.llm.test_nearcopies import brute_long
-from tests.llm.test_neardup import brute_components
+from tests.llm.test_nearcopies import brute_shingles
+
+
+def brute_firsts(texts):
+    """Ids of the first of each component of texts alike by 0.8 or more, by all pairs of sets."""
+    sets = {i: brute_shingles(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {find(i) for i in texts}
 
 
 def test_against_brute_force(spark):
@@ -18,9 +35,8 @@ def test_against_brute_force(spark):
     left = docs.filter(docs.doc_id.isin(list(rows)))
     net = toxicity.train(toxicity.training_rows(left), table(spark, sf, "labels"))
     rows = {i: r for i, r in rows.items() if net.score([r["text"]])[0] < 0.5}
-    ids = sorted(rows)
-    comp = brute_components([brute_long(rows[i]["text"]) for i in ids], ids, nearcopies.radius())
-    rows = {i: rows[i] for i, c in zip(ids, comp, strict=True) if i == c}
+    firsts = brute_firsts({i: r["text"] for i, r in sorted(rows.items())})
+    rows = {i: r for i, r in rows.items() if i in firsts}
     items = [r.text for r in table(spark, sf, "benchmark").collect()]
     rows = {i: r for i, r in rows.items() if not any(contained(r["text"], t) for t in items)}
     want = {r.doc_id: r.copies for r in mixing.mix(docs.filter(docs.doc_id.isin(list(rows)))).collect()}
