@@ -63,6 +63,10 @@ PATTERNS = [
     (_gnu + r"(?: only)?", "gnu {0} {1}{2}"),
     (_under + r"(?:creative commons|cc) ((?:by|attribution)(?: nc| noncommercial)?(?: sa| nd| sharealike| noderivatives| noderivs)?) (\d) (\d)(?: international| unported| generic)?(?: public)?(?: license)?", "cc {0} {1}.{2}"),
     (_under + r"(?:creative commons 0|creative commons zero|cc0|cc 0|cc zero)(?: v(?:ersion )?)?(?: 1 0)?(?: universal)?(?: license)?", "cc0"),
+    (_under + r"mit license|(?:this \w+ is )?(?:licensed|released|distributed|available) under mit", "mit-short"),
+    (_under + r"apache(?: license)? (?:v|version )?2(?: 0)?(?: license)?", "apache2-short"),
+    (_under + r"(?:gnu )?(gpl|lgpl|agpl) ?v?(?:ersion )?(\d)(?: 0|( 1))?(?: license)?(?: or any later(?: version)?| or later(?: version)?| or newer)", "letters {0} {1}{2} or later"),
+    (_under + r"(?:gnu )?(gpl|lgpl|agpl) ?v?(?:ersion )?(\d)(?: 0|( 1))?(?: only)?(?: license)?", "letters {0} {1}{2}"),
     (_under + r"(?:simplified |new |revised )?bsd ([23]) clause license", "bsd {0} short"),
     (_under + r"mozilla public license v(?:ersion )?(\d) (\d)", "mpl {0}.{1}"),
     (r"(?:this \w+ is |this program and the accompanying materials are )?(?:made )?(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?eclipse public license v(?:ersion )?(\d) 0(?: which accompanies this distribution)?", "epl {0}.0"),
@@ -81,12 +85,18 @@ def _gnu_rules() -> Iterator[tuple[str, list[str]]]:
                 yield licence, head
 
 
+#: The versions that the GNU licences have, as normalised text writes them.
+GNU_VERSIONS = {"general": ("1", "2", "3"), "lesser general": ("2 1", "3"), "library general": ("2",), "affero general": ("3",)}
+
+
 def _gnu_short() -> Iterator[tuple[str, list[str]]]:
-    for name, (short, *_) in GNU.items():
-        for v in ("1", "2", "2 1", "3"):
-            number = v.replace(" ", ".") if " " in v else v + ".0"
-            yield f"{short}-{number}-or-later", [f"gnu {name} {v} or later"]
-            yield f"{short}-{number}", [f"gnu {name} {v}"]
+    """One sentence with the licence's name, or its letters, and version."""
+    for name, versions in GNU_VERSIONS.items():
+        for v in versions:
+            licence = f"{GNU[name][0]}-{v.replace(' ', '.') if ' ' in v else v + '.0'}"
+            for what in (f"gnu {name} {v}", f"letters {GNU[name][0].lower()} {v}"):
+                yield f"{licence}-or-later", [f"{what} or later"]
+                yield licence, [what]
 
 
 #: Rules in order; each licence's sequence of sentence identifiers. Earlier rules claim sentences first.
@@ -117,6 +127,11 @@ RULES = [
     *[(f"EPL-{v}", [f"epl {v}"]) for v in ("1.0", "2.0")],
     ("public-domain", ["public-domain"]),
 ]
+#: A declared identifier is a sentence too, "spdx mit"; so is each one of an expression. Only licences that the rules have.
+_declared = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]{1,300})", re.IGNORECASE)
+_declared_one = re.compile(r"[A-Za-z0-9.+-]+")
+SPDX = {k: name for name in dict(RULES) if name != "public-domain" for k in (name.lower(), f"{name.lower()}-only", f"{name.lower().removesuffix('-or-later')}+" if name.endswith("-or-later") else name.lower())}
+RULES += [(name, [f"spdx {name}"]) for name in dict.fromkeys(SPDX.values())]
 _gaps = re.compile(r"[^a-z0-9]+")
 _edge = re.compile(r"[.!?;:]+(?=\s|$)|\n", re.MULTILINE)
 _patterns = [(re.compile(p), name) for p, name in PATTERNS]
@@ -176,6 +191,14 @@ def sentences(text: str) -> Iterator[tuple[str, int, int]]:
         i += max(1, used)
 
 
+def declared(text: str) -> Iterator[tuple[str, int, int]]:
+    """Identifier, start and end of each licence that an SPDX line declares."""
+    for line in _declared.finditer(text):
+        for one in _declared_one.finditer(line[1]):
+            if name := SPDX.get(one[0].lower()):
+                yield f"spdx {name}", line.start(1) + one.start(), line.start(1) + one.end()
+
+
 def match(ids: list[str]) -> list[tuple[str, int, int]]:
     """Licence, first and last place of each match of a rule, in order of place. Copyright lines and "all rights reserved" between a rule's sentences are passed over."""
     solid = [i for i, name in enumerate(ids) if name not in ("copyright", "all-rights")]
@@ -197,7 +220,7 @@ FOUND = "array<struct<license:string,start:int,stop:int>>"
 
 def scan_text(text: str | None) -> tuple[list[str], list[tuple[str, int, int]]]:
     """Sentence identifiers in order, and the licences with their spans in code points."""
-    found = list(sentences(text or ""))
+    found = sorted([*sentences(text or ""), *declared(text or "")], key=lambda f: f[1])
     ids = [name for name, _, _ in found]
     return ids, [(licence, found[a][1], found[b][2]) for licence, a, b in match(ids)]
 

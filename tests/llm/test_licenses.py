@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from slidemill.llm import licenses
@@ -103,3 +104,32 @@ def test_every_rule_finds_its_own_sentences():
             text = ".\n".join(known[k] for k in rule) + "."
             ids, found = licenses.scan_text(text)
             assert ids == rule and [n for n, _, _ in found] == [licence], (licence, rule, ids, found)
+
+
+SHORT = {
+    "SPDX-License-Identifier: MIT": ["MIT"],
+    "// SPDX-License-Identifier: GPL-2.0-only OR Apache-2.0": ["GPL-2.0", "Apache-2.0"],
+    "# spdx-license-identifier: (LGPL-2.1-or-later AND BSD-3-Clause) */": ["LGPL-2.1-or-later", "BSD-3-Clause"],
+    "SPDX-License-Identifier: GPL-3.0+": ["GPL-3.0-or-later"],
+    "SPDX-License-Identifier: NoSuch-1.0": [],
+    "This project is licensed under the MIT License.": ["MIT"],
+    "Licensed under MIT": ["MIT"],
+    "Licensed under the Apache License 2.0": ["Apache-2.0"],
+    "Released under the Apache License, Version 2.0.": ["Apache-2.0"],
+    "Distributed under the GPLv3": ["GPL-3.0"],
+    "Licensed under the GNU LGPL v2.1 or later": ["LGPL-2.1-or-later"],
+    "Licensed under the GNU General Public License version 2.1": [],
+    "Licensed under the GNU Affero General Public License version 2": [],
+    "Licensed under the GNU Lesser General Public License v1": [],
+}
+
+
+@pytest.mark.parametrize("text", SHORT)
+def test_short_forms_and_declared_identifiers(text):
+    found = licenses.scan_text(f"Some code.\n\n{text}\n\nMore of it under way, with all rights.")[1]
+    assert [f[0] for f in found] == SHORT[text]
+
+
+def test_only_licences_that_exist():
+    gnu = {n for n, _ in licenses.RULES if "GPL" in n}
+    assert gnu == {f"{n}{t}" for n in ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for t in ("", "-or-later")}
