@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidemill.llm.common import pick, settle
+from slidemill.llm.common import pick, settle, small_enough
 from slidemill.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -25,6 +25,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 SIZES = ((20_000_000, 2), (1_000_000_000, 3))
 #: Fingerprints of one shard's cell; larger shards are dealt into cells of two such parts, every pair of parts once.
 CELL = 1024
+#: Keys of larger shards up to which they are broadcast (about 40 MB).
+HOT = 1_000_000
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -132,12 +134,15 @@ def link(fps: DataFrame, radius: int = RADIUS, sizes: tuple[tuple[int, int], ...
         raise ValueError("radius must be from 0 to 8")
     n = fps.count()
     keyed = fps.select("fp", F.explode(shard_keys(F.col("fp"), radius, next((k for most, k in sizes if n <= most), 4))).alias("key"))
-    shards = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    held = keyed.join(shards, "key").withColumn("parts", F.ceil(F.col("n") / CELL).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp", "key"), "parts").cast("int"))
+    # only shards of more than one cell are known by name, and meet their rows where these are: a hot one is never one task's
+    large = settle(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CELL), "shards")
+    large = F.broadcast(large) if small_enough(large, HOT) else large
+    held = keyed.join(large, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / CELL), F.lit(1)).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp", "key"), "parts").cast("int"))
     dealt = held.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     cells = (
         dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).groupBy("key", "i", "j")
         .agg(F.collect_list(F.when(F.col("own") == F.col("i"), F.col("fp"))).alias("tree"), F.collect_list(F.when(F.col("own") == F.col("j"), F.col("fp"))).alias("asked"))
+        .filter("size(tree) > 0 and size(asked) > 0 and (i < j or size(tree) > 1)")
     )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
