@@ -18,8 +18,9 @@ LANE = 21
 LANES = (1 << 0) | (1 << LANE) | (1 << 2 * LANE)
 #: Terms that a lane can count; beyond, the bits are counted one by one.
 MOST = (1 << LANE) - 1
-#: Ranges of ids between percentiles, at most; each is dealt on by even steps, so rows of a range stay few at any size.
+#: Ranges of ids between percentiles, at most, and percentiles within each of them, at most (fewer than 2,048): 16 MB of numbers where all are needed.
 RANGES = 2_000
+STEPS = 1_000
 EDGES = " \t\n\x0b\x0c\r"
 
 
@@ -95,27 +96,40 @@ def likeness(a: Column, b: Column) -> Column:
 def ranged(rows: DataFrame, per_range: int) -> DataFrame:
     """rows(doc_id, text) with a range (cut, step): ascending in the order of doc_id (null first), hash of the text; about per_range rows each.
 
-    Percentiles of doc_id cut the rows RANGES times at most; between two cuts ids go by even steps. An id that
+    Percentiles of doc_id cut the rows RANGES times at most, and percentiles within each cut cut it on, STEPS times at most,
+    so how the ids lie makes no difference. Beyond RANGES * STEPS * per_range rows ranges grow. An id that
     fills whole percentiles, or null, is dealt by the hash of its texts, which comes second in the order.
     """
     n, known = rows.agg(F.count("*"), F.count("doc_id")).first()
     parts = max(1, min(RANGES, -(-known // per_range)))
-    steps = max(1, -(-known // (parts * per_range)))
+    steps = max(1, min(STEPS, -(-known // (parts * per_range))))
     cuts = rows.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [i / parts for i in range(parts)] + [1.0], 20 * parts)).first()[0] if known else [0, 0]
     times = {x: cuts.count(x) for x in cuts}
     heavy = {x: k * steps for x, k in times.items() if k > 1 and parts > 1}
-    edges = sorted(times)
-    cut = _range_of(F.col("doc_id"), edges) - 1
-    low, high = (F.element_at(F.array(*[F.lit(int(x)) for x in side]), F.greatest(cut, F.lit(0)) + 1) for side in (edges, [*edges[1:], edges[-1] + 1]))
-    even = F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1)) * steps)
+    cut = _range_of(F.col("doc_id"), sorted(times)) - 1
     by_hash = lambda k: F.floor((F.col("hash").cast("double") / float(1 << 64) + 0.5) * k)
     many = F.lit(0)
     for x, k in heavy.items():
         many = F.when(F.col("doc_id") == x, F.lit(k)).otherwise(many)
     spread = max([*heavy.values(), 1])
-    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("heavy", many)
-    step = F.when(F.col("doc_id").isNull(), by_hash(max(1, -(-(n - known) // per_range)))).when(F.col("heavy") > 0, by_hash(F.col("heavy"))).otherwise((even + 1) * spread)
-    return rows.withColumns({"cut": F.when(F.col("doc_id").isNull(), F.lit(-2)).otherwise(cut).cast("int"), "step": step.cast("long")}).drop("heavy")
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "heavy": many, "cut": F.when(F.col("doc_id").isNull(), F.lit(-2)).otherwise(cut).cast("int")})
+    within = F.lit(0)
+    if steps > 1:
+        # edges: percentiles of the cut's other ids, RANGES * STEPS numbers at most; where one fills several, its rows are dealt by hash before those of larger ids
+        edges = rows.filter("doc_id is not null and heavy = 0").groupBy("cut").agg(F.percentile_approx("doc_id", [i / steps for i in range(steps)] + [1.0], 20 * steps).alias("edges"))
+        rows = rows.join(F.broadcast(settle(edges, "range-edges")), "cut", "left")
+        at = _places(F.col("edges"), F.col("doc_id"))
+        rows = rows.withColumn("at", at).withColumn("below", _places(F.col("edges"), F.col("doc_id") - 1))
+        own = F.when(F.col("at") - F.col("below") > 1, by_hash(F.col("at") - F.col("below"))).otherwise(F.lit(STEPS + 1))
+        within = F.col("at") * (STEPS + 2) + own
+    step = F.when(F.col("doc_id").isNull(), by_hash(max(1, -(-(n - known) // per_range)))).when(F.col("heavy") > 0, by_hash(F.col("heavy"))).otherwise(within + spread)
+    return rows.withColumn("step", step.cast("long")).drop("heavy", "edges", "at", "below")
+
+
+def _places(edges: Column, id_: Column) -> Column:
+    """How many of the ascending numbers edges, fewer than 2,048, are at or below the id: by halving, as a fold over powers of two."""
+    halves = F.array(*[F.lit(1 << k) for k in range(10, -1, -1)])
+    return F.aggregate(halves, F.lit(0), lambda found, k: F.when(F.coalesce(F.get(edges, found + k - 1) <= id_, F.lit(False)), found + k).otherwise(found))
 
 
 def edited_documents(docs: DataFrame, per_range: int = 2000, radius: int = 3) -> DataFrame:
@@ -159,7 +173,7 @@ def edited_documents(docs: DataFrame, per_range: int = 2000, radius: int = 3) ->
 
     fps = edited.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
     asks = F.col("doc_id") % 100 == 0
-    met = within_radius(edited.filter(asks).select("fp"), fps, radius, radius + 2).join(fps, "fp").groupBy("query_fp").agg(F.sum("n").alias("n_within"), F.min("least").alias("least_within"))
+    met = within_radius(edited.filter(asks).select("fp"), fps, radius).join(fps, "fp").groupBy("query_fp").agg(F.sum("n").alias("n_within"), F.min("least").alias("least_within"))
     none = F.lit(None).cast("long")
     out = edited.filter(asks).join(met, F.col("fp") == F.col("query_fp"), "left").drop("query_fp")
     out = out.unionByName(edited.filter(~F.coalesce(asks, F.lit(False))).withColumns({"n_within": none, "least_within": none}))
@@ -192,16 +206,35 @@ def permuted_blocks(fp: Column, radius: int, blocks: int) -> Column:
 
 #: Query fingerprints up to which their block tables are broadcast.
 QUERIES = 100_000
+#: Queries of one key up to which its fingerprints are not dealt out.
+CROWD = 100
 
 
-def within_radius(queries: DataFrame, fps: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+def blocks_for(n_queries: int, radius: int) -> int:
+    """Blocks whose keys have at least as many values as there are queries: what a fingerprint meets by chance is bounded by its number of keys, however many queries there are."""
+    return next((b for b in range(radius + 2, 16) if 64 * (b - radius) // b >= n_queries.bit_length()), 16)
+
+
+def within_radius(queries: DataFrame, fps: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """query_fp, fp, distance for all fingerprints fps(fp) within the radius of each distinct query fingerprint queries(fp), itself included.
 
     Distinct fingerprints meet in a table for each choice of blocks and are compared in full. Nulls find nothing.
+    blocks: by the number of queries if not given. Where queries are too many to broadcast, the fingerprints of a key
+    that over CROWD queries have are dealt by hash into parts, and its queries go to each part.
     """
+    settled = settle(queries.select(F.col("fp").cast("long").alias("fp")).filter("fp is not null").distinct(), "radius-queries")
+    n = settled.count()
+    blocks = blocks_for(n, radius) if blocks is None else blocks
     keyed = lambda df, name: df.select(F.col("fp").cast("long").alias(name)).filter(F.col(name).isNotNull()).distinct().select(name, F.explode(permuted_blocks(F.col(name), radius, blocks)).alias("key"))
-    asked = keyed(queries, "query_fp")
-    if small_enough(queries, QUERIES):
+    asked, known, on = keyed(settled, "query_fp"), keyed(fps, "fp"), ["key"]
+    if n <= QUERIES:
         asked = F.broadcast(asked)
+    else:
+        crowds = settle(asked.groupBy("key").agg(F.ceil(F.count("*") / CROWD).alias("parts")).filter("parts > 1"), "crowds")
+        crowds = F.broadcast(crowds) if small_enough(crowds, QUERIES) else crowds
+        parts = F.coalesce("parts", F.lit(1).cast("long"))
+        known = known.join(crowds, "key", "left").withColumn("part", F.pmod(F.xxhash64("fp"), parts)).drop("parts")
+        asked = asked.join(crowds, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts").hint("merge")
+        on = ["key", "part"]
     distance = F.bit_count(F.col("query_fp").bitwiseXOR(F.col("fp"))).cast("int")
-    return keyed(fps, "fp").join(asked, "key").withColumn("distance", distance).filter(F.col("distance") <= radius).select("query_fp", "fp", "distance").distinct()
+    return known.join(asked, on).withColumn("distance", distance).filter(F.col("distance") <= radius).select("query_fp", "fp", "distance").distinct()

@@ -31,8 +31,9 @@ def test_edited_documents(spark, monkeypatch):
     key = lambda t: h(t.encode()) - (1 << 64) * (h(t.encode()) >> 63)
     order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, key(x[1])))
     want = expected(order)
-    for per_range, ranges in ((7, 2000), (2000, 2000), (3, 4), (1, 3)):
+    for per_range, ranges, steps in ((7, 2000, 1000), (2000, 2000, 1000), (3, 4, 1000), (1, 3, 4)):
         monkeypatch.setattr(fpr, "RANGES", ranges)
+        monkeypatch.setattr(fpr, "STEPS", steps)
         got = fpr.edited_documents(df, per_range=per_range).collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
@@ -89,3 +90,32 @@ def test_within_radius(spark):
     got = {(a, b): d for a, b, d in fpr.within_radius(df.limit(40), df, radius=3).collect()}
     asked = {f for (f,) in df.limit(40).collect() if f is not None}
     assert got == {(a, b): (a ^ b).bit_count() for a in asked for b in set(fps) if (a ^ b).bit_count() <= 3}
+
+
+def test_ranges_of_ids_far_apart(spark, monkeypatch):
+    monkeypatch.setattr(fpr, "RANGES", 4)
+    n = 6000
+    for of in ("id", "cast(pow(id, 4) as long)", "cast(pow(2, id / 200.0) * 1000 as long)", "if(id % 3 = 0, 77, id)", "if(id between 1700 and 2100, 5, id)"):
+        df = spark.range(n).selectExpr(f"{of} as doc_id", "concat('t', id) as text")
+        rows = fpr.ranged(df, 100).select("cut", "step", "doc_id", "hash").collect()
+        sizes = {}
+        for r in rows:
+            sizes[r.cut, r.step] = sizes.get((r.cut, r.step), 0) + 1
+        assert len(rows) == n and max(sizes.values()) <= 320, (of, max(sizes.values()))
+        ordered = sorted(rows, key=lambda r: (r.doc_id, r.hash))
+        assert [(r.cut, r.step) for r in ordered] == sorted((r.cut, r.step) for r in rows), of
+
+
+def test_blocks_grow_with_the_queries():
+    assert [fpr.blocks_for(n, 3) for n in (0, 10**3, 10**7, 10**8, 10**9, 10**10, 10**11)] == [5, 5, 5, 6, 6, 7, 8]
+
+
+def test_crowded_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(fpr, "QUERIES", 5)
+    monkeypatch.setattr(fpr, "CROWD", 3)
+    r = random.Random(4)
+    fps = [0b1011 << 40 | r.getrandbits(12) for _ in range(200)] + [r.getrandbits(63) for _ in range(50)]
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    asked = fps[:40] + fps[-5:]
+    got = {(a, b): d for a, b, d in fpr.within_radius(spark.createDataFrame([(f,) for f in asked], "fp long"), df).collect()}
+    assert got == {(a, b): (a ^ b).bit_count() for a in set(asked) for b in set(fps) if (a ^ b).bit_count() <= 3}
