@@ -49,6 +49,7 @@ class PrefixCounts:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces = regex.compile(PATTERN).findall
+        self.spaces = regex.compile(r"\s+")
         self.found = ahocorasick.Automaton()
         for b, i in self.ids.items():
             self.found.add_word(b.decode("latin-1"), (len(b), i))
@@ -110,25 +111,34 @@ class PrefixCounts:
         return pieces, np.array(counts, np.int64)
 
     def prefixes(self, text: str) -> list[int]:
-        """The count at every code point prefix of the text, the empty one first: element k is that of text[:k].
+        """The count at every code point prefix of the text, the empty one first: element k is that of text[:k] on its own.
 
-        Inside a special token or one of the fixed contractions, whose beginnings split otherwise, it is
-        the count up to and with that piece.
+        A prefix splits like the text but for its end: cut in white space, the run of it is one piece; cut in a
+        contraction or a special token, the beginning is split anew, from the last white space or special token on.
         """
-        out = [0]
+        out, total, at, safe = [0], 0, 0, 0
         pieces, counts = self.parts(text)
+        whole = lambda t: int(self.parts(t)[1].sum())
         for p, n in zip(pieces, counts.tolist(), strict=True):
-            before = out[-1]
-            if p in self.special or p[0] == "'" and len(p) > 1 and p[1].isalpha():
-                out += [before + n] * len(p)
+            if p in self.special:
+                out += [out[safe] + whole(text[safe : at + j]) for j in range(1, len(p))] + [total + n]
+                safe = at + len(p)
+            elif p[0] == "'" and len(p) > 1 and p[1].isalpha():
+                out += [total + whole(p[:j]) for j in range(1, len(p))] + [total + n]
             else:
-                ends = np.cumsum([len(c.encode()) for c in p])
                 along = self.along(p)
-                out += [before + along[e] for e in ends]
+                out += [total + along[e] for e in np.cumsum([len(c.encode()) for c in p])]
+                if self.spaces.match(p) and not self.spaces.match(text[at - 1 : at]):
+                    safe = at
+            total, at = total + n, at + len(p)
+        for run in self.spaces.finditer(text):
+            along = self.along(run[0])
+            for j, end in enumerate(np.cumsum([len(c.encode()) for c in run[0]]), 1):
+                out[run.start() + j] = out[run.start()] + along[end]
         return out
 
     def fit(self, pieces: list[str], counts: np.ndarray, budget: int) -> int:
-        """Code points of the longest prefix whose own encoding has at most so many tokens."""
+        """Code points of the longest prefix, of those that end with a piece or within the first piece too many, whose tokens in the text are at most so many."""
         total = np.cumsum(counts)
         k = int(np.searchsorted(total, budget, side="right"))
         chars = sum(map(len, pieces[:k]))
@@ -170,7 +180,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, budget: int = 512) -> DataFra
 
 
 def prefix_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id and counts: array whose element k is the exact token count of the text's first k code points (element 0 is 0)."""
+    """doc_id and counts: array whose element k is the library's token count of the text's first k code points (element 0 is 0)."""
 
     @F.pandas_udf("array<int>")
     def along(texts: pd.Series) -> pd.Series:

@@ -31,9 +31,13 @@ def test_prefixes_by_the_library():
         counts = own.prefixes(s)
         assert len(counts) == len(s) + 1 and counts[-1] == n(s)
         for k in range(len(s) + 1):
-            # within the fixed contractions and special tokens, and where white space or bytes are cut, a prefix splits otherwise
-            if s[:k].isascii() and "<" not in s and "'" not in s:
-                assert counts[k] == n(s[:k]), (s, k)
+            assert counts[k] == n(s[:k]), (s, k)
+
+
+def test_prefixes_cut_in_space_contractions_and_special_tokens():
+    own = tokens.counter(PATH)
+    for s in (".\n\nthe cat", "a  \n 're it's we'll", "x<|endoftext|><|endoftext|> \n<|endoftext|>'s", "  \u3000\xa0 b", "'s's '", "end \t "):
+        assert own.prefixes(s) == [n(s[:k]) for k in range(len(s) + 1)], s
 
 
 def test_edges(spark):
