@@ -20,6 +20,8 @@ from slidemill.llm.common import pick, settle, small_enough
 BLOCK = 500
 #: Blocks of a source at most: beyond, blocks are larger, so neither a source's blocks nor a block's rows are too many to put in order.
 BLOCKS = 65_536
+#: Times that a row may be drawn, at most: its turns are an array of so many numbers.
+PASSES = 10_000
 SEED = 17
 STEPS = 60
 #: Sources up to which weights are solved by name; beyond, by numbers of tokens and how many sources have them.
@@ -78,7 +80,8 @@ def mix(docs: DataFrame, budget_share: float = 1.0, target_entropy: float | None
     block. A null source is a
     source of its own (null in the result). Rows without words are drawn never and use no budget. Repeated
     rows count as rows of their own but, being alike, share one place in the order: both are drawn or
-    neither. Null ids are kept. An empty table gives an empty result; other columns are ignored.
+    neither. Null ids are kept. An empty table gives an empty result; other columns are ignored. Without a
+    repetition limit a small source may be drawn very often: over PASSES times is an error.
 
     Documents are only ever summed by block, so a source with a third of all rows is as many blocks as it needs. Sources
     join by a table that Spark broadcasts or shuffles by its size.
@@ -125,4 +128,7 @@ def _solved(sums: DataFrame, budget_share: float, target_entropy: float | None,
         tokens, times = {i: t for i, (t, _) in enumerate(found)}, {i: n for i, (_, n) in enumerate(found)}
     alpha, _ = solve(tokens, int(budget_share * total), target_entropy, max_repeats, times)
     whole = sum((n / total) ** alpha * (times[k] if times else 1) for k, n in tokens.items())
+    most = max(((n / total) ** alpha / whole * budget_share * total / n for n in tokens.values()), default=0)
+    if most > PASSES:
+        raise ValueError(f"a source would be drawn {most:.0f} times; set max_repeats to {PASSES} or less, or a smaller budget_share")
     return alpha, whole or 1.0, total

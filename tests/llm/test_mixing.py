@@ -1,6 +1,7 @@
 import math
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from slidemill.llm import mixing
@@ -106,3 +107,11 @@ def test_many_sources_and_blocks(spark, monkeypatch):
         got = mixing.mix(spark.createDataFrame([(i, "a b", "one" if i % 3 else "two") for i in range(300)], "doc_id long, text string, source string"), block=10)
         drawn = {r.source: (r.n, r.w) for r in got.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("n"), F.first("weight").alias("w")).collect()}
         assert all(abs(n - w * 600) <= 3 for n, w in drawn.values())
+
+
+def test_a_source_drawn_without_bound_is_an_error(spark):
+    rows = [(0, "one", "tiny")] + [(i, "w " * 500, "big") for i in range(1, 101)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="max_repeats"):
+        mixing.mix(df, target_entropy=1.0, max_repeats=None)
+    assert mixing.mix(df, target_entropy=1.0).filter("source = 'tiny'").first().copies <= 4
