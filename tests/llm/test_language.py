@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from slidemill.llm import language
@@ -44,3 +47,41 @@ def test_unsure_and_unwanted_texts_go(spark):
 def test_families():
     assert language.family_of("fr") == language.family_of("es") != language.family_of("de") == language.family_of("en")
     assert language.family_of("xx") == "xx"
+
+
+def slow_predict(model, text):
+    """Family, then language, by counting each n-gram of bytes by itself."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data, counts = f" {text.lower()} ".encode(), Counter()
+    for place, n in enumerate(language.SIZES):
+        for at in range(len(data) - n + 1):
+            h = 0
+            for byte in data[at : at + n]:
+                h = (h * 0x100000001B3 + byte + 1) % 2**64
+            counts[place * language.BUCKETS + ((h ^ h >> 29) * (0xBF58476D1CE4E5B9 + 2 * n) % 2**64 >> 40) % language.BUCKETS] += 1
+
+    def margin(a, b):
+        k = model.pairs.index((a, b))
+        return language.SCALE * sum(c * float(model.weights[i, k]) for i, c in counts.items()) / sum(counts.values()) + model.bias[k]
+
+    sure = []
+
+    def choose(among):
+        games = {(a, b): margin(a, b) for i, a in enumerate(among) for b in among[i + 1 :]}
+        key = lambda k: (sum((m >= 0) == (k == a) for (a, b), m in games.items() if k in (a, b)), sum(m if k == a else -m for (a, b), m in games.items() if k in (a, b)))
+        best = max(among, key=key)
+        sure.extend(m if best == a else -m for (a, b), m in games.items() if best in (a, b))
+        return best
+
+    lang = choose(model.langs[choose(sorted(model.langs))])
+    return lang, 1 / (1 + math.exp(-2 * min([3.0, *sure])))
+
+
+def test_predictions_by_plain_loops(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = language.train(language.training_rows(docs))
+    texts = [None, "", "12 --", "x", "Élan ÉTÉ 日本", *[r.text[:1500] for r in docs.filter("text is not null").orderBy("doc_id").limit(60).collect()]]
+    for t in texts:
+        (lang, score), (want, sure) = model.predict(t), slow_predict(model, t)
+        assert lang == want and (abs(score - sure) < 1e-6 or min(score, sure) > 0.997), t

@@ -1,5 +1,7 @@
 """run() against the same stages done by hand on the driver."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from slidemill.llm import language, mixing, toxicity
 from slidemill.llm.common import table
@@ -53,3 +55,33 @@ def test_stages_keep_columns_and_clean_documents(spark):
         assert out.columns == docs.columns
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
+
+
+def test_stages_with_nulls_repeats_ties_and_clashing_names(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    rows = [tuple(r) for r in docs.filter("doc_id < 40").collect()]
+    at = {c: i for i, c in enumerate(docs.columns)}
+    clean = next(r for r in sorted(rows) if r[at["lang"]] == "en" and r[at["text"]] and 200 < len(r[at["text"]]) < 3000)
+    put = lambda **v: tuple(v.get(c, clean[i]) for c, i in at.items())
+    odd = [put(doc_id=None), put(doc_id=None), put(doc_id=9_001, source=None), put(doc_id=9_001, source=None), put(doc_id=9_001, lang=None), put(doc_id=9_002, text=None), put(doc_id=9_003, text=""), put(doc_id=9_004, text=" \n"), put(doc_id=9_005, n_chars=None)]
+    df = spark.createDataFrame(rows + odd, docs.schema)
+    df = df.select("*", F.lit("x").alias("TEXT"), F.lit(1).alias("p"), F.lit(2).alias("key"), F.lit(3).alias("c0"), F.create_map(F.lit("a"), F.lit(1)).alias("last"))
+    of = lambda out: [tuple(r)[: len(at)] for r in out.collect()]
+    mine = lambda found: sorted([r for r in found if r in odd], key=str)
+    blank = [r for r in odd if not (r[at["text"]] or "").strip()]
+    said = [r for r in odd if r not in blank]
+    stages = dict(corpus_pipeline.STAGES)
+    out = {n: f(spark, df, sf) for n, f in corpus_pipeline.STAGES[:-1]}
+    assert all(o.columns == df.columns for o in out.values())
+    assert mine(of(out["language_id"])) == sorted(said, key=str)
+    assert mine(of(out["toxicity"])) == mine(of(out["decontamination"])) == sorted(odd, key=str)
+    # all of them are copies of a row with a smaller id, and one of the blank texts stays
+    assert clean in of(out["simhash_neardup"]) and len(mine(of(out["simhash_neardup"]))) <= 1
+    assert set(mine(of(out["simhash_neardup"]))) <= {odd[5]}
+    # by themselves, one row of a tie stays, and of equal rows one
+    alone = of(stages["simhash_neardup"](spark, spark.createDataFrame(odd[:5], docs.schema), sf))
+    assert len(alone) == 1 and alone[0][at["doc_id"]] == 9_001
+    assert of(stages["simhash_neardup"](spark, spark.createDataFrame(odd[:2], docs.schema), sf)) == odd[:1]
+    mixed = stages["mixing"](spark, df, sf).collect()
+    assert len(mixed) == len(rows) + len(odd) and {r.copies for r in mixed if r.doc_id in (9_002, 9_003, 9_004)} == {0}

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -53,3 +55,44 @@ def test_edges(spark):
     assert tx.toxicity(df.limit(0), labels).count() == 0
     assert {r.predicted for r in tx.toxicity(df, labels.limit(0)).collect()} == {0}
     assert tx.keep_clean(df, labels).columns == df.columns
+
+
+def slow_score(net, text):
+    """The forward pass in plain loops over one word, one window and one unit at a time."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    words, best = tx.words_of((text or "").lower()), -math.inf
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    start = 0
+    while True:
+        gates = []
+        for w in words[start : start + tx.WINDOW]:
+            (whole,), parts, _ = tx.word_features([w])
+            chars = [sum(p["char"][k][j] for k in parts) / len(parts) for j in range(tx.CHAR_DIM)]
+            gates.append([sum(a * b for a, b in zip([*p["word"][whole], *chars], column, strict=True)) for column in p["in"].T] + p["b"])
+        states = [[0.0] * (2 * tx.H) for _ in gates]
+        for d in (0, 1):
+            h, u = [0.0] * tx.H, p[f"u{d}"]
+            for t in range(len(gates)) if d == 0 else reversed(range(len(gates))):
+                x = gates[t][3 * tx.H * d : 3 * tx.H * (d + 1)]
+                rec = [sum(h[i] * u[i][k] for i in range(tx.H)) for k in range(3 * tx.H)]
+                z, r = ([sig(x[k] + rec[k]) for k in range(at, at + tx.H)] for at in (0, tx.H))
+                c = [math.tanh(x[2 * tx.H + j] + r[j] * rec[2 * tx.H + j]) for j in range(tx.H)]
+                h = [z[j] * h[j] + (1 - z[j]) * c[j] for j in range(tx.H)]
+                states[t][tx.H * d : tx.H * (d + 1)] = h
+        att = [math.exp(sum(a * b for a, b in zip(s, p["att"], strict=True))) for s in states]
+        pooled = [sum(a * s[j] for a, s in zip(att, states, strict=True)) / sum(att) for j in range(2 * tx.H)] if states else [0.0] * (2 * tx.H)
+        best = max(best, sum(a * b for a, b in zip(pooled, p["out"], strict=True)) + p["bias"][0])
+        start += tx.STRIDE
+        if start + tx.WINDOW - tx.STRIDE >= len(words):
+            return sig(best)
+
+
+def test_scores_by_plain_loops(spark):
+    rows = table(spark, "/root/testdata/sf0.001", "documents").filter("doc_id % 10 = 0").orderBy("doc_id").limit(12).collect()
+    texts = [None, "", "one", " \n", "Élan été 日本 x", "w " * 64, "a b " * 33, *[" ".join(r.text.split()[:220]) for r in rows]]
+    net = tx.Network.fresh(4)
+    net.p["word"] = np.random.default_rng(5).standard_normal(net.p["word"].shape).astype(np.float32)
+    net.p["char"] *= 20
+    for got, t in zip(net.score(texts), texts, strict=True):
+        assert abs(got - slow_score(net, t)) < 1e-4, t
+    assert len({round(v, 3) for v in net.score(texts)}) > 8
