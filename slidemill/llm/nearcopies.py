@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from slidemill.llm.common import row_hash, settle, small_enough
 from slidemill.llm.components import components
+from slidemill.llm.naming import meet
 from slidemill.llm.neardup import shingle_hashes, stars
 
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 256
@@ -274,7 +275,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHI
     bare = bare.withColumns({"key": F.col(f"c{names.index('doc_id')}").cast("long"), "row": row_hash(bare)})
     hashed = settle(bare.select("key", "row", fingerprint(text, shingle).alias("s")).select("key", "row", "s.fp", "s.keys"), "fingerprints")
     first = F.struct(F.col("key").isNull().alias("none"), "key", "row")
-    rows = hashed.groupBy("fp", "key", "row").agg(F.count("*").alias("n")).withColumn("first", first)
+    rows = settle(hashed.groupBy("fp", "key", "row").agg(F.count("*").alias("n")).withColumn("first", first), "distinct-rows")
+    n_rows = rows.count()
 
     def sets_of(fps: DataFrame) -> DataFrame:
         """One text of each fingerprint, by its row's hash, which equal rows share."""
@@ -284,10 +286,12 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHI
 
     keyed = settle(hashed.select("fp", F.explode("keys").alias("key")).distinct(), "keyed")
     roots = settle(classes(keyed, sets_of, similarity), "classes")
-    rows = settle(rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).drop("fp"), "rows")
-    best = rows.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("size")).filter("size > 1")
+    # rows of a fingerprint or group that many rows have stay where they are, in both joins
+    sized = settle(rows.groupBy("fp").agg(F.count("*").alias("n")).join(roots, "fp"), "sized")
+    rows = settle(meet(rows, sized, ["fp"], "root", n_rows, "left").withColumn("root", F.coalesce("root", "fp")).drop("fp"), "rows")
+    best = settle(rows.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("size"), F.count("*").alias("n")).filter("size > 1"), "best")
     # rows that go: all of a group but its first, and of that all but one of its equals
-    grouped = rows.join(best, "root").withColumn("last", ~F.col("first").eqNullSafe(F.col("best"))).filter("last or n > 1").select("key", "row", "last")
+    grouped = meet(rows, best, ["root"], "best", n_rows).withColumn("last", ~F.col("first").eqNullSafe(F.col("best"))).filter("last or n > 1").select("key", "row", "last")
     gone = settle(grouped.select("row", F.coalesce("key", F.lit(0)).alias("key"), F.col("key").isNull().alias("none"), "last").distinct(), "gone")
     bare = bare.withColumns({"none": F.col("key").isNull(), "key": F.coalesce("key", F.lit(0))})
     small = F.broadcast if small_enough(gone, LOSERS) else lambda df: df

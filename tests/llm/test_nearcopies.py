@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from slidemill.llm import nearcopies
+from slidemill.llm import naming, nearcopies
 
 MASK = (1 << 64) - 1
 
@@ -183,9 +183,10 @@ def test_keep_one(spark):
 
 
 def test_keep_one_with_maps_and_large(spark, monkeypatch):
-    """A map column; and rows that go joined by shuffle."""
+    """A map column; rows that go joined by shuffle; groups joined by broadcast."""
     rows = [(i, "a b c d e f" if i % 2 else f"text number {i} of its own {i * 7} words {i * 3}") for i in range(30)] + [(1, "a b c d e f")] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
-    for most in (1_000_000, 1):
+    for most, hot in ((1_000_000, 1000), (1, 1000), (1_000_000, 1), (1, 5)):
         monkeypatch.setattr(nearcopies, "LOSERS", most)
+        monkeypatch.setattr(naming, "HOT", hot)
         assert sorted(r.doc_id for r in nearcopies.keep_one(df).collect()) == [0, 1, *range(2, 30, 2)]
