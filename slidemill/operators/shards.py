@@ -17,14 +17,14 @@ RANGE, RANGES = 200_000, 4096
 def assign_shards(rows: DataFrame, shard_size: int, order: list, ranges: int | None = None, tie: str = "key") -> DataFrame:
     """rows with idx, the place in the given order, and shard_id = idx div shard_size.
 
-    Rows are cut into ranges of the first order column, as many as their number asks for; only the ranges'
-    counts are summed along, then each range numbers its own rows, so no task sees them all.
+    Rows are cut into ranges of the first order column, as many as their number asks for and at least `ranges`; only the
+    ranges' counts are summed along, then each range numbers its own rows, so no task sees them all.
     """
     if shard_size <= 0:
         raise ValueError("shard_size must be positive")
     tagged = rows.withColumn("_first", order[0])
     cuts = _cuts(tagged, ranges)
-    tagged = tagged.withColumn("_bucket", _place(cuts, 0, len(cuts)))
+    tagged = _placed(tagged, cuts)
     sums = tagged.groupBy("_bucket").agg(F.count("*").alias("n"))
     sums = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = Window.partitionBy("_bucket").orderBy("_first", *order[1:], tie)
@@ -32,18 +32,21 @@ def assign_shards(rows: DataFrame, shard_size: int, order: list, ranges: int | N
     return out.withColumn("shard_id", F.floor(F.col("idx") / shard_size)).drop("_first", "_bucket", "before")
 
 
-def _place(cuts: list, lo: int, hi: int) -> Column:
-    """Number of cuts at or below the row's first order column, by halving."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(F.col("_first") >= cuts[mid], _place(cuts, mid + 1, hi)).otherwise(_place(cuts, lo, mid))
+def _placed(tagged: DataFrame, cuts: list) -> DataFrame:
+    """tagged with _bucket, the number of cuts at or below the row's first order column: found by halving, a column for each step, so that thousands of cuts make a short expression."""
+    out, step = tagged.withColumn("_bucket", F.lit(0)), 1 << len(cuts).bit_length() >> 1
+    table = F.array(*[F.lit(c) for c in cuts])
+    while step:
+        to = F.col("_bucket") + step
+        out = out.withColumn("_bucket", F.when(F.col("_first") >= F.get(table, to - 1), to).otherwise(F.col("_bucket")))
+        step >>= 1
+    return out
 
 
 def _cuts(tagged: DataFrame, ranges: int | None) -> list:
     """Values of the first order column that part the rows about evenly, from a sample of bounded size."""
     n = tagged.count()
-    ranges = max(1, min(RANGES, -(-n // RANGE))) if ranges is None else ranges
+    ranges = max(ranges or 1, min(RANGES, -(-n // RANGE)))
     if ranges == 1:
         return []
     sample = tagged.select("_first").sample(min(1.0, 50 * ranges / max(n, 1)), seed=1).limit(200 * ranges).collect()

@@ -13,6 +13,13 @@ MODES = ("any_overlap", "full_inside_bounds", "center_in_roi")
 EDGES = ("drop", "zeros", "edge")
 ROI_EDGES = ("clip", "read_from_image")
 KEY = ["slide_ord", "roi_index"]
+#: Slides whose tiles one task makes.
+SLIDES = 5000
+
+
+def dealt(rois: DataFrame, slides: int, each: int = SLIDES) -> DataFrame:
+    """Regions by slide, in tasks of about so many slides each of their number `slides`. A region is a short row that many tiles are made of: adaptive execution, which merges partitions by bytes, would leave all to a few tasks."""
+    return rois.repartition(max(rois.sparkSession.sparkContext.defaultParallelism, -(-slides // each)), "slide_ord")
 
 
 def axis(start: Column, end: Column, tile_size: int, stride: int) -> Column:

@@ -163,7 +163,9 @@ b AS (SELECT *, dense_rank() OVER (PARTITION BY slide_ord ORDER BY roi_index, wi
 
 def grid(s, d, ts=224):
     """Whole-slide grids with the metrics of the audit: edge distance, and two made from the place."""
-    t = tiles.with_edge_distance(tiles.plan_tiles(rois.attach_rois(virtual.slides(s, d), [rois.whole_slides(virtual.slides(s, d))]), ts, ts), ts)
+    sl = virtual.slides(s, d)
+    whole = tiles.dealt(rois.attach_rois(sl, [rois.whole_slides(sl)]), sl.count())
+    t = tiles.with_edge_distance(tiles.plan_tiles(whole, ts, ts), ts)
     return t.withColumns({"tissue_fraction": ((F.col("x") * 7 + F.col("y") * 13 + F.col("slide_ord") * 31) % 101) / 100.0, "gray_range": F.when((F.col("x") + F.col("y")) % 5 != 0, ((F.col("x") * 3 + F.col("y") * 11) % 97) / 96.0)})
 
 
