@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 CROWD = 20_000
 #: Crowded buckets up to which they are joined by broadcast.
 BROADCAST = 100_000
+#: What tells tiles apart.
+TILE = ["slide_ord", "roi_index", "x", "y"]
 
 
 def _along(c: str, lo: int, hi: int, tile_size: int):
@@ -23,7 +26,7 @@ def bucketed(tiles: DataFrame, points: DataFrame, tile_size: int, copy: str = "t
     """Tiles and points with the keys of the buckets of tile_size in which they can meet.
 
     A tile covers one to four buckets, so one side is copied: the tiles, or with copy="points" the points. Points are
-    counted by bucket first; where none is crowded nothing else is copied.
+    counted by slide first, and those of slides that could have a crowded bucket by bucket; where none is crowded nothing else is copied.
     """
     if copy not in ("tiles", "points"):
         raise ValueError("copy must be 'tiles' or 'points'")
@@ -35,7 +38,11 @@ def bucketed(tiles: DataFrame, points: DataFrame, tile_size: int, copy: str = "t
         t = whole(tiles, "x", "y")
         p = points.withColumn("gx", _along("px", -tile_size, 0, tile_size)).withColumn("gy", _along("py", -tile_size, 0, tile_size))
     key = ["slide_ord", "gx", "gy"]
-    crowded = p.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select(*key, F.ceil(F.col("n") / crowd).cast("int").alias("parts"))
+    many = points.groupBy("slide_ord").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("slide_ord")
+    if not (n := many.count()):
+        return t, p, key
+    many = F.broadcast(many) if n <= BROADCAST else many
+    crowded = p.join(many, "slide_ord", "left_semi").groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select(*key, F.ceil(F.col("n") / crowd).cast("int").alias("parts"))
     if not (n := crowded.count()):
         return t, p, key
     crowded = F.broadcast(crowded) if n <= BROADCAST else crowded.hint("merge")
@@ -50,17 +57,27 @@ def points_in_tiles(tiles: DataFrame, points: DataFrame, tile_size: int, copy: s
 
     Both sides are shuffled by bucket: what is exploded is larger than the optimizer can know, so it never goes by broadcast. copy: the side to copy, the smaller one.
     """
-    t, p, key = bucketed(tiles.select("slide_ord", "roi_index", "x", "y"), points, tile_size, copy, crowd)
-    j = t.hint("merge").join(p, key)
-    j = j.filter((F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + tile_size) & (F.col("py") >= F.col("y")) & (F.col("py") < F.col("y") + tile_size))
-    return j.withColumns({"lx": (F.col("px") - F.col("x")).cast("int"), "ly": (F.col("py") - F.col("y")).cast("int")}).drop("gx", "gy", "part")
+    return _met(*bucketed(tiles.select(*TILE), points, tile_size, copy, crowd), tile_size).drop("gx", "gy", "part")
+
+
+def _met(t: DataFrame, p: DataFrame, key: list[str], tile_size: int, how: str = "inner") -> DataFrame:
+    """Bucketed tiles and the points in them; with how="left" also tiles without any."""
+    within = lambda c: (F.col(f"p.p{c}") >= F.col(f"t.{c}")) & (F.col(f"p.p{c}") < F.col(f"t.{c}") + tile_size)
+    same = [F.col(f"t.{c}") == F.col(f"p.{c}") for c in key]
+    j = t.hint("merge").alias("t").join(p.alias("p"), reduce(lambda a, b: a & b, [*same, within("x"), within("y")]), how)
+    j = j.select(*[F.col(f"t.{c}") for c in t.columns], *[F.col(f"p.`{c}`") for c in p.columns if c not in key])
+    return j.withColumns({"lx": (F.col("px") - F.col("x")).cast("int"), "ly": (F.col("py") - F.col("y")).cast("int")})
 
 
 def annotate_points(tiles: DataFrame, points: DataFrame, tile_size: int, column: str = "annotations", filter_empty: bool = False, copy: str = "tiles", crowd: int = CROWD) -> DataFrame:
     """Tiles with an array of (x, y, label) of their points, in local pixels; without any an empty one, or no row with filter_empty."""
-    key = ["slide_ord", "roi_index", "x", "y"]
-    found = points_in_tiles(tiles, points, tile_size, copy, crowd).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("lx").alias("x"), F.col("ly").alias("y"), F.col("label").cast("int").alias("label")))).alias(column))
-    out = tiles.join(found, key, "inner" if filter_empty else "left")
+    t, p, key = bucketed(tiles.select(*TILE), points, tile_size, copy, crowd)
+    # a tile that isn't copied has one bucket: its points are there already, and no second shuffle gathers them
+    here = ["gx", "gy"] if copy == "points" and "part" not in key else []
+    bare = set(tiles.columns) == set(TILE)
+    note = F.when(F.col("px").isNotNull(), F.struct(F.col("lx").alias("x"), F.col("ly").alias("y"), F.col("label").cast("int").alias("label")))
+    found = _met(t, p, key, tile_size, "left" if bare and not filter_empty else "inner").groupBy(*TILE, *here).agg(F.array_sort(F.collect_list(note)).alias(column)).drop(*here)
+    out = found.select(*tiles.columns, column) if bare else tiles.join(found, TILE, "inner" if filter_empty else "left")
     return out.withColumn(column, F.coalesce(column, F.array().cast("array<struct<x:int,y:int,label:int>>")))
 
 
@@ -96,9 +113,8 @@ def annotate_features(tiles: DataFrame, features: DataFrame, tile_size: int, pro
             out.append(json.dumps(own, sort_keys=True))
         return pd.Series(out, dtype=object)
 
-    key = ["slide_ord", "roi_index", "x", "y"]
     met = points_in_tiles(tiles, features.filter("px is not null"), tile_size, copy, crowd)
     met = met.withColumn("cell", cell("properties", "geometry", "scale", F.col("x") - F.col("ox") * F.col("scale"), F.col("y") - F.col("oy") * F.col("scale")))
-    found = met.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("fid", "cell"))), lambda c: c["cell"]).alias(column))
-    out = tiles.join(found, key, "inner" if filter_empty else "left")
+    found = met.groupBy(*TILE).agg(F.transform(F.array_sort(F.collect_list(F.struct("fid", "cell"))), lambda c: c["cell"]).alias(column))
+    out = tiles.join(found, TILE, "inner" if filter_empty else "left")
     return out.withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
