@@ -81,9 +81,14 @@ def grown(windowed: DataFrame, tile_size: int) -> DataFrame:
     return windowed.withColumns({"rw": grow("x", "rx", "rw", "sw"), "rh": grow("y", "ry", "rh", "sh")})
 
 
-def read_windows(windowed: DataFrame) -> DataFrame:
-    """One row for each window: its read box and the number of its tiles."""
-    return windowed.groupBy(*KEY, "win_key").agg(*[F.first(c).alias(c) for c in ("rx", "ry", "rw", "rh")], F.count("*").alias("n_tiles"))
+def read_windows(windowed: DataFrame, grow: int | None = None) -> DataFrame:
+    """One row for each window: its read box and the number of its tiles. grow: a tile size, by which boxes are grown as grown() does, but from the window's ends alone: no tile is sorted."""
+    ends = [] if grow is None else [F.max("x").alias("x"), F.max("y").alias("y"), F.first("sw").alias("sw"), F.first("sh").alias("sh")]
+    out = windowed.groupBy(*KEY, "win_key").agg(*[F.first(c).alias(c) for c in ("rx", "ry", "rw", "rh")], F.count("*").alias("n_tiles"), *ends)
+    if grow is None:
+        return out
+    reach = lambda c, o, n, s: F.greatest(F.col(n), F.least(F.col(c) - F.col(o) + grow, F.col(s) - F.col(o)))
+    return out.withColumns({"rw": reach("x", "rx", "rw", "sw"), "rh": reach("y", "ry", "rh", "sh")}).drop("x", "y", "sw", "sh")
 
 
 def with_padding(windowed: DataFrame, tile_size: int, policy: str = "drop") -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from slidemill.operators.tiles import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +41,7 @@ def rois(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min((F.col("l_orderkey") * 131) % half("sw")).alias("x"), F.min((F.col("l_orderkey") * 197 + F.col("l_linenumber") * 53) % half("sh")).alias("y"),
         (100 + (F.sum("l_quantity").cast("long") * 7) % 400).alias("w"), (100 + (F.sum("l_suppkey") * 173) % 400).alias("h"),
     )
+    r = dealt(r, s.count())
     index = (F.row_number().over(Window.partitionBy("slide_ord").orderBy("l_linenumber")) - 1).cast("long")
     return r.select("slide_ord", "wsi_id", "sw", "sh", index.alias("roi_index"), "x", "y", F.least("w", F.col("sw") - F.col("x")).alias("w"), F.least("h", F.col("sh") - F.col("y")).alias("h"))
 

@@ -139,7 +139,7 @@ GROWN = WINDOWED + f""", m AS (SELECT * EXCLUDE (rw, rh), greatest(rw, least(max
 FROM w WINDOW p AS (PARTITION BY slide_ord, roi_index, win_key))"""
 ONE = " SELECT slide_ord, roi_index, win_key, min(rx) AS rx, min(ry) AS ry, min(rw) AS rw, min(rh) AS rh, count(*) AS n_tiles FROM {} GROUP BY slide_ord, roi_index, win_key"
 query("read_windows", WINDOWED + ONE.format("w"))(lambda s, d: tiles.read_windows(windowed(s, d)))
-query("read_windows_expanded", GROWN + ONE.format("m"))(lambda s, d: tiles.read_windows(tiles.grown(windowed(s, d), TS)))
+query("read_windows_expanded", GROWN + ONE.format("m"))(lambda s, d: tiles.read_windows(windowed(s, d), grow=TS))
 
 
 def at_level0(s, d):
