@@ -74,3 +74,13 @@ def keep_prefixes(rows: DataFrame, prefixes: list[str], column: str = "key") ->
     for p in prefixes:
         test = test | F.col(column).startswith(p)
     return rows.filter(test)
+
+
+def may_start(stem: Column, prefixes: list[str]) -> Column:
+    """If any key that begins with the stem can start with one of the prefixes: tells of a slide, before its tiles are made, if it is wanted. keep_prefixes then tests the keys."""
+    if not prefixes:
+        return F.lit(True)
+    test = F.lit(False)
+    for p in prefixes:
+        test = test | F.lit(p).startswith(stem) | stem.startswith(p)
+    return test

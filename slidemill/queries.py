@@ -161,9 +161,9 @@ b AS (SELECT *, dense_rank() OVER (PARTITION BY slide_ord ORDER BY roi_index, wi
 # ---- edge distance and audit
 
 
-def grid(s, d, ts=224):
-    """Whole-slide grids with the metrics of the audit: edge distance, and two made from the place."""
-    sl = virtual.slides(s, d)
+def grid(s, d, ts=224, wanted=None):
+    """Whole-slide grids with the metrics of the audit: edge distance, and two made from the place. wanted: a test that slides pass."""
+    sl = virtual.slides(s, d) if wanted is None else virtual.slides(s, d).filter(wanted)
     whole = tiles.dealt(rois.attach_rois(sl, [rois.whole_slides(sl)]), sl.count())
     t = tiles.with_edge_distance(tiles.plan_tiles(whole, ts, ts), ts)
     return t.withColumns({"tissue_fraction": ((F.col("x") * 7 + F.col("y") * 13 + F.col("slide_ord") * 31) % 101) / 100.0, "gray_range": F.when((F.col("x") + F.col("y")) % 5 != 0, ((F.col("x") * 3 + F.col("y") * 11) % 97) / 96.0)})
@@ -340,13 +340,19 @@ query("profile_by_slide", MSG + f", a AS (SELECT slide_id, stage, arg_max(wall_s
 )
 
 
-def keyed(s, d):
-    return grid(s, d).select(shards.sample_key(F.concat(F.lit("slide_"), "slide_ord"), F.col("x"), F.col("y")).alias("key"))
+def keyed(s, d, prefixes=()):
+    """Keys of all tiles; with prefixes, of the slides that can have such keys."""
+    stem = F.concat(F.lit("slide_"), "slide_ord")
+    return grid(s, d, wanted=shards.may_start(F.concat(stem, F.lit("_")), list(prefixes))).select(shards.sample_key(stem, F.col("x"), F.col("y")).alias("key"))
+
+
+def prefixed(s, d, prefixes=("slide_1_", "slide_42", "slide_199")):
+    return shards.keep_prefixes(keyed(s, d, prefixes), list(prefixes))
 
 
 KEYED = GRID + ", kk AS (SELECT 'slide_' || slide_ord || '_' || x || '_' || y AS key FROM g)"
 query("shard_assignment", KEYED + " SELECT key, row_number() OVER (ORDER BY key) - 1 AS idx, (row_number() OVER (ORDER BY key) - 1) // 200 AS shard_id FROM kk")(lambda s, d: shards.assign_shards(keyed(s, d), 200, [F.col("key")], ranges=8))
-query("loader_prefix_filter", KEYED + " SELECT key FROM kk WHERE starts_with(key, 'slide_1_') OR starts_with(key, 'slide_42') OR starts_with(key, 'slide_199')")(lambda s, d: shards.keep_prefixes(keyed(s, d), ["slide_1_", "slide_42", "slide_199"]))
+query("loader_prefix_filter", KEYED + " SELECT key FROM kk WHERE starts_with(key, 'slide_1_') OR starts_with(key, 'slide_42') OR starts_with(key, 'slide_199')")(prefixed)
 
 # ---- pixel work in Arrow batches
 
