@@ -111,8 +111,10 @@ def with_batches(windowed: DataFrame, batch_size: int = 200) -> DataFrame:
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
     rn = F.row_number().over(Window.partitionBy(*KEY, "win_key").orderBy("tile_ord"))
-    t = windowed.withColumn("part", F.floor((rn - 1) / batch_size))
-    return t.withColumn("batch_ord", (F.dense_rank().over(Window.partitionBy("slide_ord").orderBy("roi_index", "win_key", "part")) - 1).cast("long")).drop("part")
+    # batches begun so far; the order is that of the windows' tiles, so tiles are sorted once
+    so_far = Window.partitionBy("slide_ord").orderBy("roi_index", "win_key", "tile_ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = windowed.withColumn("starts", ((rn - 1) % batch_size == 0).cast("long"))
+    return t.withColumn("batch_ord", F.sum("starts").over(so_far) - 1).drop("starts")
 
 
 def with_edge_distance(tiles: DataFrame, tile_size: int) -> DataFrame:
