@@ -53,6 +53,17 @@ def plan_tiles(rois: DataFrame, tile_size: int, stride: int, mode: str = "any_ov
     return g if accept is None else g.filter(accept(F.col("x"), F.col("y"))).drop(*carry)
 
 
+def grid_tiles_at(regions: DataFrame, tile_size: int) -> DataFrame:
+    """x, y of the tiles of the whole slide's grid, stride tile_size, that each of regions(slide_ord, roi_index, rx, ry, rw, rh, sw, sh) touches; a region without width or height touches what a pixel would.
+
+    Tiles of such a grid are its cells, so a region's are told from its box, and the others are never made.
+    """
+    cells = lambda at, side: F.explode(F.sequence(F.floor(F.col(at) / tile_size), F.floor((F.col(at) + F.greatest(F.col(side), F.lit(1)) - 1) / tile_size)))
+    t = regions.select("*", cells("rx", "rw").alias("x")).select("*", cells("ry", "rh").alias("y")).withColumns({c: F.col(c) * tile_size for c in "xy"})
+    on_slide = lambda c, s: (F.col(c) >= 0) & (F.col(c) < F.greatest(F.col(s), F.lit(1)))
+    return t.filter(on_slide("x", "sw") & on_slide("y", "sh"))
+
+
 def window_size(stride: int, max_window_size: int | None = None) -> int:
     if max_window_size is None:
         if stride > 5000:

@@ -179,13 +179,8 @@ query("remove_edge_tiles", GRID + " SELECT slide_ord, x, y, edge_distance FROM g
 )
 def cornered(s, d, test):
     """Tiles of whole-slide grids by the four-corner tests that regions of any shape go by."""
-    r = virtual.rois(s, d).select("slide_ord", "roi_index", *[F.col(c).alias(f"r{c}") for c in "xywh"])
-    t = tiles.plan_tiles(rois.whole_slides(virtual.slides(s, d)).withColumn("roi_index", F.lit(0)), 224, 224).select("slide_ord", "x", "y")
-    # a region meets only tiles of the grid cells that it touches
-    cells = lambda at, side: F.explode(F.sequence(F.floor(F.col(at) / 224), F.floor((F.col(at) + F.greatest(F.col(side), F.lit(1)) - 1) / 224)))
-    r = r.withColumn("cx", cells("rx", "rw")).withColumn("cy", cells("ry", "rh"))
-    t = t.withColumns({"cx": F.floor(F.col("x") / 224), "cy": F.floor(F.col("y") / 224)})
-    return t.hint("merge").join(r, ["slide_ord", "cx", "cy"]).filter(test(F.col("x"), F.col("y"), 224)).select("slide_ord", "roi_index", "x", "y")
+    r = virtual.rois(s, d).select("slide_ord", "roi_index", *[F.col(c).alias(f"r{c}") for c in "xywh"], "sw", "sh")
+    return tiles.grid_tiles_at(r, 224).filter(test(F.col("x"), F.col("y"), 224)).select("slide_ord", "roi_index", "x", "y")
 
 
 IN_BOX = "({0} >= rx AND {0} < rx + rw AND {1} >= ry AND {1} < ry + rh)"
