@@ -258,7 +258,9 @@ def classes(keyed: DataFrame, sets_of, similarity: float = SIMILARITY) -> DataFr
                 best = met.select(F.explode(F.array("ur", "vr")).alias("r"), F.struct("d", "u", "v").alias("e")).groupBy("r").agg(F.min("e").alias("e"))
                 tried = settle(best.select("e.u", "e.v").distinct(), "tried")
                 left = met.join(tried, ["u", "v"], "left_anti").select("u", "v", "d")
-            stands = settle(stands.unionByName(alike(tried, sets, similarity)), "stands")
+            # what stands is as connected by its nodes' roots, and less is left to do from there
+            reached = roots.filter("fp <> root").select(F.col("fp").alias("u"), F.col("root").alias("v"))
+            stands = settle(reached.unionByName(alike(tried, sets, similarity)), "stands")
     return components(stands).select(F.col("node").alias("fp"), "root")
 
 
