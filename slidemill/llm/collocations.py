@@ -27,6 +27,8 @@ MOST_WORDS, LEAST, SHARE, TOP = 5, 100, 100, 2000
 CHUNK = 4_000_000
 #: Frequent words or pairs, and bytes of them, up to which they are joined by broadcast. Languages are bounded so too.
 BROADCAST, BROADCAST_BYTES = 200_000, 16_000_000
+#: Texts, and chunks, that a Python worker is handed at once.
+TEXTS_AT_ONCE, CHUNKS_AT_ONCE = 1000, 2
 #: Parts that a language's phrases are ranked in before its first ones are.
 PARTS = 64
 #: ASCII letters in lower case, separators of pieces as full stops (no word has one), tabs as spaces.
@@ -101,7 +103,7 @@ def _renamed(chunks: DataFrame, entries: DataFrame, frequent: DataFrame, on: lis
     keys = F.broadcast(keys) if n <= BROADCAST and (size or 0) <= BROADCAST_BYTES else keys
     back = entries.join(keys, on).groupBy("chunk").agg(F.collect_list(F.struct("at", "name")).alias("d"))
     given = chunks.select("chunk", "seq").join(back, "chunk").select("chunk", "seq", F.col("d.at").alias("at"), F.col("d.name").alias("names"))
-    return settle(given.mapInPandas(_replace, _PAIRED), "pairs")
+    return settle(given.mapInPandas(_replace, _PAIRED), "pairs", CHUNKS_AT_ONCE, large=True)
 
 
 def grams(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, chunk: int = CHUNK) -> tuple[DataFrame, list[DataFrame]]:
@@ -111,7 +113,7 @@ def grams(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, chu
     of the first and of the last k-1 words, and `firsts`, `lasts`: f of the first (last) 1, 2, ... k-1 words.
     """
     rows = pick(docs, lang="string", text="string").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text is not null")
-    packed = settle(rows.mapInArrow(lambda batches: _pack(batches, chunk), from_arrow_schema(_PACKED)).withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    packed = settle(rows.mapInArrow(lambda batches: _pack(batches, chunk), from_arrow_schema(_PACKED)).withColumn("chunk", F.monotonically_increasing_id()), "chunks", TEXTS_AT_ONCE, large=True)
     words = packed.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "e")).select("chunk", "lang", "at", F.col("e.words").alias("word"), F.col("e.counts").alias("c"))
     counted = settle(words.groupBy("lang", "word").agg(F.sum("c").alias("f")), "words")
     n = settle(counted.groupBy("lang").agg(F.sum("f").alias("n")), "totals")

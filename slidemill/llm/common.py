@@ -12,6 +12,9 @@ from pyspark.sql.types import StructField, StructType
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: How tables of large rows are written. A page has 100 rows at least unless told, and Snappy takes pages whole into memory outside the heap.
+LARGE_ROWS = {"parquet.page.row.count.limit": "2", "compression": "zstd"}
 #: Folders that settle() has written in this process.
 _settled: list[str] = []
 
@@ -44,16 +47,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors. The write's own shuffles are deleted once it ends."""
+def settle(df: DataFrame, what: str, at_once: int | None = None, large: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors. The write's own shuffles are deleted once it ends.
+
+    at_once: rows that Python workers are handed at once on the way: a worker, and its executor besides, holds them all. large: the rows of df are.
+    """
     at = f"{shared_dir(df.sparkSession)}/slidemill/{what}-{uuid.uuid4().hex}"
     _settled.append(at)
-    before = df.sparkSession.conf.get(CLEANUP)
-    df.sparkSession.conf.set(CLEANUP, "true")
+    held = {CLEANUP: "true"} | ({AT_ONCE: str(at_once)} if at_once else {})
+    before = {k: df.sparkSession.conf.get(k) for k in held}
+    for k, v in held.items():
+        df.sparkSession.conf.set(k, v)
     try:
-        df.write.parquet(at)
+        df.write.options(**(LARGE_ROWS if large else {})).parquet(at)
     finally:
-        df.sparkSession.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            df.sparkSession.conf.set(k, v)
     out = df.sparkSession.read.schema(nullable(df.schema)).parquet(at)
     out._settled_at = at
     return out

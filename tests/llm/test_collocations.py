@@ -70,3 +70,16 @@ def test_products_over_64_bits(spark):
 def test_nothing_frequent(spark):
     assert run(spark, [("en", "a b c"), (None, None)]) == []
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string")).collect() == []
+
+
+def test_workers_get_few_chunks_at_once(spark, monkeypatch):
+    replace, most = collocations._replace, collocations.CHUNKS_AT_ONCE
+
+    def checked(batches):
+        for b in batches:
+            assert len(b) <= most, f"{len(b)} chunks at once"
+            yield from replace(iter([b]))
+
+    monkeypatch.setattr(collocations, "_replace", checked)
+    df = spark.createDataFrame(made(5, 40), "lang string, text string").coalesce(1)
+    assert collocations.collocations(df, least=3, chunk=200).count() > 0

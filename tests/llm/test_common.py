@@ -23,3 +23,22 @@ def test_crc_mod(spark):
 
     df = spark.createDataFrame([(1,), (-7,), (None,)], "i long")
     assert [r[0] for r in df.select(common.crc_mod(F.col("i"), 7)).collect()] == [zlib.crc32(b"1") % 7, zlib.crc32(b"-7") % 7, 0]
+
+
+def test_settle_large_rows(spark):
+    """Workers get so many rows at once and no more, for this table alone; large rows are not written by Snappy, which holds whole pages outside the heap."""
+    import pyarrow.dataset as ds
+    import pyarrow.parquet as pq
+
+    before = spark.conf.get(common.AT_ONCE)
+
+    def sizes(batches):
+        for b in batches:
+            yield b.assign(n=len(b), blob=b["id"].map(lambda i: os.urandom(300_000)))
+
+    out = common.settle(spark.range(0, 40, 1, 1).mapInPandas(sizes, "id long, n long, blob binary"), "large", 7, large=True)
+    assert out.count() == 40 and out.agg(F.max("n")).first()[0] == 7 and spark.conf.get(common.AT_ONCE) == before
+    file = next(f for f in ds.dataset(common._settled[-1].removeprefix("file:")).files)
+    column = pq.ParquetFile(file).metadata.row_group(0).column(2)
+    assert column.compression == "ZSTD"
+    common.release(spark)
