@@ -38,6 +38,10 @@ THETA_WORDS, THETA_PAIRS = 2.0, 1.0
 SWEEPS, KEEP = 4, 2
 #: Bytes of text and rows of a batch, and pairs that a part counts, about.
 BATCH_BYTES, BATCH_ROWS, PART = 4_000_000, 20_000, 1_500_000
+#: Texts that a Python worker is handed at once.
+TEXTS_AT_ONCE = 2500
+#: Pairs of a part that are scored at once.
+PAIRS_AT_ONCE = 200_000
 #: Stand-ins for hashes: the start of a text, and its end.
 START, END = 1, 2
 ID_BITS = 20
@@ -361,8 +365,12 @@ def answer_pairs(requests: DataFrame, hot: Hot, law: Law) -> DataFrame:
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         h, context, states = held.value
         keys, c, place, sizes = _added(rows)
-        u, w = keys >> ID_BITS, keys & (1 << ID_BITS) - 1
-        score = _mean(law, c, context[u], pair_hash(h[u], h[w]), [(a[u], b[u], p[w], q[w]) for a, b, p, q in states])[place].astype(np.float32)
+        each = np.zeros(len(keys), np.float32)
+        for at in range(0, len(keys), PAIRS_AT_ONCE):
+            some = slice(at, at + PAIRS_AT_ONCE)
+            u, w = keys[some] >> ID_BITS, keys[some] & (1 << ID_BITS) - 1
+            each[some] = _mean(law, c[some], context[u], pair_hash(h[u], h[w]), [(a[u], b[u], p[w], q[w]) for a, b, p, q in states])
+        score = each[place]
         return pd.DataFrame({"batch": rows["batch"], "part": rows["part"], "blobs": [[x.tobytes()] for x in np.split(score, np.cumsum(sizes)[:-1])]})
 
     return requests.groupBy("part").applyInPandas(answer, "batch long, part int, blobs array<binary>")
@@ -430,7 +438,7 @@ def score(docs: DataFrame) -> DataFrame:
     rows = pick(docs, doc_id="long", text="string").withColumn("held_out", crc_mod(F.col("doc_id"), 7) == 2)
     train = rows.filter("not held_out")
     n_train = train.count()
-    vocabulary = settle(word_counts(train), "vocabulary")
+    vocabulary = settle(word_counts(train), "vocabulary", TEXTS_AT_ONCE)
     n_words, n_types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, types = n_words + n_train, n_types + (n_train > 0)
     share = lambda c: F.log10((c + 1) / F.lit(float(tokens + types + 1)))
@@ -448,9 +456,9 @@ def score(docs: DataFrame) -> DataFrame:
     log_base = np.log10((hot_c + 1) / (tokens + types + 1))
 
     parts = 1 + int(tokens * 7 / 6) // PART
-    blocks = settle(encode(rows, hot_h, log_base, (hot_c > 0).astype(np.int64), parts), "blocks")
+    blocks = settle(encode(rows, hot_h, log_base, (hot_c > 0).astype(np.int64), parts), "blocks", TEXTS_AT_ONCE, large=True)
     requests = blocks.filter("part >= 0")
-    counted = settle(count_pairs(requests), "pairs")
+    counted = settle(count_pairs(requests), "pairs", large=True)
     others = _others(blocks)
     rare_counts = settle(others.filter("not held").groupBy("u", "w").agg(F.min("uid").alias("uid"), F.min("wid").alias("wid"), F.count("*").alias("c")), "rare-pairs")
 

@@ -258,3 +258,18 @@ def test_spelling_keeps_its_order(spark, monkeypatch):
         unmet = {bytes(w): b for w, b in spelled.unmet(spark.createDataFrame([(bytearray(w),) for w in new], "word binary")).collect()}
         assert len(met) == len(words_) and len(unmet) == len(new)
         assert all(abs(b - plain(w)) < 1e-9 for w, b in [*met.items(), *unmet.items()])
+
+
+def test_pairs_are_scored_a_few_at_once(spark, monkeypatch):
+    """However many pairs a part has, the same scores."""
+    df = spark.createDataFrame([(i, "a b c a b d e f g b a c " * (1 + i % 3)) for i in range(20)], "doc_id long, text string")
+    want = sorted(map(tuple, lm.score(df).collect()))
+    mean = lm._mean
+
+    def checked(law, c, *rest):
+        assert len(c) <= 4, f"{len(c)} pairs at once"
+        return mean(law, c, *rest)
+
+    monkeypatch.setattr(lm, "PAIRS_AT_ONCE", 4)
+    monkeypatch.setattr(lm, "_mean", checked)
+    assert sorted(map(tuple, lm.score(df).collect())) == want
