@@ -2,8 +2,9 @@
 
 Texts are packed into chunks of whole pieces. A word that is frequent gets an id by a join over all chunks; then each
 round replaces two adjacent frequent (k-1)-gram ids by the id of their pair, where that is frequent. A chunk counts
-its pairs first and only its distinct ones are shuffled or joined, so a pair that a third of all rows have is one row
-a chunk; the new ids come back to the chunk as its dictionary. What isn't frequent breaks a sequence and is gone for
+its pairs first and deals its distinct ones out by their hash, packed, one row for each part of all pairs; a part adds up
+its pairs of all chunks and names the frequent ones. A pair that a third of all rows have is met once a chunk; the new
+ids come back to the chunk as its dictionary. What isn't frequent breaks a sequence and is gone for
 all longer phrases, so sequences shrink from round to round. A k-gram's pair points to its first and to its last k-1
 words: cuts and subsumption follow these pointers and never look into a text.
 """
@@ -21,11 +22,12 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from slidemill.llm.common import forget, pick, settle, small_enough
 from slidemill.llm.naming import named
+from slidemill.llm.words import pack, unpack
 
 MOST_WORDS, LEAST, SHARE, TOP = 5, 100, 100, 2000
-#: Bytes of text of one chunk, over which a single piece may go.
-CHUNK = 4_000_000
-#: Frequent words or pairs, and bytes of them, up to which they are joined by broadcast. Languages are bounded so too.
+#: Bytes of text of one chunk, over which a single piece may go; and words in whose texts one part's pairs are met, which has no more distinct ones a chunk.
+CHUNK, PART = 8_000_000, 6_000_000
+#: Frequent words, and bytes of them, up to which they are joined by broadcast. Languages are bounded so too.
 BROADCAST, BROADCAST_BYTES = 200_000, 16_000_000
 #: Texts, and chunks, that a Python worker is handed at once.
 TEXTS_AT_ONCE, CHUNKS_AT_ONCE = 1000, 2
@@ -34,7 +36,8 @@ PARTS = 64
 #: ASCII letters in lower case, separators of pieces as full stops (no word has one), tabs as spaces.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 9)
 _PACKED = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("seq", pa.binary())])
-_PAIRED = "chunk long, a array<long>, b array<long>, counts array<long>, seq binary"
+_PAIRED = "chunk long, seq binary, pairs array<binary>, firsts array<long>"
+_NAMED = "chunk long, at binary, names binary, a binary, b binary, f binary"
 
 
 def _numbers(x: np.ndarray) -> bytes:
@@ -76,36 +79,99 @@ def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
     yield from [chunk(x) for x in list(held)]
 
 
-def _pairs(seq: np.ndarray, chunk: int) -> dict:
-    """Of a sequence of ids (-1: none) its distinct adjacent pairs, their counts, and the sequence of positions in them. Runs without a pair are left out."""
+def _part_of(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
+    z = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(20)).astype(np.int64) % parts
+
+
+def _pairs(seq: np.ndarray, chunk: int, parts: int) -> dict:
+    """Of a sequence of ids (-1: none) the sequence of positions in its distinct adjacent pairs, and these by part: packed with their counts, and the position of each part's first. Runs without a pair are left out."""
     both = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
     ids, local = np.unique(seq, return_inverse=True)
     pair, inverse, counts = np.unique(local[both] * len(ids) + local[both + 1], return_inverse=True, return_counts=True)
+    a, b = ids[pair // len(ids)], ids[pair % len(ids)]
+    part = _part_of(a, b, parts)
+    order = np.argsort(part, kind="stable")  # within a part by a and b
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     out = np.full(len(both) + int((np.diff(both) > 1).sum()), -1, np.int64)
-    out[np.arange(len(both)) + np.r_[0, np.cumsum(np.diff(both) > 1)][: len(both)]] = inverse
-    return {"chunk": chunk, "a": ids[pair // len(ids)], "b": ids[pair % len(ids)], "counts": counts, "seq": _numbers(out)}
+    out[np.arange(len(both)) + np.r_[0, np.cumsum(np.diff(both) > 1)][: len(both)]] = place[inverse]
+    a, b, counts, cuts = a[order], b[order], counts[order], np.searchsorted(part[order], np.arange(parts + 1))
+    pairs = [pack(np.concatenate([np.diff(a[i:j], prepend=0), b[i:j], counts[i:j]])) if i < j else None for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return {"chunk": chunk, "seq": _numbers(out), "pairs": pairs, "firsts": cuts[:-1]}
+
+
+def _positions(found: np.ndarray, add: bool) -> np.ndarray:
+    """Numbers of a dictionary, be they given as such or as packed runs. add: runs are of steps."""
+    if len(found) and isinstance(found[0], bytes):
+        return np.concatenate([np.cumsum(unpack(x)) if add else unpack(x) for x in found])
+    return np.asarray(found, np.int64)
 
 
 def _replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Chunks with their dictionaries (at: positions of frequent entries, names: their ids) to chunks of pairs."""
     for b in batches:
-        for chunk, seq, at, names in zip(b["chunk"], b["seq"], b["at"], b["names"], strict=True):
-            seq, at = np.frombuffer(seq, "<i4").astype(np.int64), np.asarray(at, np.int64)
+        for chunk, seq, at, names, parts in zip(b["chunk"], b["seq"], b["at"], b["names"], b["parts"], strict=True):
+            seq, at = np.frombuffer(seq, "<i4").astype(np.int64), _positions(at, True)
             name = np.full(max(int(seq.max(initial=-1)), int(at.max(initial=-1))) + 2, -1, np.int64)  # its last one stays -1, for seq -1
-            name[at] = np.asarray(names, np.int64)
-            yield pd.DataFrame([_pairs(name[seq], int(chunk))])
+            name[at] = _positions(names, False)
+            yield pd.DataFrame([_pairs(name[seq], int(chunk), int(parts))])
 
 
-def _renamed(chunks: DataFrame, entries: DataFrame, frequent: DataFrame, on: list[str]) -> DataFrame:
-    """The next round's chunks. entries(chunk, at, *on): what is in them; only frequent ones, and of a chunk no more than it has, come back."""
-    keys = frequent.select(*on, "name")
-    n, size = keys.agg(F.count("*"), F.sum(sum((F.octet_length(F.col(c).cast("string")) for c in on), F.lit(0)))).first()
-    keys = F.broadcast(keys) if n <= BROADCAST and (size or 0) <= BROADCAST_BYTES else keys
-    back = entries.join(keys, on).groupBy("chunk").agg(F.collect_list(F.struct("at", "name")).alias("d"))
-    given = chunks.select("chunk", "seq").join(back, "chunk").select("chunk", "seq", F.col("d.at").alias("at"), F.col("d.name").alias("names"))
+def _paired(chunks: DataFrame, back: DataFrame, parts: int) -> DataFrame:
+    """The next round's chunks. back(chunk, at, names): what is frequent in them."""
+    given = chunks.select("chunk", "seq").join(back, "chunk").withColumn("parts", F.lit(parts))
     return settle(given.mapInPandas(_replace, _PAIRED), "pairs", CHUNKS_AT_ONCE, large=True)
 
 
+def _found(entries: DataFrame, frequent: DataFrame) -> DataFrame:
+    """chunk, at, names of entries(chunk, at, lang, word) that are frequent; of a chunk no more than it has."""
+    keys = frequent.select("lang", "word", "name")
+    n, size = keys.agg(F.count("*"), F.sum(F.octet_length("lang") + F.octet_length("word"))).first()
+    keys = F.broadcast(keys) if n <= BROADCAST and (size or 0) <= BROADCAST_BYTES else keys
+    return entries.join(keys, ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "name")).alias("d")).select("chunk", F.col("d.at").alias("at"), F.col("d.name").alias("names"))
+
+
+def _add_up(chunks: DataFrame, parts: int, least: int) -> DataFrame:
+    """For each chunk and part, where in the chunk its frequent pairs are and their ids; and, for chunk -1, each part's frequent pairs, how often they are met and their ids. All are packed."""
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        each = [unpack(x).reshape(3, -1) for x in rows["pairs"]]
+        a, b, n = (np.concatenate([f(x[i]) for x in each]) for i, f in enumerate((np.cumsum, np.asarray, np.asarray)))
+        order = np.lexsort((b, a))
+        first = np.flatnonzero(np.diff(a[order], prepend=-1) | np.diff(b[order], prepend=-1))
+        f = np.add.reduceat(n[order], first)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        frequent = np.flatnonzero(f >= least)
+        name = np.full(len(f), -1, np.int64)
+        name[frequent] = np.arange(len(frequent)) * parts + int(rows["part"].iloc[0])
+        names, out, at = name[place], [], 0
+        for chunk, begin, x in zip(rows["chunk"], rows["first"], each, strict=True):
+            own = names[at : at + x.shape[1]]
+            at += x.shape[1]
+            some = np.flatnonzero(own >= 0)
+            if len(some):
+                out.append((chunk, pack(np.diff(some + begin, prepend=0)), pack(own[some]), None, None, None))
+        if len(frequent):
+            out.append((-1, None, pack(name[frequent]), pack(a[order][first[frequent]]), pack(b[order][first[frequent]]), pack(f[frequent])))
+        return pd.DataFrame(out, columns=["chunk", "at", "names", "a", "b", "f"])
+
+    dealt = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "firsts")).alias("part", "e")).select("chunk", "part", "e.pairs", F.col("e.firsts").alias("first")).filter("pairs is not null")
+    return settle(dealt.groupBy("part").applyInPandas(added, _NAMED), "replies")
+
+
+def _counted_pairs(replies: DataFrame) -> DataFrame:
+    """name, a, b, f of the frequent pairs."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in zip(batch["names"], batch["a"], batch["b"], batch["f"], strict=True):
+                yield pd.DataFrame(dict(zip(("name", "a", "b", "f"), map(unpack, row), strict=True)))
+
+    return replies.filter("chunk = -1").mapInPandas(spread, "name long, a long, b long, f long")
+
+
 def grams(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, chunk: int = CHUNK) -> tuple[DataFrame, list[DataFrame]]:
     """(n: lang, n of all words; for each number of words k a table of the phrases with f >= least).
 
@@ -120,19 +186,21 @@ def grams(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, chu
     none = F.array().cast("array<long>")
     frequent = named(counted.filter(F.col("f") >= least), "frequent").withColumns({"phrase": F.col("word"), "last": F.col("word"), "firsts": none, "lasts": none})
     tables = [frequent]
-    chunks, entries, on = packed, words.select("chunk", "at", "lang", "word"), ["lang", "word"]
+    parts = 1 + (n.agg(F.sum("n")).first()[0] or 0) // PART
+    back = _found(words.select("chunk", "at", "lang", "word"), frequent)
+    chunks, spent = packed, [packed]
     for _ in range(2, most_words + 1):
-        before, chunks = chunks, _renamed(chunks, entries, tables[-1], on)
-        forget(before)
-        pairs = chunks.select("chunk", F.posexplode(F.arrays_zip("a", "b", "counts")).alias("at", "e")).select("chunk", "at", "e.a", "e.b", "e.counts")
-        counted = pairs.groupBy("a", "b").agg(F.sum("counts").alias("f")).filter(F.col("f") >= least)
+        chunks = _paired(chunks, back, parts)
+        forget(*spent)
+        replies = _add_up(chunks, parts, least)
         known = tables[-1]
         first = known.select(F.col("name").alias("a"), "lang", F.col("phrase").alias("start"), F.concat("firsts", F.array("f")).alias("firsts"))
         rest = known.select(F.col("name").alias("b"), "last", F.concat("lasts", F.array("f")).alias("lasts"))
-        found = named(counted.join(first, "a").join(rest, "b").withColumn("phrase", F.concat_ws(" ", "start", "last")).drop("start"), "frequent")
-        tables.append(found)
-        entries, on = pairs.select("chunk", "at", "a", "b"), ["a", "b"]
-    forget(chunks)
+        found = _counted_pairs(replies).join(first, "a").join(rest, "b").withColumn("phrase", F.concat_ws(" ", "start", "last")).drop("start")
+        tables.append(settle(found, "frequent"))
+        spent = [chunks, replies]
+        back = replies.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("at", "names")).alias("d")).select("chunk", F.col("d.at").alias("at"), F.col("d.names").alias("names"))
+    forget(*spent)
     return n, tables
 
 

@@ -83,3 +83,20 @@ def test_workers_get_few_chunks_at_once(spark, monkeypatch):
     monkeypatch.setattr(collocations, "_replace", checked)
     df = spark.createDataFrame(made(5, 40), "lang string, text string").coalesce(1)
     assert collocations.collocations(df, least=3, chunk=200).count() > 0
+
+
+def test_pairs_are_added_up_in_parts(spark, monkeypatch):
+    """Chunks hand on one row for each part of all pairs, not one for each pair, and get one back: no join makes rows of pairs, however many are frequent."""
+    monkeypatch.setattr(collocations, "PART", 300)
+    made_up, sizes, parts = collocations._add_up, [], []
+
+    def checked(chunks, n_parts, least):
+        out = made_up(chunks, n_parts, least)
+        sizes.append((chunks.count() + 1) * n_parts - out.count())
+        parts.append(n_parts)
+        return out
+
+    monkeypatch.setattr(collocations, "_add_up", checked)
+    rows = made(6, 50)
+    assert run(spark, rows, least=5, chunk=2000) == brute(rows, 5)
+    assert min(parts) > 5 and min(sizes) >= 0
