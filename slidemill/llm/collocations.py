@@ -1,9 +1,9 @@
 """Phrases of words that stand together more often than chance gives, by hierarchical pair naming.
 
-Texts are packed into chunks of whole pieces. A word that is frequent gets an id by a join over all chunks; then each
+Texts are packed into chunks of whole pieces. A word that is frequent gets an id; then each
 round replaces two adjacent frequent (k-1)-gram ids by the id of their pair, where that is frequent. A chunk counts
-its pairs first and deals its distinct ones out by their hash, packed, one row for each part of all pairs; a part adds up
-its pairs of all chunks and names the frequent ones. A pair that a third of all rows have is met once a chunk; the new
+its words or pairs first and deals its distinct ones out by their hash, packed, one row for each part of all; a part adds up
+those of all chunks and names the frequent ones. A pair that a third of all rows have is met once a chunk; the new
 ids come back to the chunk as its dictionary. What isn't frequent breaks a sequence and is gone for
 all longer phrases, so sequences shrink from round to round. A k-gram's pair points to its first and to its last k-1
 words: cuts and subsumption follow these pointers and never look into a text.
@@ -11,6 +11,7 @@ words: cuts and subsumption follow these pointers and never look into a text.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,27 +22,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from slidemill.llm.common import forget, pick, settle, small_enough
-from slidemill.llm.naming import named
 from slidemill.llm.words import pack, unpack
 
 MOST_WORDS, LEAST, SHARE, TOP = 5, 100, 100, 2000
 #: Bytes of text of one chunk, over which a single piece may go; and words in whose texts one part's pairs are met, which has no more distinct ones a chunk.
 CHUNK, PART = 8_000_000, 6_000_000
-#: Frequent words, and bytes of them, up to which they are joined by broadcast. Languages are bounded so too.
-BROADCAST, BROADCAST_BYTES = 200_000, 16_000_000
+#: Chunks' bytes that a task holds, of all languages.
+HELD = 4
+#: Languages up to which their totals are joined by broadcast.
+BROADCAST = 200_000
 #: Texts, and chunks, that a Python worker is handed at once.
 TEXTS_AT_ONCE, CHUNKS_AT_ONCE = 1000, 2
 #: Parts that a language's phrases are ranked in before its first ones are.
 PARTS = 64
 #: ASCII letters in lower case, separators of pieces as full stops (no word has one), tabs as spaces.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 9)
-_PACKED = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("seq", pa.binary())])
+_PACKED = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("seq", pa.binary())])
+_WORDS = "chunk long, part int, lang string, at binary, counts binary, words array<binary>"
+_NAMED_WORDS = "chunk long, at binary, names binary, lang string, words array<binary>, f binary"
 _PAIRED = "chunk long, seq binary, pairs array<binary>, firsts array<long>"
 _NAMED = "chunk long, at binary, names binary, a binary, b binary, f binary"
 
 
 def _numbers(x: np.ndarray) -> bytes:
-    return x.astype("<i4").tobytes()
+    return pack(x + 1)
+
+
+def _sequence(x: bytes) -> np.ndarray:
+    return unpack(x) - 1
 
 
 def _counted(seq: np.ndarray, n: int) -> list[int]:
@@ -51,19 +59,20 @@ def _counted(seq: np.ndarray, n: int) -> list[int]:
 def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Texts to chunks of one language: distinct words, their counts, and positions in them in order, -1 where a piece ends. Only one text's words are held as such."""
     held: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
-    size = 0
+    sizes: dict[str, int] = {}
 
     def chunk(lang: str) -> pa.RecordBatch:
         known, parts = held.pop(lang)
+        sizes.pop(lang)
         seq = np.concatenate(parts)
-        row = [lang], [[w.decode("utf-8", "surrogatepass") for w in known]], [_counted(seq, len(known))], [_numbers(seq)]
+        row = [lang], [list(known)], [_counted(seq, len(known))], [_numbers(seq)]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _PACKED.types, strict=True)], schema=_PACKED)
 
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass").translate(FOLD)
             while raw:
-                cut = len(raw)
+                cut, size = len(raw), sizes.get(lang, 0)
                 if cut > most - size:
                     at = raw.rfind(b".", 0, max(1, most - size))
                     at = raw.find(b".", most - size) if at < 0 else at
@@ -71,11 +80,12 @@ def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
                 known, parts = held.setdefault(lang, ({}, []))
                 tokens = (raw[:cut] + b".").replace(b".", b" . ").split()
                 parts.append(np.fromiter((-1 if t == b"." else known.setdefault(t, len(known)) for t in tokens), np.int32, len(tokens)))
-                size += cut
+                sizes[lang] = size + cut
                 raw = raw[cut:]
-                if size >= most or raw:
+                if sizes[lang] >= most or raw:
+                    yield chunk(lang)
+                elif sum(sizes.values()) >= HELD * most:
                     yield from [chunk(x) for x in list(held)]
-                    size = 0
     yield from [chunk(x) for x in list(held)]
 
 
@@ -101,35 +111,75 @@ def _pairs(seq: np.ndarray, chunk: int, parts: int) -> dict:
     return {"chunk": chunk, "seq": _numbers(out), "pairs": pairs, "firsts": cuts[:-1]}
 
 
-def _positions(found: np.ndarray, add: bool) -> np.ndarray:
-    """Numbers of a dictionary, be they given as such or as packed runs. add: runs are of steps."""
-    if len(found) and isinstance(found[0], bytes):
-        return np.concatenate([np.cumsum(unpack(x)) if add else unpack(x) for x in found])
-    return np.asarray(found, np.int64)
-
-
 def _replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chunks with their dictionaries (at: positions of frequent entries, names: their ids) to chunks of pairs."""
+    """Chunks with their dictionaries (at: positions of frequent entries, names: their ids; both packed, by part) to chunks of pairs."""
     for b in batches:
         for chunk, seq, at, names, parts in zip(b["chunk"], b["seq"], b["at"], b["names"], b["parts"], strict=True):
-            seq, at = np.frombuffer(seq, "<i4").astype(np.int64), _positions(at, True)
+            seq, at = _sequence(seq), np.concatenate([np.cumsum(unpack(x)) for x in at])
             name = np.full(max(int(seq.max(initial=-1)), int(at.max(initial=-1))) + 2, -1, np.int64)  # its last one stays -1, for seq -1
-            name[at] = _positions(names, False)
+            name[at] = np.concatenate([unpack(x) for x in names])
             yield pd.DataFrame([_pairs(name[seq], int(chunk), int(parts))])
 
 
-def _paired(chunks: DataFrame, back: DataFrame, parts: int) -> DataFrame:
-    """The next round's chunks. back(chunk, at, names): what is frequent in them."""
+def _paired(chunks: DataFrame, replies: DataFrame, parts: int) -> DataFrame:
+    """The next round's chunks. replies(chunk, at, names): what is frequent in them."""
+    back = replies.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("at", "names")).alias("d")).select("chunk", F.col("d.at").alias("at"), F.col("d.names").alias("names"))
     given = chunks.select("chunk", "seq").join(back, "chunk").withColumn("parts", F.lit(parts))
     return settle(given.mapInPandas(_replace, _PAIRED), "pairs", CHUNKS_AT_ONCE, large=True)
 
 
-def _found(entries: DataFrame, frequent: DataFrame) -> DataFrame:
-    """chunk, at, names of entries(chunk, at, lang, word) that are frequent; of a chunk no more than it has."""
-    keys = frequent.select("lang", "word", "name")
-    n, size = keys.agg(F.count("*"), F.sum(F.octet_length("lang") + F.octet_length("word"))).first()
-    keys = F.broadcast(keys) if n <= BROADCAST and (size or 0) <= BROADCAST_BYTES else keys
-    return entries.join(keys, ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "name")).alias("d")).select("chunk", F.col("d.at").alias("at"), F.col("d.name").alias("names"))
+def _dealt_words(packed: DataFrame, parts: int) -> DataFrame:
+    """The words of packed(chunk, lang, words, counts) by part, with their positions in the chunk and counts."""
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for chunk, lang, words, counts in zip(b["chunk"], b["lang"], b["words"], b["counts"], strict=True):
+                part = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % parts
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(parts + 1))
+                rows = [(int(chunk), k, lang, pack(np.diff(at, prepend=0)), pack(counts[at]), words[at]) for k in range(parts) if len(at := order[cuts[k] : cuts[k + 1]])]
+                yield pd.DataFrame(rows, columns=["chunk", "part", "lang", "at", "counts", "words"])
+
+    return packed.select("chunk", "lang", "words", "counts").mapInPandas(dealt, _WORDS)
+
+
+def _add_up_words(dealt: DataFrame, parts: int, least: int) -> DataFrame:
+    """For each chunk and part, where in the chunk its frequent words are and their ids; and, for chunk -1, each part's frequent words by language, how often they are met and their ids."""
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        out, total = [], 0
+        for lang, own in rows.groupby("lang", sort=True):
+            counts = [unpack(x) for x in own["counts"]]
+            known = pa.array(np.concatenate(own["words"].tolist()), pa.binary()).dictionary_encode()
+            place, words = known.indices.to_numpy(), known.dictionary
+            f = np.bincount(place, np.concatenate(counts), minlength=len(words)).astype(np.int64)
+            frequent = np.flatnonzero(f >= least)
+            name = np.full(len(f), -1, np.int64)
+            name[frequent] = (total + np.arange(len(frequent))) * parts + int(rows["part"].iloc[0])
+            total += len(frequent)
+            names, at = name[place], 0
+            for chunk, where, n in zip(own["chunk"], own["at"], map(len, counts), strict=True):
+                mine = names[at : at + n]
+                at += n
+                some = np.flatnonzero(mine >= 0)
+                if len(some):
+                    out.append((chunk, pack(np.diff(np.cumsum(unpack(where))[some], prepend=0)), pack(mine[some]), None, None, None))
+            if len(frequent):
+                out.append((-1, None, pack(name[frequent]), lang, words.take(pa.array(frequent)).to_pylist(), pack(f[frequent])))
+        return pd.DataFrame(out, columns=["chunk", "at", "names", "lang", "words", "f"])
+
+    return settle(dealt.groupBy("part").applyInPandas(added, _NAMED_WORDS), "replies")
+
+
+def _counted_words(replies: DataFrame) -> DataFrame:
+    """name, lang, word, f of the frequent words."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for names, lang, words, f in zip(b["names"], b["lang"], b["words"], b["f"], strict=True):
+                yield pd.DataFrame({"name": unpack(names), "lang": lang, "word": [w.decode("utf-8", "surrogatepass") for w in words], "f": unpack(f)})
+
+    return replies.filter("chunk = -1").mapInPandas(spread, "name long, lang string, word string, f long")
 
 
 def _add_up(chunks: DataFrame, parts: int, least: int) -> DataFrame:
@@ -180,27 +230,23 @@ def grams(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, chu
     """
     rows = pick(docs, lang="string", text="string").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text is not null")
     packed = settle(rows.mapInArrow(lambda batches: _pack(batches, chunk), from_arrow_schema(_PACKED)).withColumn("chunk", F.monotonically_increasing_id()), "chunks", TEXTS_AT_ONCE, large=True)
-    words = packed.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "e")).select("chunk", "lang", "at", F.col("e.words").alias("word"), F.col("e.counts").alias("c"))
-    counted = settle(words.groupBy("lang", "word").agg(F.sum("c").alias("f")), "words")
-    n = settle(counted.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+    n = settle(packed.select("lang", F.expr("aggregate(counts, 0L, (x, y) -> x + y)").alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     none = F.array().cast("array<long>")
-    frequent = named(counted.filter(F.col("f") >= least), "frequent").withColumns({"phrase": F.col("word"), "last": F.col("word"), "firsts": none, "lasts": none})
-    tables = [frequent]
     parts = 1 + (n.agg(F.sum("n")).first()[0] or 0) // PART
-    back = _found(words.select("chunk", "at", "lang", "word"), frequent)
-    chunks, spent = packed, [packed]
+    replies = _add_up_words(_dealt_words(packed, parts), parts, least)
+    frequent = settle(_counted_words(replies), "frequent").withColumns({"phrase": F.col("word"), "last": F.col("word"), "firsts": none, "lasts": none})
+    tables = [frequent]
+    chunks = packed
     for _ in range(2, most_words + 1):
-        chunks = _paired(chunks, back, parts)
-        forget(*spent)
+        before, chunks = (chunks, replies), _paired(chunks, replies, parts)
+        forget(*before)
         replies = _add_up(chunks, parts, least)
         known = tables[-1]
         first = known.select(F.col("name").alias("a"), "lang", F.col("phrase").alias("start"), F.concat("firsts", F.array("f")).alias("firsts"))
         rest = known.select(F.col("name").alias("b"), "last", F.concat("lasts", F.array("f")).alias("lasts"))
         found = _counted_pairs(replies).join(first, "a").join(rest, "b").withColumn("phrase", F.concat_ws(" ", "start", "last")).drop("start")
         tables.append(settle(found, "frequent"))
-        spent = [chunks, replies]
-        back = replies.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("at", "names")).alias("d")).select("chunk", F.col("d.at").alias("at"), F.col("d.names").alias("names"))
-    forget(*spent)
+    forget(chunks, replies)
     return n, tables
 
 
