@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from slidemill.llm.common import forget, pick, settle, small_enough
+from slidemill.llm.common import apart, forget, pick, settle, small_enough
+from slidemill.llm.naming import LOW
 from slidemill.llm.words import pack, unpack
 
 MOST_WORDS, LEAST, SHARE, TOP = 5, 100, 100, 2000
@@ -29,6 +31,8 @@ MOST_WORDS, LEAST, SHARE, TOP = 5, 100, 100, 2000
 CHUNK, PART = 8_000_000, 6_000_000
 #: Chunks' bytes that a task holds, of all languages.
 HELD = 4
+#: Turns that a round takes its chunks in, by the task that packed them: a turn's old chunks go before the next one's are shuffled.
+TURNS = 4
 #: Languages up to which their totals are joined by broadcast.
 BROADCAST = 200_000
 #: Texts, and chunks, that a Python worker is handed at once.
@@ -123,7 +127,7 @@ def _replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _paired(chunks: DataFrame, replies: DataFrame, parts: int) -> DataFrame:
     """The next round's chunks. replies(chunk, at, names): what is frequent in them."""
-    back = replies.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("at", "names")).alias("d")).select("chunk", F.col("d.at").alias("at"), F.col("d.names").alias("names"))
+    back = replies.groupBy("chunk").agg(F.collect_list(F.struct("at", "names")).alias("d")).select("chunk", F.col("d.at").alias("at"), F.col("d.names").alias("names"))
     given = chunks.select("chunk", "seq").join(back, "chunk").withColumn("parts", F.lit(parts))
     return settle(given.mapInPandas(_replace, _PAIRED), "pairs", CHUNKS_AT_ONCE, large=True)
 
@@ -229,24 +233,29 @@ def grams(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, chu
     of the first and of the last k-1 words, and `firsts`, `lasts`: f of the first (last) 1, 2, ... k-1 words.
     """
     rows = pick(docs, lang="string", text="string").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text is not null")
-    packed = settle(rows.mapInArrow(lambda batches: _pack(batches, chunk), from_arrow_schema(_PACKED)).withColumn("chunk", F.monotonically_increasing_id()), "chunks", TEXTS_AT_ONCE, large=True)
+    turn = F.shiftright("chunk", LOW) % TURNS
+    packed = rows.mapInArrow(lambda batches: _pack(batches, chunk), from_arrow_schema(_PACKED)).withColumn("chunk", F.monotonically_increasing_id())
+    packed = settle(packed.withColumn("turn", turn), "chunks", TEXTS_AT_ONCE, large=True, by="turn")
     n = settle(packed.select("lang", F.expr("aggregate(counts, 0L, (x, y) -> x + y)").alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     none = F.array().cast("array<long>")
     parts = 1 + (n.agg(F.sum("n")).first()[0] or 0) // PART
     replies = _add_up_words(_dealt_words(packed, parts), parts, least)
     frequent = settle(_counted_words(replies), "frequent").withColumns({"phrase": F.col("word"), "last": F.col("word"), "firsts": none, "lasts": none})
     tables = [frequent]
-    chunks = packed
+    none_yet = docs.sparkSession.createDataFrame([], _PAIRED)
+    chunks = {k: t for k in range(TURNS) for t in apart(packed, "turn", range(k, k + 1))}
     for _ in range(2, most_words + 1):
-        before, chunks = (chunks, replies), _paired(chunks, replies, parts)
-        forget(*before)
-        replies = _add_up(chunks, parts, least)
+        for k, old in chunks.items():
+            chunks[k] = _paired(old, replies.filter("chunk >= 0").filter(turn == k), parts)
+            forget(old)
+        forget(replies)
+        replies = _add_up(reduce(DataFrame.unionByName, chunks.values(), none_yet), parts, least)
         known = tables[-1]
         first = known.select(F.col("name").alias("a"), "lang", F.col("phrase").alias("start"), F.concat("firsts", F.array("f")).alias("firsts"))
         rest = known.select(F.col("name").alias("b"), "last", F.concat("lasts", F.array("f")).alias("lasts"))
         found = _counted_pairs(replies).join(first, "a").join(rest, "b").withColumn("phrase", F.concat_ws(" ", "start", "last")).drop("start")
         tables.append(settle(found, "frequent"))
-    forget(chunks, replies)
+    forget(*chunks.values(), replies)
     return n, tables
 
 

@@ -47,10 +47,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def settle(df: DataFrame, what: str, at_once: int | None = None, large: bool = False) -> DataFrame:
+def settle(df: DataFrame, what: str, at_once: int | None = None, large: bool = False, by: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, survives lost executors. The write's own shuffles are deleted once it ends.
 
-    at_once: rows that Python workers are handed at once on the way: a worker, and its executor besides, holds them all. large: the rows of df are.
+    at_once: rows that Python workers are handed at once on the way: a worker, and its executor besides, holds them all. large: the rows of df are. by: a column that has a folder for each value.
     """
     at = f"{shared_dir(df.sparkSession)}/slidemill/{what}-{uuid.uuid4().hex}"
     _settled.append(at)
@@ -59,7 +59,7 @@ def settle(df: DataFrame, what: str, at_once: int | None = None, large: bool = F
     for k, v in held.items():
         df.sparkSession.conf.set(k, v)
     try:
-        df.write.options(**(LARGE_ROWS if large else {})).parquet(at)
+        df.write.options(**(LARGE_ROWS if large else {})).parquet(at, partitionBy=by)
     finally:
         for k, v in before.items():
             df.sparkSession.conf.set(k, v)
@@ -68,6 +68,18 @@ def settle(df: DataFrame, what: str, at_once: int | None = None, large: bool = F
     return out
 
 
+def apart(settled: DataFrame, by: str, values: range) -> list[DataFrame]:
+    """What settle(..., by=by) returned as a table for each value that it has, each of which forget() takes on its own."""
+    spark, out = settled.sparkSession, []
+    for value in values:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{settled._settled_at}/{by}={value}")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            out.append(spark.read.schema(settled.drop(by).schema).parquet(path.toString()))
+            out[-1]._settled_at = path.toString()
+            _settled.append(path.toString())
+    return out
+
+
 def forget(*settled: DataFrame) -> None:
     """Delete tables that settle() returned; nothing that is still to be worked out may read them."""
     for df in settled:

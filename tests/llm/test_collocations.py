@@ -100,3 +100,20 @@ def test_pairs_are_added_up_in_parts(spark, monkeypatch):
     rows = made(6, 50)
     assert run(spark, rows, least=5, chunk=2000) == brute(rows, 5)
     assert min(parts) > 5 and min(sizes) >= 0
+
+
+def test_a_turn_of_chunks_goes_before_the_next_is_shuffled(spark, monkeypatch):
+    """On disk are the chunks of one round, and of another one turn's at most."""
+    from slidemill.llm import common
+
+    paired, held = collocations._paired, []
+
+    def checked(chunks, replies, parts):
+        held.append(sum("/turn=" in x or "/pairs-" in x for x in common._settled[since:]))
+        return paired(chunks, replies, parts)
+
+    since = common.settled_so_far()
+    monkeypatch.setattr(collocations, "_paired", checked)
+    df = spark.createDataFrame(made(8, 40), "lang string, text string").repartition(8)
+    assert collocations.collocations(df, least=3, chunk=2000).count() > 0
+    assert len(held) == 4 * collocations.TURNS and max(held) <= collocations.TURNS
