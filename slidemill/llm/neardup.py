@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidemill.llm.common import pick, settle, small_enough
-from slidemill.llm.components import components
+from slidemill.llm.components import components, stars
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints up to which the radius and two, three or four blocks more are used, so that a shard has some at most if bits are even.
@@ -97,20 +97,6 @@ class BKTree:
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def stars(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each value and the least of those that the links (positions a, b) join it to, where it is another."""
-    label = np.arange(len(values))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return values[label != np.arange(len(values))], values[label[label != np.arange(len(values))]]
-        label = new
-
-
 def shard_keys(fp: Column, radius: int, agree: int) -> Column:
     """An array of keys, one for each choice of `agree` of radius + agree blocks."""
     blocks = radius + agree
