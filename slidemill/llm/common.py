@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -106,6 +109,13 @@ def release(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -
             _delete(spark, at)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A Python worker lives as long as its executor and, left alone, keeps the most it ever had."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def row_hash(df: DataFrame) -> Column:
     """A 64-bit hash of a whole row of df; maps, which have no hash, count by their JSON."""
     return F.xxhash64(*[F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema.fields])

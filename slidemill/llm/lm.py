@@ -10,7 +10,8 @@ The work is laid out so that no step meets a whole corpus or a hot key:
 - Texts are encoded in batches. Pairs of two of the HOT most frequent words are counted within their batch and
   dealt as one packed row for each batch and part; a part adds up its pairs of all batches. However frequent a pair, a
   part has it once a batch. The answer, the log10 of each pair's probability, goes back to the batch.
-- What touches any other word is a row of a Spark table; such rows join the words' state by hash joins.
+- Pairs of a hot and another word (the sides) go the same way: dealt in packed rows by the other word's hash to parts, which also get
+  that word's state. Only pairs of two words that are not hot are rows of a Spark table and meet the words' state by joins.
 - A drawn number depends on the hash of its words and the sweep alone, so it is the same wherever it is drawn,
   and HOT decides which way a pair takes, not what it scores.
 Words are told apart by 64-bit hashes (llm/words.py).
@@ -18,7 +19,7 @@ Words are told apart by 64-bit hashes (llm/words.py).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidemill.llm.common import arrays, crc_mod, forget, pick, settle
+from slidemill.llm.common import arrays, crc_mod, forget, give_back, pick, settle
 from slidemill.llm.pitman_yor import discount_of, draw_tables, gamma, mixed, uniform
 from slidemill.llm.spelling import spelling
 from slidemill.llm.words import Lookup, joined, pack, unpack, word_hashes
@@ -36,8 +37,8 @@ from slidemill.llm.words import Lookup, joined, pack, unpack, word_hashes
 HOT = 262_144
 THETA_WORDS, THETA_PAIRS = 2.0, 1.0
 SWEEPS, KEEP = 4, 2
-#: Bytes of text and rows of a batch, and pairs that a part counts, about.
-BATCH_BYTES, BATCH_ROWS, PART = 4_000_000, 20_000, 1_500_000
+#: Bytes of text and rows of a batch, and pairs that a part counts and that a side's part does, about.
+BATCH_BYTES, BATCH_ROWS, PART, SIDE = 4_000_000, 20_000, 1_500_000, 500_000
 #: Texts that a Python worker is handed at once.
 TEXTS_AT_ONCE = 2500
 #: Pairs of a part that are scored at once.
@@ -63,7 +64,10 @@ def word_counts(train: DataFrame) -> DataFrame:
                 h = h[order]
                 new = np.flatnonzero(np.diff(h, prepend=~h[:1]))
                 first, n = order[new], np.diff(np.append(new, len(h)))
-                yield pd.DataFrame({"word": [data[i:j] for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True)], "h": _signed(h[new]), "c": n.astype(np.int64)})
+                found = pd.DataFrame({"word": [data[i:j] for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True)], "h": _signed(h[new]), "c": n.astype(np.int64)})
+                del part, data, h, a, b, order, new, first, n
+                give_back()
+                yield found
 
     return train.select("text").mapInPandas(count, "word binary, h long, c long").groupBy("word", "h").agg(F.sum("c").alias("c"))
 
@@ -131,67 +135,94 @@ def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mixed(u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64), 7)
 
 
-def encode(rows: DataFrame, hot_h: np.ndarray, log_base: np.ndarray, known: np.ndarray, parts: int) -> DataFrame:
+def encode(rows: DataFrame, hot_h: np.ndarray, log_base: np.ndarray, known: np.ndarray, parts: int, sides: int) -> DataFrame:
     """batch, part, blobs of rows(doc_id, text, held_out).
 
     Part -1: the batch itself; a run of each pair of hot words, the rows it occurs in, and the rows' ids, held_out, tokens,
-    known tokens and base. Part -2: all other tokens. Part -3: words of held-out texts that are not hot. From 0: the part's pairs in order, and how often
-    each occurs in training.
+    known tokens and base; the runs and rows of the pairs of either side. Part -2: tokens that are not hot after such. Part -3: words of held-out texts that
+    are not hot. From 0: the part's pairs in order, and how often each occurs in training. From `parts`: the sides, first hot contexts of other words, then, `sides`
+    parts on, hot words after other contexts: the other words' hashes in order, the hot words' places and how often each pair occurs in training.
     """
     held = rows.sparkSession.sparkContext.broadcast((hot_h, log_base, known))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(rows: pd.DataFrame, name: int, find: Lookup) -> list[tuple[int, int, list[bytes]]]:
         hot, base, known = held.value
-        find, number = Lookup(hot), 0
         start_id, end_id = np.searchsorted(hot, np.array([START, END], np.uint64)).tolist()
+        n = len(rows)
+        data, begin = joined(rows["text"].tolist())
+        h, a, b = word_hashes(data)
+        own = (np.searchsorted(begin, a, "right") - 1).astype(np.int32)
+        count = np.bincount(own, minlength=n)
+        ids = find(h).astype(np.int32)
+        out = rows["held_out"].to_numpy(bool)
+        asked = np.flatnonzero((ids < 0) & out[own])
+        asked = asked[np.unique(h[asked], return_index=True)[1]]
+        found = [(name, -3, [h[asked].tobytes(), *[data[i:j] for i, j in zip(a[asked].tolist(), b[asked].tolist(), strict=True)]])]
+        del data, a, b, asked
+        stop = np.cumsum(count) + np.arange(n)
+        doc = np.repeat(np.arange(n, dtype=np.int32), count + 1)
+        at = np.arange(len(h)) + own
+        w, wid = np.full(len(doc), END, np.uint64), np.full(len(doc), end_id, np.int32)
+        w[at], wid[at] = h, ids
+        u, uid = np.full(len(doc), START, np.uint64), np.full(len(doc), start_id, np.int32)
+        rest = np.delete(np.arange(len(doc)), stop - count)
+        u[rest], uid[rest] = w[rest - 1], wid[rest - 1]
+        del at, rest, h, ids, own
+        met = wid >= 0
+        sums = np.bincount(doc[met], base[wid[met]], minlength=n)
+        n_known = np.bincount(doc[met], known[wid[met]], minlength=n).astype(np.int64)
+
+        other = np.flatnonzero(~met & (uid < 0))
+        found.append((name, -2, [u[other].tobytes(), w[other].tobytes(), pack(doc[other]), pack(out[doc[other]].astype(np.int64))]))
+        turns = []
+        for side, some, x, y in ((0, ~met & (uid >= 0), w, uid), (1, met & (uid < 0), u, wid)):
+            some = np.flatnonzero(some)
+            some = some[np.lexsort((y[some], x[some]))]
+            x, y, docs = x[some], y[some], doc[some]
+            new = _first(x, y)
+            trained = np.add.reduceat((~out)[docs].astype(np.int64), new) if len(new) else new
+            turns += [pack(np.diff(np.append(new, len(x)))), pack(docs)]
+            x, y = x[new], y[new]
+            part = ((x >> np.uint64(32)) * np.uint64(sides) >> np.uint64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(part, prepend=-1, append=sides))
+            found += [(name, parts + side * sides + int(part[i]), [x[i:j].tobytes(), pack(y[i:j]), pack(trained[i:j])]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+        both = np.flatnonzero(met & (uid >= 0))
+        key = (uid[both].astype(np.int64) << ID_BITS) + wid[both]
+        doc = doc[both]
+        del u, uid, w, wid, met, both
+        key += (mixed(key) % np.uint64(parts)).astype(np.int64) << 2 * ID_BITS
+        order = np.argsort(key)
+        key, docs = key[order], doc[order]
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        runs = np.diff(np.append(new, len(key)))
+        trained = np.add.reduceat((~out)[docs].astype(np.int64), new) if len(new) else new
+        key = key[new]
+        part = key >> 2 * ID_BITS
+        key &= (1 << 2 * ID_BITS) - 1
+        cut = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
+        found += [(name, int(part[i]), [pack(np.diff(key[i:j], prepend=0)), pack(trained[i:j])]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        doc_id = rows["doc_id"]
+        found.append((name, -1, [pack(runs), pack(docs), doc_id.fillna(0).to_numpy(np.int64).tobytes(), pack(doc_id.isna().to_numpy(np.int64)), pack(out.astype(np.int64)), pack(count + 1), pack(n_known), sums.tobytes(), *turns]))
+        return found
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find, number = Lookup(held.value[0]), 0
         for batch in batches:
             for rows in _slices(batch):
-                n, name = len(rows), (TaskContext.get().partitionId() << 32) + number
+                found = packed(rows, (TaskContext.get().partitionId() << 32) + number, find)
                 number += 1
-                data, begin = joined(rows["text"].tolist())
-                h, a, b = word_hashes(data)
-                own = (np.searchsorted(begin, a, "right") - 1).astype(np.int32)
-                count = np.bincount(own, minlength=n)
-                ids = find(h).astype(np.int32)
-                stop = np.cumsum(count) + np.arange(n)
-                doc = np.repeat(np.arange(n, dtype=np.int32), count + 1)
-                at = np.arange(len(h)) + own
-                w, wid = np.full(len(doc), END, np.uint64), np.full(len(doc), end_id, np.int32)
-                w[at], wid[at] = h, ids
-                u, uid = np.full(len(doc), START, np.uint64), np.full(len(doc), start_id, np.int32)
-                rest = np.delete(np.arange(len(doc)), stop - count)
-                u[rest], uid[rest] = w[rest - 1], wid[rest - 1]
-                del at, rest
-                out = rows["held_out"].to_numpy(bool)
-                met = wid >= 0
-                sums = np.bincount(doc[met], base[wid[met]], minlength=n)
-                n_known = np.bincount(doc[met], known[wid[met]], minlength=n).astype(np.int64)
-
-                both = np.flatnonzero(met & (uid >= 0))
-                key = (uid[both].astype(np.int64) << ID_BITS) + wid[both]
-                key += (mixed(key) % np.uint64(parts)).astype(np.int64) << 2 * ID_BITS
-                order = np.argsort(key)
-                key, docs = key[order], doc[both][order]
-                new = np.flatnonzero(np.diff(key, prepend=-1))
-                runs = np.diff(np.append(new, len(key)))
-                trained = np.add.reduceat((~out)[docs].astype(np.int64), new) if len(new) else new
-                key = key[new]
-                part = key >> 2 * ID_BITS
-                key &= (1 << 2 * ID_BITS) - 1
-                cut = np.flatnonzero(np.diff(part, prepend=-1, append=parts))
-                found = [(name, int(part[i]), [pack(np.diff(key[i:j], prepend=0)), pack(trained[i:j])]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                doc_id = rows["doc_id"]
-                found.append((name, -1, [pack(runs), pack(docs), doc_id.fillna(0).to_numpy(np.int64).tobytes(), pack(doc_id.isna().to_numpy(np.int64)), pack(out.astype(np.int64)), pack(count + 1), pack(n_known), sums.tobytes()]))
-                other = np.flatnonzero(~met | (uid < 0))
-                found.append((name, -2, [u[other].tobytes(), w[other].tobytes(), pack(uid[other] + 1), pack(wid[other] + 1), pack(doc[other]), pack(out[doc[other]].astype(np.int64))]))
-                asked = np.flatnonzero((ids < 0) & out[own])
-                asked = asked[np.unique(h[asked], return_index=True)[1]]
-                found.append((name, -3, [h[asked].tobytes(), *[data[i:j] for i, j in zip(a[asked].tolist(), b[asked].tolist(), strict=True)]]))
+                give_back()
                 yield pd.DataFrame(found, columns=["batch", "part", "blobs"])
 
     return rows.select("doc_id", "text", "held_out").mapInPandas(run, "batch long, part int, blobs array<binary>")
 
 
+def _first(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the first of each pair of x and y, which are in order."""
+    return np.flatnonzero((np.diff(x, prepend=~x[:1]) != 0) | (np.diff(y, prepend=-1) != 0))
+
+
 def _pairs_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(unpack(blobs[0])), unpack(blobs[1])
 
@@ -210,6 +241,18 @@ def _tally(kind: int, ids: np.ndarray, n: np.ndarray | None = None) -> tuple[int
     return kind, [pack(some), pack(total[some].astype(np.int64))]
 
 
+def _side_added(requests: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The same of a side's part, whose pairs are of hashes and places."""
+    each = [(np.frombuffer(b[0], np.uint64), unpack(b[1]).astype(np.int32), unpack(b[2])) for b in requests["blobs"]]
+    x, y, n = (np.concatenate(k) for k in zip(*each, strict=True))
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = _first(x, y)
+    place = np.empty(len(x), np.int64)
+    place[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(x))))
+    return x[new], y[new], np.add.reduceat(n[order], new) if len(new) else n, place, [len(k[0]) for k in each]
+
+
 def count_pairs(requests: DataFrame) -> DataFrame:
     """kind, blobs for each part: 0, the pairs met twice or more in training and how often; 1 and 2, contexts and words and how many distinct pairs each has; 3, how many pairs are met once and twice."""
 
@@ -218,11 +261,57 @@ def count_pairs(requests: DataFrame) -> DataFrame:
         keys, c = keys[c > 0], c[c > 0]
         more = c > 1
         out = [(0, [pack(np.diff(keys[more], prepend=0)), pack(c[more])]), _tally(1, keys >> ID_BITS), _tally(2, keys & (1 << ID_BITS) - 1), (3, [pack(np.arange(2)), pack(np.array([(c == 1).sum(), (c == 2).sum()]))])]
+        give_back()
+        return pd.DataFrame(out, columns=["kind", "blobs"])
+
+    return requests.groupBy("part").applyInPandas(count, "kind int, blobs array<binary>")
+
+
+def count_sides(requests: DataFrame, second: int) -> DataFrame:
+    """The same of the sides' parts, the second side's from `second` on. 0: of pairs met twice or more the side, the other words' hashes, the hot words' places, how often; 4: the side, the other words' hashes, how many distinct pairs each has."""
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        side = int(rows["part"].iloc[0] >= second)
+        x, y, c, _, _ = _side_added(rows)
+        x, y, c = x[c > 0], y[c > 0], c[c > 0]
+        more = c > 1
+        each, n = np.unique(x, return_counts=True)
+        out = [(0, [bytes([side]), x[more].tobytes(), pack(y[more]), pack(c[more])]), (4, [bytes([side]), each.tobytes(), pack(n)]), _tally(1 + side, y), (3, [pack(np.arange(2)), pack(np.array([(c == 1).sum(), (c == 2).sum()]))])]
+        give_back()
         return pd.DataFrame(out, columns=["kind", "blobs"])
 
     return requests.groupBy("part").applyInPandas(count, "kind int, blobs array<binary>")
 
 
+def _side_pairs(counted: DataFrame, hot_h: np.ndarray) -> DataFrame:
+    """u, w, uid, wid, c: a row for each pair of a side that is met twice or more in training."""
+    held = counted.sparkSession.sparkContext.broadcast(hot_h)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b in batch["blobs"]:
+                x, y, c = np.frombuffer(b[1], np.int64), unpack(b[2]), unpack(b[3])
+                rare, hot = (x, np.full(len(x), -1)), (held.value[y].view(np.int64), y)
+                u, w = (rare, hot) if b[0][0] else (hot, rare)
+                for at in range(0, len(x), PAIRS_AT_ONCE):
+                    some = slice(at, at + PAIRS_AT_ONCE)
+                    yield pd.DataFrame({"u": u[0][some], "w": w[0][some], "uid": u[1][some], "wid": w[1][some], "c": c[some]})
+
+    return counted.filter("kind = 0").mapInPandas(spread, "u long, w long, uid int, wid int, c long")
+
+
+def _side_sizes(counted: DataFrame) -> DataFrame:
+    """h, customers, seats: the distinct pairs that a word that is not hot has with hot contexts, and as a context with hot words."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b in batch["blobs"]:
+                h, n = np.frombuffer(b[1], np.int64), unpack(b[2])
+                yield pd.DataFrame({"h": h, "customers": n * (b[0][0] == 0), "seats": n * (b[0][0] == 1)})
+
+    return counted.filter("kind = 4").mapInPandas(spread, "h long, customers long, seats long")
+
+
 def _summed(tallies: DataFrame, n: int, kinds: tuple[int, ...]) -> list[np.ndarray]:
     """Of each kind of tallies(kind, blobs), an array of n sums."""
 
@@ -263,14 +352,14 @@ def hot_sweep(pairs: DataFrame, hot: Hot, law: Law, sweep: int) -> list[np.ndarr
 
 
 def _others(blocks: DataFrame) -> DataFrame:
-    """batch, doc, held, u, w, uid, wid: a row for each token that is not hot or follows one that is not. Ids are -1 for such."""
+    """batch, doc, held, u, w: a row for each token that is not hot and follows one that is not."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, b in zip(batch["batch"], batch["blobs"], strict=True):
-                yield pd.DataFrame({"batch": name, "doc": unpack(b[4]), "held": unpack(b[5]) > 0, "u": np.frombuffer(b[0], np.int64), "w": np.frombuffer(b[1], np.int64), "uid": unpack(b[2]) - 1, "wid": unpack(b[3]) - 1})
+                yield pd.DataFrame({"batch": name, "doc": unpack(b[2]), "held": unpack(b[3]) > 0, "u": np.frombuffer(b[0], np.int64), "w": np.frombuffer(b[1], np.int64)})
 
-    return blocks.filter("part = -2").mapInPandas(spread, "batch long, doc int, held boolean, u long, w long, uid int, wid int")
+    return blocks.filter("part = -2").mapInPandas(spread, "batch long, doc int, held boolean, u long, w long")
 
 
 def _asked(blocks: DataFrame) -> DataFrame:
@@ -371,58 +460,91 @@ def answer_pairs(requests: DataFrame, hot: Hot, law: Law) -> DataFrame:
             u, w = keys[some] >> ID_BITS, keys[some] & (1 << ID_BITS) - 1
             each[some] = _mean(law, c[some], context[u], pair_hash(h[u], h[w]), [(a[u], b[u], p[w], q[w]) for a, b, p, q in states])
         score = each[place]
-        return pd.DataFrame({"batch": rows["batch"], "part": rows["part"], "blobs": [[x.tobytes()] for x in np.split(score, np.cumsum(sizes)[:-1])]})
+        out = pd.DataFrame({"batch": rows["batch"], "part": rows["part"], "blobs": [[x.tobytes()] for x in np.split(score, np.cumsum(sizes)[:-1])]})
+        del keys, c, place, each, score
+        give_back()
+        return out
 
     return requests.groupBy("part").applyInPandas(answer, "batch long, part int, blobs array<binary>")
 
 
-def answer_others(others: DataFrame, rare_counts: DataFrame, words: DataFrame, hot: Hot, law: Law, base: Column) -> DataFrame:
-    """batch, doc, model, base, known: sums over the tokens of others, up to three rows for a text. base: log10 of a word's share from its count c."""
+def word_states(words: DataFrame, law: Law) -> DataFrame:
+    """h, c of words that are not hot, and p2, s2, ...: probability and tables as context before and after each kept sweep."""
     at = range(SWEEPS - KEEP, SWEEPS + 1)
-    p = [f"p{k}" for k in at]
 
     def stated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             s = b["base"].to_numpy()
             for k in at:
                 b[f"p{k}"] = law.word(b[f"c{k}"].to_numpy(), b[f"t{k}"].to_numpy(), s, k)
-            yield b[["h", "c", *p, *[f"s{k}" for k in at]]]
+            yield b[["h", "c", *[f"p{k}" for k in at], *[f"s{k}" for k in at]]]
 
     flat = words.select("h", "c", "base", *[F.col(name)[k].alias(f"{short}{k}") for k in at for name, short in (("customers", "c"), ("tables", "t"), ("seats", "s"))])
-    states = settle(flat.mapInPandas(stated, "h long, c long, " + ", ".join(f"{k} double" for k in p) + ", " + ", ".join(f"s{k} long" for k in at)), "word-states")
-    seats = [f"s{k}" for k in at]
-    word = states.select(F.col("h").alias("w"), F.col("c").alias("wc"), *p)
-    context = states.select(F.col("h").alias("u"), F.col("c").alias("uc"), *seats)
-    null = lambda names, kind: [F.lit(None).cast(kind).alias(k) for k in names]
+    return settle(flat.mapInPandas(stated, "h long, c long, " + ", ".join(f"p{k} double" for k in at) + ", " + ", ".join(f"s{k} long" for k in at)), "word-states")
 
-    def joined_with(rare: Column, rare_word: bool, rare_context: bool) -> DataFrame:
-        """Tokens of one kind with their pair's count, and the state of what is not hot."""
-        rows = others.filter(rare).join(rare_counts.filter(rare).select("u", "w", F.col("c").alias("n")), ["u", "w"], "left")
-        rows = rows.join(word, "w", "left") if rare_word else rows.select("*", *null(["wc"], "long"), *null(p, "double"))
-        return rows.join(context, "u", "left") if rare_context else rows.select("*", *null(["uc", *seats], "long"))
 
-    held = others.sparkSession.sparkContext.broadcast((hot.c, hot.seats[SWEEPS - KEEP :], [law.word(hot.customers[k], hot.tables[k], hot.base, k) for k in at]))
+def answer_sides(requests: DataFrame, states: DataFrame, hot: Hot, law: Law, parts: int, sides: int) -> list[DataFrame]:
+    """For each side batch, part, blobs: log10 of the probability of each asked pair, in the order asked; and how often a word that is not hot occurs in training."""
+    at = range(SWEEPS - KEEP, SWEEPS + 1)
+    held = requests.sparkSession.sparkContext.broadcast((hot.h, hot.c, hot.seats[SWEEPS - KEEP :], [law.word(hot.customers[k], hot.tables[k], hot.base, k) for k in at]))
+
+    def answer(rows: pd.DataFrame, states: pd.DataFrame, side: int) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"batch": [], "part": [], "blobs": pd.Series([], dtype=object)})
+        hot_h, hot_c, hot_seats, hot_p = held.value
+        x, y, c, place, sizes = _side_added(rows)
+        h = states["h"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(h)
+        own = order[np.searchsorted(h, x, sorter=order)]  # each is there: words of all texts have a state
+        count = states["c"].to_numpy(np.int64)
+        mine = [states[f"{'ps'[side]}{k}"].to_numpy(float) for k in at]
+        each = np.zeros(len(x))
+        for first in range(0, len(x), PAIRS_AT_ONCE):
+            some = slice(first, first + PAIRS_AT_ONCE)
+            i, j = own[some], y[some]
+            u, w = (x[some], hot_h[j]) if side else (hot_h[j], x[some])
+            seats, p = ([k[i] for k in mine], [k[j] for k in hot_p]) if side else ([k[j].astype(float) for k in hot_seats], [k[i] for k in mine])
+            kept = [(law.spread(seats[k], u, SWEEPS - KEEP + k), seats[k + 1], p[k], p[k + 1]) for k in range(KEEP)]
+            each[some] = _mean(law, c[some], (count[i] if side else hot_c[j]).astype(float), pair_hash(u, w), kept)
+        cut = np.cumsum(sizes)[:-1]
+        blobs = [[k.tobytes()] for k in np.split(each[place], cut)]
+        if not side:
+            blobs = [[*b, pack(k)] for b, k in zip(blobs, np.split(count[own][place], cut), strict=True)]
+        out = pd.DataFrame({"batch": rows["batch"], "part": rows["part"], "blobs": blobs})
+        del x, y, c, place, h, order, own, count, mine, each
+        give_back()
+        return out
+
+    def of_side(side: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+        return lambda rows, states: answer(rows, states, side)
+
+    out = []
+    for side, name in enumerate("ps"):
+        first = parts + side * sides
+        mine = requests.filter(F.col("part").between(first, first + sides - 1))
+        part = (F.lit(first) + F.shiftright(F.shiftrightunsigned("h", 32) * F.lit(sides).cast("long"), 32)).cast("int")
+        dealt = states.select(part.alias("part"), "h", "c", *[f"{name}{k}" for k in at])
+        out.append(settle(mine.groupBy("part").cogroup(dealt.groupBy("part")).applyInPandas(of_side(side), "batch long, part int, blobs array<binary>"), "side-answers", large=True))
+    return out
+
+
+def answer_others(others: DataFrame, rare_counts: DataFrame, states: DataFrame, law: Law, base: Column) -> DataFrame:
+    """batch, doc, model, base, known: sums over the tokens of others. base: log10 of a word's share from its count wc."""
+    at = range(SWEEPS - KEEP, SWEEPS + 1)
+    p, seats = [f"p{k}" for k in at], [f"s{k}" for k in at]
+    rows = others.join(rare_counts.select("u", "w", F.col("c").alias("n")), ["u", "w"], "left")
+    rows = rows.join(states.select(F.col("h").alias("w"), F.col("c").alias("wc"), *p), "w", "left").join(states.select(F.col("h").alias("u"), F.col("c").alias("uc"), *seats), "u", "left")
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hot_c, hot_seats, hot_p = held.value
         for b in batches:
-            u, w, uid, wid = (b[k].to_numpy(np.int64) for k in ("u", "w", "uid", "wid"))
-            side = lambda ids, hot, own: np.where(ids >= 0, hot[ids], b[own].fillna(0).to_numpy(float))
-            seats_ = [side(uid, hot_seats[i], f"s{k}") for i, k in enumerate(at)]
-            p_ = [side(wid, hot_p[i], f"p{k}") for i, k in enumerate(at)]
-            spread = [law.spread(seats_[i], u.view(np.uint64), k) for i, k in enumerate(at[:-1])]
-            states = [(spread[i], seats_[i + 1], p_[i], p_[i + 1]) for i in range(KEEP)]
-            c = b["n"].fillna(0).to_numpy(np.int64)
-            score = _mean(law, c, side(uid, hot_c, "uc"), pair_hash(u.view(np.uint64), w.view(np.uint64)), states)
-            yield pd.DataFrame({"batch": b["batch"], "doc": b["doc"], "score": score, "c": b["wc"].where(wid < 0).astype("Int64")})
-
-    out = None
-    for rare, *sides in (("wid < 0 and uid >= 0", True, False), ("wid >= 0 and uid < 0", False, True), ("wid < 0 and uid < 0", True, True)):
-        each = joined_with(F.expr(rare), *sides).mapInPandas(scored, "batch long, doc int, score double, c long")
-        each = settle(each.groupBy("batch", "doc").agg(F.sum("score").alias("model"), F.sum(base).alias("base"), F.count_if(F.col("c") > 0).alias("known")), "others")
-        out = each if out is None else out.unionByName(each)
-    forget(states)
-    return out
+            u, w = (b[k].to_numpy(np.int64).view(np.uint64) for k in ("u", "w"))
+            seats_, p_ = ([b[f"{name}{k}"].fillna(0).to_numpy(float) for k in at] for name in "sp")
+            kept = [(law.spread(seats_[i], u, k), seats_[i + 1], p_[i], p_[i + 1]) for i, k in enumerate(at[:-1])]
+            score = _mean(law, b["n"].fillna(0).to_numpy(np.int64), b["uc"].fillna(0).to_numpy(float), pair_hash(u, w), kept)
+            yield pd.DataFrame({"batch": b["batch"], "doc": b["doc"], "score": score, "wc": b["wc"].astype("Int64")})
+
+    each = rows.mapInPandas(scored, "batch long, doc int, score double, wc long")
+    return settle(each.groupBy("batch", "doc").agg(F.sum("score").alias("model"), F.sum(base).alias("base"), F.count_if(F.col("wc") > 0).alias("known")), "others")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -456,22 +578,26 @@ def score(docs: DataFrame) -> DataFrame:
     log_base = np.log10((hot_c + 1) / (tokens + types + 1))
 
     parts = 1 + int(tokens * 7 / 6) // PART
-    blocks = settle(encode(rows, hot_h, log_base, (hot_c > 0).astype(np.int64), parts), "blocks", TEXTS_AT_ONCE, large=True)
-    requests = blocks.filter("part >= 0")
+    sides = 1 + int((n_words - int(frequent["c"].sum())) * 7 / 6) // SIDE
+    blocks = settle(encode(rows, hot_h, log_base, (hot_c > 0).astype(np.int64), parts, sides), "blocks", TEXTS_AT_ONCE, large=True)
+    requests, aside = blocks.filter(F.col("part").between(0, parts - 1)), blocks.filter(F.col("part") >= parts)
     counted = settle(count_pairs(requests), "pairs", large=True)
+    counted_aside = settle(count_sides(aside, parts + sides), "side-pairs", large=True)
     others = _others(blocks)
-    rare_counts = settle(others.filter("not held").groupBy("u", "w").agg(F.min("uid").alias("uid"), F.min("wid").alias("wid"), F.count("*").alias("c")), "rare-pairs")
+    rare_counts = settle(others.filter("not held").groupBy("u", "w").agg(F.count("*").alias("c")), "rare-pairs")
 
     # each word's distinct pairs, as word and as context: its first customers and tables
     zero = F.lit(0).cast("long")
     own = spelled.met(named).select("h", "c", F.pow(F.lit(10.0), "base").alias("base"), zero.alias("customers"), zero.alias("seats"))
     one = lambda k, a, b: rare_counts.groupBy(F.col(k).alias("h")).agg(F.count("*").alias(a)).select("h", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("base"), F.col(a), zero.alias(b))
-    state = own.unionByName(one("w", "customers", "seats")).unionByName(one("u", "seats", "customers"))
+    aside_too = _side_sizes(counted_aside).select("h", F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("base"), "customers", "seats")
+    state = own.unionByName(one("w", "customers", "seats")).unionByName(one("u", "seats", "customers")).unionByName(aside_too)
     state = settle(state.groupBy("h").agg(*[F.max(k).alias(k) for k in ("c", "base")], *[F.sum(k).alias(k) for k in ("customers", "seats")]), "word-counts")
     forget(vocabulary)
     hot_rows = arrays(state.filter(is_hot).select("h", F.coalesce("base", F.lit(0.0)).alias("base"), "customers", "seats"))  # HOT + 2 at most
     at = np.searchsorted(hot_h, hot_rows["h"].astype(np.int64).view(np.uint64))
-    seats, customers = _summed(counted.filter("kind in (1, 2)"), len(hot_h), (1, 2))
+    tallies = counted.unionByName(counted_aside)
+    seats, customers = _summed(tallies.filter("kind in (1, 2)"), len(hot_h), (1, 2))
     base = np.zeros(len(hot_h))
     base[at] = hot_rows["base"]
     if not n_train:
@@ -480,7 +606,7 @@ def score(docs: DataFrame) -> DataFrame:
     np.add.at(seats, at, hot_rows["seats"])
     hot = Hot(hot_h, hot_c, base, [customers], [np.minimum(customers, 1)], [seats])
 
-    once, twice = _summed(counted.filter("kind = 3"), 2, (3,))[0].tolist()
+    once, twice = _summed(tallies.filter("kind = 3"), 2, (3,))[0].tolist()
     few = rare_counts.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     rare = state.filter(~is_hot)
     size = rare.agg(F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2), F.coalesce(F.sum("customers"), F.lit(0)), F.count("*")).first()
@@ -488,26 +614,41 @@ def score(docs: DataFrame) -> DataFrame:
     law = Law(d_words, discount_of(once + few[0], twice + few[1]), [int(size[2] + customers.sum())], [int(size[3] + hot.tables[0].sum())])
     first = lambda k: F.array(k).alias(k)
     rare = rare.select("h", "c", "base", first("customers"), F.array(F.lit(1).cast("long")).alias("tables"), first("seats"))
-    words_sampled, words = sampled(hot, law, counted.filter("kind = 0"), rare_counts.filter("c > 1"), rare)
+    both_rare = rare_counts.filter("c > 1").select("u", "w", F.lit(-1).alias("uid"), F.lit(-1).alias("wid"), "c")
+    again = settle(_side_pairs(counted_aside, hot_h).unionByName(both_rare), "pairs-again")
+    words_sampled, words = sampled(hot, law, counted.filter("kind = 0"), again, rare)
 
-    forget(counted)
+    forget(counted, counted_aside, again)
 
     # words of held-out texts alone are spelled; they have no customers
     none = F.array(*[zero] * (SWEEPS + 1))
     new = settle(_asked(blocks).join(words, "h", "left_anti"), "unknown")
     unknown = spelled.unmet(new.select("h", "word")).select("h", zero.alias("c"), F.pow(F.lit(10.0), "base").alias("base"), none.alias("customers"), none.alias("tables"), none.alias("seats"))
-    extra = answer_others(others, rare_counts, words.unionByName(unknown), hot, law, F.when(F.col("c").isNotNull(), share(F.col("c"))))
-    forget(words_sampled, state, rare_counts, new)
-    replies = answer_pairs(requests, hot, law).unionByName(blocks.filter("part = -1"))
+    states = word_states(words.unionByName(unknown), law)
+    forget(words_sampled, state, new)
+    extra = answer_others(others, rare_counts, states, law, share(F.col("wc")))
+    forget(rare_counts)
+    one, two = answer_sides(aside, states, hot, law, parts, sides)
+    forget(states)
+    replies = answer_pairs(requests, hot, law).unionByName(one).unionByName(two).unionByName(blocks.filter("part = -1"))
 
     def gathered(own: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("part")
+        answered = lambda first, n: [b for p, b in zip(own["part"], own["blobs"], strict=True) if first <= p < first + n]
         batch = next(b for p, b in zip(own["part"], own["blobs"], strict=True) if p == -1)
-        answers = [np.frombuffer(b[0], np.float32) for p, b in zip(own["part"], own["blobs"], strict=True) if p >= 0]
+        answers = [np.frombuffer(b[0], np.float32) for b in answered(0, parts)]
         runs, at = unpack(batch[0]), unpack(batch[1])
         ids, none, out, n, known = np.frombuffer(batch[2], np.int64), unpack(batch[3]), *(unpack(b) for b in batch[4:7])
         model = np.bincount(at, np.repeat(np.concatenate(answers).astype(np.float64), runs), minlength=len(ids)) if answers else np.zeros(len(ids))
         base, known = np.frombuffer(batch[7]).copy(), known.copy()
+        for side in range(2):
+            if answers := answered(parts + side * sides, sides):
+                runs, at = unpack(batch[8 + 2 * side]), unpack(batch[9 + 2 * side])
+                model += np.bincount(at, np.repeat(np.concatenate([np.frombuffer(b[0]) for b in answers]), runs), minlength=len(ids))
+                if not side:
+                    c = np.repeat(np.concatenate([unpack(b[1]) for b in answers]), runs)
+                    base += np.bincount(at, np.log10((c + 1) / float(tokens + types + 1)), minlength=len(ids))
+                    known += np.bincount(at, c > 0, minlength=len(ids)).astype(np.int64)
         doc = more["doc"].to_numpy(np.int64)
         np.add.at(model, doc, more["model"].to_numpy(float))
         np.add.at(base, doc, more["base"].fillna(0).to_numpy(float))

@@ -42,3 +42,14 @@ def test_settle_large_rows(spark):
     column = pq.ParquetFile(file).metadata.row_group(0).column(2)
     assert column.compression == "ZSTD"
     common.release(spark)
+
+
+def test_freed_memory_is_given_back():
+    """Small pieces that are freed between others that stay."""
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096  # noqa: E731, SIM115
+    pieces = [bytes([i % 256]) * 3000 for i in range(100_000)]
+    stay = pieces[::50]
+    del pieces
+    most = held()
+    common.give_back()
+    assert len(stay) == 2000 and (most - held() > 100_000_000 or held() < 200_000_000)

@@ -273,3 +273,26 @@ def test_pairs_are_scored_a_few_at_once(spark, monkeypatch):
     monkeypatch.setattr(lm, "PAIRS_AT_ONCE", 4)
     monkeypatch.setattr(lm, "_mean", checked)
     assert sorted(map(tuple, lm.score(df).collect())) == want
+
+
+def test_sides_are_packed(spark, monkeypatch):
+    """Tokens beside one word that is not hot are no rows; however the sides are dealt, the same scores."""
+    texts = ["a b c a b d e f g b a c ", "a x1 b x2 a x1 x2 b a ", "b y a y y b a c x1 "]
+    df = spark.createDataFrame([(i, texts[i % 3] * (1 + i % 3) + f"once{i} a") for i in range(24)], "doc_id long, text string")
+    key = lambda rows: sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 8), round(r.score, 8)) for r in rows)
+    others, rows = lm._others, []
+
+    def kept(blocks):
+        out = others(blocks)
+        rows.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(lm, "HOT", 3)
+    want = key(lm.score(df).collect())
+    monkeypatch.setattr(lm, "SIDE", 5)
+    monkeypatch.setattr(lm, "_others", kept)
+    got = key(lm.score(df).collect())
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert max(abs(a - b) for g, w in zip(got, want, strict=True) for a, b in zip(g[4:], w[4:], strict=True)) < 1e-6
+    hot = set(words.word_hashes(b"a b")[0].view(np.int64).tolist()) | {lm.START, lm.END}
+    assert rows and not any(r.u in hot or r.w in hot for r in rows)
