@@ -24,11 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slidemill.llm.common import arrays, crc_mod, forget, give_back, pick, settle
+from slidemill.llm.common import arrays, crc_mod, few, forget, give_back, pick, settle
 from slidemill.llm.pitman_yor import discount_of, draw_tables, gamma, mixed, uniform
 from slidemill.llm.spelling import spelling
 from slidemill.llm.words import Lookup, joined, pack, unpack, word_hashes
@@ -566,7 +567,7 @@ def score(docs: DataFrame) -> DataFrame:
     share = lambda c: F.log10((c + 1) / F.lit(float(tokens + types + 1)))
 
     # every word once, the end as the empty one
-    ends = spark.createDataFrame([(bytearray(b""), END, n_train)] if n_train else [], "word binary, h long, c long")
+    ends = few(spark, [(b"", END, n_train)] if n_train else [], word=pa.binary(), h=pa.int64(), c=pa.int64())
     named = vocabulary.unionByName(ends)
     spelled = spelling(named.select("word"))
     cut = least_hot(vocabulary, HOT)
@@ -601,17 +602,17 @@ def score(docs: DataFrame) -> DataFrame:
     base = np.zeros(len(hot_h))
     base[at] = hot_rows["base"]
     if not n_train:
-        base[np.searchsorted(hot_h, np.uint64(END))] = 10.0 ** spelled.unmet(spark.createDataFrame([(bytearray(b""),)], "word binary")).first()["base"]
+        base[np.searchsorted(hot_h, np.uint64(END))] = 10.0 ** spelled.unmet(few(spark, [(b"",)], word=pa.binary())).first()["base"]
     np.add.at(customers, at, hot_rows["customers"])
     np.add.at(seats, at, hot_rows["seats"])
     hot = Hot(hot_h, hot_c, base, [customers], [np.minimum(customers, 1)], [seats])
 
     once, twice = _summed(tallies.filter("kind = 3"), 2, (3,))[0].tolist()
-    few = rare_counts.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    few_rare = rare_counts.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     rare = state.filter(~is_hot)
     size = rare.agg(F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2), F.coalesce(F.sum("customers"), F.lit(0)), F.count("*")).first()
     d_words = discount_of(size[0] + int((customers == 1).sum()), size[1] + int((customers == 2).sum()))
-    law = Law(d_words, discount_of(once + few[0], twice + few[1]), [int(size[2] + customers.sum())], [int(size[3] + hot.tables[0].sum())])
+    law = Law(d_words, discount_of(once + few_rare[0], twice + few_rare[1]), [int(size[2] + customers.sum())], [int(size[3] + hot.tables[0].sum())])
     first = lambda k: F.array(k).alias(k)
     rare = rare.select("h", "c", "base", first("customers"), F.array(F.lit(1).cast("long")).alias("tables"), first("seats"))
     both_rare = rare_counts.filter("c > 1").select("u", "w", F.lit(-1).alias("uid"), F.lit(-1).alias("wid"), "c")

@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidemill.llm.common import arrays, settle, small_enough
+from slidemill.llm.common import arrays, few, settle, small_enough
 from slidemill.llm.pitman_yor import discount_of, redraw
 
 #: Bytes of context.
@@ -184,11 +185,11 @@ def spelling(words: DataFrame) -> Spelling:
         state = settle(_deep_sweep(state, parent, d, sweep, keep), "spelling")
 
     n = [[float(x) for x in row] for row in zip(*[np.concatenate(p) for p, _ in kept], strict=True)]
-    rows = [(bytearray(g), p) for g, p in zip(names[0] + names[1], n, strict=True)]
-    shares = [(bytearray(), [float(b[0][0]) for _, b in kept])] + [(bytearray([x]), [float(b[1][x]) for _, b in kept]) for x in np.unique(context).tolist()]
-    grams = state.select("gram", "ps").unionByName(spark.createDataFrame(rows, "gram binary, ps array<double>"))
+    rows = [(bytes(g), p) for g, p in zip(names[0] + names[1], n, strict=True)]
+    shares = [(b"", [float(b[0][0]) for _, b in kept])] + [(bytes([x]), [float(b[1][x]) for _, b in kept]) for x in np.unique(context).tolist()]
+    grams = state.select("gram", "ps").unionByName(few(spark, rows, gram=pa.binary(), ps=pa.list_(pa.float64())))
     contexts = state.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("ctx")).agg(F.first("bs").alias("bs"))
-    contexts = contexts.unionByName(spark.createDataFrame(shares, "ctx binary, bs array<double>"))
+    contexts = contexts.unionByName(few(spark, shares, ctx=pa.binary(), bs=pa.list_(pa.float64())))
     return Spelling(settle(grams, "spelled"), settle(contexts, "contexts"))
 
 
